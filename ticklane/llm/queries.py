@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklane.llm import chat, decontam, mixing, quality, simhash, toxicity, urls
+from ticklane.llm import chat, decontam, mixing, quality, simhash, tokencount, toxicity, urls, warc
 from ticklane.llm.shared import Scratch, crc_remainder
 
 
@@ -47,6 +47,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return records.select(
+        F.col("key").alias("page_id"), "record_type", "record_id", warc.header("WARC-Refers-To").alias("refers_to"), warc.header("WARC-Target-URI").alias("target_uri"),
+        warc.header("WARC-Refers-To-Payload-Digest").alias("source_digest"), warc.header("WARC-Block-Digest").alias("block_digest"),
+        warc.header("Content-Length").cast("long").alias("content_length"), F.sha2("block", 256).alias("block_sha256"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.turn_rows(chat.with_probe(table(spark, sf_dir, "conversations")))
     formatted = Scratch(spark, "chat").cut(chat.format_turns(rows))
@@ -102,6 +114,8 @@ def queries() -> dict:
         "op4_simhash": op4_simhash,
         "op6_url_filter": op6_url_filter,
         "op7_mixing": op7_mixing,
+        "op8_token_counts": op8_token_counts,
+        "op9_warc": op9_warc,
         "op10_chat": op10_chat,
     }
 
