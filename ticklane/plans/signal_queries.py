@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ticklane import config as cf
 from ticklane.functions import indicators as ind
 from ticklane.functions.base import wd
-from ticklane.operators import buckets, signals as sg
+from ticklane.operators import buckets
+from ticklane.operators import signals as sg
 from ticklane.plans import oracle as o
 from ticklane.plans.indicator_queries import bars, rounded
 
