@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm.quality import keep_rows
-from ticklane.llm.shared import Scratch, text_bytes
+from ticklane.llm.shared import Scratch, map_batches, text_bytes
 
 WINDOW = 10
 #: Words of a segment, and words of the test items of a block.
@@ -171,7 +171,7 @@ def build_index(docs: DataFrame, phrases: Phrases, scratch: Scratch, segment_wor
         if entries:
             yield flush()
 
-    return scratch.cut(docs.select("doc_id", "text").mapInArrow(segments, _SEGMENT.format(kind=kind)))
+    return scratch.cut(map_batches(docs.select("doc_id", "text"), segments, _SEGMENT.format(kind=kind)))
 
 
 def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
@@ -201,7 +201,7 @@ def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
                         out[name].append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.string()), pa.array(out["doc_id"], batch.schema.field("docs").type.value_type.field("doc_id").type), pa.array(out["words"], pa.int64()), pa.array(out["spans"], pa.list_(pa.int64())), pa.array(out["items"], pa.list_(pa.int64()))], names=list(out))
 
-    return index.select("docs", "terms", "positions").mapInArrow(looked_up, f"row string, doc_id {kind}, words long, spans array<long>, items array<long>")
+    return map_batches(index.select("docs", "terms", "positions"), looked_up, f"row string, doc_id {kind}, words long, spans array<long>, items array<long>")
 
 
 def _merged(begin: np.ndarray, end: np.ndarray) -> list[int]:
@@ -250,7 +250,7 @@ def _named(part: DataFrame, shared, kind: str) -> DataFrame:
             ids = [[shared.value[i] for i in x] for x in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.string()))], names=["row", "doc_id", "words", "spans", "item_ids"])
 
-    return part.mapInArrow(named, f"row string, doc_id {kind}, words long, spans array<long>, item_ids array<string>")
+    return map_batches(part, named, f"row string, doc_id {kind}, words long, spans array<long>, item_ids array<string>")
 
 
 def _summed(found: DataFrame, kind: str) -> DataFrame:
@@ -270,7 +270,7 @@ def _summed(found: DataFrame, kind: str) -> DataFrame:
             digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(hits, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans", "item_ids"])
 
-    return whole.mapInArrow(finished, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, spans array<long>, item_ids array<string>")
+    return map_batches(whole, finished, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, spans array<long>, item_ids array<string>")
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, segment_words: int = SEGMENT_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklane.llm.gbt import Forest, fit
-from ticklane.llm.shared import crc_remainder, hash_share, text_bytes
+from ticklane.llm.shared import crc_remainder, hash_share, map_batches, text_bytes
 
 #: Labelled rows that the trees are learnt from, about.
 MOST_ROWS = 20_000
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", held: tup
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(measured, f"doc_id {kind}, x array<double>").join(y, "doc_id").select("doc_id", "x", "y").toArrow()
+    rows = map_batches(texts, measured, f"doc_id {kind}, x array<double>").join(y, "doc_id").select("doc_id", "x", "y").toArrow()
     order = np.argsort(np.array(rows["doc_id"].to_pylist(), dtype=np.int64), kind="stable") if len(rows) else []
     x = np.array(rows["x"].to_pylist(), float).reshape(len(rows), len(STATISTICS))[order]
     return fit(x, np.array(rows["y"].to_pylist(), float)[order] if len(rows) else np.zeros(0), **how)
@@ -132,7 +132,7 @@ def score(docs: DataFrame, forest: Forest, column: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", column])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, {column} double")
+    return map_batches(docs.select("doc_id", "text"), scored, f"doc_id {kind}, {column} double")
 
 
 def keep_rows(docs: DataFrame, judge) -> DataFrame:
@@ -143,7 +143,7 @@ def keep_rows(docs: DataFrame, judge) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(np.asarray(judge(batch.column(at).to_pylist()), bool)))
 
-    return docs.mapInArrow(kept, T.StructType(docs.schema.fields))
+    return map_batches(docs, kept, T.StructType(docs.schema.fields))
 
 
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,9 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +14,8 @@ from pyspark.sql import functions as F
 ASCII_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Words as the token contracts define them: maximal runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch.
+BATCH_ROWS = 512
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -81,15 +81,10 @@ def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow that keeps whole batches bounded by the session's Arrow limits."""
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow in batches of BATCH_ROWS rows: whole texts pass through Python, so Spark's default of 10,000 rows would
+    take hundreds of MB a task. A setting that the session has made itself stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, BATCH_ROWS)
     return df.mapInArrow(function, schema)
-
-
-def column_of(batch: pa.RecordBatch, position: int) -> list:
-    return batch.column(position).to_pylist()
-
-
-def slices(items: list, width: int) -> Iterator[list]:
-    for start in range(0, len(items), width):
-        yield items[start : start + width]

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklane.llm.components import components
-from ticklane.llm.shared import ASCII_LOWER, Scratch, text_bytes
+from ticklane.llm.shared import ASCII_LOWER, Scratch, map_batches, text_bytes
 
 SHINGLE = 4
 REACH = 4
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> Dat
             found = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(printed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_batches(docs.select("doc_id", "text"), printed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def segment_bits(segments: int) -> list[tuple[int, int]]:
@@ -158,7 +158,7 @@ def links(prints: DataFrame, scratch: Scratch, segments: int = SEGMENTS, reach:
             got = _single_links(batch.column(0).to_pylist(), batch.column(1).to_pylist(), reach)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    out = pairs.mapInArrow(linked, "a long, b long")
+    out = map_batches(pairs, linked, "a long, b long")
     return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -194,7 +194,7 @@ def keep_one(docs: DataFrame, segments: int = SEGMENTS, reach: int = REACH, widt
             found = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "whole"])
 
-    each = scratch.cut(docs.select("doc_id", "text", whole.alias("whole")).mapInArrow(printed, f"doc_id {kind}, fp long, whole long"))
+    each = scratch.cut(map_batches(docs.select("doc_id", "text", whole.alias("whole")), printed, f"doc_id {kind}, fp long, whole long"))
     named = _classes(each, scratch, segments, reach, block)
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")).alias("first"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))

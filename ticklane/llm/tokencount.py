@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ticklane.llm.shared import map_batches
+
 _MANY = 1 << 21  # over every code point
 #: Distinct words whose counts a task remembers.
 REMEMBERED = 200_000
@@ -127,4 +129,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.T.copy())], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(counted, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
+    return map_batches(docs.select("doc_id", "text"), counted, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")

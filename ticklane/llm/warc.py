@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticklane.llm.shared import map_batches
+
 DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 CARRIED = ("WARC-Date", "WARC-Target-URI", "WARC-IP-Address", "WARC-Warcinfo-ID")
@@ -110,7 +112,7 @@ def responses(pages: DataFrame, date: str = DATE, key: str = "page_id") -> DataF
             rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
             yield pa.RecordBatch.from_pylist([response(*row, date) for row in rows], schema=_records(batch.column(0).type))
 
-    return pages.select(key, "url", "html").mapInArrow(made, SCHEMA.format(key=pages.schema[key].dataType.simpleString()))
+    return map_batches(pages.select(key, "url", "html"), made, SCHEMA.format(key=pages.schema[key].dataType.simpleString()))
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def derive(records: DataFrame) -> DataFrame:
                 rows = batch.slice(low, 256).to_pylist()
                 yield pa.RecordBatch.from_pylist([d for r in rows for d in derivatives(r)], schema=_records(batch.column(0).type))
 
-    return records.where(F.col("record_type") == "response").mapInArrow(made, SCHEMA.format(key=records.schema["key"].dataType.simpleString()))
+    return map_batches(records.where(F.col("record_type") == "response"), made, SCHEMA.format(key=records.schema["key"].dataType.simpleString()))
 
 
 def header(name: str):
@@ -158,7 +160,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for low in _chunks(parse(data.as_py()), 256):
                     yield pa.RecordBatch.from_pylist(low, schema=_records(pa.string()))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, SCHEMA.format(key="string"))
+    return map_batches(spark.read.format("binaryFile").load(path).select("content"), read, SCHEMA.format(key="string"))
 
 
 def _chunks(items: Iterator[dict], width: int) -> Iterator[list[dict]]:
