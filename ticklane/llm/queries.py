@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklane.llm import chat, decontam, mixing, quality, simhash, tokencount, toxicity, urls, warc
+from ticklane.llm import chat, decontam, images, mixing, quality, simhash, tokencount, toxicity, urls, warc
 from ticklane.llm.shared import Scratch, crc_remainder
 
 
@@ -39,6 +39,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures drawn from the embeddings: the tables hold no media, and near vectors are edited copies of a picture."""
+    return images.classes(images.draw(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -112,6 +117,7 @@ def queries() -> dict:
         "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
         "op4_simhash": op4_simhash,
+        "op5_image_copies": op5_image_copies,
         "op6_url_filter": op6_url_filter,
         "op7_mixing": op7_mixing,
         "op8_token_counts": op8_token_counts,
