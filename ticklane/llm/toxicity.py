@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticklane.llm.shared import Scratch, map_batches
+
 from ticklane.llm.quality import keep_rows, training_rows
 
 MOST_ROWS = 20_000
@@ -158,41 +160,42 @@ def _calibrate(lexicon: Lexicon, total: np.ndarray, words: np.ndarray, y: np.nda
     lexicon.bias, lexicon.slopes = float(w[0] - center @ w[1:]), (float(w[1]), float(w[2]))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: tuple[int, int] = HOLD_OUT, most_rows: int = MOST_ROWS, seed: int = 29) -> Lexicon:
-    """Learn from labelled rows whose crc32(doc_id) mod held[0] is not held[1]."""
-    texts, y = training_rows(docs, labels, target, held, most_rows, seed)
-    rows = texts.join(y, "doc_id").select("text", "y")
+def _document_counts(rows: DataFrame, wanted) -> DataFrame:
+    """term, n: in how many of the texts each wanted term occurs (all terms for None); summed in each task first."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: tuple[Counter, Counter] = (Counter(), Counter())
+        tally: Counter = Counter()
 
         def flush():
-            terms = sorted({*tallies[0], *tallies[1]})
-            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([tallies[k][t] for t in terms], pa.int64()) for k in (1, 0)]], names=["term", "p", "n"])
-            for t in tallies:
-                t.clear()
+            terms = list(tally)
+            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([tally[t] for t in terms], pa.int64())], names=["term", "n"])
+            tally.clear()
             return out
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tallies[label].update(_terms(text))
-                tallies[label][""] += 1
-                if len(tallies[0]) + len(tallies[1]) > 400_000:
+            for text in batch.column(0).to_pylist():
+                tally.update(_terms(text) if wanted is None else [t for t in _terms(text) if wanted(t)])
+                if len(tally) > 400_000:
                     yield flush()
         yield flush()
 
-    sums = rows.mapInArrow(counted, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    # entries need support; exceptions are words of label 0 that begin like one: both are bounded by the sample
-    useful = sums.where((F.col("term") == "") | (F.col("p") >= SUPPORT) & (F.col("p") > 0.2 * F.col("n"))).collect()
-    whole = {r.term: (r.p, r.n) for r in useful}
-    ones, zeros = whole.pop("", (0, 0))
-    lexicon = choose([(t, p, n) for t, (p, n) in whole.items()], ones, zeros)
-    if lexicon.weights:
-        starts = docs.sparkSession.createDataFrame([(k,) for k in lexicon.weights], "entry string")
-        beginnings = F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda k: F.substring(F.col("term"), F.lit(1), k))
-        words = sums.where(F.col("term").endswith(" ") & (F.length("term") > 1) & (F.col("n") >= SUPPORT))
-        likely = words.withColumn("entry", F.explode(beginnings)).join(starts, "entry").select("term", "p", "n").distinct().collect()
-        lexicon = choose([*[(t, p, n) for t, (p, n) in whole.items()], *[(r.term, r.p, r.n) for r in likely if r.term not in whole]], ones, zeros)
+    return map_batches(rows.select("text"), counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: tuple[int, int] = HOLD_OUT, most_rows: int = MOST_ROWS, seed: int = 29) -> Lexicon:
+    """Learn from labelled rows whose crc32(doc_id) mod held[0] is not held[1]."""
+    texts, y = training_rows(docs, labels, target, held, most_rows, seed)
+    rows = Scratch(docs.sparkSession, "toxicity").cut(texts.join(y, "doc_id").select("text", "y"))
+    ones, zeros = (sum(r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect() if r.y == k) for k in (1, 0))
+    # what label 1 says often enough bounds what is counted for label 0, in tables that fit a task
+    p = dict(_document_counts(rows.where("y = 1"), None).where(F.col("n") >= SUPPORT).collect())
+    n = dict(_document_counts(rows.where("y = 0"), lambda term, known=frozenset(p): term in known).collect()) if p else {}
+    lexicon = choose([(t, k, n.get(t, 0)) for t, k in p.items()], ones, zeros)
+    starts = frozenset(lexicon.weights)
+    if starts:
+        begun = lambda term, known=starts: term[-1] == " " and any(term[:k] in known for k in range(1, len(term)))
+        against = dict(_document_counts(rows.where("y = 0"), begun).where(F.col("n") >= SUPPORT).collect())
+        lexicon = choose([*[(t, k, n.get(t, 0)) for t, k in p.items()], *[(t, 0, k) for t, k in against.items() if t not in p]], ones, zeros)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: tuple
             total, words = weigh(batch.column(0).to_pylist(), automaton)
             yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(words), batch.column(1)], names=["total", "words", "y"])
 
-    found = rows.mapInArrow(weighed, "total double, words double, y int").orderBy("total", "words", "y").toArrow()
+    found = map_batches(rows, weighed, "total double, words double, y int").orderBy("total", "words", "y").toArrow()
     _calibrate(lexicon, *[np.array(found[c].to_pylist(), float) for c in ("total", "words", "y")])
     return lexicon
 
@@ -217,7 +220,7 @@ def score(docs: DataFrame, lexicon: Lexicon, column: str = "score") -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", column])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, {column} double")
+    return map_batches(docs.select("doc_id", "text"), scored, f"doc_id {kind}, {column} double")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
