@@ -31,7 +31,7 @@ CONTROL = (OPEN, ASK, ANSWER, CLOSE)
 
 # The field paths of each layout.
 LAYOUTS = {
-    "turn_rows": ("conv_id", "role", "text", "turn"),
+    "turn_rows": ("role", "text", "turn"),
     "messages": ("messages[].content", "messages[].role"),
     "from_value": ("conversations[].from", "conversations[].value"),
     "prompt_completion": ("completion", "prompt"),
