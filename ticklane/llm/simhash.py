@@ -107,22 +107,24 @@ def _forest(left: np.ndarray, right: np.ndarray, reach: int) -> np.ndarray:
     """Spanning forest, as pairs, of the links between two blocks (a block with itself: within it)."""
     nodes, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
     a, b = inverse[: len(left)], inverse[len(left) :]
-    root = np.arange(len(nodes))
+    root, kept = np.arange(len(nodes)), []
     step = max(1, 4_000_000 // max(1, len(right)))
     for low in range(0, len(left), step):
         i, j = np.nonzero(np.bitwise_count(left[low : low + step, None] ^ right[None, :]) <= reach)
         i, j = a[low + i], b[j]
-        while True:  # hooks roots onto smaller ones, then shortens paths, until every link lies within a tree
-            i, j = root[i], root[j]
-            open_ = i != j
+        while True:  # each root hooks once onto a smaller one by a link of its tree, then paths are shortened
+            high, small = np.maximum(root[i], root[j]), np.minimum(root[i], root[j])
+            open_ = high != small
             if not open_.any():
                 break
-            i, j = i[open_], j[open_]
-            np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+            i, j, high, small = i[open_], j[open_], high[open_], small[open_]
+            order = np.lexsort((small, high))
+            first = order[np.flatnonzero(np.append(True, np.diff(high[order]) > 0))]
+            root[high[first]] = small[first]
+            kept.append(np.stack([nodes[i[first]], nodes[j[first]]], axis=1))
             while (root[root] != root).any():
                 root = root[root]
-    child = np.flatnonzero(root != np.arange(len(nodes)))
-    return np.stack([nodes[child], nodes[root[child]]], axis=1)
+    return np.concatenate(kept or [np.zeros((0, 2), nodes.dtype)])
 
 
 def _single_links(left: list, right: list, reach: int):

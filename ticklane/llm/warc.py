@@ -49,7 +49,7 @@ def record_id(*names: str) -> str:
 
 def plain_text(page: str) -> str:
     """Visible text of a page: block elements end lines, white space is single, entities are resolved."""
-    page = _DROP.sub(" ", page)
+    page = _DROP.sub("", page)
     page = _TAG.sub(lambda m: "\n" if (m[2] or "").lower() in BLOCKS else "", page)
     lines = (" ".join(x.split()) for x in entities.unescape(page).split("\n"))
     return "\n".join(x for x in lines if x)
@@ -87,7 +87,7 @@ def derivatives(source: dict) -> list[dict]:
         page = payload.decode(charset, "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
-    bare = _DROP.sub(" ", page)
+    bare = _DROP.sub("", page)
     text = plain_text(page)
     title = _TITLE.search(bare)
     language = _LANG.search(bare)
@@ -135,7 +135,7 @@ def header(name: str):
 def write_warc(records: DataFrame, path: str) -> None:
     """WARC 1.0 files, one a partition; blocks must be UTF-8 (those made here are)."""
     head = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\r\n"))), "")
-    records.select(F.concat(F.lit("WARC/1.0\r\n"), head, F.lit("\r\n"), F.decode("block", "utf-8"), F.lit("\r\n\r\n")).alias("value")).write.option("lineSep", "").text(path)
+    records.select(F.concat(F.lit("WARC/1.0\r\n"), head, F.lit("\r\n"), F.decode("block", "utf-8"), F.lit("\r\n\r")).alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
