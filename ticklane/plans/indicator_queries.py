@@ -78,7 +78,7 @@ indicator("rav", ind.add_rav, ["rav_rel_20"], _rav)
 indicator("vp_div", with_(vp_div_5_5_20=ind.vp_divergence), ["vp_div_5_5_20"], start.add(vp_div_5_5_20=o.VPDIV))
 _ratio = o.add_atr(start).add(atr_ratio=f"atr14 / (({o.sma('atr14', 60)}) + 1e-12)")
 indicator("atr_ratio", lambda df: ind.add_atr_ratio(ind.add_atr(df)), ["atr_ratio"], _ratio)
-indicator("boll_bw_q", lambda df: with_(boll_bw_q=lambda: ind.pct_rank_max("boll_bw2", 120))(with_(boll_bw2=lambda: F.round(ind.bandwidth(), 9))(ind.add_bollinger(df))), ["boll_bw2", "boll_bw_q"],
+indicator("boll_bw_q", lambda df: with_(boll_bw_q=lambda: ind.pct_rank_max("boll_bw2", 120))(with_(boll_bw2=lambda: F.round(ind.bandwidth(), 9))(ind.add_bollinger(df))), ["boll_bw_q"],
           o.add_boll(start).add(boll_bw2="round((boll_up - boll_low) / (boll_mid + 1e-12), 9)").add(boll_bw_q=o.pct_max("boll_bw2", 120)))
 indicator(
     "vol_slope",

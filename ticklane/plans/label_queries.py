@@ -127,8 +127,8 @@ register("topn_hit", lambda s, d: rounded(mt.topfrac_hit(preds(s, d), "pred", "y
          _preds.table("SELECT date, max_by((y > 0)::INT, (pred, -code)) AS hit FROM {t} GROUP BY date").end("SELECT count(*) AS days, round(avg(hit), 6) AS topfrac_hit FROM {t}"))
 _std = lambda x: f"(({x}) - avg({x}) FILTER (WHERE date < DATE '1998-01-01') OVER ()) / coalesce(nullif(stddev_pop({x}) FILTER (WHERE date < DATE '1998-01-01') OVER (), 0), 1)"
 register("standardize", lambda s, d: rounded(mt.standardize(bars(s, d), bars(s, d).where("date < '1998-01-01'"), ["close", "volume"]), ["z_close", "z_volume"]), start.add(z_close=_std("close"), z_volume=_std("volume")).show(["z_close", "z_volume"]))
-register("impute_median", lambda s, d: rounded(mt.impute_median(bars(s, d), bars(s, d).where("date < '1998-01-01'"), ["pb_mrq", "ps_ttm"]), ["pb_mrq", "ps_ttm"], places=4),
-         start.end("SELECT code, date, round(coalesce(pb_mrq, (SELECT median(pb_mrq) FROM bars WHERE date < DATE '1998-01-01')), 4) AS pb_mrq, round(coalesce(ps_ttm, (SELECT median(ps_ttm) FROM bars WHERE date < DATE '1998-01-01')), 4) AS ps_ttm FROM {t}"))
+register("impute_median", lambda s, d: mt.impute_median(bars(s, d), bars(s, d).where("date < '1998-01-01'"), ["pb_mrq", "ps_ttm"]).select("code", "date", "pb_mrq", "ps_ttm"),
+         start.end("SELECT code, date, coalesce(pb_mrq, (SELECT median(pb_mrq) FROM bars WHERE date < DATE '1998-01-01')) AS pb_mrq, coalesce(ps_ttm, (SELECT median(ps_ttm) FROM bars WHERE date < DATE '1998-01-01')) AS ps_ttm FROM {t}"))
 register("feature_matrix", lambda s, d: mt.feature_matrix(bars(s, d), ["close", "pb_mrq", "absent"]).select("code", "date", "close", "pb_mrq", "absent"), start.end("SELECT code, date, close, coalesce(pb_mrq, 0.0) AS pb_mrq, 0.0::DOUBLE AS absent FROM {t}"))
 register("unit_repair", lambda s, d: rounded(mt.unit_repair(bars(s, d), "pct_chg"), ["pct_chg"]), start.end("SELECT code, date, round(CASE WHEN (SELECT max(abs(pct_chg)) FROM bars) > 1.5 THEN pct_chg / 100 ELSE pct_chg END, 6) AS pct_chg FROM {t}"))
 def _sanitized(s: SparkSession, d: str) -> DataFrame:
