@@ -17,7 +17,7 @@ PLACES = 9
 def cs_rank(x: str) -> Column:
     """Percentile rank among a date's codes: average of ties, null stays null."""
     by_value = F.rank().over(wd().orderBy(c(x).asc_nulls_last()))
-    ties = F.count(c(x)).over(W.partitionBy("date", x))
+    ties = F.count(c(x)).over(wd().orderBy(c(x).asc_nulls_last()).rangeBetween(W.currentRow, W.currentRow))  # peers: the same sort
     return F.when(c(x).isNotNull(), (by_value + (ties - 1) / F.lit(2.0)) / F.count(c(x)).over(wd()))
 
 
