@@ -50,8 +50,10 @@ def _webster(df: DataFrame, key: list[str], share: str, seats: str, most: str, t
     step = df.withColumn("_j", F.explode(F.when(F.col("_off") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_listed")))))
     rise = F.when((F.col("_off") > 0) & (F.col("_base") + F.col("_j") < F.col(most)) & (F.col(share) > 0), (F.col("_base") + F.col("_j") + 0.5) / F.col(share))
     fall = F.when((F.col("_off") < 0) & (F.col("_base") - F.col("_j") > 0) & (F.col(share) > 0), (F.col("_j") + 0.5 - F.col("_base")) / F.col(share))
-    step = step.withColumn("_sign", F.coalesce(rise, fall))
-    step = step.withColumn("_place", F.row_number().over(every.orderBy(F.col("_sign").asc_nulls_last(), *tie, "_j")))
+    step = step.withColumn("_sign", F.round(F.coalesce(rise, fall), 12))  # equal quotients are equal whatever their last bit
+    # of equal quotients the first by tie is given a seat first and loses one last
+    ties = [k for t in tie for k in (F.when(F.col("_off") > 0, F.col(t)).asc_nulls_last(), F.when(F.col("_off") < 0, F.col(t)).desc_nulls_first())]
+    step = step.withColumn("_place", F.row_number().over(every.orderBy(F.col("_sign").asc_nulls_last(), *ties, "_j")))
     step = step.withColumn("_won", (F.col("_sign").isNotNull() & (F.col("_place") <= F.abs("_off"))).cast("long"))
     out = step.groupBy(*rows).agg(F.sum("_won").alias("_won"))
     return out.withColumn("quota", F.col("_base") + F.signum("_off").cast("long") * F.col("_won")).drop("_base", "_off", "_won")

@@ -111,6 +111,33 @@ FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r) WHERE w.kind = 0
 """
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s0),
+s2 AS (SELECT *, 3 * source_size / w AS fill, CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+              sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY 3 * source_size / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM s1),
+lv AS (SELECT fill AS f, k AS fk, rest, open FROM s2 WHERE fill > rest / open ORDER BY fill, k LIMIT 1),
+s3 AS (SELECT s2.source, source_size, n, k, CASE WHEN lv.f IS NULL OR (s2.fill, s2.k) < (lv.f, lv.fk) THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(lv.rest AS DOUBLE) * w / lv.open END AS target FROM s2 LEFT JOIN lv ON true),
+q1 AS (SELECT source, k, unnest(range(0, CASE WHEN source_size > 0 THEN greatest(3 * source_size // 8, 1) ELSE 0 END)) AS j, target FROM s3),
+q2 AS (SELECT source, row_number() OVER (ORDER BY round((j + 0.5) / target, 12), k, j) AS place FROM q1 WHERE target > 0),
+q3 AS (SELECT source, count(*) AS seats FROM q2 WHERE place <= (SELECT ceil(sum(target) / 8) FROM s3) GROUP BY source),
+h0 AS (SELECT d.*, s3.source_size, s3.target, s3.k, md5(concat_ws('|', 'mix-1', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS draw, CAST(ceil(n / 20000) AS BIGINT) AS shards FROM d JOIN s3 ON d.source IS NOT DISTINCT FROM s3.source),
+h1 AS (SELECT *, CAST('0x' || substr(draw, 1, 8) AS BIGINT) % shards AS shard FROM h0),
+b0 AS (SELECT source, k, shard, CAST(sum(size) AS BIGINT) AS words, CAST(ceil(sum(size) / 8) AS BIGINT) AS blocks FROM h1 GROUP BY 1, 2, 3),
+b1 AS (SELECT k, shard, words, unnest(range(0, 3 * blocks)) AS j FROM b0),
+b2 AS (SELECT k, shard, row_number() OVER (PARTITION BY k ORDER BY round((j + 0.5) / words, 12), shard, j) AS place FROM b1 WHERE words > 0),
+b3 AS (SELECT b2.k, shard, count(*) AS quota FROM b2 JOIN s3 USING (k) JOIN q3 ON s3.source IS NOT DISTINCT FROM q3.source WHERE place <= seats GROUP BY 1, 2),
+b4 AS (SELECT b0.k, b0.shard, greatest(blocks, 1) AS blocks, coalesce(quota, 0) AS quota, CAST('0x' || substr(md5(concat_ws('|', 'mix-1', source, CAST(b0.shard AS VARCHAR))), 1, 8) AS BIGINT) % greatest(blocks, 1) AS phase FROM b0 LEFT JOIN b3 USING (k, shard)),
+l AS (SELECT h1.*, sum(size) OVER (PARTITION BY k, shard ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS e FROM h1),
+m AS (SELECT l.*, e::BIGINT AS z, (e - size)::BIGINT AS a, blocks, quota, phase FROM l JOIN b4 USING (k, shard))
+SELECT doc_id, size, source_size, target, CAST(
+    ((z // 8 * quota + phase) // blocks) * 8 + (z % 8) * (((z // 8 + 1) * quota + phase) // blocks - (z // 8 * quota + phase) // blocks)
+  - ((a // 8 * quota + phase) // blocks) * 8 - (a % 8) * (((a // 8 + 1) * quota + phase) // blocks - (a // 8 * quota + phase) // blocks) AS BIGINT) AS taken
+FROM m
+"""
+
+
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
@@ -127,4 +154,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontamination": OP2_SQL, "op10_chat": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_mixing": OP7_SQL, "op10_chat": OP10_SQL}
