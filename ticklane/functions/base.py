@@ -68,6 +68,11 @@ def finite(x) -> Column:
     return F.when(~(F.isnan(x) | (F.abs(x) == F.lit(float("inf")))), x)
 
 
+def near(x, places: int = 9) -> Column:
+    """x to so many places, in plain double arithmetic (round() goes through decimals): float noise makes no ranks."""
+    return F.rint(c(x) * 10.0**places) / 10.0**places
+
+
 def sma(x, n: int) -> Column:
     return full(x, n, F.avg(c(x)).over(wr(n)))
 

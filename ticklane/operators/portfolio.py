@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklane import config as cf
-from ticklane.functions.base import lead, wd
+from ticklane.functions.base import lead, near, wd
 from ticklane.operators import signals as sg
 
 _EVENTS = (
@@ -132,7 +132,7 @@ def ranked_days(factors: DataFrame, p: cf.Portfolio) -> DataFrame:
     top = sg.add_exposure(every.withColumn("place", F.row_number().over(wd().orderBy(*sg.eligible_order()))).where(F.col("place") <= p.top_n), p)
     days = factors.groupBy("date").agg(F.min("next_date").alias("day_next")).join(counts, "date", "left").join(top.groupBy("date").agg(F.first("target_exposure").alias("day_exposure")), "date", "left")
     days = days.fillna({"day_candidates": 0, "day_exposure": p.min_total_exposure})
-    rank = F.row_number().over(wd().orderBy(F.round("multifactor_score", 9).desc_nulls_last(), "code"))
+    rank = F.row_number().over(wd().orderBy(near("multifactor_score").desc_nulls_last(), "code"))
     rows = factors.withColumns({"rank_today": rank.cast("double"), "stop": sg.stop_for_row(), "strategy": sg.choose_strategy(), "signal": (F.col("s1_entry") + F.col("s2_entry") + F.col("s3_long_entry")) > 0})
     rows = rows.select("code", "date", *_READ, "rank_today", "stop", "strategy", "signal", "next_open", "composite_reason")
     places = top.select("date", "code", F.col("place").cast("double").alias("place"), "strategy_score")

@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 
 from ticklane import config as cf
 from ticklane.functions import indicators as ind
-from ticklane.functions.base import b, c, clip, div, lag, rolling_max, wd
-
-#: Digits to which values are rounded before they are ranked, so that float noise makes no ranks.
-PLACES = 9
+from ticklane.functions.base import b, c, clip, div, lag, near, rolling_max, wd
 
 
 def cs_rank(x: str) -> Column:
@@ -48,7 +45,7 @@ def market_state(panel: DataFrame, cfg: cf.Config = cf.DEFAULT, bucket: bool = F
         panel = panel.withColumn("bucket_id", F.lit(0))
     days = panel.groupBy("date", "bucket_id").agg(F.median("adx14").alias("idx_adx14"), F.median("boll_bw").alias("idx_bw"))
     line = W.partitionBy("bucket_id").orderBy("date").rowsBetween(-(g.bw_window - 1), 0)
-    x = F.round("idx_bw", PLACES)
+    x = near("idx_bw")
     values = F.collect_list(x).over(line)
     rank = (F.size(F.filter(values, lambda v: v < x)) + (F.size(F.filter(values, lambda v: v == x)) + 1) / F.lit(2.0)) / F.size(values)
     days = days.withColumn("idx_bw_q", F.when(F.count("idx_bw").over(line) == g.bw_window, rank))
@@ -79,7 +76,7 @@ def add_s1(df: DataFrame, cfg: cf.Config = cf.DEFAULT) -> DataFrame:
 def add_s2(df: DataFrame, cfg: cf.Config = cf.DEFAULT) -> DataFrame:
     """Breakout from a squeeze of the bands."""
     s = cfg.s2
-    df = df.withColumn("_bw", F.round("boll_bw", PLACES)).withColumn("bw_q", ind.pct_rank_avg("_bw", s.bw_quantile_window))
+    df = df.withColumn("_bw", near("boll_bw")).withColumn("bw_q", ind.pct_rank_avg("_bw", s.bw_quantile_window))
     hit = (F.col("bw_q") <= s.bw_quantile) & (F.col("close") > F.col("boll_up")) & (F.col("adx14") > lag("adx14"))
     if s.obv_confirm:
         hit = hit & _obv_high(cfg.s1.obv_lookback)
@@ -210,7 +207,7 @@ def add_raw_factors(df: DataFrame) -> DataFrame:
 
 def add_factor_scores(df: DataFrame) -> DataFrame:
     """Percentile of each raw factor on its day, 50 where there is none."""
-    df = df.withColumns({f"_{f}": F.round(F.col(f"{f}_raw"), PLACES) for f in cf.FACTORS})
+    df = df.withColumns({f"_{f}": near(f"{f}_raw") for f in cf.FACTORS})
     df = df.withColumns({f"{f}_score": F.coalesce(cs_rank(f"_{f}"), F.lit(0.5)) * 100 for f in cf.FACTORS})
     return df.drop(*[f"_{f}" for f in cf.FACTORS])
 
