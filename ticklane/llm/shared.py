@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 ASCII_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Words as the token contracts define them: maximal runs of anything but ASCII white space.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch.
 BATCH_ROWS = 512
 
