@@ -300,6 +300,13 @@ def test_keep_one_of_each_group(spark):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "9", "None"]
 
 
+def test_keep_one_of_groups_whose_ids_are_null_or_repeated(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(200))
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (None, text("c")), (5, text("d")), (5, text("e")), (7, text("e")), (9, text("e") + " end"), (None, text("e"))]
+    kept = sorted((str(r.doc_id), r.text[0]) for r in simhash.keep_one(docs(spark, rows)).collect())
+    assert kept == [("5", "d"), ("5", "e"), ("None", "a"), ("None", "b"), ("None", "c")]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + k) for k in range(1, 40)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}

@@ -172,19 +172,20 @@ def classes(docs: DataFrame, segments: int = SEGMENTS, reach: int = REACH, width
 
 
 def _classes(each: DataFrame, scratch: Scratch, segments: int, reach: int, block: int) -> DataFrame:
+    """each with root (a component's least fingerprint, its own alone) and component_id (its least id, which may be null or repeated)."""
     prints = scratch.cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(prints.select("fp"), scratch, segments, reach, block), scratch)
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.cut(rooted.join(names, "root").select(F.col("fp").alias("_fp"), "component_id"))
+    named = scratch.cut(rooted.join(names, "root").select(F.col("fp").alias("_fp"), "root", "component_id"))
     return each.join(named, each["fp"] == named["_fp"]).drop("_fp")
 
 
 def keep_one(docs: DataFrame, segments: int = SEGMENTS, reach: int = REACH, width: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """Rows of docs, all columns as they are: one document of each group, the one with the smallest doc_id.
 
-    Groups are found on numbers alone; whole rows move once, to meet the ids that stay.  Of several rows with that id the
-    text with the least hash stays, of equal rows any one.
+    Groups are found on numbers alone and told apart by their root, since ids may be null or repeated; whole rows move
+    once, to meet the ids that stay.  Of several rows with that id the text with the least hash stays, of equal rows any one.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     columns = docs.columns
@@ -198,7 +199,7 @@ def keep_one(docs: DataFrame, segments: int = SEGMENTS, reach: int = REACH, widt
 
     each = scratch.cut(map_batches(docs.select("doc_id", "text", whole.alias("whole")), printed, f"doc_id {kind}, fp long, whole long"))
     named = _classes(each, scratch, segments, reach, block)
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")).alias("first"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")).alias("first"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     chosen = scratch.cut(first.select(name(F.col("first.doc_id")).alias("_name"), F.col("first.whole").alias("_whole")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), name(F.col("doc_id")).alias("_name"), whole.alias("_whole"))
