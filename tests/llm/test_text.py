@@ -349,6 +349,26 @@ def test_token_counts_equal_greedy(spark):
     assert set(want) <= set(got) and len(got) == len(texts)
 
 
+def test_words_that_only_the_bare_begin_mark_begins(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokencount.default_vocabulary())
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+
+    def marked(word):
+        word, i, n = "▁" + word, 0, 0
+        while i < len(word):
+            i, n = next((j for j in range(len(word), i, -1) if word[i:j] in pieces), None), n + 1
+            if i is None:
+                return 0
+        return n
+
+    words = ["2024", "3rd", "ça", "ßa", "ãb", "Ωμέγα", "مرحبا", "日本", "中国人", "hello", "house", "zzz9", "2024😀"]
+    assert "▁" in pieces and marked("2024") == 5 and marked("日本") == 3 and marked("2024\ue000") == 0
+    got = {r.doc_id: (r.n_tokens, r.n_unknown) for r in tokencount.token_counts(docs(spark, list(enumerate([*words, "2024\ue000"])))).collect()}
+    assert got == {i: (marked(w) or 1, not marked(w)) for i, w in enumerate([*words, "2024\ue000"])}
+
+
 # ---- WARC ----------------------------------------------------------------------------------------------------------------
 
 

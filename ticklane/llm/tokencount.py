@@ -1,6 +1,7 @@
 """Token counts: greedy longest-match word pieces counted by a linear automaton, without building pieces.
 
-A vocabulary has pieces that begin a word and pieces that continue one; each kind is a trie.  Every node has a failure link
+A vocabulary has pieces that begin a word and pieces that continue one; each kind is a trie.  An empty piece among those that
+begin words is the bare mark of a word's begin: a token of its own where no longer piece begins the word.  Every node has a failure link
 (where matching goes on when the next letter has no edge) and the number of pieces that are settled on the way there, both
 precomputed, so a word is counted in time linear in its length however long its pieces are.
 
@@ -32,7 +33,7 @@ def load_pieces(path: str) -> tuple[list[str], list[str]]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        return [p[1:] for p in plain if p[0] == "▁" and len(p) > 1], [p for p in plain if "▁" not in p]
+        return [p[1:] for p in plain if p[0] == "▁"], [p for p in plain if "▁" not in p]
     with open(path, encoding="utf-8") as lines:
         plain = [x.rstrip("\r\n") for x in lines]
     return [p for p in plain if p and not p.startswith("##")], [p[2:] for p in plain if p.startswith("##") and len(p) > 2]
@@ -67,6 +68,8 @@ class Automaton:
         for node in range(2, len(final)):
             out[parent[node][0]].append(node)
         fail, popped = [-1] * len(final), [0] * len(final)
+        if final[0]:
+            fail[0], popped[0] = 1, 1
         queue = deque([*out[0], *out[1]])
         while queue:  # nearer the root first: a link leads to a node that is done
             node = queue.popleft()
