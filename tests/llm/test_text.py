@@ -420,6 +420,34 @@ def test_edited_and_cropped_copies_share_a_class(spark):
     assert got[900] == [900] and got[901] == [901] and got[902] == [902] and got[904] == [903] and got[None] == [0]
 
 
+@pytest.mark.parametrize("how", [{}, {"block": 3}])
+def test_image_classes_equal_those_of_all_pairs(spark, monkeypatch, how):
+    rng = np.random.default_rng(4)
+    pool, at = rng.integers(0, 256, (40, images.BITS // 8), dtype=np.uint8), rng.uniform(0, 400, (40, 2))
+    made = {}
+    for k in range(60):  # corners drawn from a pool, so that most entries have several images and third ones as heads
+        own = rng.choice(40, 7, replace=False)
+        geometry = np.column_stack([at[own] + rng.uniform(0, 50, 2), np.ones(7), np.zeros(7)]).astype(np.float32)
+        made[b"%d" % k] = pool[own], geometry
+    keys = {k: images.parts(d) + (np.arange(images.TABLES, dtype=np.int64) << images.CHUNK) for k, (d, _) in made.items()}
+
+    def fake(rows, scratch):
+        found = [(r.img, made[bytes(r.image)][0].tobytes(), made[bytes(r.image)][1].tobytes(), keys[bytes(r.image)].ravel().tolist()) for r in rows.collect()]
+        return spark.createDataFrame(found, "img long, descriptors binary, geometry binary, keys array<long>")
+
+    root = {k: k for k in made}
+    for x in made:
+        for y in made:
+            pairs = np.argwhere((keys[x][:, None, :] == keys[y][None, :, :]).any(axis=2))
+            if x < y and images.consensus(*made[x], *made[y], pairs) >= images.INLIERS:
+                old, new = root[x], root[y]
+                root = {k: new if r == old else r for k, r in root.items()}
+    want = {int(k): min(int(j) for j in made if root[j] == root[k]) for k in made}
+    monkeypatch.setattr(images, "feature_table", fake)
+    got = images.classes(spark.createDataFrame([(int(k), bytearray(k)) for k in made], "image_id long, image binary"), **how)
+    assert {r.image_id: r.class_id for r in got.collect()} == want and 5 < len(set(want.values())) < 50
+
+
 def test_images_of_an_empty_table(spark):
     assert images.classes(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 

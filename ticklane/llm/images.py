@@ -7,8 +7,9 @@ are a possible match, and images with enough possible matches are joined with th
 descriptor vote for a scale, a turn and a shift, and ``INLIERS`` votes that agree make a link.  Classes are components.
 
 First every image is only compared with the least image of each entry, which finds large groups of copies in linear work;
-then, in each entry, one image of each class found so far is compared with those of the other classes.  No group is
-expanded into all pairs of its copies.
+then all images that share an entry and are still in different classes are compared, with the matches of all their entries.
+So the classes are those of all pairs, and no class found at first is expanded into the pairs of its copies.  Entries of
+many images are dealt to blocks of about ``BLOCK``, and pairs of blocks meet in their own tasks.
 
 Defined cases: a null, empty or malformed image, and one too small or too flat for corners, has no features and is a class of
 its own with its exact copies (nulls are no copies of one another); null ids are never a class's name; repeated rows share a
@@ -35,6 +36,8 @@ CORNERS = (36, 12)
 #: Bits of a match's descriptors that may differ; matches that must agree; tolerance of their shifts in pixels.
 REACH, INLIERS, SLACK = 48, 4, 4.0
 TURNS = 32
+#: Images of a table entry that meet in one task.
+BLOCK = 512
 
 
 def _pattern(seed: int = 7) -> np.ndarray:
@@ -170,7 +173,17 @@ def _linked(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return map_batches(whole, checked, "a long, b long")
 
 
-def classes(images: DataFrame, key: str = "image_id", column: str = "image") -> DataFrame:
+def _between(named: DataFrame, block: int) -> DataFrame:
+    """a, i, b, j: every possible match, in the entries (entry, img, i, root), of two images of different classes."""
+    mixed = named.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("z"), F.ceil(F.count(F.lit(1)) / block).alias("parts")).where("x <> z").select("entry", "parts")
+    rows = named.join(mixed, "entry").withColumn("own", F.pmod(F.xxhash64("img"), "parts"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = rows.select("entry", F.col("own").alias("part"), each.alias("other"), "root", F.col("img").alias("a"), "i")
+    right = rows.select("entry", each.alias("part"), F.col("own").alias("other"), F.col("root").alias("root2"), F.col("img").alias("b"), F.col("i").alias("j"))
+    return left.join(right, ["entry", "part", "other"]).where(F.col("root") < F.col("root2")).select("a", "i", "b", "j")
+
+
+def classes(images: DataFrame, key: str = "image_id", column: str = "image", block: int = BLOCK) -> DataFrame:
     """key, class_id of every row: the least key of the images that are copies of one another, cropped or edited."""
     scratch = Scratch(images.sparkSession, "images")
     rows = images.select(F.col(key).cast("long").alias("id"), F.col(column).alias("image"))
@@ -188,12 +201,7 @@ def classes(images: DataFrame, key: str = "image_id", column: str = "image") ->
     found = scratch.cut(_linked(pairs, table))
     roots = components(found, scratch)
     named = entries.join(roots, entries["img"] == roots["node"], "left").select("entry", "img", "i", F.coalesce("root", "img").alias("root"))
-    ones = named.groupBy("entry", "root").agg(F.min(F.struct("img", "i")).alias("m")).select("entry", "root", F.col("m.img").alias("img"), F.col("m.i").alias("i"))
-    ones = scratch.cut(ones)
-    # an entry's least image has met all others; what is left meets here, one of each class
-    rest = ones.join(entries.select("entry", F.col("a").alias("head")).distinct(), "entry").where(F.col("img") != F.col("head")).drop("head")
-    other = rest.select("entry", F.col("root").alias("root2"), F.col("img").alias("b"), F.col("i").alias("j"))
-    more = rest.withColumnRenamed("img", "a").join(other, "entry").where(F.col("root") < F.col("root2")).select("a", "i", "b", "j")
+    more = _between(scratch.cut(named), block)
     links = scratch.cut(found.unionByName(_linked(more, table)))
     roots = components(links, scratch)
     joined = distinct.join(roots, distinct["img"] == roots["node"], "left").select("digest", "least", F.coalesce("root", "img").alias("root"))
