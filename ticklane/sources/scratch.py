@@ -9,13 +9,45 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under spark.checkpoint.dir; under a temporary folder where that is unset, as in tests."""
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder ``spark.checkpoint.dir``.
+
+    Where it is unset a local master gets a temporary folder of its own; a cluster raises, since its executors would each
+    write to a disk that the others do not see.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="ticklane-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
         root = f"file://{own}"
-    return f"{root.rstrip('/')}/ticklane/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path under the shared folder; what is left there when the driver's Python ends in order is deleted."""
+    path = f"{scratch_root(spark)}/ticklane/{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_leave)
+    _made.append((spark, path))
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in any store that Spark writes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _leave() -> None:
+    for spark, path in _made:
+        try:
+            delete_path(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone; files stay as after a crash
+            return
