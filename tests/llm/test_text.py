@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from ticklane.llm import decontam, gbt, images, quality, queries, simhash, tokencount, toxicity, warc
 from ticklane.llm.components import components
-from ticklane.llm.shared import Scratch
+from ticklane.llm.shared import Scratch, join_totals, slices
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int"
 
@@ -314,6 +314,55 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_one_table_entry_of_many_prints(spark):
+    """20,000 fingerprints share a segment's value: its blocks meet in tasks of their own, and links equal brute force."""
+    rng = np.random.default_rng(8)
+    prints = (rng.integers(0, 2**42, 20_000).astype(np.uint64) << np.uint64(22)) | np.uint64(77)
+    prints[:300] = prints[300:600] ^ (np.uint64(1) << rng.integers(22, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(22, 64, 300).astype(np.uint64))
+    prints = np.unique(prints)
+    near = {tuple(sorted((int(prints[low + i].view(np.int64)), int(prints[j].view(np.int64))))) for low in range(0, len(prints), 2000) for i, j in zip(*np.nonzero(np.bitwise_count(prints[low : low + 2000, None] ^ prints[None, :]) <= 4), strict=True) if low + i != j}
+    df = spark.createDataFrame([(x,) for x in prints.view(np.int64).tolist()], "fp long")
+    found = {tuple(sorted((r.a, r.b))) for r in simhash.links(df, Scratch(spark, "t")).collect()}
+    assert found <= near and len(near) >= 290
+    got = {r.node: r.root for r in components(spark.createDataFrame(sorted(found), "a long, b long"), Scratch(spark, "t")).collect()}
+    assert all(got[a] == got[b] for a, b in near)
+
+
+def test_joins_with_totals_of_hot_keys(spark):
+    rows = [(1, i) for i in range(2_000)] + [(2 + i % 900, i) for i in range(3_000)] + [(7_777, 1)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    totals = df.where("k <> 7777").groupBy("k").agg(F.max("v").alias("top"), F.count(F.lit(1)).alias("n"))
+    want = collections.defaultdict(list)
+    for k, v in rows:
+        want[k].append(v)
+    got = join_totals(df, totals, ["k"], "n", len(rows)).collect()
+    assert sorted((r.k, r.v, r.top, r.n) for r in got) == sorted((k, v, max(want[k]), len(want[k])) for k, v in rows if k != 7_777)
+
+
+def test_slices_bound_rows_and_bytes():
+    import pyarrow as pa
+
+    sizes = [0, 5, 9 << 20, 1, 4 << 20, 4 << 20, 1, *[2] * 1_100]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([None if not n else "x" * n for n in sizes])], names=["i", "t"])
+    parts = list(slices(batch))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == list(range(len(sizes)))
+    assert all(p.num_rows == 1 or p.num_rows <= 512 and sum(len(t or "") for t in p.column(1).to_pylist()) <= 8 << 20 for p in parts)
+    assert not list(slices(batch.slice(0, 0)))
+
+
+def test_settle_keeps_one_table(spark, tmp_path):
+    from pathlib import Path
+
+    scratch, inner = Scratch(spark, "outer"), []
+
+    def make():
+        inner.append(Scratch(spark, "inner"))
+        return inner[0].cut(spark.range(5)).where("id > 1")
+
+    out = scratch.settle(make)
+    assert out.count() == 3 and not Path(inner[0].base.removeprefix("file://")).exists()
+
+
 # ---- token counts --------------------------------------------------------------------------------------------------------
 
 

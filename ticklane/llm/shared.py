@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticklane.sources.scratch import delete_path, scratch_path
+
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 ASCII_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Rows of an Arrow batch.
-BATCH_ROWS = 512
-
+#: Rows, and bytes of texts, that Python works on at a time; a single longer text is worked on alone.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+#: A key with over one in so many rows is hot; there are fewer hot keys than this.
+HOT_SHARE = 500
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared scratch folder: ``spark.checkpoint.dir`` of the session, a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        own = tempfile.mkdtemp(prefix="ticklane-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{own}")
-        root = f"file://{own}"
-    return root.rstrip("/")
+_open: list[str] = []
 
 
 class Scratch:
@@ -34,8 +27,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.base = f"{scratch_root(spark)}/ticklane/{label}-{uuid.uuid4().hex}"
+        self.base = scratch_path(spark, label)
         self.count = 0
+        _open.append(self.base)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write df and return a scan of what was written."""
@@ -51,8 +45,32 @@ class Scratch:
         """Delete a table that cut() wrote and nothing reads any more."""
         path = getattr(df, "_ticklane_path", None)
         if path:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            delete_path(self.spark, path)
+
+    def settle(self, make) -> DataFrame:
+        """cut(make()), then delete every scratch folder that was opened to make it."""
+        before = len(_open)
+        out = self.cut(make())
+        for path in _open[before:]:
+            if path != self.base:
+                delete_path(self.spark, path)
+        del _open[before:]
+        return out
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], size: str, count: int) -> DataFrame:
+    """rows joined, inner, with totals: one row a key, whose column ``size`` says how many of the ``count`` rows have the key.
+
+    Hot keys, of which there are fewer than HOT_SHARE, are broadcast and their rows spread, so no key gathers in a task.
+    """
+    more = [c for c in totals.columns if c not in keys]
+    found = F.struct(*more)
+    hot = F.broadcast(totals.where(F.col(size) * HOT_SHARE > count).select(*keys, found.alias("_hot")))
+    cold = totals.where(F.col(size) * HOT_SHARE <= count).select(*keys, F.lit(0).alias("_spread"), found.alias("_cold"))
+    marked = rows.join(hot, keys, "left")
+    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(10_000)).cast("int") + 1)
+    out = marked.withColumn("_spread", spread).join(cold, [*keys, "_spread"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    return out.where(F.col("_found").isNotNull()).select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in more])
 
 
 def word_count(text: Column) -> Column:
@@ -79,10 +97,22 @@ def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of BATCH_ROWS rows and about BATCH_BYTES bytes of strings at most; an empty one gives nothing."""
+    weight = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            weight += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(weight)
+    low = 0
+    while low < batch.num_rows:
+        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BATCH_BYTES, side="right"))
+        high = min(max(high, low + 1), low + BATCH_ROWS, batch.num_rows)
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow in batches of BATCH_ROWS rows: whole texts pass through Python, so Spark's default of 10,000 rows would
-    take hundreds of MB a task. A setting that the session has made itself stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, BATCH_ROWS)
-    return df.mapInArrow(function, schema)
+    """mapInArrow whose function gets small batches: the session says how large those are that Spark sends (64 MB unless it is
+    told otherwise), and slices() bounds what a function turns into Python objects at a time."""
+    return df.mapInArrow(lambda batches: function(part for batch in batches for part in slices(batch)), schema)

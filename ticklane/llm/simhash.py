@@ -8,8 +8,10 @@ own value (only those with a bit set that it lacks: of two values that differ in
 are verified on the whole fingerprint.
 
 Where a table entry holds many fingerprints, its members and its visitors are dealt to blocks of about ``BLOCK``, and pairs
-of blocks are compared in their own tasks, so no group is gathered whole; a pair of blocks returns a spanning forest of its
-links, not all pairs, which keeps every component and bounds what is written.  Components come from components().
+of blocks are named by numbers, joined with either end by that block's own key and compared in tasks of their own, so no group
+is gathered whole; a pair of blocks returns a spanning forest of its links, not all pairs, which keeps every component and
+bounds what is written.  Components come from components().  Joins with a total of a group leave a hot group's rows where they
+are (join_totals).
 
 Defined cases: a null or empty text has no words and fingerprint zero, which links like any other; fewer words than a
 shingle are one shingle; rows with a null doc_id are linked but never name a component (null if all ids are null); repeated
@@ -25,11 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklane.llm.components import components
-from ticklane.llm.shared import ASCII_LOWER, Scratch, map_batches, text_bytes
+from ticklane.llm.shared import ASCII_LOWER, Scratch, join_totals, map_batches, text_bytes
 
 SHINGLE = 4
 REACH = 4
@@ -142,68 +143,92 @@ def _single_links(left: list, right: list, reach: int):
 
 
 def links(prints: DataFrame, scratch: Scratch, segments: int = SEGMENTS, reach: int = REACH, block: int = BLOCK) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that differ in at most reach bits; enough of them for every component."""
-    table = filed(prints, segments, reach).withColumn("side", F.lit(0))
-    found = visits(prints, segments, reach).join(filed(prints, segments, reach).select("seg", "key").distinct(), ["seg", "key"], "left_semi").withColumn("side", F.lit(1))
-    rows = scratch.cut(table.unionByName(found))
-    counts = rows.groupBy("seg", "key").agg(F.sum(1 - F.col("side")).alias("members"), F.sum("side").alias("guests")).where(F.col("members") + F.col("guests") > 1)
-    rows = rows.join(counts, ["seg", "key"])
+    """a, b: links between distinct fingerprints (column fp) that differ in at most reach bits.
+
+    All links of small entries and a spanning forest of those of each larger pair of blocks: enough for every component.
+    """
+    own = filed(prints, segments, reach)
+    found = visits(prints, segments, reach).join(own.select("seg", "key").distinct(), ["seg", "key"], "left_semi").withColumn("side", F.lit(1))
+    rows = scratch.cut(own.withColumn("side", F.lit(0)).unionByName(found))
+    counts = rows.groupBy("seg", "key").agg(F.sum(1 - F.col("side")).alias("members"), F.sum("side").alias("guests"), F.count(F.lit(1)).alias("n"))
+    rows = scratch.cut(join_totals(rows, counts.where("n > 1 AND members > 0"), ["seg", "key"], "n", rows.count()).drop("n"))
+    large = (F.col("members") > block) | (F.col("guests") > block)
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("fp")))
+    light = rows.where(~large).groupBy("seg", "key").agg(of(0).alias("fps"), of(1).alias("fps2")).select("fps", F.concat("fps", "fps2").alias("fps2"))
+
     size = F.when(F.col("side") == 0, F.col("members")).otherwise(F.col("guests"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(size / block)).cast("int"))
-    blocks = scratch.cut(rows.groupBy("seg", "key", "side", "part").agg(F.collect_list("fp").alias("fps")))
-    members = blocks.where("side = 0").select("seg", "key", "part", "fps")
-    others = blocks.select("seg", "key", "side", F.col("part").alias("other"), F.col("fps").alias("fps2"))
-    pairs = members.join(others, ["seg", "key"]).where((F.col("side") == 1) | (F.col("part") < F.col("other")) | (F.col("part") == F.col("other")) & (F.size("fps") > 1)).select("fps", "fps2")
+    dealt = rows.where(large).withColumns({"part": F.pmod(F.xxhash64("fp"), F.ceil(size / block)).cast("int"), "own": F.ceil(F.col("members") / block).cast("int"), "far": F.ceil(F.col("guests") / block).cast("int")})
+    blocks = scratch.cut(dealt.groupBy("seg", "key", "side", "part").agg(F.collect_list("fp").alias("fps"), F.first("own").alias("own"), F.first("far").alias("far")))
+    members = blocks.where("side = 0")
+    many = lambda low, high, side: F.when(low < high, F.transform(F.sequence(low, high - 1), lambda x: F.struct(F.lit(side).alias("side"), x.alias("other")))).otherwise(F.array().cast("array<struct<side:int,other:int>>"))
+    # which block meets which is said in numbers first; each end is then joined by a key of its own
+    meets = members.select("seg", "key", "part", F.explode(F.concat(many(F.col("part"), F.col("own"), 0), many(F.lit(0), F.col("far"), 1))).alias("t")).select("seg", "key", "part", "t.side", "t.other")
+    heavy = meets.join(blocks.select("seg", "key", "side", F.col("part").alias("other"), F.col("fps").alias("fps2")), ["seg", "key", "side", "other"])
+    heavy = heavy.join(members.select("seg", "key", "part", "fps"), ["seg", "key", "part"]).select("fps", "fps2")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = _single_links(batch.column(0).to_pylist(), batch.column(1).to_pylist(), reach)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    out = map_batches(pairs, linked, "a long, b long")
+    out = map_batches(light.unionByName(heavy), linked, "a long, b long")
     return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, segments: int = SEGMENTS, reach: int = REACH, width: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, segments: int | None = None, reach: int = REACH, width: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "simhash")
     each = scratch.cut(fingerprints(docs, width, seed))
     return _classes(each, scratch, segments, reach, block).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _classes(each: DataFrame, scratch: Scratch, segments: int, reach: int, block: int) -> DataFrame:
+def segments_for(prints: int, block: int = BLOCK) -> int:
+    """How many segments to cut so many distinct fingerprints into: three while a table entry holds a block of them at most on
+    average, then two, with longer keys and larger balls.  Links are the same with any number."""
+    return SEGMENTS if prints <= block << (64 // SEGMENTS) else 2
+
+
+def _classes(each: DataFrame, scratch: Scratch, segments: int | None, reach: int, block: int) -> DataFrame:
     """each with root (a component's least fingerprint, its own alone) and component_id (its least id, which may be null or repeated)."""
-    prints = scratch.cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(prints.select("fp"), scratch, segments, reach, block), scratch)
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.cut(rooted.join(names, "root").select(F.col("fp").alias("_fp"), "root", "component_id"))
-    return each.join(named, each["fp"] == named["_fp"]).drop("_fp")
+    prints = scratch.cut(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    rows, distinct = prints.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+    roots = components(links(prints.select("fp"), scratch, segments or segments_for(distinct, block), reach, block), scratch)
+    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    named = scratch.cut(join_totals(rooted.select("fp", "rows", "root"), names, ["root"], "prints", distinct).drop("prints"))
+    return join_totals(each, named, ["fp"], "rows", rows).drop("rows")
+
+
+def _placed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, list]:
+    """docs as a scan of files, and the columns (a hash of its file, its number there) that tell each row from any other."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = scratch.cut(docs)
+    place = docs.metadataColumn("_metadata")
+    return docs, [F.xxhash64(place["file_path"]).alias("_file"), place["row_index"].alias("_line")]
 
 
-def keep_one(docs: DataFrame, segments: int = SEGMENTS, reach: int = REACH, width: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, segments: int | None = None, reach: int = REACH, width: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """Rows of docs, all columns as they are: one document of each group, the one with the smallest doc_id.
 
-    Groups are found on numbers alone and told apart by their root, since ids may be null or repeated; whole rows move
-    once, to meet the ids that stay.  Of several rows with that id the text with the least hash stays, of equal rows any one.
+    Groups are found and survivors chosen on numbers alone; a row is known by its file and its number there, since ids may
+    be null or repeated.  Whole rows move once, to meet the survivors' numbers in a hash join, and are never sorted.  Of
+    several rows with the least id the text with the least hash stays, of equal texts the first by place; null ids come last.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    columns = docs.columns
+    docs, place = _placed(docs, scratch)
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", "whole", "_file", "_line"])
 
-    each = scratch.cut(map_batches(docs.select("doc_id", "text", whole.alias("whole")), printed, f"doc_id {kind}, fp long, whole long"))
+    rows = docs.select("doc_id", "text", whole.alias("whole"), *place)
+    each = scratch.cut(map_batches(rows, printed, f"doc_id {kind}, fp long, whole long, _file long, _line long"))
     named = _classes(each, scratch, segments, reach, block)
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")).alias("first"))
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    chosen = scratch.cut(first.select(name(F.col("first.doc_id")).alias("_name"), F.col("first.whole").alias("_whole")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), name(F.col("doc_id")).alias("_name"), whole.alias("_whole"))
-    rows = rows.join(chosen, ["_name", "_whole"], "left_semi")
-    line = W.partitionBy("_name", "_whole").orderBy(F.xxhash64("_row"))
-    rows = rows.withColumn("_n", F.row_number().over(line)).where("_n = 1")
-    return rows.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole", "_file", "_line")).alias("first"))
+    chosen = scratch.cut(first.select(F.col("first._file").alias("_file"), F.col("first._line").alias("_line")))
+    whole_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *place)
+    kept = whole_rows.join(chosen.hint("shuffle_hash"), ["_file", "_line"], "left_semi")
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
