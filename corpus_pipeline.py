@@ -1,4 +1,10 @@
-"""Corpus pipeline: quality, toxicity, near-duplicates, benchmark passages, mixing; each stage works on what the one before kept."""
+"""Corpus pipeline: quality, toxicity, near-duplicates, benchmark passages, mixing; each stage works on what the one before kept.
+
+Every stage takes a table with the columns of documents (more columns are carried along, whatever their names) and gives each case
+the result its operator states: a null text counts as empty, a null id or a repeated row is a row like any, an empty table
+stays empty.  What is deleted: rows the classifier or the lexicon rejects, all but one row of a group of near-duplicates, rows
+with a passage of a benchmark item.
+"""
 
 from __future__ import annotations
 
@@ -52,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.settle(lambda: stage(spark, docs, sf_dir))  # noqa: B023 - called at once
+        scratch.drop(before)  # the first one is the input, which is left alone
     return docs
