@@ -111,6 +111,74 @@ def test_url_trees_learn(spark):
     assert all(got[1000 + i] == ("block" if i % 2 else "allow") for i in range(20))
 
 
+def brute_forest(rows, codes):
+    """Trees and scores by plain loops: rows of (bins of all features, y), and the bins that are to be scored."""
+    from math import exp, log
+
+    n, ones = len(rows), sum(y for _, y in rows)
+    prior, trees = log((ones + 1) / (n - ones + 1)), []
+
+    def walk(tree, bins):
+        while len(tree) == 4:
+            tree = tree[2] if bins[tree[0]] <= tree[1] else tree[3]
+        return tree[0]
+
+    def margin(bins):
+        return prior + sum(walk(t, bins) for t in trees)
+
+    def leaf(part):
+        return [-urls.RATE * (sum(g for _, g, _ in part) / urls.UNIT) / (sum(h for _, _, h in part) / urls.UNIT + 1)]
+
+    def gain(part):
+        return (sum(g for _, g, _ in part) / urls.UNIT) ** 2 / (sum(h for _, _, h in part) / urls.UNIT + 1)
+
+    def grow(part, depth, top=False):
+        best, rise = None, 1e-6
+        for f in range(len(urls.FEATURES)) if depth else ():
+            for cut in sorted({b[f] for b, _, _ in part})[:-1]:
+                low, high = [r for r in part if r[0][f] <= cut], [r for r in part if r[0][f] > cut]
+                if min(len(low), len(high)) >= urls.LEAST_ROWS and gain(low) + gain(high) - gain(part) > rise:
+                    best, rise = (f, cut, low, high), gain(low) + gain(high) - gain(part)
+        if best is None:
+            return [0.0] if top else leaf(part)
+        return [best[0], best[1], grow(best[2], depth - 1), grow(best[3], depth - 1)]
+
+    for _ in range(urls.TREES):
+        part = []
+        for bins, y in rows:
+            p = 1 / (1 + exp(-margin(bins)))
+            part.append((bins, round((p - y) * urls.UNIT), round(p * (1 - p) * urls.UNIT)))
+        trees.append(grow(part, urls.DEPTH, True))
+    return [1 / (1 + exp(-margin(b))) for b in codes]
+
+
+def test_url_trees_equal_brute_force(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url")
+    host, path = urls.split_url(F.col("url"))
+    df = urls.lexical(urls.with_rule(pages.withColumn("host", host).withColumn("path", path)))
+    df = df.join(urls.suffix_statistics(df).drop("n"), "suffix").withColumn("y", (F.col("ruled") == "block").cast("int"))
+    rows = sorted(df.collect(), key=lambda r: r.page_id)
+    known = [r for r in rows if r.ruled is not None]
+    bins = {}
+    for f in urls.FEATURES:
+        values = sorted(r[f] for r in known)
+        cuts = sorted({values[-(-len(values) * k // urls.BINS) - 1] for k in range(1, urls.BINS)})
+        for r in rows:
+            bins.setdefault(r.page_id, []).append(sum(r[f] > c for c in cuts))
+    want = brute_forest([(bins[r.page_id], r.y) for r in known], [bins[r.page_id] for r in rows])
+    got = {r.page_id: (r.score, r.verdict, r.rule) for r in urls.judge(pages).collect()}
+    for r, score in zip(rows, want, strict=True):
+        assert got[r.page_id][0] == pytest.approx(score, abs=2e-6)
+        assert r.ruled or got[r.page_id][1] == ("block" if score >= 0.5 else "allow")
+
+
+def test_url_scores_do_not_depend_on_partitions(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    ways = [pages, pages.repartition(37), pages.repartition(5, "url"), pages.coalesce(1).orderBy(F.desc("page_id"))]
+    found = [sorted(map(tuple, urls.judge(p).collect())) for p in ways]
+    assert found[0] == found[1] == found[2] == found[3]
+
+
 def test_url_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 

@@ -1,11 +1,13 @@
 """URL filters: allow and block rules first, gradient-boosted trees on lexical features for the rest.
 
-DataFrame functions only.  The trees are grown on histograms that Spark aggregates over every labelled url: each level of
-each tree is one group-by over (node, feature, bin), whose result has a fixed bound, and the finished trees are a CASE
-expression.  Gradients are whole numbers (2**-20 units), so sums don't depend on the order of rows.
+DataFrame functions only.  Every feature lies on a grid of a few hundred values (counts by their logarithm), so bin borders are
+exact quantiles of value counts.  The trees are grown on histograms that Spark aggregates over every labelled url: each level
+of each tree is one group-by over (node, feature, bin), whose result has a fixed bound, and the finished trees are a CASE
+expression.  Gradients are whole numbers (2**-20 units).  So nothing depends on how rows are ordered or partitioned.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is judged by the trees on
-its (empty) features; without labelled urls, or with one class only, every url gets the prior; repeated rows stay.
+its (empty) features; without labelled urls, or with one class only, every url gets the prior; repeated rows and null ids
+stay rows of their own; urls of any length are read whole; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticklane.llm.shared import Scratch
+from ticklane.llm.shared import Scratch, join_totals
 
 # The rules of the contract, (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -66,20 +68,21 @@ def _entropy(text: Column) -> Column:
 
 
 def lexical(df: DataFrame) -> DataFrame:
-    """Adds the features of a url that need no other url, and its suffix."""
+    """Adds the features of a url that need no other url, each on its grid, and its suffix."""
+    many = lambda n: F.round(F.log2(n + F.lit(1.0)), 1)
     url = F.coalesce(F.col("url"), F.lit(""))
     size = F.greatest(F.length(url), F.lit(1))
     tail = F.when(F.locate("?", url) > 0, F.substring(url, F.locate("?", url) + 1, F.length(url))).otherwise(F.lit(""))
     return df.withColumns({
         "suffix": F.substring_index("host", ".", -1),
-        "f_length": F.length(url).cast("double"),
-        "f_host_length": F.length("host").cast("double"),
-        "f_depth": _count(F.col("path"), "/").cast("double"),
-        "f_digit_ratio": F.length(F.regexp_replace(url, "[^0-9]", "")) / size,
-        "f_entropy": F.round(_entropy(url), 6),
-        "f_params": (F.when(tail == "", 0).otherwise(1) + _count(tail, "&")).cast("double"),
-        "f_hyphens": _count(F.col("host"), "-").cast("double"),
-        "f_labels": _count(F.col("host"), ".").cast("double"),
+        "f_length": many(F.length(url)),
+        "f_host_length": many(F.length("host")),
+        "f_depth": many(_count(F.col("path"), "/")),
+        "f_digit_ratio": F.round(F.length(F.regexp_replace(url, "[^0-9]", "")) / size, 2),
+        "f_entropy": F.round(F.round(_entropy(url), 6), 2),
+        "f_params": many(F.when(tail == "", 0).otherwise(1) + _count(tail, "&")),
+        "f_hyphens": many(_count(F.col("host"), "-")),
+        "f_labels": many(_count(F.col("host"), ".")),
         "f_fragment": (F.locate("#", url) > 0).cast("double"),
     })
 
@@ -88,7 +91,8 @@ def suffix_statistics(df: DataFrame) -> DataFrame:
     """Share of all urls and smoothed block rate among the ruled ones, a row for each suffix."""
     stats = df.groupBy("suffix").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("ruled") == "block").cast("long")).alias("blocked"), F.count("ruled").alias("labelled"))
-    return stats.select(F.col("suffix").alias("_suffix"), F.log2(F.col("n") + 1.0).alias("f_suffix_share"), ((F.coalesce("blocked", F.lit(0)) + 50.0) / (F.col("labelled") + 100.0)).alias("f_suffix_block"))
+    rate = (F.coalesce("blocked", F.lit(0)) + 50.0) / (F.col("labelled") + 100.0)
+    return stats.select("suffix", "n", F.round(F.log2(F.col("n") + 1.0), 1).alias("f_suffix_share"), F.round(rate, 2).alias("f_suffix_block"))
 
 
 def _leaf(total: tuple[int, int]) -> float:
@@ -119,10 +123,19 @@ def _best(found: dict, least: int) -> tuple | None:
 
 
 def edges(labelled: DataFrame) -> list[list[float]]:
-    """Bin borders of each feature: distinct approximate quantiles."""
-    at = [i / BINS for i in range(1, BINS)]
-    row = labelled.select(*[F.approx_percentile(f, at, 2000).alias(f) for f in FEATURES]).first()
-    return [sorted(set(row[f] or [])) for f in FEATURES]
+    """Bin borders of each feature: its distinct quantiles, exactly. What reaches the driver is a count for each grid value."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("v")) for i, f in enumerate(FEATURES)]))
+    counts = labelled.select(cells.alias("c")).groupBy("c.f", "c.v").agg(F.count(F.lit(1)).alias("n")).collect()
+    out = []
+    for i in range(len(FEATURES)):
+        column = sorted((r.v, r.n) for r in counts if r.f == i)
+        total, passed, cuts = sum(n for _, n in column), 0, set()
+        for value, n in column:  # the value of rank ceil(total * k / BINS)
+            if any(passed < -(-total * k // BINS) <= passed + n for k in range(1, BINS)):
+                cuts.add(value)
+            passed += n
+        out.append(sorted(cuts))
+    return out
 
 
 def binned(df: DataFrame, borders: list[list[float]]) -> DataFrame:
@@ -185,7 +198,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
     df = lexical(with_rule(df.withColumn("host", host).withColumn("path", path), rules))
     df = scratch.cut(df.drop("url"))
     stats = scratch.cut(suffix_statistics(df))
-    df = df.join(stats, df["suffix"] == stats["_suffix"], "left").drop("_suffix", "suffix")
+    df = join_totals(df, stats, ["suffix"], "n", df.count()).drop("suffix", "n")
     labelled = df.where(F.col("ruled").isNotNull()).withColumn("y", (F.col("ruled") == "block").cast("int"))
     borders = edges(labelled)
     rows = scratch.cut(binned(labelled, borders).select("y", *[f"b{i}" for i in range(len(FEATURES))]))
