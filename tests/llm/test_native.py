@@ -9,7 +9,7 @@ import pytest
 from conftest import SMALL, same
 from pyspark.sql import functions as F
 from ticklane.llm import chat, mixing, queries, urls
-from ticklane.llm.shared import word_count
+from ticklane.llm.shared import Scratch, word_count
 
 CONV = "conv_id long, turn long, role string, text string"
 
@@ -63,6 +63,50 @@ def test_layouts_of_json_rows(spark):
     assert got["unknown"] == (None, None) and got["bad"] == (None, None) and got["null"] == (None, None)
 
 
+def test_layouts_beside_other_fields(spark):
+    deep = {"x": 1}
+    for _ in range(20):
+        deep = {"d": deep}
+    pair = {"prompt": "q", "response": "a"}
+    rows = {
+        "many": {f"a{i:05}": i for i in range(5_000)} | pair,
+        "deep": {"a": deep, "z": deep} | pair,
+        "both": {"messages": [{"role": "user", "content": "q", "meta": {"n": [1, {"k": 2}]}}, {"role": "assistant", "content": "a"}], "prompt": "no"},
+        "inner": {"meta": {"messages": [{"role": "user", "content": "no"}]}} | pair,
+        "partly": {"messages": [{"role": "human", "content": "q"}, {"role": "assistant", "content": None}, {"role": "x"}, 7]},
+        "object": {"prompt": {"a": 1}, "response": "a"},
+        "number": {"prompt": 5, "completion": True},
+        "empty": {"messages": []},
+    }
+    frame = spark.createDataFrame([(k, json.dumps(v)) for k, v in rows.items()] + [("list", "[" * 3_000 + "]" * 3_000), ("twice", '{"prompt": "a", "prompt": "b", "response": "c"}')], "k string, j string")
+    got = {r.k: (r.layout, r.turns and [(t.role, t.text) for t in r.turns]) for r in chat.json_turns(frame, "j").collect()}
+    said = [("user", "q"), ("assistant", "a")]
+    assert got["many"] == got["deep"] == got["inner"] == ("prompt_response", said) and got["both"] == ("messages", said)
+    assert got["partly"] == ("messages", [("user", "q"), ("assistant", ""), ("x", ""), ("", "")])
+    assert got["number"] == ("prompt_completion", [("user", "5"), ("assistant", "true")])
+    assert got["object"] == got["empty"] == got["list"] == got["twice"] == (None, None)
+
+
+def test_row_table_with_columns_of_other_layouts(spark):
+    names = ["prompt", "response", "completion", "input", "output", "instruction", "messages"]
+    df = spark.createDataFrame([(1, 0, "user", "q", *names)], CONV + "".join(f", {n} string" for n in names))
+    assert chat.layout_of(df) == "turn_rows" and chat.turn_rows(df).collect()[0].text == "q"
+
+
+def test_layouts_and_back(spark):
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", NASTY[(i + t) % len(NASTY)]) for i in range(60) for t in range(1 + i % 4)]
+    rows += [(100 + i, None, None, None) for i in range(8)] + [(200 + i, 1, "human", "x") for i in range(8)] + [(None, 0, "user", "n"), (None, 1, "assistant", "m")]
+    rows += [(300, 0, "user", "y" * (chat.JSON_CHARS + 1))] + [(400 + i, 2, "system", "s") for i in range(8)] * 2
+    df = spark.createDataFrame(rows, CONV)
+    some, texts = chat.in_layouts(df, Scratch(spark, "t"))
+    layouts = {r.layout for r in chat.json_turns(texts, "json").collect()}
+    assert layouts == {"messages", "from_value", "instruction_only"} and 0 < some.count() < len(rows)
+    turns = lambda made: {r.conv_id: ([tuple(t) for t in r.turns], r.loss_text) for r in chat.read_back(chat.format_turns(made)).collect()}
+    assert turns(chat.canonical_rows(some, texts)) == turns(chat.turn_rows(df))
+    some, texts = chat.in_layouts(spark.createDataFrame([], CONV), Scratch(spark, "t"))
+    assert chat.canonical_rows(some, texts).count() == 0
+
+
 def test_layout_of_a_table(spark):
     df = spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")], 3)], "conv_id long, messages array<struct<role:string,content:string>>, n int")
     assert chat.layout_of(df) == "messages"

@@ -1,8 +1,10 @@
 """Chat formatting: layouts are recognised by a fingerprint of their nested field paths and mapped to canonical turns.
 
 DataFrame functions only.  A layout is declared as the field paths it needs and how turns come from them; its
-fingerprint is the SHA-256 of those paths, sorted.  A table is fingerprinted by its schema, a JSON text row by the schema
-of its parsed value, in both cases over the paths that some layout names, so columns nobody asked for don't matter.
+fingerprint is the SHA-256 of those paths, sorted.  A table has the paths of its schema, a JSON text row those of its value.
+A row fits a layout if the fingerprint of its own paths, taken over the paths that the layout names, is the layout's; of
+several that fit, the one declared first is taken.  So fields nobody asked for, whatever their names, number and depth, do
+not matter.
 
 Template, per turn::
 
@@ -13,7 +15,8 @@ character), so that no control string is left in them and unescaping is exact.
 
 Defined cases: null text or role is empty; turns come in order of turn (null first), role and text, so repeated rows
 stay; a conversation without rows does not exist; rows with a null conv_id form one conversation; an unknown layout has
-null turns in the JSON form and raises for a table.
+null turns in the JSON form and raises for a table; a null text and malformed JSON (repeated keys, over 1,000 levels) have no
+paths and null turns; an empty list of messages has no paths either; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,19 +28,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticklane.llm.shared import Scratch
+
 # The control strings of the template.
 OPEN, ASK, ANSWER, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROL = (OPEN, ASK, ANSWER, CLOSE)
 
-# The field paths of each layout.
+# The field paths of each layout, in order of precedence.
 LAYOUTS = {
     "turn_rows": ("role", "text", "turn"),
     "messages": ("messages[].content", "messages[].role"),
     "from_value": ("conversations[].from", "conversations[].value"),
-    "prompt_completion": ("completion", "prompt"),
-    "prompt_response": ("prompt", "response"),
     "instruction": ("input", "instruction", "output"),
     "instruction_only": ("instruction", "output"),
+    "prompt_completion": ("completion", "prompt"),
+    "prompt_response": ("prompt", "response"),
 }
 # Other names of the canonical roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -45,11 +50,11 @@ KNOWN_PATHS = sorted({p for paths in LAYOUTS.values() for p in paths})
 
 
 def fingerprint(paths) -> str:
-    """SHA-256 of the known paths among ``paths``, sorted, a line each."""
-    return hashlib.sha256("\n".join(sorted(set(paths) & set(KNOWN_PATHS))).encode()).hexdigest()
+    """SHA-256 of paths, sorted, a line each."""
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
-FINGERPRINTS = {fingerprint(paths): name for name, paths in LAYOUTS.items()}
+FINGERPRINTS = {name: fingerprint(paths) for name, paths in LAYOUTS.items()}
 
 
 def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -63,7 +68,8 @@ def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
 
 def layout_of(df: DataFrame) -> str | None:
     """Name of the layout of a table."""
-    return FINGERPRINTS.get(fingerprint(field_paths(df.schema)))
+    found = set(field_paths(df.schema))
+    return next((name for name, paths in LAYOUTS.items() if fingerprint(found & set(paths)) == FINGERPRINTS[name]), None)
 
 
 def canonical_role(role: Column) -> Column:
@@ -80,13 +86,22 @@ def _listed(items: Column, role: str, text: str) -> Column:
     return F.transform(items, lambda m: F.struct(canonical_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
 
 
+def _said(get, path: str, role: str, text: str) -> Column:
+    """Turns of a list of messages: structs of a table, or variants, of which other fields and kinds do no harm."""
+    items = get(path, "array<variant>")
+    if items is None:
+        return _listed(get(path, None), role, text)
+    of = lambda m, name: F.try_variant_get(m, f"$.{name}", "string")
+    return _listed(F.transform(items, lambda m: F.struct(of(m, role).alias(role), of(m, text).alias(text))), role, text)
+
+
 def turns_of(layout: str, get) -> Column:
-    """Canonical turns, array<struct<role,text>>, of a layout; get(path, type) reads a field."""
+    """Canonical turns, array<struct<role,text>>, of a layout; get(path, type) reads a field (None: no such type here)."""
     text = lambda name: get(name, "string")
     if layout == "messages":
-        return _listed(get("messages", "array<struct<role:string,content:string>>"), "role", "content")
+        return _said(get, "messages", "role", "content")
     if layout == "from_value":
-        return _listed(get("conversations", "array<struct<from:string,value:string>>"), "from", "value")
+        return _said(get, "conversations", "from", "value")
     if layout == "prompt_completion":
         return _pair(text("prompt"), text("completion"))
     if layout == "prompt_response":
@@ -100,32 +115,35 @@ def turns_of(layout: str, get) -> Column:
     raise ValueError(f"no nested turns in layout {layout}")
 
 
-def json_fingerprint(value: Column) -> Column:
-    """Fingerprint of a VARIANT: the known paths that its schema has."""
-    shape = F.schema_of_variant(value)
-    # OBJECT<a: STRING, m: ARRAY<OBJECT<role: STRING>>>: a path is there if its parts follow one another
+def json_paths(value: Column) -> Column:
+    """Those of KNOWN_PATHS that a VARIANT has: a field of the value itself, or of an element of a list in it."""
+
     def has(path: str) -> Column:
         head, _, tail = path.partition("[].")
-        if not tail:
-            return shape.rlike(rf"^OBJECT<(?:[^<>]|<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>)*?\b{head}: (?!ARRAY|OBJECT)")
-        return shape.rlike(rf"\b{head}: ARRAY<OBJECT<(?:[^<>]|<[^<>]*>)*?\b{tail}: ")
+        if tail:
+            return F.exists(F.try_variant_get(value, f"$.{head}", "array<variant>"), lambda m: F.try_variant_get(m, f"$.{tail}", "variant").isNotNull())
+        kind = F.schema_of_variant(F.try_variant_get(value, f"$.{head}", "variant"))
+        return kind.isNotNull() & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
 
-    there = F.filter(F.array(*[F.when(has(p), F.lit(p)) for p in KNOWN_PATHS]), lambda p: p.isNotNull())
-    return F.sha2(F.array_join(there, "\n"), 256)
+    return F.filter(F.array(*[F.when(has(p), F.lit(p)) for p in KNOWN_PATHS]), lambda p: p.isNotNull())
 
 
 def json_turns(df: DataFrame, column: str) -> DataFrame:
-    """Adds fingerprint, layout and turns of a column of JSON texts; malformed JSON and unknown layouts have no turns."""
+    """Adds fingerprint (of the known paths), layout and turns of a column of JSON texts."""
     value = F.try_parse_json(F.col(column))
-    mark = json_fingerprint(value)
-    names = F.create_map(*[F.lit(x) for pair in FINGERPRINTS.items() for x in pair])
-    df = df.withColumn("fingerprint", mark).withColumn("layout", F.element_at(names, F.col("fingerprint")))
+    paths = json_paths(value)
+    mark = lambda found: F.sha2(F.array_join(found, "\n"), 256)
+    df = df.withColumn("fingerprint", mark(paths))
+    layout, chosen = None, None
+    for name, needed in reversed(LAYOUTS.items()):
+        if name != "turn_rows":
+            fits = mark(F.array_intersect(F.array(*map(F.lit, needed)), paths)) == FINGERPRINTS[name]
+            layout = F.when(fits, F.lit(name)) if layout is None else F.when(fits, F.lit(name)).otherwise(layout)
+    df = df.withColumn("layout", layout)
     get = lambda path, kind: F.try_variant_get(value, f"$.{path}", kind)
-    chosen = None
     for name in LAYOUTS:
         if name != "turn_rows":
-            case = (F.when if chosen is None else chosen.when)(F.col("layout") == name, turns_of(name, get))
-            chosen = case
+            chosen = (F.when if chosen is None else chosen.when)(F.col("layout") == name, turns_of(name, get))
     return df.withColumn("turns", chosen)
 
 
@@ -147,7 +165,7 @@ def turn_rows(df: DataFrame) -> DataFrame:
         return df.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     if layout is None:
         raise ValueError(f"unknown layout: {field_paths(df.schema)}")
-    turns = turns_of(layout, lambda path, _: F.col(path))
+    turns = turns_of(layout, lambda path, kind: None if kind == "array<variant>" else F.col(path))
     return df.select("conv_id", F.posexplode(turns).alias("turn", "_t")).select("conv_id", F.col("turn").cast("long"), "_t.role", "_t.text")
 
 
@@ -193,3 +211,36 @@ def with_probe(conversations: DataFrame) -> DataFrame:
         F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
+
+
+#: A conversation with more characters stays in rows: JSON values have a size limit.
+JSON_CHARS = 1 << 20
+
+
+def in_layouts(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, turn, role, text) rows as heterogeneous sources would hold them: some conversations stay rows, the others,
+    by a hash of conv_id, become JSON texts of messages, of from and value pairs, or of an instruction and its output.
+
+    Returns (rows, conv_id and json).  Conversations whose roles a layout would rename, that are very long or that do not
+    have the form of a layout stay rows; a null role or text is empty.
+    """
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    size = F.sum(F.length(F.coalesce("text", F.lit(""))) + F.length(F.coalesce("role", F.lit(""))) + 64)
+    renamed = F.max(F.coalesce(F.col("role").isin(*ROLES), F.lit(False)))
+    way = F.when(renamed | (size > JSON_CHARS), 0).otherwise(F.pmod(F.xxhash64("conv_id"), F.lit(4)))
+    whole = scratch.cut(rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("_said"), way.alias("_way")))
+    pair = (F.size("_said") == 2) & (F.col("_said")[0]["role"] == "user") & (F.col("_said")[1]["role"] == "assistant")
+    reverse = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"))
+    messages = F.struct(F.transform("_said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))
+    other = F.struct(F.transform("_said", lambda t: F.struct(F.coalesce(F.element_at(reverse, t["role"]), t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations"))
+    order = F.struct(F.col("_said")[0]["text"].alias("instruction"), F.col("_said")[1]["text"].alias("output"))
+    text = F.when((F.col("_way") == 3) & pair, F.to_json(order)).when(F.col("_way") == 2, F.to_json(other)).otherwise(F.to_json(messages))
+    left = whole.where("_way = 0").select("conv_id", F.explode("_said").alias("_t")).select("conv_id", "_t.*")
+    return left, whole.where("_way > 0").select("conv_id", text.alias("json"))
+
+
+def canonical_rows(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text of rows in a table layout and of JSON texts (conv_id, json), turn counted within each text."""
+    turns = json_turns(texts, "json").select("conv_id", F.posexplode("turns").alias("turn", "_t"))
+    kind = rows.schema["turn"].dataType
+    return turn_rows(rows).unionByName(turns.select("conv_id", F.col("turn").cast(kind).alias("turn"), "_t.role", "_t.text"))

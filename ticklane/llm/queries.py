@@ -65,8 +65,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat.turn_rows(chat.with_probe(table(spark, sf_dir, "conversations")))
-    formatted = Scratch(spark, "chat").cut(chat.format_turns(rows))
+    """The conversations lie in heterogeneous layouts (rows, messages, from and value, instruction), as sources would hold them;
+    fingerprints pick the mapping of each back to canonical turns."""
+    scratch = Scratch(spark, "chat")
+    rows, texts = chat.in_layouts(chat.with_probe(table(spark, sf_dir, "conversations")), scratch)
+    formatted = scratch.cut(chat.format_turns(chat.canonical_rows(rows, scratch.cut(texts))))
     read = chat.read_back(formatted)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
