@@ -444,6 +444,98 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0 and warc.derive(warc.derive(made)).count() == 0
 
 
+def plain_record(kind, block, *more, length=None):
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{kind}-{len(block)}>", *more, f"Content-Length: {len(block) if length is None else length}"]
+    return ("WARC/1.0\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode("latin-1") + block + b"\r\n\r\n"
+
+
+def test_warc_files_of_others(spark, tmp_path):
+    import gzip
+
+    page = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html; charset=latin-1\r\n\r\n<html>caf\xe9 <p>WARC/1.0 \r\n\r\n"
+    records = [plain_record("warcinfo", b"a: b"), plain_record("response", page, "WARC-Target-URI: http://x/\xe9", "warc-date: d"), plain_record("request", b"")]
+    files = {
+        "plain.warc": b"".join(records),
+        "members.warc.gz": b"".join(map(gzip.compress, records)),
+        "whole.warc.gz": gzip.compress(b"".join(records)) + b"\0\0",
+        "empty.warc": b"",
+        "long.warc": plain_record("resource", b"z" * 3_000_000) + plain_record("metadata", b"m"),
+        "long.warc.gz": gzip.compress(plain_record("resource", bytes(range(256)) * 9_000)) + gzip.compress(plain_record("metadata", b"m")),
+    }
+    got = {}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        got[name] = warc.read_warc(spark, str(tmp_path / name)).collect()
+    assert [(r.record_type, bytes(r.block)) for r in got["plain.warc"]] == [("warcinfo", b"a: b"), ("response", page), ("request", b"")]
+    assert got["members.warc.gz"] == got["whole.warc.gz"] == got["plain.warc"] and got["empty.warc"] == []
+    assert {h.name: h.value for h in got["plain.warc"][1].headers}["WARC-Target-URI"] == "http://x/\xe9"
+    assert [len(r.block) for r in got["long.warc"]] == [3_000_000, 1] and [len(r.block) for r in got["long.warc.gz"]] == [256 * 9_000, 1]
+    derived = {r.record_type: r for r in warc.derive(warc.read_warc(spark, str(tmp_path / "members.warc.gz"))).collect()}
+    assert bytes(derived["conversion"].block).decode() == "caf\xe9\nWARC/1.0" and b"http-status: 404" in bytes(derived["metadata"].block)
+    assert {h.name: h.value for h in derived["metadata"].headers}["WARC-Date"] == "d"
+    out = str(tmp_path / "again")
+    warc.write_warc(warc.read_warc(spark, str(tmp_path / "members.warc.gz")).coalesce(1), out)
+    assert warc.read_warc(spark, out).collect() == got["plain.warc"]
+
+
+def test_warc_records_that_are_cut_or_bare():
+    whole = plain_record("response", b"0123456789")
+    for size in range(len(whole)):
+        found = list(warc.parse(iter([whole[:size]])))
+        assert len(found) == (size >= 5)
+        if found and size < len(whole) - 4:
+            assert found[0]["headers"][-1] == {"name": "WARC-Truncated", "value": "unspecified"}
+    bare = b"junk WARC/1.0\r\n\r\nabc\r\n\r\nWARC/1.0\r\nWARC-Type: x\r\nContent-Length: 2\r\n\r\nde"
+    for step in (1, 3, 100):
+        one, two = warc.parse(iter([bare[i : i + step] for i in range(0, len(bare), step)]))
+        assert (one["record_type"], one["block"], one["record_id"][:10]) == ("unknown", b"abc", "<urn:uuid:") and (two["record_type"], two["block"]) == ("x", b"de")
+    import gzip
+
+    packed = gzip.compress(whole) + gzip.compress(whole)
+    assert [r["block"] for r in warc.parse(warc.unpacked(packed[:-12]))][0] == b"0123456789"
+    assert [r["block"] for r in warc.parse(warc.unpacked(gzip.compress(whole) + b"damaged"))] == [b"0123456789"]
+
+
+def brute_text(page):
+    """Visible text by a walk over characters: another way to the conversion's block."""
+    import html
+
+    out, i = [], 0
+    while i < len(page):
+        low = page[i:].lower()
+        gone = next((t for t in ("script", "style") if re.match(rf"<{t}\b", low)), None)
+        if low.startswith("<!--"):
+            end = page.find("-->", i)
+            i = len(page) if end < 0 else end + 3
+        elif gone:
+            end = low.find(f"</{gone}>")
+            i = len(page) if end < 0 else i + end + len(gone) + 3
+        elif re.match(r"</?[a-z]", low):
+            name = re.match(r"</?([a-z0-9]+)", low)[1]
+            out.append("\n" if name in warc.BLOCKS else "")
+            i = page.index(">", i) + 1
+        elif low.startswith("<!"):
+            i = page.index(">", i) + 1
+        else:
+            out.append(page[i])
+            i += 1
+    return "\n".join(x for x in (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n")) if x)
+
+
+def test_warc_query_equals_brute_force(spark):
+    pages = {r.page_id: r for r in queries.table(spark, SMALL, "pages").collect()}
+    got = collections.defaultdict(dict)
+    for r in queries.op9_warc(spark, SMALL).collect():
+        got[r.page_id][r.record_type] = r
+    assert got.keys() == pages.keys()
+    for key, page in pages.items():
+        text = brute_text(page.html or "").encode()
+        made = got[key]["conversion"]
+        assert made.block_sha256 == hashlib.sha256(text).hexdigest() and made.content_length == len(text)
+        assert made.target_uri == page.url and made.source_digest == warc.digest((page.html or "").encode()) == got[key]["metadata"].source_digest
+        assert made.refers_to == got[key]["metadata"].refers_to == warc.response(key, page.url, page.html)["record_id"]
+
+
 # ---- images --------------------------------------------------------------------------------------------------------------
 
 

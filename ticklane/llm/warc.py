@@ -8,6 +8,12 @@ own digests, and ids are name-based UUIDs, so reruns give the same files.
 Defined cases: a null or empty html is a response with an empty payload, whose conversion is empty; a null url leaves
 WARC-Target-URI out; unclosed tags, comments and scripts end with the text; equal rows give equal records (and ids); an
 empty table gives no records; other columns are not read; records that are no responses derive nothing.
+
+``read_warc`` takes plain and gzip files, a member a record or all in one.  Blocks are bytes and stay as they are.  Header lines
+are UTF-8, or Latin-1 where they are not; names match whatever their case.  A record that the file's end cuts off is returned
+with what is there and a header ``WARC-Truncated: unspecified``, also where a gzip member is cut or damaged; a record without
+a Content-Length reaches to the next record or the end; one without an id gets a name-based one, one without a type the type
+``unknown``; bytes between records are skipped; an empty file has no records.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,12 +75,12 @@ def response(key, url: str | None, page: str | None, date: str = DATE) -> dict:
 
 
 def _linked(source: dict, kind: str, content_type: str, block: bytes) -> dict:
-    had = {h["name"]: h["value"] for h in source["headers"]}
+    had = {h["name"].lower(): h["value"] for h in source["headers"]}
     own = record_id(kind, source["record_id"])
     headers = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source["record_id"])]
-    headers += [(n, had[n]) for n in CARRIED if n in had]
-    if "WARC-Payload-Digest" in had:
-        headers.append(("WARC-Refers-To-Payload-Digest", had["WARC-Payload-Digest"]))
+    headers += [(n, had[n.lower()]) for n in CARRIED if n.lower() in had]
+    if "warc-payload-digest" in had:
+        headers.append(("WARC-Refers-To-Payload-Digest", had["warc-payload-digest"]))
     headers += [("Content-Type", content_type), ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
     return {"key": source["key"], "record_type": kind, "record_id": own, "headers": [{"name": n, "value": v} for n, v in headers], "block": block}
 
@@ -129,35 +136,104 @@ def derive(records: DataFrame) -> DataFrame:
 
 def header(name: str):
     """The value of a header of a record."""
-    return F.element_at(F.filter("headers", lambda h: h["name"] == name), 1)["value"]
+    return F.get(F.filter("headers", lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """WARC 1.0 files, one a partition; blocks must be UTF-8 (those made here are)."""
+    """WARC 1.0 files, one a partition. Blocks of any bytes pass as they are: a string column is only a name for them here."""
     head = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\r\n"))), "")
-    records.select(F.concat(F.lit("WARC/1.0\r\n"), head, F.lit("\r\n"), F.decode("block", "utf-8"), F.lit("\r\n\r")).alias("value")).write.option("lineSep", "\n").text(path)
-
-
-def parse(data: bytes) -> Iterator[dict]:
-    """Records of the bytes of a WARC file, by Content-Length."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")[1:]
-        headers = [{"name": n, "value": v} for n, _, v in (x.partition(": ") for x in lines)]
-        had = {h["name"]: h["value"] for h in headers}
-        size = int(had["Content-Length"])
-        yield {"key": had["WARC-Record-ID"], "record_type": had["WARC-Type"], "record_id": had["WARC-Record-ID"], "headers": headers, "block": data[end + 4 : end + 4 + size]}
-        at = end + 4 + size
+    block = F.coalesce(F.col("block"), F.lit(b"")).cast("string")
+    records.select(F.concat(F.lit("WARC/1.0\r\n"), head, F.lit("\r\n"), block, F.lit("\r\n\r")).alias("value")).write.option("lineSep", "\n").text(path)
+
+
+def unpacked(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """Pieces of the bytes of a file, whose gzip members, if it has any, are unpacked; what cannot be unpacked ends it."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    rest, at = memoryview(data), 0
+    while at < len(rest):
+        member = zlib.decompressobj(31)
+        try:
+            while at < len(rest) and not member.eof:
+                piece = rest[at : at + step]
+                at += len(piece)
+                out = member.decompress(piece)
+                at -= len(member.unused_data)
+                yield out
+        except zlib.error:
+            return
+        while at < len(rest) and rest[at] == 0:  # padding between members
+            at += 1
+
+
+def _said(line: bytes) -> dict:
+    try:
+        text = line.decode("utf-8")
+    except UnicodeDecodeError:
+        text = line.decode("latin-1")
+    name, _, value = text.partition(":")
+    return {"name": name.strip(), "value": value.strip()}
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[dict]:
+    """Records of the bytes of a WARC file, which come in pieces; one record and a piece are held at a time."""
+    held, more = b"", iter(pieces)
+
+    def grow() -> bool:
+        nonlocal held
+        for piece in more:
+            if piece:
+                held += piece
+                return True
+        return False
+
+    def found(what: bytes, low: int = 0) -> int:
+        at = held.find(what, low)
+        while at < 0:
+            low = max(low, len(held) - len(what) + 1)
+            if not grow():
+                return -1
+            at = held.find(what, low)
+        return at
+
+    while (start := found(b"WARC/")) >= 0:
+        end = found(b"\r\n\r\n", start)
+        cut = end < 0
+        lines = held[start : len(held) if cut else end].split(b"\r\n")[1:]
+        headers = [_said(x) for x in lines if b":" in x]
+        had = {h["name"].lower(): h["value"] for h in headers}
+        begin = len(held) if cut else end + 4
+        size = had.get("content-length", "")
+        if cut:
+            stop = begin
+        elif size.isdigit():
+            stop = begin + int(size)
+            parts = [held]
+            length = len(held)
+            while length < stop and (piece := next(more, None)) is not None:
+                parts.append(piece)
+                length += len(piece)
+            held = b"".join(parts)
+            cut = len(held) < stop
+        else:
+            mark = found(b"\r\n\r\nWARC/", begin)
+            stop = len(held) if mark < 0 else mark
+        block = held[begin:stop]
+        if cut:
+            headers.append({"name": "WARC-Truncated", "value": "unspecified"})
+        own = had.get("warc-record-id") or record_id("unnamed", had.get("warc-type", ""), digest(block))
+        yield {"key": own, "record_type": had.get("warc-type", "unknown"), "record_id": own, "headers": headers, "block": block}
+        held = held[stop:]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files; key is the record id."""
+    """Records of WARC files, gzip or not; key is the record id. A file of up to 2 GB is read by one task."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                for low in _chunks(parse(data.as_py()), 256):
+                for low in _chunks(parse(unpacked(data.as_py())), 256):
                     yield pa.RecordBatch.from_pylist(low, schema=_records(pa.string()))
 
     return map_batches(spark.read.format("binaryFile").load(path).select("content"), read, SCHEMA.format(key="string"))
