@@ -171,11 +171,11 @@ def brute_overlap(text, items, window):
                     hit.update(range(k, k + len(part)))
                     ok = True
         if ok:
-            found.append(str(item))
-    return len(seq), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+            found.append(item)
+    return len(seq), len(hit), len(found), hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest()
 
 
-ITEMS = [(1, "a b c d e"), (2, "b c"), (3, None), (4, ""), (5, "c d e f"), (10, "É漢 x"), (10, "b c"), (11, "a a a a a")]
+ITEMS = [(1, "a b c d e"), (2, "b c"), (3, None), (4, ""), (5, "c d e f"), (10, "É漢 x"), (10, "b c"), (11, "a a a a a"), (None, "c d e"), (12, " ".join("abcdef"[k * k % 6] for k in range(40)))]
 
 
 @pytest.mark.parametrize(("segment_words", "block_words"), [(1_000_000, 400_000), (7, 3)])
@@ -187,6 +187,36 @@ def test_overlaps_equal_brute_force(spark, segment_words, block_words):
     assert rows == sorted((str(i), *brute_overlap(t, ITEMS, 3)) for i, t in texts)
 
 
+def test_overlaps_with_repeated_and_null_item_ids(spark, duck):
+    items = [(10, "a b c"), (10, "b c d"), (None, "c d e")]
+    (r,) = decontam.overlaps(docs(spark, [(1, "a b c d e")]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert (r.n_items, r.item_ids) == (3, ["10", "10"]) and r.items_sha256 == hashlib.sha256(b"10,10").hexdigest()
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT 1::BIGINT AS doc_id, 'a b c d e' AS text")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    row = dict(zip([x[0] for x in con.execute(queries.OP2_SQL).description], con.fetchall()[0], strict=True))
+    assert (row["n_items"], row["items_sha256"], row["n_hit"]) == (r.n_items, r.items_sha256, r.n_hit)
+
+
+def test_long_item_in_pieces(spark):
+    said = " ".join(f"w{k * 7919 % 1000}" for k in range(3_000))
+    blocks = list(decontam.item_blocks(spark.createDataFrame([(1, said), (2, "x")], "item_id long, text string"), 10, 100))
+    assert max(sum(len(w) for _, _, w in b) for b in blocks) <= 109 and {r for b in blocks for r, _, _ in b} == {0, 1}
+    whole = {tuple(decontam.words(said)[k : k + 10]) for k in range(2_991)}
+    assert whole == {tuple(w[k : k + 10]) for b in blocks for r, _, w in b if r == 0 for k in range(len(w) - 9)}
+
+
+def test_word_filter():
+    wanted = decontam.WordFilter(1 << 16)
+    terms = [decontam.term(b"%d" % k) for k in range(4_000)]
+    for t in terms[:2_000]:
+        wanted.add(t)
+    assert all(t in wanted for t in terms[:2_000]) and sum(t in wanted for t in terms[2_000:]) < 100
+
+
 def test_overlaps_of_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     (r,) = decontam.overlaps(docs(spark, [(1, "a b")]), items).collect()
@@ -197,8 +227,8 @@ def test_overlaps_of_empty_tables(spark):
 def test_proximity_equals_brute_force():
     rng = np.random.default_rng(4)
     seq = rng.integers(0, 6, 400)
-    phrases = decontam.Phrases([(1, "t0 t1 t2 t3"), (2, "t5 t5 t4")], 10)
-    number = {int(w[1:]): n for w, n in phrases.terms.items()}
+    phrases = decontam.Phrases([(0, 1, [b"t0", b"t1", b"t2", b"t3"]), (1, 2, [b"t5", b"t5", b"t4"])], 10)
+    number = {k: int(np.searchsorted(phrases.terms, decontam.term(b"t%d" % k))) for k in (0, 1, 2, 3, 5, 4)}
     at = [(number[t], i) for i, t in enumerate(seq) if t in number]
     at.sort()
     segment = decontam.Segment(np.array([a for a, _ in at]), np.array([b for _, b in at]), len(phrases.terms))
@@ -218,6 +248,10 @@ def test_keep_uncontaminated(spark):
     items = spark.createDataFrame([(1, "a b c"), (2, None)], "item_id long, text string")
     kept = decontam.keep_uncontaminated(df, items, 3, segment_words=4)
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4] and kept.columns == df.columns
+    more = docs(spark, [(None, "a b c"), (None, "c b a"), (1, "a b c"), (1, "x"), (1, "x")]).withColumn("_file", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("_metadata", F.lit(3))
+    kept = decontam.keep_uncontaminated(more, items, 3)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "x"), ("1", "x"), ("None", "c b a")] and kept.columns == more.columns
+    assert decontam.keep_uncontaminated(docs(spark, []), items).count() == 0 and decontam.keep_uncontaminated(df, items.limit(0)).count() == 4
 
 
 # ---- near-duplicates -----------------------------------------------------------------------------------------------------

@@ -1,18 +1,22 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``build_index`` turns every batch of documents into index segments (as search engines do): a segment holds the sorted
+``build_index`` turns the documents of every task into index segments (as search engines do): a segment holds the sorted
 postings (term, position) of its documents, all positions of a segment on one axis with a gap between documents, and is
-written to the shared folder.  Documents are never shuffled, a segment's size is bounded by words, and a very long document
-spans segments that overlap by the longest phrase, so no key or document can make a task large.
+written to the shared folder once, whatever the number of test items.  A term is the word's XXH64.  Stored are the postings of
+terms that pass a Bloom filter of the items' words, whose size is fixed (``FILTER_BITS``).  Documents are never shuffled, a
+segment's size is bounded by words, and a very long document spans segments that overlap by the longest phrase, so no key or
+document can make a task large.
 
-``search`` takes the phrases of the test items in blocks of a bounded size.  In a segment, the postings of each phrase's
-rarest term, adjusted by its offset, are candidate starts; they are intersected with the offset-adjusted postings of the
-other terms, rarest first, for all phrases at once.  ``slop`` above 0 returns proximity matches as well: places where every
-term of the phrase lies within slop words of its place.
+``search`` takes the phrases of the test items in blocks of a bounded size; a long item is split into pieces that overlap.  In
+a segment, the postings of each phrase's rarest term, adjusted by its offset, are candidate starts; they are intersected with
+the offset-adjusted postings of the other terms, rarest first, for all phrases at once.  ``slop`` above 0 returns proximity
+matches as well: places where every term of the phrase lies within slop words of its place.  Only documents with a match leave
+a search.
 
 Words are maximal runs outside ASCII punctuation and white space after A-Z is lower-cased.  Defined cases: a null or empty
-text has no words; an item without words has no phrases; an item shorter than a window is one phrase; repeated items and
-repeated document rows are kept apart; an empty table gives an empty table; null ids are carried along.
+text has no words; an item without words has no phrases; an item shorter than a window is one phrase; items are told apart by
+their row, so repeated and null item ids count each, and a null id adds nothing to the digest; repeated document rows are
+kept apart; an empty table gives an empty table; null ids are carried along; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklane.llm.quality import keep_rows
-from ticklane.llm.shared import Scratch, map_batches, text_bytes
+from ticklane.llm.shared import Scratch, map_batches, placed, rows_at, text_bytes
 
 WINDOW = 10
 #: Words of a segment, and words of the test items of a block.
-SEGMENT_WORDS, BLOCK_WORDS = 1_000_000, 400_000
+SEGMENT_WORDS, BLOCK_WORDS = 500_000, 400_000
+#: Bits of the filter of the items' words (16 MB), and distinct words whose terms a task remembers.
+FILTER_BITS, REMEMBERED = 1 << 27, 300_000
 _BREAK = frozenset([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in _BREAK else b for b in range(256))
 
@@ -40,22 +45,55 @@ def words(text: str | None) -> list[bytes]:
     return text_bytes(text).translate(_WORDS).split()
 
 
+def term(word: bytes) -> int:
+    """A word's term: its XXH64 as a signed long, 1 for 0, which stands for no term."""
+    import xxhash
+
+    value = xxhash.xxh64_intdigest(word) or 1
+    return value - (1 << 64) if value >> 63 else value
+
+
+class WordFilter:
+    """Bloom filter of terms, of a fixed size: what it holds is found, something else seldom is."""
+
+    def __init__(self, bits: int = FILTER_BITS):
+        self.mask = bits - 1
+        self.bytes = np.zeros(bits // 8, np.uint8)
+        self.longest = 1  # words of the longest phrase
+
+    def _places(self, value: int) -> tuple[int, int]:
+        return value & self.mask, value >> 32 & self.mask
+
+    def add(self, value: int) -> None:
+        for place in self._places(value):
+            self.bytes[place >> 3] |= 1 << (place & 7)
+
+    def __contains__(self, value: int) -> bool:
+        return all(self.bytes[place >> 3] >> (place & 7) & 1 for place in self._places(value))
+
+
 class Phrases:
-    """Windows of a block of items, as term numbers; items are numbered in the order given."""
+    """Windows of a block of items (row number, id, words) as numbers of the block's distinct terms."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
-        self.terms: dict[bytes, int] = {}
+        numbers: dict[bytes, int] = {}
         found: dict[tuple, set[int]] = {}
-        self.ids = [i for i, _ in items]
-        for k, (_, text) in enumerate(items):
-            seq = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
+        self.rows = [row for row, _, _ in items]
+        self.ids = [None if i is None else str(i) for _, i, _ in items]
+        for k, (_, _, said) in enumerate(items):
+            seq = [numbers.setdefault(w, len(numbers)) for w in said]
             for s in range(max(1, len(seq) - window + 1) if seq else 0):
                 found.setdefault(tuple(seq[s : s + window]), set()).add(k)
+        terms = np.array([term(w) for w in numbers], np.int64)
+        order = np.argsort(terms, kind="stable")
+        self.terms = terms[order]  # sorted; phrases hold places in it
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         self.size = np.array([len(p) for p in found], np.int64)
         self.longest = int(self.size.max(initial=1))
         self.seq = np.full((len(found), self.longest), -1, np.int64)
         for r, p in enumerate(found):
-            self.seq[r, : len(p)] = p
+            self.seq[r, : len(p)] = place[list(p)]
         self.items = [sorted(x) for x in found.values()]
 
 
@@ -116,30 +154,37 @@ def _packed(docs: list[dict], terms: list[np.ndarray], positions: list[np.ndarra
     t = np.concatenate(terms or [np.zeros(0, np.int64)])
     p = np.concatenate(positions or [np.zeros(0, np.int64)])
     order = np.lexsort((p, t))
-    return {"docs": docs, "terms": t[order].astype(np.int32).tobytes(), "positions": p[order].astype(np.int32).tobytes()}
+    return {"docs": docs, "terms": t[order].astype(np.int64).tobytes(), "positions": p[order].astype(np.int32).tobytes()}
 
 
-def build_index(docs: DataFrame, phrases: Phrases, scratch: Scratch, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+def build_index(docs: DataFrame, wanted: WordFilter, scratch: Scratch, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Index segments of all documents (doc_id, text), written to the shared folder.
 
-    Stored are the postings of the terms that the test items have; documents, their sizes and where they begin on the
-    segment's axis stand beside them.  A document longer than a segment goes on in the next, which repeats the last words.
+    Stored are the postings of wanted words; documents, their sizes and where they begin on the segment's axis stand beside
+    them.  A document longer than a segment goes on in the next, which repeats the last words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((phrases.terms, phrases.longest))
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        known, longest = shared.value
-        get, row = known.get, 0
+        sought, longest = shared.value, shared.value.longest
+        known: dict[bytes, int] = {}  # a word's term; 0 if it is not wanted
+        row, base = 0, 0
         entries: list[dict] = []
         terms: list[np.ndarray] = []
         positions: list[np.ndarray] = []
-        base = 0
         schema = None
 
+        def looked_up(word: bytes) -> int:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            value = term(word)
+            known[word] = value = value if value in sought else 0
+            return value
+
         def flush():
             nonlocal entries, terms, positions, base
             out = pa.RecordBatch.from_pylist([_packed(entries, terms, positions)], schema=schema)
@@ -152,13 +197,14 @@ def build_index(docs: DataFrame, phrases: Phrases, scratch: Scratch, segment_wor
                 ("terms", pa.binary()), ("positions", pa.binary())])
             ids = batch.column(0).to_pylist()
             for k, text in enumerate(batch.column(1).to_pylist()):
-                seq = np.array([get(w, -1) for w in words(text)], np.int64)
+                get = known.get
+                seq = np.array([looked_up(w) if (t := get(w)) is None else t for w in words(text)], np.int64)
                 row += 1
                 first = 0
                 while True:
                     room = max(segment_words - base, 2 * longest)
                     last = min(len(seq), first + room)
-                    at = np.flatnonzero(seq[first:last] >= 0)
+                    at = np.flatnonzero(seq[first:last])
                     entries.append({"row": f"{part}-{row}", "doc_id": ids[k], "first": first, "words": len(seq), "base": base, "lap": last - first})
                     terms.append(seq[first:last][at])
                     positions.append(at + base)
@@ -174,34 +220,41 @@ def build_index(docs: DataFrame, phrases: Phrases, scratch: Scratch, segment_wor
     return scratch.cut(map_batches(docs.select("doc_id", "text"), segments, _SEGMENT.format(kind=kind)))
 
 
+_HIT = "row string, spans array<long>, items array<struct<item:long,id:string>>"
+
+
 def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
-    """For each document part of the index: row, doc_id, words, spans (starts and ends of hit words, merged), items (numbers)."""
-    kind = index.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
+    """For each document part of the index with a match: row, spans (starts and ends of hit words, merged), items (row number, id)."""
     shared = index.sparkSession.sparkContext.broadcast(phrases)
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sought = shared.value
+        named = [{"item": r, "id": i} for r, i in zip(sought.rows, sought.ids, strict=True)]
+        schema = pa.schema([("row", pa.string()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.struct([("item", pa.int64()), ("id", pa.string())])))])
         for batch in batches:
-            for segment in batch.to_pylist():
-                t = np.frombuffer(segment["terms"], np.int32).astype(np.int64)
-                p = np.frombuffer(segment["positions"], np.int32).astype(np.int64)
-                phrase, start = Segment(t, p, len(sought.terms)).matches(sought, slop)
-                entries = segment["docs"]
-                bases = np.array([d["base"] for d in entries], np.int64)
+            for k in range(batch.num_rows):
+                t = np.frombuffer(batch.column(1)[k].as_py(), np.int64)
+                p = np.frombuffer(batch.column(2)[k].as_py(), np.int32).astype(np.int64)
+                at = np.searchsorted(sought.terms, t)
+                there = (at < len(sought.terms)) & (sought.terms[np.minimum(at, max(0, len(sought.terms) - 1))] == t) if len(sought.terms) else np.zeros(len(t), bool)
+                phrase, start = Segment(at[there], p[there], len(sought.terms)).matches(sought, slop)
+                if not len(start):
+                    continue
+                docs = batch.column(0)[k].as_py()
+                bases = np.array([d["base"] for d in docs], np.int64)
                 owner = np.searchsorted(bases, start, side="right") - 1
                 order = np.lexsort((start, owner))
                 phrase, start, owner = phrase[order], start[order], owner[order]
-                cuts = np.searchsorted(owner, np.arange(len(entries) + 1))
-                out: dict[str, list] = {"row": [], "doc_id": [], "words": [], "spans": [], "items": []}
-                for k, d in enumerate(entries):
-                    lo, hi = cuts[k], cuts[k + 1]
+                out = []
+                for o in np.unique(owner):
+                    d, (lo, hi) = docs[o], np.searchsorted(owner, [o, o + 1])
                     begin = start[lo:hi] - d["base"] + d["first"]
-                    spans, items = _merged(begin, begin + sought.size[phrase[lo:hi]]), {i for p in np.unique(phrase[lo:hi]) for i in sought.items[p]}
-                    for name, value in zip(out, (d["row"], d["doc_id"], d["words"], spans, sorted(items)), strict=True):
-                        out[name].append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.string()), pa.array(out["doc_id"], batch.schema.field("docs").type.value_type.field("doc_id").type), pa.array(out["words"], pa.int64()), pa.array(out["spans"], pa.list_(pa.int64())), pa.array(out["items"], pa.list_(pa.int64()))], names=list(out))
+                    spans = _merged(np.maximum(begin, 0), np.minimum(begin + sought.size[phrase[lo:hi]], d["words"]))
+                    items = {i for q in np.unique(phrase[lo:hi]) for i in sought.items[q]}
+                    out.append({"row": d["row"], "spans": spans, "items": [named[i] for i in sorted(items)]})
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return map_batches(index.select("docs", "terms", "positions"), looked_up, f"row string, doc_id {kind}, words long, spans array<long>, items array<long>")
+    return map_batches(index.select("docs", "terms", "positions"), looked_up, _HIT)
 
 
 def _merged(begin: np.ndarray, end: np.ndarray) -> list[int]:
@@ -213,90 +266,82 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> list[int]:
     return np.stack([begin[new], reach[np.append(new[1:], len(begin)) - 1]], axis=1).ravel().tolist()
 
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple]]:
-    """The test items, in blocks of a bounded number of words, one block on the driver at a time."""
+def item_blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple]]:
+    """(row number, id, words) of the test items in blocks of a bounded number of words, one block on the driver at a time.
+
+    An item longer than a block is split into pieces that overlap by a window less a word, so no window is lost.
+    """
     block, load = [], 0
-    for row in items.select("item_id", "text").toLocalIterator():
-        size = len(row.text or "") // 2 + 1
-        if block and load + size > block_words:
-            yield block
-            block, load = [], 0
-        block.append((row.item_id, row.text))
-        load += size
+    for number, row in enumerate(items.select("item_id", "text").toLocalIterator()):
+        said = words(row.text)
+        step = max(block_words, window)
+        for low in range(0, max(1, len(said) - window + 1), step):
+            piece = said[low : low + step + window - 1]
+            if block and load + len(piece) > block_words:
+                yield block
+                block, load = [], 0
+            block.append((number, row.item_id, piece))
+            load += len(piece)
     if block:
         yield block
 
 
+def _indexed(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int, slop: int, segment_words: int, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """The index of docs and the hits (row, spans, items) of all items, a row for each part and block."""
+    items = scratch.cut(items.select("item_id", "text"))  # read twice, in one order
+    wanted = WordFilter()
+    for block in item_blocks(items, window, block_words):
+        for _, _, said in block:
+            wanted.longest = max(wanted.longest, min(window, len(said)))
+            for word in set(said):
+                wanted.add(term(word))
+    index = build_index(docs, wanted, scratch, segment_words)
+    hits = docs.sparkSession.createDataFrame([], _HIT)
+    for block in item_blocks(items, window, block_words):
+        hits = hits.unionByName(search(index, Phrases(block, window), slop))
+    return index, hits
+
+
 def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, segment_words: int = SEGMENT_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids (strings, in order), spans of every document row."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, spans, item_ids (strings, in order; null ids left out) of every document row."""
     scratch = Scratch(docs.sparkSession, "index")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = None
-    for block in item_blocks(items, block_words) or ():
-        phrases = Phrases(block, window)
-        part = search(build_index(docs, phrases, scratch, segment_words), phrases, slop)
-        names = docs.sparkSession.createDataFrame([(["" if i is None else str(i) for i in phrases.ids],)], "names array<string>").first().names
-        shared = docs.sparkSession.sparkContext.broadcast(names)
-        part = _named(part, shared, kind)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = _named(search(build_index(docs, p := Phrases([], window), scratch, segment_words), p), docs.sparkSession.sparkContext.broadcast([]), kind)
-    return _summed(found, kind)
-
-
-def _named(part: DataFrame, shared, kind: str) -> DataFrame:
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [[shared.value[i] for i in x] for x in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.string()))], names=["row", "doc_id", "words", "spans", "item_ids"])
-
-    return map_batches(part, named, f"row string, doc_id {kind}, words long, spans array<long>, item_ids array<string>")
+    index, hits = _indexed(docs, items, scratch, window, slop, segment_words, block_words)
+    each = index.select(F.explode("docs").alias("d")).where("d.first = 0").select("d.row", "d.doc_id", F.col("d.words").alias("n_words"))
+    return _summed(each, hits)
 
 
-def _summed(found: DataFrame, kind: str) -> DataFrame:
-    """One row a document: parts of a document and blocks of items put together. Only what was hit is gathered."""
-    whole = found.groupBy("row", "doc_id").agg(
-        F.first("words").alias("words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+def _summed(each: DataFrame, hits: DataFrame) -> DataFrame:
+    """Every document with its hits put together; only those that were hit are gathered."""
+    whole = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, hits = [], []
-            for flat in batch.column(3).to_pylist():
+            spans, hit = [], []
+            for flat in batch.column(1).to_pylist():
                 pairs = np.array(flat, np.int64).reshape(-1, 2)
                 pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 spans.append(_merged(pairs[:, 0], pairs[:, 1]))
-                hits.append(sum(spans[-1][1::2]) - sum(spans[-1][::2]))
-            ids = [sorted(x) for x in batch.column(4).to_pylist()]
-            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(hits, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans", "item_ids"])
+                hit.append(sum(spans[-1][1::2]) - sum(spans[-1][::2]))
+            items = batch.column(2).to_pylist()
+            ids = [sorted(i["id"] for i in x if i["id"] is not None) for x in items]
+            digests = [hashlib.sha256(",".join(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+            columns = [batch.column(0), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n_hit", "n_items", "items_sha256", "spans", "item_ids"])
 
-    return map_batches(whole, finished, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, spans array<long>, item_ids array<string>")
+    found = map_batches(whole, finished, "row string, n_hit long, n_items long, items_sha256 string, spans array<long>, item_ids array<string>")
+    joined = each.join(found, "row", "left")
+    empty = lambda c, value: F.coalesce(F.col(c), value).alias(c)
+    return joined.select(
+        "doc_id", "n_words", empty("n_hit", F.lit(0).cast("long")), empty("n_items", F.lit(0).cast("long")), empty("items_sha256", F.lit(hashlib.sha256(b"").hexdigest())),
+        empty("spans", F.array().cast("array<long>")), empty("item_ids", F.array().cast("array<string>")))
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, segment_words: int = SEGMENT_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents, all columns as they are, in which no window of an item occurs; each batch is its own segment."""
-    for block in item_blocks(items, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
-
-        def clean(texts: list, shared=shared) -> np.ndarray:
-            sought = shared.value
-            out = np.ones(len(texts), bool)
-            get = sought.terms.get
-            base, terms, positions, bases, first = 0, [], [], [], 0
-            for k, text in enumerate(texts):
-                seq = np.array([get(w, -1) for w in words(text)], np.int64)
-                at = np.flatnonzero(seq >= 0)
-                terms.append(seq[at])
-                positions.append(at + base)
-                bases.append(base)
-                base += len(seq) + sought.longest
-                if base >= segment_words or k == len(texts) - 1:
-                    t, p = np.concatenate(terms), np.concatenate(positions)
-                    order = np.lexsort((p, t))
-                    _, start = Segment(t[order], p[order], len(sought.terms)).matches(sought)
-                    out[first + np.unique(np.searchsorted(np.array(bases), start, side="right") - 1)] = False
-                    base, terms, positions, bases, first = 0, [], [], [], k + 1
-            return out
-
-        docs = keep_rows(docs, clean)
-    return docs
+    """The documents, all columns as they are, in which no window of an item occurs. Rows are known by their place, not by id."""
+    scratch = Scratch(docs.sparkSession, "clean")
+    docs, place = placed(docs, scratch)
+    keyed = docs.select("text", *place).select(F.struct("_file", "_line").alias("doc_id"), "text")
+    index, hits = _indexed(keyed, items, scratch, window, 0, segment_words, block_words)
+    each = index.select(F.explode("docs").alias("d")).select("d.row", "d.doc_id")
+    dirty = scratch.cut(each.join(hits.select("row").distinct(), "row", "left_semi").select("doc_id.*").distinct())
+    return rows_at(docs, place, dirty, "left_anti")

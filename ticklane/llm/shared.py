@@ -58,6 +58,27 @@ class Scratch:
         return out
 
 
+def placed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[Column]]:
+    """docs as a scan of files, and the columns _file (a hash of its file's path) and _line (its number there) that tell each row
+    from any other, whatever ids it has.  What is no plain scan is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = scratch.cut(docs)
+    place = docs.metadataColumn("_metadata")
+    return docs, [F.xxhash64(place["file_path"]).alias("_file"), place["row_index"].alias("_line")]
+
+
+def rows_at(docs: DataFrame, place: list[Column], chosen: DataFrame, how: str) -> DataFrame:
+    """The rows of docs, all columns as they are, whose place is in chosen (left_semi) or is not (left_anti).
+
+    Whole rows move at most once and are never sorted: the places are the hash table, broadcast only where Spark knows from
+    their files that they are few.
+    """
+    small = chosen.select("_file", "_line")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *place)
+    kept = rows.join(small.hint("shuffle_hash") if how == "left_semi" else small, ["_file", "_line"], how)
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], size: str, count: int) -> DataFrame:
     """rows joined, inner, with totals: one row a key, whose column ``size`` says how many of the ``count`` rows have the key.
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm.components import components
-from ticklane.llm.shared import ASCII_LOWER, Scratch, join_totals, map_batches, text_bytes
+from ticklane.llm.shared import ASCII_LOWER, Scratch, join_totals, map_batches, placed, rows_at, text_bytes
 
 SHINGLE = 4
 REACH = 4
@@ -199,14 +199,6 @@ def _classes(each: DataFrame, scratch: Scratch, segments: int | None, reach: int
     return join_totals(each, named, ["fp"], "rows", rows).drop("rows")
 
 
-def _placed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, list]:
-    """docs as a scan of files, and the columns (a hash of its file, its number there) that tell each row from any other."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        docs = scratch.cut(docs)
-    place = docs.metadataColumn("_metadata")
-    return docs, [F.xxhash64(place["file_path"]).alias("_file"), place["row_index"].alias("_line")]
-
-
 def keep_one(docs: DataFrame, segments: int | None = None, reach: int = REACH, width: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """Rows of docs, all columns as they are: one document of each group, the one with the smallest doc_id.
 
@@ -215,7 +207,7 @@ def keep_one(docs: DataFrame, segments: int | None = None, reach: int = REACH, w
     several rows with the least id the text with the least hash stays, of equal texts the first by place; null ids come last.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    docs, place = _placed(docs, scratch)
+    docs, place = placed(docs, scratch)
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
@@ -229,6 +221,4 @@ def keep_one(docs: DataFrame, segments: int | None = None, reach: int = REACH, w
     named = _classes(each, scratch, segments, reach, block)
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole", "_file", "_line")).alias("first"))
     chosen = scratch.cut(first.select(F.col("first._file").alias("_file"), F.col("first._line").alias("_line")))
-    whole_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *place)
-    kept = whole_rows.join(chosen.hint("shuffle_hash"), ["_file", "_line"], "left_semi")
-    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return rows_at(docs, place, chosen, "left_semi")
