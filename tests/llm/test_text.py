@@ -62,6 +62,76 @@ def test_statistics_are_finite(text):
     assert len(quality.statistics(text)) == len(quality.STATISTICS) and np.isfinite(quality.statistics(text)).all()
 
 
+def brute_statistics(text):
+    """The statistics read off characters and words, one definition a line."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\t-\r ]+", raw)
+    if not words:
+        return [0.0] * 28
+    n, size = len(words), len(raw)
+    lines = [x for x in (y.strip(b"\t\n\x0b\x0c\r ") for y in raw.split(b"\n")) if x]
+    count = collections.Counter(words)
+    share = lambda test: sum(map(test, raw)) / size
+    kind = lambda c: "d" if 48 <= c <= 57 else "u" if 65 <= c <= 90 else "l" if 97 <= c <= 122 else "w" if c in b"\t\n\x0b\x0c\r " else "s" if c in b".,;:'\"-?" else "m" if c < 128 else "h"
+    p = [k / size for k in collections.Counter(raw).values()]
+    line = collections.Counter(lines)
+    most = max(line.values())
+    top = next(x for x in lines if line[x] == most)
+    return [
+        np.log(1 + size), np.log(1 + n), share(lambda c: kind(c) == "d"), share(lambda c: kind(c) == "u"), share(lambda c: kind(c) == "m"),
+        share(lambda c: kind(c) == "s"), share(lambda c: c >= 0xC0), share(lambda c: kind(c) == "w"), -sum(x * np.log2(x) for x in p),
+        sum(map(len, words)) / n, max(map(len, words)), len(count) / n, max(count.values()) / n, sum(k == 1 for k in count.values()) / n,
+        sum(w[-1:] in [bytes([c]) for c in b"$%&*#!@^~|=<>+_/\\"] for w in words) / n, sum(len(w) > 1 and w.isupper() for w in words) / n,
+        sum(not w.isalpha() and all(c <= 64 for c in w) for w in words) / n, np.log(1 + len(lines)), size / len(lines),
+        1 - len(line) / len(lines), sum(len(x) < 25 for x in lines) / len(lines), sum(x[0] in b"-*|>#" for x in lines) / len(lines),
+        sum(sorted(count.values())[-5:]) / n, raw.count(b"!") / size, raw.count(b"|") / size, (raw.count(b"{") + raw.count(b"<") + raw.count(b"[")) / size,
+        most * len(top) / size, sum(words[i] == words[i + 1] for i in range(n - 1)) / n,
+    ]
+
+
+@given(st.text(alphabet="aBz 09\n\t.!|{<-é漢#*%", max_size=80))
+@settings(max_examples=150, deadline=None)
+def test_statistics_equal_brute_force(text):
+    assert np.allclose(quality.statistics(text), brute_statistics(text))
+
+
+def brute_fit(x, y, trees, depth, rate, bins, least, ridge):
+    """The same boosting by loops over rows; the margin of each row."""
+    n, width = x.shape
+    prior = np.log((y.sum() + 1) / (n - y.sum() + 1))
+    margin = np.full(n, prior)
+    cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1]))) for f in range(width)]
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        worth = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + ridge)  # noqa: B023, E731
+
+        def grow(rows, left, g=g, h=h, worth=worth):
+            best, gain = None, 1e-6
+            for f in range(width) if left else ():
+                for cut in cuts[f]:
+                    low, high = [r for r in rows if x[r, f] <= cut], [r for r in rows if x[r, f] > cut]
+                    rise = worth(low) + worth(high) - worth(rows) if min(len(low), len(high)) >= least else 0
+                    if rise > gain * (1 + 1e-9):
+                        best, gain = (low, high), rise
+            if best is None:
+                margin[rows] += -rate * g[rows].sum() / (h[rows].sum() + ridge)
+            else:
+                for part in best:
+                    grow(part, left - 1)
+
+        grow(list(range(n)), depth)
+    return margin
+
+
+def test_split_search_equals_brute_force():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(80, 3)), 1)
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.4)).astype(float)
+    how = {"trees": 3, "depth": 3, "rate": 0.3, "bins": 8, "least": 5, "ridge": 1.0}
+    assert np.allclose(gbt.fit(x, y, **how).margin(x), brute_fit(x, y, **how))
+
+
 def test_quality_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op1_quality(spark, d).collect()}
@@ -112,36 +182,76 @@ def test_lexicon_learns_stems_and_exceptions(spark):
     assert "nasty " in lexicon.weights and any(w.startswith("grumpste") for w in lexicon.weights)
     got = {r.doc_id: r.score for r in toxicity.score(df, lexicon).collect()}
     assert all((got[i] >= 0.7) == (i % 3 == 0) for i in got)
-    fresh = docs(spark, [(1, "you n@sty cat " * 3), (2, "the classic grumpstock grass"), (3, "сat on the grass"), *EDGES[:3]])
+    fresh = docs(spark, [(11, "you n@sty cat " * 3), (12, "the classic grumpstock grass"), (13, "сat on the grass"), *EDGES[:3]])
     scores = {r.doc_id: r.score for r in toxicity.score(fresh, lexicon).collect()}
-    assert scores[1] < scores[1] + 1 and scores[2] < 0.5 and scores[3] < 0.5
+    assert scores[11] > 0.9 and all(scores[i] < 0.5 for i in (1, 2, 3, 12, 13))
     kept = toxicity.keep_clean(docs(spark, [(1, "nasty grumpstera"), (2, "the cat")]), lexicon)
     assert [r.doc_id for r in kept.collect()] == [2]
 
 
+def test_final_signs_are_tried_too():
+    assert toxicity.folds("a55 grass4 x")[1:] == [" ass grassa x "] and toxicity.folds("assh0l3!") == [" asshol ", " asshole "]
+    assert toxicity.folds("in 2024, 5 %")[1:] == [] and toxicity.folds(None) == [" "]
+    lexicon = toxicity.Lexicon({"ass ": 2.0, "nasty ": 3.0})
+    total, words = toxicity.weigh(["you a55", "a55 nasty", "pass", "nasty5"], lexicon.automaton())
+    assert total.tolist() == [2.0, 5.0, 0.0, 3.0] and words.tolist() == [2, 2, 1, 1]
+
+
 def test_exceptions_take_weight_back():
     lexicon = toxicity.choose([("grump", 50, 2), ("grumpy ", 1, 40), ("rest ", 9, 900)], 60, 1000)
+    assert lexicon.exceptions == {"grumpy "}
     total, _ = toxicity.weigh(["grumpy", "grumpster", "GRUMPY grumpa"], lexicon.automaton())
     assert total[0] == 0 and total[1] > 0 and total[2] == pytest.approx(total[1])
 
 
-def brute_weight(text, lexicon):
-    folded = toxicity.fold(text)
-    found = 0.0
-    for sign, entries in ((1, lexicon.weights), (-1, lexicon.exceptions)):
-        for word, weight in entries.items():
-            found += sign * weight * sum(folded.startswith(f" {word}", k) for k in range(len(folded)))
-    return max(0.0, found)
+def test_phrases_become_exceptions(spark):
+    rng = np.random.default_rng(6)
+    plain = ["the", "cat", "sat", "on", "mat", "fish"]
+    texts, y = [], []
+    for i in range(400):
+        words = [plain[k] for k in rng.integers(0, 6, 30)]
+        if i % 4 == 0:
+            words[4], words[20] = "nasty", "skunk"
+        elif i % 32 == 1:
+            words[7:9] = ["nasty", "weather"]
+        elif i % 32 == 2:
+            words[7:10] = ["old", "skunk", "river"]
+        texts.append((i, " ".join(words)))
+        y.append((i, int(i % 4 == 0)))
+    lexicon = toxicity.train(docs(spark, texts), spark.createDataFrame(y, "doc_id long, toxic int"))
+    assert {"nasty weather ", "old skunk ", "skunk river "} <= lexicon.exceptions and "nasty " not in lexicon.exceptions
+    total, _ = toxicity.weigh(["nasty weather", "the nasty cat", "nasty weather nasty cat", "old skunk river"], lexicon.automaton())
+    assert total[0] == 0 < total[1] == total[2] and total[3] == 0
 
 
-def test_matches_equal_brute_force():
-    lexicon = toxicity.Lexicon({"ab": 2.0, "abc ": 1.5, "x ": 1.0}, {"abx ": 2.0})
-    texts = ["ab abc abcd abx x xx", "", None, "AB-abc_x", "ab" * 50, "x " * 40]
+def brute_weight(text, lexicon):
+    best = 0.0
+    for folded in toxicity.folds(text):
+        at = lambda key: [(k, k + len(key) + 1) for k in range(len(folded)) if folded.startswith(f" {key}", k)]  # noqa: B023, E731
+        spared = [x for key in lexicon.exceptions for x in at(key)]
+        best = max(best, sum(w for key, w in lexicon.weights.items() if key not in lexicon.exceptions for a, b in at(key) if not any(c <= a and b <= d for c, d in spared)))
+    return best
+
+
+@given(st.lists(st.text(alphabet="ab5 x", max_size=40), max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_matches_equal_brute_force(more):
+    lexicon = toxicity.Lexicon({"ab": 2.0, "abc ": 1.5, "x ": 1.0, "a": 0.25, "bs ": 4.0}, frozenset({"abx ", "x ab ", "a b x "}))
+    texts = ["ab abc abcd abx x xx", "", None, "AB-abc_x", "ab" * 50, "x " * 40, "x ab x", *more]
     total, words = toxicity.weigh(texts, lexicon.automaton())
     assert total.tolist() == pytest.approx([brute_weight(t, lexicon) for t in texts])
     assert words.tolist() == [len(toxicity.fold(t).split()) for t in texts]
 
 
+def test_toxicity_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op3_toxicity(spark, d).collect()}
+    labels = {r.doc_id: r.toxic for r in queries.table(spark, d, "labels").collect()}
+    held = [i for i in labels if i in got and got[i].held_out]
+    assert len(got) == 1000 and all(got[i].predicted == 0 for i in held if not labels[i])
+    assert np.mean([got[i].predicted for i in held if labels[i]]) > 0.8  # a tenth of those labelled 1 hold no telling word
+
+
 def test_toxicity_edge_rows(spark):
     labels = spark.createDataFrame([(1, 0), (2, None), (5, 1), (None, 1)], "doc_id long, toxic int")
     df = docs(spark, EDGES)
@@ -214,7 +324,7 @@ def test_word_filter():
     terms = [decontam.term(b"%d" % k) for k in range(4_000)]
     for t in terms[:2_000]:
         wanted.add(t)
-    assert all(t in wanted for t in terms[:2_000]) and sum(t in wanted for t in terms[2_000:]) < 100
+    assert all(t in wanted for t in terms[:2_000]) and sum(t in wanted for t in terms[2_000:]) < 200
 
 
 def test_overlaps_of_empty_tables(spark):
@@ -402,9 +512,13 @@ def test_settle_keeps_one_table(spark, tmp_path):
 
 def greedy(word, begin, rest):
     i = n = 0
+    longest = max(map(len, begin | rest), default=0)
+    if "" in begin and not any(word[:j] in begin for j in range(1, longest + 1)):
+        n = 1  # the bare mark, then pieces that go on
+        begin = rest
     while i < len(word):
         known = rest if i else begin
-        j = next((j for j in range(len(word), i, -1) if word[i:j] in known), None)
+        j = next((j for j in range(min(len(word), i + longest), i, -1) if word[i:j] in known), None)
         if j is None:
             return 0
         i, n = j, n + 1
@@ -426,10 +540,9 @@ def test_token_counts_equal_greedy(spark):
     want = []
     for i, t in texts:
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
-        counts = {w: greedy(w, begin, rest) if len(w) < 1000 else tokencount.Automaton([], []).count(w) or None for w in set(words)}
-        if None not in counts.values():
-            want.append((i, len(words), sum(counts[w] or 1 for w in words), sum(not counts[w] for w in words)))
-    assert set(want) <= set(got) and len(got) == len(texts)
+        counts = {w: greedy(w, begin, rest) for w in set(words)}
+        want.append((i, len(words), sum(counts[w] or 1 for w in words), sum(not counts[w] for w in words)))
+    assert sorted(want) == got and max(len(w) for _, t in texts for w in t.split()) == 300_000
 
 
 def test_words_that_only_the_bare_begin_mark_begins(spark):

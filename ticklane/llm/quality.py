@@ -117,9 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", held: tup
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = map_batches(texts, measured, f"doc_id {kind}, x array<double>").join(y, "doc_id").select("doc_id", "x", "y").toArrow()
-    order = np.argsort(np.array(rows["doc_id"].to_pylist(), dtype=np.int64), kind="stable") if len(rows) else []
-    x = np.array(rows["x"].to_pylist(), float).reshape(len(rows), len(STATISTICS))[order]
-    return fit(x, np.array(rows["y"].to_pylist(), float)[order] if len(rows) else np.zeros(0), **how)
+    found = sorted(zip(rows["doc_id"].to_pylist(), rows["x"].to_pylist(), rows["y"].to_pylist(), strict=True))  # in every run the same order
+    return fit(np.array([x for _, x, _ in found], float).reshape(len(found), len(STATISTICS)), np.array([y for _, _, y in found], float), **how)
 
 
 def score(docs: DataFrame, forest: Forest, column: str = "score") -> DataFrame:
@@ -135,11 +134,13 @@ def score(docs: DataFrame, forest: Forest, column: str = "score") -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), scored, f"doc_id {kind}, {column} double")
 
 
-def keep_rows(docs: DataFrame, judge) -> DataFrame:
-    """Rows of docs, all columns as they are, for which judge(texts) (a list of texts to a boolean array) is true."""
+def keep_rows(docs: DataFrame, make) -> DataFrame:
+    """Rows of docs, all columns as they are, that a judge keeps: make() is called once a task and gives a function from a list of
+    texts to a boolean array."""
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = make()
         for batch in batches:
             yield batch.filter(pa.array(np.asarray(judge(batch.column(at).to_pylist()), bool)))
 
@@ -149,4 +150,4 @@ def keep_rows(docs: DataFrame, judge) -> DataFrame:
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
-    return keep_rows(docs, lambda texts: np.round(shared.value.score(matrix(texts)), 9) >= threshold)
+    return keep_rows(docs, lambda: lambda texts: np.round(shared.value.score(matrix(texts)), 9) >= threshold)
