@@ -708,34 +708,79 @@ def test_edited_and_cropped_copies_share_a_class(spark):
     assert got[900] == [900] and got[901] == [901] and got[902] == [902] and got[904] == [903] and got[None] == [0]
 
 
-@pytest.mark.parametrize("how", [{}, {"block": 3}])
-def test_image_classes_equal_those_of_all_pairs(spark, monkeypatch, how):
-    rng = np.random.default_rng(4)
-    pool, at = rng.integers(0, 256, (40, images.BITS // 8), dtype=np.uint8), rng.uniform(0, 400, (40, 2))
-    made = {}
-    for k in range(60):  # corners drawn from a pool, so that most entries have several images and third ones as heads
-        own = rng.choice(40, 7, replace=False)
-        geometry = np.column_stack([at[own] + rng.uniform(0, 50, 2), np.ones(7), np.zeros(7)]).astype(np.float32)
-        made[b"%d" % k] = pool[own], geometry
-    keys = {k: images.parts(d) + (np.arange(images.TABLES, dtype=np.int64) << images.CHUNK) for k, (d, _) in made.items()}
+def resampled(p, back, shape):
+    """The picture whose pixel (y, x) is p at back @ (y, x, 1), between pixels."""
+    ys, xs = np.mgrid[: shape[0], : shape[1]].astype(float)
+    return images._at(p, *(r[0] * ys + r[1] * xs + r[2] for r in back))
+
+
+def turned(p, degrees):
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    m = (p.shape[0] - 1) / 2
+    return resampled(p, [[c, -s, m - c * m + s * m], [s, c, m - s * m - c * m]], p.shape)
+
+
+def scaled(p, by):
+    calm = images._blurred(p, 0.5 * (1 / by**2 - 1) ** 0.5) if by < 0.7 else p
+    return resampled(calm, [[1 / by, 0, 0.5 / by - 0.5], [0, 1 / by, 0.5 / by - 0.5]], (round(p.shape[0] * by),) * 2)
+
+
+EDITS = {
+    "turn 10": lambda p: turned(p, 10), "turn 30": lambda p: turned(p, 30), "turn 45": lambda p: turned(p, 45), "turn 90": np.rot90,
+    "half": lambda p: scaled(p, 0.5), "0.8": lambda p: scaled(p, 0.8), "1.5": lambda p: scaled(p, 1.5), "double": lambda p: scaled(p, 2),
+    "crop of 9/16": lambda p: p[8:56, 10:58], "corner crop": lambda p: p[16:, 12:], "gamma": lambda p: 255 * (np.clip(p, 0, 255) / 255) ** 1.4,
+    "caption": lambda p: np.vstack([p[:50], np.full((14, 64), 240.0)]), "noise": lambda p: p + np.random.default_rng(int(p.sum()) % 999).normal(0, 4, p.shape),
+}
 
-    def fake(rows, scratch):
-        found = [(r.img, made[bytes(r.image)][0].tobytes(), made[bytes(r.image)][1].tobytes(), keys[bytes(r.image)].ravel().tolist()) for r in rows.collect()]
-        return spark.createDataFrame(found, "img long, descriptors binary, geometry binary, keys array<long>")
 
+def test_recall_of_edited_copies(spark):
+    """Sixty pictures, each edit: the share of copies that fall into their picture's class; no two pictures share one."""
+    rows = [(s, images.encode_pgm(picture(s))) for s in range(60)]
+    for k, edit in enumerate(EDITS.values()):
+        rows += [(1000 * (k + 1) + s, images.encode_pgm(np.rint(np.ascontiguousarray(edit(images.decode_pgm(rows[s][1]).astype(float)))))) for s in range(60)]
+    got = {r.image_id: r.class_id for r in images.classes(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert all(got[s] == s for s in range(60))
+    recall = {name: np.mean([got[1000 * (k + 1) + s] == s for s in range(60)]) for k, name in enumerate(EDITS)}
+    assert min(recall.values()) >= 0.9, recall
+
+
+def all_pairs(made):
+    """Least key of each key's class, from consensus of every pair."""
     root = {k: k for k in made}
     for x in made:
         for y in made:
-            pairs = np.argwhere((keys[x][:, None, :] == keys[y][None, :, :]).any(axis=2))
-            if x < y and images.consensus(*made[x], *made[y], pairs) >= images.INLIERS:
+            if x < y and root[x] != root[y] and images.consensus(*made[x], *made[y], images.possible(made[x][0], made[y][0])) >= images.INLIERS:
                 old, new = root[x], root[y]
                 root = {k: new if r == old else r for k, r in root.items()}
-    want = {int(k): min(int(j) for j in made if root[j] == root[k]) for k in made}
-    monkeypatch.setattr(images, "feature_table", fake)
-    got = images.classes(spark.createDataFrame([(int(k), bytearray(k)) for k in made], "image_id long, image binary"), **how)
+    return {k: min(j for j in made if root[j] == root[k]) for k in made}
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_image_classes_equal_those_of_all_pairs(spark, monkeypatch, block):
+    rng = np.random.default_rng(4)
+    pool, at = rng.integers(0, 256, (40, images.BITS // 8), dtype=np.uint8), rng.uniform(0, 400, (40, 2))
+    made = {}
+    for k in range(60):  # corners drawn from a pool, so that most entries have several images and third ones as heads
+        own = rng.choice(40, 7, replace=False)
+        geometry = np.column_stack([at[own] + rng.uniform(0, 50, 2), np.ones(7), np.zeros(7)]).astype(np.float32)
+        made[k] = pool[own], geometry
+    monkeypatch.setattr(images, "decode_pgm", lambda data: int(data))
+    monkeypatch.setattr(images, "features", lambda k: made[k])
+    monkeypatch.setattr(images, "map_batches", lambda df, function, schema: spark.createDataFrame([r for b in function(iter(df.toArrow().to_batches())) for r in map(tuple, map(dict.values, b.to_pylist()))], schema))
+    want = all_pairs(made)
+    got = images.classes(spark.createDataFrame([(k, b"%d" % k) for k in made], "image_id long, image binary"), block=block)
     assert {r.image_id: r.class_id for r in got.collect()} == want and 5 < len(set(want.values())) < 50
 
 
+def test_classes_of_drawn_pictures_equal_those_of_all_pairs(spark):
+    drawn = images.draw(spark.read.parquet(f"{SMALL}/embeddings.parquet").limit(60), "vec_id", "embedding").collect()
+    some = [(s, images.encode_pgm(np.rint(np.ascontiguousarray(e(picture(s % 4)))))) for s, e in enumerate(list(EDITS.values())[:12])]
+    rows = [(100 + r.vec_id, bytes(r.image)) for r in drawn] + some
+    want = all_pairs({k: images.features(images.decode_pgm(data)) for k, data in rows})
+    got = images.classes(spark.createDataFrame(rows, "image_id long, image binary"), block=7)
+    assert {r.image_id: r.class_id for r in got.collect()} == want
+
+
 def test_images_of_an_empty_table(spark):
     assert images.classes(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
