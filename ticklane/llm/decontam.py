@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +48,6 @@ def words(text: str | None) -> list[bytes]:
 
 def term(word: bytes) -> int:
     """A word's term: its XXH64 as a signed long, 1 for 0, which stands for no term."""
-    import xxhash
-
     value = xxhash.xxh64_intdigest(word) or 1
     return value - (1 << 64) if value >> 63 else value
 
@@ -61,15 +60,19 @@ class WordFilter:
         self.bytes = np.zeros(bits // 8, np.uint8)
         self.longest = 1  # words of the longest phrase
 
-    def _places(self, value: int) -> tuple[int, int]:
+    def _places(self, value):
         return value & self.mask, value >> 32 & self.mask
 
     def add(self, value: int) -> None:
         for place in self._places(value):
             self.bytes[place >> 3] |= 1 << (place & 7)
 
-    def __contains__(self, value: int) -> bool:
-        return all(self.bytes[place >> 3] >> (place & 7) & 1 for place in self._places(value))
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        """Which terms may be in it."""
+        out = np.ones(len(values), bool)
+        for place in self._places(values):
+            out &= (self.bytes[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+        return out
 
 
 class Phrases:
@@ -178,12 +181,14 @@ def build_index(docs: DataFrame, wanted: WordFilter, scratch: Scratch, segment_w
         positions: list[np.ndarray] = []
         schema = None
 
-        def looked_up(word: bytes) -> int:
-            if len(known) >= REMEMBERED:
+        def looked_up(found: list[bytes]) -> np.ndarray:
+            fresh = [w for w in dict.fromkeys(found) if w not in known]
+            if len(known) + len(fresh) > REMEMBERED:
                 known.clear()
-            value = term(word)
-            known[word] = value = value if value in sought else 0
-            return value
+                fresh = list(dict.fromkeys(found))
+            values = np.array([term(w) for w in fresh], np.int64)
+            known.update(zip(fresh, np.where(sought.holds(values), values, 0).tolist(), strict=True))
+            return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
         def flush():
             nonlocal entries, terms, positions, base
@@ -197,8 +202,7 @@ def build_index(docs: DataFrame, wanted: WordFilter, scratch: Scratch, segment_w
                 ("terms", pa.binary()), ("positions", pa.binary())])
             ids = batch.column(0).to_pylist()
             for k, text in enumerate(batch.column(1).to_pylist()):
-                get = known.get
-                seq = np.array([looked_up(w) if (t := get(w)) is None else t for w in words(text)], np.int64)
+                seq = looked_up(words(text))
                 row += 1
                 first = 0
                 while True:
