@@ -759,11 +759,11 @@ def all_pairs(made):
 @pytest.mark.parametrize("block", [512, 3])
 def test_image_classes_equal_those_of_all_pairs(spark, monkeypatch, block):
     rng = np.random.default_rng(4)
-    pool, at = rng.integers(0, 256, (40, images.BITS // 8), dtype=np.uint8), rng.uniform(0, 400, (40, 2))
+    pool, at = rng.integers(0, 256, (50, images.BITS // 8), dtype=np.uint8), rng.uniform(0, 400, (50, 2))
     made = {}
     for k in range(60):  # corners drawn from a pool, so that most entries have several images and third ones as heads
-        own = rng.choice(40, 7, replace=False)
-        geometry = np.column_stack([at[own] + rng.uniform(0, 50, 2), np.ones(7), np.zeros(7)]).astype(np.float32)
+        own = rng.choice(50, 6, replace=False)
+        geometry = np.column_stack([at[own] + rng.uniform(0, 50, 2), np.ones(6), np.zeros(6)]).astype(np.float32)
         made[k] = pool[own], geometry
     monkeypatch.setattr(images, "decode_pgm", lambda data: int(data))
     monkeypatch.setattr(images, "features", lambda k: made[k])

@@ -13,7 +13,7 @@ then images that share entries and are still in different classes are compared,
 entry, the images of its largest class meet those of the others, which meet one another; nothing is paired within a class.
 Entries of many images are dealt to blocks of about ``BLOCK``, and pairs of blocks meet in their own tasks.  Of entries with
 more than ``BLOCK`` images each image leaves out its ``SPARED`` most frequent ones, and pairs need so many matches less to be
-compared: two images that share four entries share two at least that neither leaves out.
+compared: of INLIERS entries that two images share, one at least is left out by neither.
 
 Defined cases: a null, empty or malformed image, and one too small or too flat for corners, has no features and is a class of
 its own with its exact copies (nulls are no copies of one another); null ids are never a class's name; repeated rows share a
@@ -35,17 +35,17 @@ from pyspark.sql import functions as F
 from ticklane.llm.components import components
 from ticklane.llm.shared import Scratch, join_totals, map_batches
 
-BITS, TABLES, CHUNK = 256, 4, 40
+BITS, TABLES, CHUNK = 288, 6, 48
 #: Pixels around a corner that its descriptor sees, and how near to the border corners are looked for.
-RADIUS, MARGIN = 10, 3
+RADIUS, MARGIN = 10, 4
 #: Ratio of neighbouring levels of the pyramid; blur (deviation in pixels) before corners and before the tests.
 STEP, BLUR, SOFT = 2 ** (1 / 3), 1.5, 1.5
 #: Pixels that the shorter side of the smallest level has at least.
-LEAST = 16
+LEAST = 14
 #: Corners of a level, strongest first: one for so many pixels of its mean side, and so many at least.
 PIXELS, CORNERS = 3, 16
 #: Bits of a match's descriptors that may differ; matches that must agree; how far off (pixels, and share of the distance).
-REACH, INLIERS, SLACK, BEND = 44, 4, 3.0, 0.07
+REACH, INLIERS, SLACK, BEND = 50, 3, 3.0, 0.07
 #: A proposal with so many votes needs no better one.
 ENOUGH = 8
 #: Images of a table entry that meet in one task.
@@ -53,10 +53,16 @@ BLOCK = 512
 
 
 def _pattern(seed: int = 7) -> np.ndarray:
-    """Points of the tests around an upright corner: (bits, 2, 2) offsets (y, x), even over the disc."""
+    """Points of the tests around an upright corner: (bits, 2, 2) offsets (y, x), even over the disc.
+
+    Two points lie rather beside each other than along the corner's direction, in which a patch grows brighter by itself: such
+    tests would say the same of most corners.
+    """
     rng = np.random.default_rng(seed)
-    far, way = 0.95 * RADIUS * np.sqrt(rng.random((BITS, 2))), 2 * np.pi * rng.random((BITS, 2))
-    return np.stack([far * np.sin(way), far * np.cos(way)], axis=2)
+    far, way = 0.95 * RADIUS * np.sqrt(rng.random((8 * BITS, 2))), 2 * np.pi * rng.random((8 * BITS, 2))
+    points = np.stack([far * np.sin(way), far * np.cos(way)], axis=2)
+    across = np.abs(points[:, 1] - points[:, 0])
+    return points[across[:, 1] <= across[:, 0]][:BITS]
 
 
 _PATTERN = _pattern()
@@ -253,7 +259,7 @@ def _linked(pairs: DataFrame, table: DataFrame) -> DataFrame:
 def _between(named: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     """a, b: images of different classes with enough possible matches, from the entries (entry, img, i, root) they are in."""
     classes_ = named.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = classes_.groupBy("entry").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main")).where("classes > 1")
+    mixed = classes_.groupBy("entry").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).where("classes > 1")
     rows = scratch.cut(join_totals(named, mixed.drop("classes"), ["entry"], "n", named.count()))
     # images leave out their most frequent long entries, in one order for all images
     line = W.partitionBy("img").orderBy(F.col("n").desc(), "entry", "i")
@@ -261,10 +267,12 @@ def _between(named: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     out = scratch.cut(long_.select("entry", "img", "i"))
     spared = out.groupBy("img").agg(F.count(F.lit(1)).alias("spared"))
     rows = rows.join(out, ["entry", "img", "i"], "left_anti").join(spared, "img", "left").fillna({"spared": 0})
-    rows = scratch.cut(rows.withColumns({"own": F.pmod(F.xxhash64("img"), F.ceil(F.col("n") / block)), "parts": F.ceil(F.col("n") / block)}))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    left = rows.where("root <> main").select("entry", F.col("own").alias("part"), each.alias("other"), "root", F.col("img").alias("a"), "i", F.col("spared").alias("s"))
-    right = rows.select("entry", each.alias("part"), F.col("own").alias("other"), F.col("root").alias("root2"), "main", F.col("img").alias("b"), F.col("i").alias("j"), F.col("spared").alias("s2"))
+    # the images outside the main class, in blocks, meet blocks of all; where they are few, the many are not repeated
+    rows = scratch.cut(rows.withColumns({"lefts": F.ceil((F.col("n") - F.col("most")) / block), "rights": F.ceil(F.col("n") / block)}))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    own = lambda parts: F.pmod(F.xxhash64("img"), F.col(parts))
+    left = rows.where("root <> main").select("entry", own("lefts").alias("part"), each("rights").alias("other"), "root", F.col("img").alias("a"), "i", F.col("spared").alias("s"))
+    right = rows.select("entry", each("lefts").alias("part"), own("rights").alias("other"), F.col("root").alias("root2"), "main", F.col("img").alias("b"), F.col("i").alias("j"), F.col("spared").alias("s2"))
     met = left.join(right, ["entry", "part", "other"]).where((F.col("root2") == F.col("main")) | (F.col("root") < F.col("root2")))
     ends = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.array("i", "j")).otherwise(F.array("j", "i")).alias("m"), F.greatest("s", "s2").alias("s")]
     pairs = met.select(*ends).groupBy("x", "y").agg(F.collect_set("m").alias("m"), F.max("s").alias("s"))

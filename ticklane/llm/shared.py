@@ -87,7 +87,8 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], size: str,
     more = [c for c in totals.columns if c not in keys]
     found = F.struct(*more)
     hot = F.broadcast(totals.where(F.col(size) * HOT_SHARE > count).select(*keys, found.alias("_hot")))
-    cold = totals.where(F.col(size) * HOT_SHARE <= count).select(*keys, F.lit(0).alias("_spread"), found.alias("_cold"))
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")  # a literal would be taken out of the join's keys
+    cold = totals.where(F.col(size) * HOT_SHARE <= count).select(*keys, zero.alias("_spread"), found.alias("_cold"))
     marked = rows.join(hot, keys, "left")
     spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(10_000)).cast("int") + 1)
     out = marked.withColumn("_spread", spread).join(cold, [*keys, "_spread"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
