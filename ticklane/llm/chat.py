@@ -46,7 +46,7 @@ LAYOUTS = {
 }
 # Other names of the canonical roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-KNOWN_PATHS = sorted({p for paths in LAYOUTS.values() for p in paths})
+KNOWN_PATHS = sorted({p for name, paths in LAYOUTS.items() if name != "turn_rows" for p in paths})
 
 
 def fingerprint(paths) -> str:
@@ -122,29 +122,30 @@ def json_paths(value: Column) -> Column:
         head, _, tail = path.partition("[].")
         if tail:
             return F.exists(F.try_variant_get(value, f"$.{head}", "array<variant>"), lambda m: F.try_variant_get(m, f"$.{tail}", "variant").isNotNull())
-        kind = F.schema_of_variant(F.try_variant_get(value, f"$.{head}", "variant"))
-        return kind.isNotNull() & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
+        kind = F.substring(F.schema_of_variant(F.try_variant_get(value, f"$.{head}", "variant")), 1, 5)
+        return ~F.coalesce(kind, F.lit("ARRAY")).isin("OBJEC", "ARRAY")
 
     return F.filter(F.array(*[F.when(has(p), F.lit(p)) for p in KNOWN_PATHS]), lambda p: p.isNotNull())
 
 
 def json_turns(df: DataFrame, column: str) -> DataFrame:
-    """Adds fingerprint (of the known paths), layout and turns of a column of JSON texts."""
-    value = F.try_parse_json(F.col(column))
-    paths = json_paths(value)
+    """Adds fingerprint (of the known paths), layout and turns of a column of JSON texts, each parsed once."""
+    had = df.columns
+    df = df.withColumn("__value", F.try_parse_json(F.col(column)))
+    value = F.col("__value")
+    df = df.withColumn("__paths", json_paths(value))
     mark = lambda found: F.sha2(F.array_join(found, "\n"), 256)
-    df = df.withColumn("fingerprint", mark(paths))
     layout, chosen = None, None
     for name, needed in reversed(LAYOUTS.items()):
         if name != "turn_rows":
-            fits = mark(F.array_intersect(F.array(*map(F.lit, needed)), paths)) == FINGERPRINTS[name]
+            fits = mark(F.array_intersect(F.array(*map(F.lit, needed)), F.col("__paths"))) == FINGERPRINTS[name]
             layout = F.when(fits, F.lit(name)) if layout is None else F.when(fits, F.lit(name)).otherwise(layout)
-    df = df.withColumn("layout", layout)
+    df = df.withColumns({"fingerprint": mark(F.col("__paths")), "layout": layout})
     get = lambda path, kind: F.try_variant_get(value, f"$.{path}", kind)
     for name in LAYOUTS:
         if name != "turn_rows":
             chosen = (F.when if chosen is None else chosen.when)(F.col("layout") == name, turns_of(name, get))
-    return df.withColumn("turns", chosen)
+    return df.withColumn("turns", chosen).select(*[c for c in had if c not in ("fingerprint", "layout", "turns")], "fingerprint", "layout", "turns")
 
 
 def escape(text: Column) -> Column:
