@@ -9,7 +9,7 @@ from ticklane.operators import ml
 from ticklane.plans import label_queries, ml_queries, trade_queries
 from ticklane.sources import remote, sinks
 from ticklane.sources.bars import bars_from_lineitem
-from ticklane.streaming import events, positions
+from ticklane.streaming import events, incremental, positions
 
 DAY = dt.date(2024, 1, 1)
 
@@ -53,6 +53,35 @@ def test_stream_upsert_keeps_one_row_a_key(spark):
     assert out.count() == out.select("code", "date").distinct().count() == bars_from_lineitem(spark, SMALL).count()
 
 
+def test_upsert_sink_goes_on_after_a_restart(spark, tmp_path):
+    kind = "code string, date date, close double, seen int"
+    row = lambda k, close, seen: (f"c{k}", DAY, close, seen)
+    base = str(tmp_path / "t")
+    incremental.UpsertSink(spark, ["code", "date"], base, ["seen"])(spark.createDataFrame([row(k, 1.0, 0) for k in range(5)], kind), 0)
+    again = incremental.UpsertSink(spark, ["code", "date"], base, ["seen"])  # a new object, as after a restart
+    fresh = spark.createDataFrame([row(4, 3.0, 1), row(4, 2.0, 2), *(row(k, 1.0, 0) for k in range(5, 10))], kind)
+    for _ in range(2):  # a batch that is run again gives the same table
+        again(fresh, 1)
+        got = {r.code: r.close for r in spark.read.parquet(again.version(spark)).collect()}
+        assert len(got) == 10 and got["c4"] == 2.0 and again.version(spark).endswith("/v1")
+
+
+def test_new_samples_take_all_of_a_new_code(spark):
+    rows = spark.createDataFrame([(c, DAY + dt.timedelta(days=k), float(k)) for c in "ab" for k in range(4)], "code string, date date, close double")
+    have = rows.where("code = 'a' AND close <= 1").select("code", "date")
+    got = sorted((r.code, r.close) for r in incremental.new_samples(rows, have).collect())
+    assert got == [("a", 2.0), ("a", 3.0), ("b", 0.0), ("b", 1.0), ("b", 2.0), ("b", 3.0)]
+    made = sorted((r.code, r.date.day, r.label, r.day1_close) for r in incremental.new_windows(rows, have, ["close"], 2, 1, 0.5).collect())
+    assert made == [("a", 3, 1, 1.0), ("b", 2, 1, 0.0), ("b", 3, 1, 1.0)]
+
+
+def test_walk_forward_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 0.5, 0.1), (2, "a", 0.7, 0.3), (1, "b", 0.9, 0.0)], "window_id int, variant string, hit_rate double, expectancy double")
+    one, two = sinks.save_walk_forward(df, str(tmp_path))
+    assert spark.read.parquet(one).count() == 3
+    assert [(r.variant, round(r.hit_rate, 6)) for r in spark.read.parquet(two).orderBy(F.col("hit_rate").desc()).collect()] == [("b", 0.9), ("a", 0.6)]
+
+
 def test_position_orders_follow_the_rules(spark, tmp_path):
     days = [DAY + dt.timedelta(days=k) for k in range(7)]
     tops = [True, True, False, False, True, True, False]

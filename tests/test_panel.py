@@ -189,7 +189,9 @@ def position(**over):
 
 
 def bar(**over):
-    return {"close": 10.0, "ema20": 9.0, "ema50": 8.0, "adx14": 30.0, "dist_high20": -0.01, "atr_pct": 0.02, "multifactor_score": 70.0, "rank_today": 1.0, "stop": 1.0, "signal": True} | over
+    row = {"close": 10.0, "ema20": 9.0, "ema50": 8.0, "adx14": 30.0, "dist_high20": -0.01, "atr_pct": 0.02, "multifactor_score": 70.0, "rank_today": 1.0, "stop": 1.0, "signal": True} | over
+    under, falling = row["close"] < row["ema20"], row["ema20"] < row["ema50"]
+    return row | {"under": under, "breakdown": under and falling or under and row["dist_high20"] < -0.12 or falling and row["adx14"] < 16}
 
 
 @pytest.mark.parametrize(
@@ -284,3 +286,128 @@ def test_config_merge():
     assert c.s1.atr_mul == 2.0 and c.s1.rsi_bull_low == cf.DEFAULT.s1.rsi_bull_low and c.cost_bp == 5.0
     with pytest.raises(KeyError):
         cf.DEFAULT.merged({"windows": {}})
+
+
+def test_variant_sets_have_the_styles_and_profiles():
+    every = {name: list(some) for name, some in cf.VARIANT_SETS.items()}
+    assert [len(every[k]) for k in ("full", "combo_compare", "meta_compare", "regime_compare", "pullback_compare", "pullback_exit_compare", "pullback_opt_compare")] == [13, 3, 4, 4, 3, 3, 2]
+    assert {p.exit_style for p in cf.VARIANT_SETS["pullback_exit_compare"].values()} == {"rank", "score", "trend"}
+    assert {p.strategy_profile for k in ("meta_compare", "regime_compare") for p in cf.VARIANT_SETS[k].values()} >= {"meta_switch_rsi_vol", "regime_switch"}
+
+
+def history(spark, rows):
+    return spark.createDataFrame(rows, "window int, best_variant string, label_score double, fallback string, x double, y double")
+
+
+def brute_pick(rows, i, k=5, least=6):
+    """The vote of the nearest earlier windows in plain Python."""
+    window, _, _, fallback, *mine = rows[i]
+    past = [r for r in rows if r[0] < window]
+    if len(past) < least:
+        return fallback
+    total = np.zeros(len(past))
+    for f in (4, 5):
+        values = np.array([np.nan if r[f] is None else r[f] for r in past])
+        middle = np.nanmedian(values)
+        spread = np.nanquantile(values, 0.75) - np.nanquantile(values, 0.25)
+        z = np.nan_to_num((values - middle) / (spread or 1.0))
+        total += (z - (mine[f - 4] - middle) / (spread or 1.0)) ** 2
+    near = sorted(zip(np.sqrt(total), [-r[2] for r in past], range(len(past)), strict=True))[:k]
+    votes = {}
+    for d, _, j in near:
+        votes[past[j][1]] = votes.get(past[j][1], 0.0) + 1 / max(d, 0.05)
+    return max(votes.items(), key=lambda kv: kv[1])[0]
+
+
+def test_meta_pick_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, "abc"[int(rng.integers(3))], float(rng.integers(5)), "f", float(rng.integers(4)), None if k == 3 else float(rng.normal())) for k in range(25)]
+    rows[10] = (10, "a", 9.0, "f", rows[4][4], rows[4][5])  # an exact repeat does not outvote everything: 1 / 0.05
+    got = {r.window: r.picked for r in portfolio.meta_pick(history(spark, rows), ["x", "y"]).collect()}
+    assert got == {r[0]: brute_pick(rows, i) for i, r in enumerate(rows)}
+
+
+def test_regime_summary_order_and_means(spark):
+    rows = [("r", 1, "a", 0, 0.5, 0.01, 10, 5.0, 60.0), ("r", 1, "b", 1, 0.6, 0.02, 20, 6.0, 60.0), ("r", 2, "a", 0, 0.7, 0.03, 30, 7.0, 50.0), ("r", 2, "b", 1, 0.4, 0.00, 40, 8.0, 55.0), ("q", 3, "b", 1, 0.1, 0.5, 1, 1.0, 9.0), ("q", 3, "a", 0, None, None, 0, None, -1e9)]
+    df = spark.createDataFrame(rows, "regime string, window_id int, variant string, variant_no int, hit_rate double, expectancy double, trade_count long, avg_hold_days double, score double")
+    got = [(r.regime, r.variant, r.win_count, r.avg_hold_days, r.score) for r in portfolio.regime_summary(df).collect()]
+    # of equal scores in window 1 the variant named first wins
+    assert got == [("q", "b", 1, 1.0, 9.0), ("q", "a", 0, None, -1e9), ("r", "a", 1, 6.0, 55.0), ("r", "b", 1, 7.0, 57.5)]
+
+
+def test_net_actions_prefer_the_candidates_weight(spark):
+    held = spark.createDataFrame([("a", DAY0, 10.0, 60.0, 0.2, "S1", 4), ("b", DAY0, 0.0, 60.0, 0.1, "S2", 4)], "code string, entry_date date, entry_price double, entry_score double, weight double, strategy string, days_held int")
+    top = spark.createDataFrame([("a", 1, 0.3, "S3", 11.0, "x"), ("c", 2, 0.25, "MF", 5.0, "why"), ("d", 3, 0.2, "S1", 6.0, "z")], "code string, place int, target_weight double, strategy string, close double, reason string")
+    last = spark.createDataFrame([("a", 12.0)], "code string, close double")
+    got = [tuple(r) for r in portfolio.net_actions(held, top, last, 3).collect()]
+    assert got == [("a", "HOLD", 0.3, "S3", DAY0, 10.0, 12.0, pytest.approx(0.2), "existing_position_hold"), ("b", "HOLD", 0.1, "S2", DAY0, 0.0, None, None, "existing_position_hold"), ("c", "BUY", 0.25, "MF", None, None, 5.0, None, "why")]
+    orders = spark.createDataFrame([(DAY0, DAY0 + dt.timedelta(days=k), "a", side, 1.0, 0.1, 50.0, "S1", "r") for k, side in ((1, "BUY"), (3, "SELL"), (3, "BUY"), (9, "BUY"))], "signal_date date, execute_date date, code string, side string, price double, weight double, score double, strategy string, reason string")
+    trades = spark.createDataFrame([("a", DAY0, DAY0 + dt.timedelta(days=3), 0.5)], "code string, entry_date date, exit_date date, pnl_pct double")
+    rows = portfolio.action_history(orders, trades, portfolio.net_actions(held, top, last, 3), DAY0 + dt.timedelta(days=4), recent_days=2).collect()
+    assert [(r.action_date.day - DAY0.day, r.action, r.code, r.pnl_pct) for r in rows] == [(4, "HOLD", "a", pytest.approx(0.2)), (4, "HOLD", "b", None), (3, "SELL", "a", 0.5), (3, "BUY", "a", None)]
+
+
+def test_risk_sim_counts_days_without_a_top_code(spark):
+    at = [DAY0 + dt.timedelta(days=k) for k in range(6)]
+    rows = [("v", at[k], "a", 10.0 + k, 0.05 if k < 2 else -1.0, -0.05) for k in (0, 1, 2, 4, 5)] + [("v", d, "z", 1.0, -1.0, -0.05) for d in at]
+    got = bt.risk_budget_sim(spark.createDataFrame(rows, "variant string, date date, code string, open double, pred_ret double, pred_mae double")).orderBy("date_open").collect()
+    # day 3, on which "a" has no bar, is its second day outside: it leaves at the next open
+    assert [(r.date_open, r.n_positions, r.sells) for r in got] == [(at[1], 1, 0), (at[2], 1, 0), (at[3], 1, 0), (at[4], 0, 1)]
+
+
+def test_events_without_an_entry_day_are_left_out(spark):
+    close = [100.0 + 0.3 * k for k in range(40)]
+    found = patterns.scan(frame(spark, close, volume=[100.0 + k for k in range(40)]))
+    assert found.where("entry_date IS NULL").count() == 0 and found.count() > 0
+
+
+def brute_holdings(days, p, cost):
+    """Trades of a portfolio in plain Python: days maps a date to (next date, exposure, {code: bar}, top codes in order)."""
+    held, out = {}, []
+    for date, (after, exposure, bars_, top) in days.items():
+        if after is None:
+            continue
+        for code in list(held):
+            pos, row = held[code], bars_.get(code)
+            if row is None:
+                continue
+            pos["days"] += 1
+            pos["peak"] = max(pos["peak"], row["close"])
+            why = portfolio._exit(pos, row, code in top, p)
+            if why and row["next_open"] is not None:
+                out.append((code, pos["date"], after, why, round((row["next_open"] - pos["price"]) / pos["price"] - cost, 9)))
+                del held[code]
+        room = max(0.0, exposure - sum(x["weight"] for x in held.values()))
+        fresh = [c for c in top if c not in held][: max(0, p.top_n - len(held))]
+        for code, weight in zip(fresh, portfolio.allocate([bars_[c]["strategy_score"] for c in fresh], room, p), strict=True):
+            if bars_[code]["next_open"] is not None and weight > 0:
+                held[code] = {"date": after, "price": bars_[code]["next_open"], "score": bars_[code]["strategy_score"], "weight": weight, "peak": bars_[code]["close"], "days": 0}
+    return out
+
+
+def test_holding_without_a_bar_keeps_its_age(spark):
+    """A held code without a bar on a day: its days held stay as they are."""
+    p = cf.Portfolio(max_hold_days=3, min_hold_days=1)
+    at = [DAY0 + dt.timedelta(days=k) for k in range(9)]
+    rows = []
+    for k, d in enumerate(at):
+        for code in "ab":
+            if not (code == "a" and k in (2, 3)):
+                rows.append({"date": d, "code": code, "day_next": at[k + 1] if k < 8 else None, "day_exposure": 0.5, "day_candidates": 1, "close": 10.0 + k, "atr_pct": 0.02, "multifactor_score": 70.0, "rank_today": 1.0, "stop": 1.0,
+                             "next_open": 10.5 + k if k < 8 else None, "place": 1.0 if code == "a" and k == 0 else None, "strategy_score": 70.0, "signal": True, "breakdown": False, "under": False, "strategy": "MF", "reason": ""})
+    import pandas as pd
+
+    events = portfolio._fold(pd.DataFrame(rows).sort_values(["date", "code"]), p, 0.0004)
+    (trade,) = [e for e in events if e["kind"] == "trade"]
+    assert (trade["entry_date"], trade["exit_date"], trade["days_held"], trade["reason"]) == (at[1], at[6], 3, "max_hold")
+    days_ = {d: (at[k + 1] if k < 8 else None, 0.5, {r["code"]: r for r in rows if r["date"] == d}, ["a"] if k == 0 else []) for k, d in enumerate(at)}
+    assert brute_holdings(days_, p, 0.0004) == [("a", at[1], at[6], "max_hold", round(trade["pnl_pct"], 9))]
+
+
+# Rows of a published threshold scan (threshold, precision, recall, f1, tp, fp, tn, fn).
+SCAN = [(0.0, 0.0, 0.0, 0.0, 0, 0, 10, 0), (0.5, 0.01839, 0.76188, 0.03591, None, None, None, None), (0.84, 0.14286, 0.17366, 0.15676, None, None, None, None)]
+
+
+def test_scan_vector_is_consistent():
+    for _, precision, recall, f1, *_ in SCAN[1:]:
+        assert math.isclose(2 * precision * recall / (precision + recall), f1, abs_tol=2e-5)

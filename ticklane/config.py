@@ -172,3 +172,41 @@ VARIANTS = {
     "quality_trend_longhold": _variant("quality_trend", 58, (15, 9999), 8, 16, (0.40, 0.60), 0.24),
     "value_trend": _variant("value_trend", 56, (10, 24), 5, 7, (0.35, 0.55), 0.24),
 }
+_COMBO = _variant("pullback_quality_combo", 58, (15, 9999), 8.5, 17, weight=0.25)
+_NO_TRAIL = {"trail_min_open_profit": 1.0, "trail_giveback_pct": 1.0, "trail_atr_buffer": 99.0}
+
+
+def _exit_by(style: str, mult: float, buffer: float, floors: tuple[float, float, float], **more) -> Portfolio:
+    return replace(_pullback_hold(45, 15, mult, buffer, floors), exit_style=style, **more)
+
+
+_LONG = {"pullback_longhold": VARIANTS["pullback_longhold"], "quality_trend_longhold": VARIANTS["quality_trend_longhold"], "pullback_quality_combo": _COMBO}
+# The sets of variants that are compared, each in its order (of equal scores the first is picked).
+VARIANT_SETS = {
+    "full": VARIANTS,
+    "combo_compare": _LONG,
+    "meta_compare": _LONG | {"meta_switch_rsi_vol": replace(_COMBO, strategy_profile="meta_switch_rsi_vol")},
+    "regime_compare": _LONG | {"regime_switch": replace(_COMBO, strategy_profile="regime_switch")},
+    "pullback_compare": {k: VARIANTS[k] for k in ("pullback_hold15", "pullback_hold30", "pullback_hold45")},
+    "pullback_exit_compare": {
+        "pullback_rank_exit": _exit_by("rank", 8, 15, (58, 15, 61)),
+        "pullback_score_exit": _exit_by("score", 10, 20, (61, 10, 64)),
+        "pullback_trend_exit": _exit_by("trend", 12, 24, (59, 12, 63)),
+    },
+    "pullback_opt_compare": {
+        "pullback_rank_exit": _exit_by("rank", 8, 15, (58, 15, 61), **_NO_TRAIL),
+        "pullback_rank_trail": _exit_by("rank", 8.5, 16, (57, 16, 60), trail_min_open_profit=0.10, trail_giveback_pct=0.06, trail_atr_buffer=1.1),
+    },
+}
+# The settings of a daily run's portfolio by profile; others than pullback share one row.
+DAILY = {"pullback": VARIANTS["pullback_longhold"]}
+DAILY |= {p: replace(_COMBO, strategy_profile=p) for p in ("quality_trend", "pullback_quality_combo")}
+# The valuation variants that tuned rule settings are tested with.
+VALUATION_VARIANTS = {
+    "baseline": {"enabled": False, "mode": "rank_only", "ml_weight": 0.0},
+    "value_pb": {"enabled": True, "mode": "rank_only", "pb_weight": 1.0, "ps_weight": 0.0},
+    "value_ps": {"enabled": True, "mode": "rank_only", "pb_weight": 0.0, "ps_weight": 1.0},
+    "value_pbps": {"enabled": True, "mode": "rank_only", "pb_weight": 0.5, "ps_weight": 0.5},
+    "value_soft_filter": {"enabled": True, "mode": "soft_filter", "pb_weight": 0.5, "ps_weight": 0.5},
+    "value_ml_combo": {"enabled": True, "mode": "rank_only", "pb_weight": 0.5, "ps_weight": 0.5, "ml_weight": 0.2, "tech_weight": 0.6, "value_weight": 0.2},
+}

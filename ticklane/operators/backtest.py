@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import pandas as pd
@@ -185,15 +186,16 @@ def risk_budget_sim(preds: DataFrame, budget: float = RISK_BUDGET, by: str = "va
     # a code that is never on top is never held: its rows stay out of the fold
     rows = preds.join(top.select(by, "code").distinct(), [by, "code"], "left_semi")
     rows = rows.join(top, [by, "date", "code"], "left").select(by, "date", "code", "open", "place", "risk", (F.col("pred_mae") < HARD_STOP).alias("stopped"))
+    rows = preds.select(by, "date").distinct().join(rows, [by, "date"], "left")  # days without such a code are days
     kind = rows.schema[by].dataType.simpleString()
 
     def folded(pdf: pd.DataFrame) -> pd.DataFrame:
-        days = {d: g.set_index("code") for d, g in pdf.sort_values(["date", "code"]).groupby("date", sort=True)}
+        days = {d: g[g["code"].notna()].set_index("code") for d, g in pdf.sort_values(["date", "code"]).groupby("date", sort=True)}
         dates = list(days)
         opens = {d: g["open"].to_dict() for d, g in days.items()}
         held: dict = {}
         equity, peak, worst, out = 1.0, 1.0, 0.0, []
-        for t, after in zip(dates, dates[1:], strict=False):
+        for k, (t, after) in enumerate(itertools.pairwise(dates), 1):
             day = days[t]
             ranked = day[day["place"].notna()].sort_values("place").index.tolist()
             stopped, present, risk = day["stopped"].to_dict(), set(day.index), day["risk"].to_dict()
@@ -214,7 +216,6 @@ def risk_budget_sim(preds: DataFrame, budget: float = RISK_BUDGET, by: str = "va
             for code in buys:
                 if code in opens[after]:
                     held[code] = {"out": 0, "weight": inverse[code] / (sum(inverse.values()) + 1e-12)}
-            k = dates.index(after)
             if k + 1 < len(dates):
                 later = dates[k + 1]
                 both = [(p["weight"], opens[after][x], opens[later][x]) for x, p in held.items() if x in opens[after] and x in opens[later] and p["weight"] > 0]

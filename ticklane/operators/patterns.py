@@ -125,12 +125,13 @@ def high_tight_flag(df: DataFrame, s: Flag = Flag()) -> DataFrame:  # noqa: B008
 
 
 def scan(bars: DataFrame, flag: Flag = Flag()) -> DataFrame:  # noqa: B008
-    """Events of all four patterns."""
+    """Events of all four patterns that can be entered: those at a code's end have no entry date and are left out."""
     df = ind.add_pattern_basics(bars)
-    return pullback_to_mean(df).unionByName(false_breakdown(df)).unionByName(small_up_days(df)).unionByName(high_tight_flag(df, flag))
+    every = pullback_to_mean(df).unionByName(false_breakdown(df)).unionByName(small_up_days(df)).unionByName(high_tight_flag(df, flag))
+    return every.where(F.col("entry_date").isNotNull())
 
 
-def with_forward(events: DataFrame, bars: DataFrame, horizon: int = 20) -> DataFrame:
+def with_forward(events: DataFrame, bars: DataFrame, horizon: int = 30) -> DataFrame:
     """Events with entry close and the highest and lowest close of the next ``horizon`` rows; a short tail counts."""
     ahead_ = bars.select("code", F.col("date").alias("entry_date"), F.col("close").alias("entry_close"), F.max("close").over(ahead(horizon)).alias("fut_max_close"), F.min("close").over(ahead(horizon)).alias("fut_min_close"))
     df = events.join(ahead_, ["code", "entry_date"], "left")

@@ -251,22 +251,29 @@ def active_profile(profile: str) -> Column:
         .when(b((regime == "range_bias") | (rsi < 48)), "pullback").otherwise("pullback_quality_combo"))
 
 
-def eligible(df: DataFrame, p: cf.Portfolio = cf.DEFAULT.portfolio) -> DataFrame:
-    """Rows of each day that the portfolio may buy, with strategy_profile and strategy_score."""
-    switched = p.strategy_profile in ("regime_switch", "meta_switch_rsi_vol")
-    df = df.withColumn("strategy_profile", active_profile(p.strategy_profile))
-    if switched:
+SWITCHED = ("regime_switch", "meta_switch_rsi_vol")
+
+
+def eligibility(p: cf.Portfolio, profile: Column | None = None) -> tuple[Column, Column]:
+    """Score of a row under a portfolio's profile and whether it may be bought. profile: a switched day's profile, as a column."""
+    if p.strategy_profile in SWITCHED:
         names = ("quality_trend", "pullback", "pullback_quality_combo")
         score, mask = F.lit(None).cast("double"), F.lit(False)
         for n in names:
-            score = F.when(F.col("strategy_profile") == n, F.col(f"profile_score_{n}")).otherwise(score)
-            mask = F.when(F.col("strategy_profile") == n, profile_mask(n)).otherwise(mask)
+            score = F.when(profile == n, F.col(f"profile_score_{n}")).otherwise(score)
+            mask = F.when(profile == n, profile_mask(n)).otherwise(mask)
     else:
         name = f"profile_score_{p.strategy_profile}"
         score, mask = F.col(name if p.strategy_profile in cf.PROFILES else "multifactor_score"), profile_mask(p.strategy_profile)
-    df = df.withColumn("strategy_score", score)
     signal = (F.col("s1_entry") == 1) | (F.col("s2_entry") == 1) | (F.col("s3_long_entry") == 1)
-    return df.where(F.col("market_state_index").isin("trend_ok", "neutral", "range_bias") & mask & (signal | b(F.col("strategy_score") >= p.min_score)))
+    return score, F.coalesce(F.col("market_state_index").isin("trend_ok", "neutral", "range_bias"), F.lit(False)) & mask & (signal | b(score >= p.min_score))
+
+
+def eligible(df: DataFrame, p: cf.Portfolio = cf.DEFAULT.portfolio) -> DataFrame:
+    """Rows of each day that the portfolio may buy, with strategy_profile and strategy_score."""
+    df = df.withColumn("strategy_profile", active_profile(p.strategy_profile))
+    score, fits = eligibility(p, F.col("strategy_profile"))
+    return df.withColumn("strategy_score", score).where(fits)
 
 
 def eligible_order() -> list[Column]:
@@ -278,13 +285,18 @@ def top_of_day(df: DataFrame, p: cf.Portfolio = cf.DEFAULT.portfolio) -> DataFra
     return eligible(df, p).withColumn("place", F.row_number().over(wd().orderBy(*eligible_order()))).where(F.col("place") <= p.top_n)
 
 
+def exposure(mean_score: Column, state: Column, least: Column, low: Column, base: Column, high: Column) -> Column:
+    """Target exposure of a day by its mean top score above the least one and by its most frequent state."""
+    strength = clip((mean_score - least) / F.greatest(92.0 - least, F.lit(1e-6)), 0.0, 1.0)
+    target = F.when(state == "trend_ok", base + (high - base) * strength).when(state == "range_bias", F.least(base, F.lit(0.35))).otherwise(low + (base - low) * strength)
+    return F.when(target < low, low).when(target > high, high).otherwise(target)
+
+
 def add_exposure(top: DataFrame, p: cf.Portfolio = cf.DEFAULT.portfolio) -> DataFrame:
-    """target_exposure of a day by its mean top score and its most frequent state."""
-    strength = clip((F.avg("strategy_score").over(wd()) - p.min_score) / max(92.0 - p.min_score, 1e-6), 0.0, 1.0)
+    """target_exposure of a day by its top rows."""
     state = F.coalesce(F.mode("market_state_index", deterministic=True).over(wd()), F.lit("neutral"))
-    low, base, high = p.min_total_exposure, p.base_total_exposure, p.max_total_exposure
-    target = F.when(state == "trend_ok", base + (high - base) * strength).when(state == "range_bias", F.lit(min(base, 0.35))).otherwise(low + (base - low) * strength)
-    return top.withColumn("target_exposure", clip(target, low, high))
+    bounds = (F.lit(float(x)) for x in (p.min_score, p.min_total_exposure, p.base_total_exposure, p.max_total_exposure))
+    return top.withColumn("target_exposure", exposure(F.avg("strategy_score").over(wd()), state, *bounds))
 
 
 def add_weights(top: DataFrame, p: cf.Portfolio = cf.DEFAULT.portfolio) -> DataFrame:

@@ -97,6 +97,16 @@ class Chain:
         return self.end(f"SELECT {said} FROM {{t}}" + (f" WHERE {where}" if where else ""))
 
 
+def beside(first: Chain, second: Chain) -> Chain:
+    """The tables of both; numbered ones of the second that the first lacks get names of their own. The second is current."""
+    import re
+
+    fresh = [p for p in second.parts if p not in first.parts]
+    names = {m[1] for p in fresh if (m := re.match(r"(t\d+) AS", p))}
+    mine = lambda text: re.sub(r"\bt\d+\b", lambda m: f"u{m[0][1:]}" if m[0] in names else m[0], text)
+    return Chain([*first.parts, *map(mine, fresh)], mine(second.at))
+
+
 def ewm(chain: Chain, source: str, name: str, alpha: str, least: int) -> Chain:
     """Exponential mean by recursion over the rows that have a value (null before its first one only)."""
     k = len(chain.parts)

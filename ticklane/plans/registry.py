@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ticklane.plans import indicator_queries, label_queries, ml_queries, signal_queries, trade_queries
+from ticklane.plans import indicator_queries, label_queries, ml_queries, portfolio_queries, signal_queries, trade_queries
 
-MODULES = (indicator_queries, signal_queries, trade_queries, label_queries, ml_queries)
+MODULES = (indicator_queries, signal_queries, trade_queries, portfolio_queries, label_queries, ml_queries)
 
 
 def queries() -> dict:

@@ -150,7 +150,25 @@ register("risk_candidates", lambda s, d: rounded(bt.candidate_pool(bt.add_risk(r
 register("topcap_prefix", lambda s, d: rounded(bt.top_prefix(bt.candidate_pool(bt.add_risk(risk_preds(s, d)))), ["risk"], ("code", "date", "place")), _prefix.show(["risk"], plain=("code", "date", "place")))
 register("risk_parity", lambda s, d: rounded(bt.risk_parity(bt.top_prefix(bt.candidate_pool(bt.add_risk(risk_preds(s, d))))), ["weight"]),
          _prefix.add(_i="1.0 / greatest(risk, 1e-6)").add(weight="_i / (sum(_i) OVER (PARTITION BY date) + 1e-12)").show(["weight"]))
-register("risk_budget_sim", lambda s, d: rounded(bt.risk_budget_sim(risk_preds(s, d)), ["ret", "equity", "drawdown", "max_drawdown"], ("date_open", "next_date_open", "n_positions", "buys", "sells")))
+_held = "CAST([] AS STRUCT(code BIGINT, out_ BIGINT, w DOUBLE)[])"
+_budget = o.Chain(_prefix.parts, _risk.at).table("SELECT date, row_number() OVER (ORDER BY date) AS k, map_from_entries(list((code, {{'o': open, 's': pred_mae < -0.08, 'r': risk}}))) AS m FROM {t} GROUP BY date", "dd").table(
+    f"SELECT a.k, a.m, coalesce((SELECT list(p.code ORDER BY place) FROM {_prefix.at} p WHERE p.date = a.date), []) AS top, b.date AS d1, b.m AS m1, c.date AS d2, c.m AS m2 FROM dd a JOIN dd b ON b.k = a.k + 1 JOIN dd c ON c.k = a.k + 2", "ds").table(
+    f"""SELECT 0::BIGINT AS k, {_held} AS held, 1.0::DOUBLE AS equity, 1.0::DOUBLE AS peak, 0.0::DOUBLE AS worst, 0.0::DOUBLE AS ret, 0::BIGINT AS buys, 0::BIGINT AS sells, NULL::DATE AS d1, NULL::DATE AS d2
+    UNION ALL
+    SELECT k, h3, e, greatest(peak, e), least(worst, e / (greatest(peak, e) + 1e-12) - 1), ret2, len(bought), len(gone), d1, d2
+    FROM (SELECT *, equity * (1 + ret2) AS e
+          FROM (SELECT *, CASE WHEN coalesce(list_sum(list_transform(two, lambda x: x.w)), 0) > 1e-12 THEN list_sum(list_transform(two, lambda x: x.w * (x.b / (x.a + 1e-12) - 1))) / list_sum(list_transform(two, lambda x: x.w)) ELSE 0 END AS ret2
+                FROM (SELECT *, list_filter(list_transform(h3, lambda h: {{{{'w': h.w, 'a': m1[h.code].o, 'b': m2[h.code].o}}}}), lambda x: x.w > 0 AND x.a IS NOT NULL AND x.b IS NOT NULL) AS two
+                      FROM (SELECT *, list_filter(h1, lambda h: NOT h.go OR m1[h.code] IS NULL).list_transform(lambda h: {{{{'code': h.code, 'out_': h.out_, 'w': h.w}}}})
+                                   || list_filter(bought, lambda c: m1[c] IS NOT NULL).list_transform(lambda c: {{{{'code': c, 'out_': 0::BIGINT, 'w': (1 / greatest(m[c].r, 1e-6)) / (list_sum(list_transform(bought, lambda z: 1 / greatest(m[z].r, 1e-6))) + 1e-12)}}}}) AS h3
+                            FROM (SELECT *, list_filter(top, lambda c: NOT list_contains(list_transform(held, lambda h: h.code), c))[1:greatest(0, len(top) - (len(h1) - len(gone)))] AS bought
+                                  FROM (SELECT *, list_filter(h1, lambda h: h.go) AS gone
+                                        FROM (SELECT *, list_transform(h0, lambda h: {{{{'code': h.code, 'out_': h.out_, 'w': h.w, 'go': h.st OR h.out_ >= 2}}}}) AS h1
+                                              FROM (SELECT ds.*, sim.held, sim.equity, sim.peak, sim.worst, list_transform(sim.held, lambda h: {{{{'code': h.code, 'w': h.w, 'st': coalesce(ds.m[h.code].s, false),
+                                                           'out_': CASE WHEN coalesce(ds.m[h.code].s, false) THEN h.out_ WHEN list_contains(ds.top, h.code) THEN 0 ELSE h.out_ + 1 END}}}}) AS h0
+                                                    FROM sim JOIN ds ON ds.k = sim.k + 1))))))))""", "sim")
+register("risk_budget_sim", lambda s, d: rounded(bt.risk_budget_sim(risk_preds(s, d)), ["ret", "equity", "drawdown", "max_drawdown"], ("date_open", "next_date_open", "n_positions", "buys", "sells")),
+         _budget.end("SELECT d1 AS date_open, d2 AS next_date_open, CAST(len(held) AS INT) AS n_positions, CAST(buys AS INT) AS buys, CAST(sells AS INT) AS sells, round(ret, 6) AS ret, round(equity, 6) AS equity, round(equity / (peak + 1e-12) - 1, 6) AS drawdown, round(worst, 6) AS max_drawdown FROM sim WHERE k > 0"))
 
 
 def positions_state(s: SparkSession, d: str) -> DataFrame:
@@ -176,85 +194,10 @@ _live = _risk.table("SELECT * FROM {t} WHERE date = (SELECT max(date) FROM (SELE
 register("live_orders", live_orders, _live.end("""SELECT code, 'SELL' AS side, reason, round(pred_ret, 6) AS pred_ret, round(pred_mae, 6) AS pred_mae, round(score, 6) AS score FROM held WHERE reason IS NOT NULL
     UNION ALL SELECT code, 'BUY', 'enter_topcap', round(pred_ret, 6), round(pred_mae, 6), round(score, 6) FROM (SELECT *, row_number() OVER (ORDER BY place) AS k FROM top WHERE code NOT IN (SELECT code FROM held))
     WHERE k <= (SELECT count(*) FROM top) - (SELECT count(*) FROM held WHERE reason IS NULL)"""))
-register("bandit", lambda s, d: bt.bandit_weights(bars(s, d).select(F.col("code").alias("key"), F.col("date").alias("step"), (F.dayofmonth("date") % 3).cast("int").alias("arm"), (F.col("pct_chg") / 100).alias("reward"))).select(F.col("key").alias("code"), *[F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in range(3)]))
-
-# ---- portfolio -------------------------------------------------------------------------------------------------------
-
-_P = cf.Portfolio()
-
-
-def events(s: SparkSession, d: str, variants: dict | None = None) -> DataFrame:
-    factors = kept(s, sq.factors(s, d), "factors")
-    return pf.simulate(factors, variants or {"blended": _P})
-
-
-register("portfolio_sim_trades", lambda s, d: rounded(clean(pf.trades(events(s, d))), ["entry_price", "exit_price", "pnl_pct", "entry_score", "weight", "exit_score"], ("variant", "code", "strategy", "entry_signal_date", "entry_date", "exit_date", "days_held", "exit_reason")))
-register("portfolio_sim_orders", lambda s, d: rounded(clean(pf.orders(events(s, d))), ["price", "weight", "score"], ("variant", "signal_date", "execute_date", "code", "side", "strategy", "reason")))
-register("portfolio_sim_monitor", lambda s, d: rounded(clean(pf.of_kind(events(s, d), "monitor", pf.MONITOR)), pf.MONITOR[4:], ("variant", *pf.MONITOR[:4])))
-register("portfolio_sim_equity", lambda s, d: rounded(clean(pf.of_kind(events(s, d), "equity", pf.EQUITY)), ["equity", "cash_weight"], ("variant", "exit_date", "held_count")))
-register("portfolio_summary", lambda s, d: rounded(pf.summary(pf.trades(events(s, d))), ["value"], ("variant", "metric")))
-register("action_history", lambda s, d: (lambda e: rounded(clean(pf.action_history(pf.orders(e), pf.trades(e))), ["price", "weight", "pnl_pct"], ("variant", "execute_date", "side", "code", "strategy", "days_held")))(kept(s, events(s, d), "events")))
-
-
-def variant_summary(s: SparkSession, d: str) -> DataFrame:
-    """Metrics of several variants, best first."""
-    e = events(s, d, {k: cf.VARIANTS[k] for k in ("blended", "pullback", "quality_trend")})
-    found = metrics.trade_metrics(pf.trades(e), ["variant"]).join(pf.selection_score(pf.trades(e)), "variant")
-    return rounded(found, ["hit_rate", "expectancy", "avg_hold_days", "selection_score"], ("variant", "trade_count"))
-
-
-register("variant_summary", variant_summary)
-
-
-def net_actions(s: SparkSession, d: str) -> DataFrame:
-    factors = kept(s, sq.factors(s, d), "factors")
-    held = clean(pf.of_kind(pf.simulate(factors, {"blended": _P}), "position", pf.POSITION))
-    day = factors.agg(F.max("date").alias("date"))
-    last = factors.join(F.broadcast(day), "date").select("code", "close")
-    tops = sg.add_weights(sg.add_exposure(sg.top_of_day(factors, _P), _P), _P).withColumn("strategy", sg.choose_strategy())
-    tops = tops.join(F.broadcast(day), "date").select("code", "place", "target_weight", "strategy")
-    return rounded(clean(pf.net_actions(held, tops, last, _P.top_n)), ["weight", "entry_price", "current_price", "pnl_pct"], ("code", "action", "strategy"))
-
-
-register("net_actions", net_actions)
-
-
-def regime_windows(s: SparkSession, d: str) -> DataFrame:
-    months = sq.factors(s, d).withColumn("window_id", F.trunc("date", "quarter"))
-    feats = pf.window_features(months, ["window_id"]).withColumns({x: F.round(x, 6) for x in ("trend_share", "range_share", "rsi", "rvol", "quality", "signal")})
-    return feats.withColumn("regime", pf.regime_label())
-
-
-_win = sq.sql_factors().add(window_id="CAST(date_trunc('quarter', date) AS DATE)").table(
-    "SELECT window_id, date, mode_min AS state, rsi, rvol, quality, signal FROM (SELECT window_id, date, median(rsi14) AS rsi, median(rvol20) AS rvol, avg(quality_score) AS quality, avg(signal_score) AS signal FROM {t} GROUP BY 1, 2) JOIN (SELECT date, arg_min(s, (-n, s)) AS mode_min FROM (SELECT date, market_state_index AS s, count(*) AS n FROM {t} GROUP BY 1, 2) GROUP BY 1) USING (date)").table(
-    "SELECT window_id, round(avg((state = 'trend_ok')::INT), 6) AS trend_share, round(avg((state = 'range_bias')::INT), 6) AS range_share, round(median(rsi), 6) AS rsi, round(median(rvol), 6) AS rvol, round(avg(quality), 6) AS quality, round(avg(signal), 6) AS signal FROM {t} GROUP BY 1")
-_label = "CASE WHEN trend_share >= 0.45 AND rsi >= 56 AND quality >= 55 THEN 'quality_trend_regime' WHEN trend_share >= 0.30 AND rsi >= 49 AND rsi <= 58 AND rvol <= 1.20 THEN 'pullback_regime' WHEN trend_share >= 0.20 AND rsi >= 52 AND rvol >= 0.95 AND signal >= 50 THEN 'combo_regime' WHEN range_share >= 0.25 OR rsi < 48 THEN 'weak_range_regime' ELSE 'mixed_transition' END"
-register("window_features", lambda s, d: regime_windows(s, d).drop("regime"), _win.end("SELECT * FROM {t}"))
-register("regime_label", lambda s, d: regime_windows(s, d).select("window_id", "regime", pf.profile_of_regime(F.col("regime")).alias("profile")),
-         _win.add(regime=_label).end("SELECT window_id, regime, CASE regime WHEN 'weak_range_regime' THEN 'pullback_quality_combo' WHEN 'quality_trend_regime' THEN 'quality_trend' ELSE 'pullback' END AS profile FROM {t}"))
-
-
-def _regime_metrics(s: SparkSession, d: str) -> DataFrame:
-    """Ledger metrics of each strategy in each quarter, under the quarter's regime."""
-    trades = ledger(s, d).withColumns({"variant": F.col("strategy"), "window_id": F.trunc("entry_date", "quarter")})
-    found = metrics.trade_metrics(trades, ["variant", "window_id"]).join(regime_windows(s, d).select("window_id", "regime"), "window_id")
-    return found.withColumn("score", F.round(F.col("hit_rate") * 100 + F.col("expectancy") * 1000, 6))
-
-
-_rm = _sim.table("SELECT strategy AS variant, CAST(date_trunc('quarter', entry_date) AS DATE) AS window_id, count(*) AS trade_count, avg((pnl_pct > 0)::INT) AS hit_rate, avg(pnl_pct) AS expectancy FROM {t} GROUP BY 1, 2", "mtr")
-_rm = o.Chain([*_rm.parts, *[p for p in _win.add(regime=_label).parts if p not in _rm.parts]], "mtr")
-register("regime_stability", lambda s, d: rounded(pf.regime_stability(_regime_metrics(s, d)), ["hit_rate", "expectancy", "trade_count"], ("regime", "variant", "windows", "wins")))
-register("regime_summary", lambda s, d: rounded(pf.regime_stability(_regime_metrics(s, d)).orderBy(F.col("wins").desc(), "regime", "variant"), ["expectancy"], ("regime", "variant", "windows", "wins")))
-
-
-def meta_pick(s: SparkSession, d: str) -> DataFrame:
-    m = _regime_metrics(s, d)
-    best = m.groupBy("window_id").agg(F.max_by("variant", F.struct("score", "variant")).alias("best_variant"))
-    feats = regime_windows(s, d).join(best, "window_id").withColumn("window", F.row_number().over(W.orderBy("window_id")))
-    return pf.meta_pick(feats, ["trend_share", "range_share", "rsi", "rvol"])
-
-
-register("meta_pick", meta_pick)
+register("bandit", lambda s, d: bt.bandit_weights(bars(s, d).select(F.col("code").alias("key"), F.col("date").alias("step"), (F.dayofmonth("date") % 3).cast("int").alias("arm"), (F.col("pct_chg") / 100).alias("reward"))).select(F.col("key").alias("code"), *[F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in range(3)]),
+         o.Chain().add(arm="day(date) % 3", r="pct_chg / 100").table("SELECT * FROM {t}", "x").table("""SELECT code, 0::BIGINT AS rn, 1.0 / 3 AS w0, 1.0 / 3 AS w1, 1.0 / 3 AS w2 FROM (SELECT DISTINCT code FROM x) UNION ALL
+         SELECT code, rn, a / (a + b + c), b / (a + b + c), c / (a + b + c) FROM (SELECT x.code, x.rn, CASE WHEN arm = 0 THEN greatest(0.1, w0 + r) ELSE w0 END AS a, CASE WHEN arm = 1 THEN greatest(0.1, w1 + r) ELSE w1 END AS b,
+         CASE WHEN arm = 2 THEN greatest(0.1, w2 + r) ELSE w2 END AS c FROM l JOIN x ON x.code = l.code AND x.rn = l.rn + 1)""", "l").end("SELECT code, round(arg_max(w0, rn), 6) AS w0, round(arg_max(w1, rn), 6) AS w1, round(arg_max(w2, rn), 6) AS w2 FROM l GROUP BY code"))
 
 # ---- patterns --------------------------------------------------------------------------------------------------------
 
@@ -267,15 +210,36 @@ _smallup = "SELECT code, date, nd AS entry_date, 'SMALL_UP_DAYS_GENTLE_VOL' AS p
 for _n, _f, _s in (("pat_pullback", patterns.pullback_to_mean, _pull), ("pat_false_breakdown", patterns.false_breakdown, _false), ("pat_small_up", patterns.small_up_days, _smallup)):
     register(_n, lambda s, d, f=_f: f(ind.add_pattern_basics(bars(s, d))), _basic.end(_s))
 LOOSE = patterns.Flag(day0_ret=0.02, day0_volume=1.0, day1_range=0.2, day1_body=1.0, base_range=0.2, base_volume_cv=3.0, band=0.05, quiet=1.5, quiet_vs_day0=1.5, breakout=0.0, breakout_volume=0.5)
-register("pat_htf", lambda s, d: patterns.high_tight_flag(ind.add_pattern_basics(bars(s, d)), LOOSE))
-_events = _basic.table(f"{_pull} UNION ALL {_false} UNION ALL {_smallup}".replace("{t}", _basic.at), "ev").table(
-    f"SELECT code, date AS entry_date, close AS entry_close, max(close) {o.ahead(20)} AS fut_max_close, min(close) {o.ahead(20)} AS fut_min_close FROM bars", "fw").table(
+_mean20 = lambda x: f"CASE WHEN count({x}) {o.over(20)} = 20 THEN avg({x}) {o.over(20)} END"
+_share = "nullif(high - low, 0) / close"
+_flags = o.Chain(_basic.parts, _basic.at).add(rng=_share, body_=f"{o.clip('abs(close - open) / (nullif(high - low, 0) + 1e-12)', 0.0, 10.0)}").add(
+    go=f"""i > 0 AND ret1 >= {LOOSE.day0_ret} AND volume >= v20 * {LOOSE.day0_volume} AND {_mean20('rng')} <= {LOOSE.base_range}
+    AND CASE WHEN count(volume) {o.over(20)} = 20 THEN stddev_pop(volume) {o.over(20)} / (avg(volume) {o.over(20)} + 1e-12) END <= {LOOSE.base_volume_cv}
+    AND {o.lead('rng')} <= {LOOSE.day1_range} AND {o.lead('body_')} <= {LOOSE.day1_body}""").table("SELECT * FROM {t}", "fx").table(
+    "SELECT a.code, a.date, a.i, a.n, a.volume, greatest(a.high, b.high) AS top, least(a.low, b.low) AS bottom FROM fx a JOIN fx b ON b.code = a.code AND b.i = a.i + 1 WHERE a.go AND greatest(a.high, b.high) > least(a.low, b.low)", "st").table(
+    f"""SELECT s.code, s.date, s.i, s.n, s.top, s.bottom, s.volume, k.k AS len FROM st s JOIN (SELECT unnest(range({LOOSE.shortest}, {LOOSE.longest + 1})) AS k) k ON s.i + 1 + k.k < s.n""", "le").table(
+    f"""SELECT l.code, l.date, l.i, l.n, l.top, l.len FROM le l JOIN fx r ON r.code = l.code AND r.i BETWEEN l.i + 2 AND l.i + 1 + l.len GROUP BY l.code, l.date, l.i, l.n, l.top, l.len, l.bottom, l.volume
+    HAVING max(r.high) <= l.top * (1 + {LOOSE.band}) AND min(r.low) >= l.bottom * (1 - {LOOSE.band}) AND avg(r.volume) <= avg(r.v20) * {LOOSE.quiet} AND avg(r.volume) <= l.volume * {LOOSE.quiet_vs_day0}""", "fl").table(
+    f"""SELECT f.code, f.date, f.i, f.len, min(r.i) AS j FROM fl f JOIN fx r ON r.code = f.code AND r.i BETWEEN f.i + 2 + f.len AND least(f.n - 2, f.i + 1 + f.len + {LOOSE.confirm_days})
+    WHERE r.close >= f.top * (1 + {LOOSE.breakout}) AND r.volume >= r.v20 * {LOOSE.breakout_volume} AND r.nc >= f.top * (1 - {LOOSE.hold}) GROUP BY ALL""", "br").table(
+    """SELECT h.code, h.date, e.date AS entry_date, 'HIGH_TIGHT_FLAG' AS pattern, h.i AS bar_index, CAST(h.j + 1 AS INT) AS entry_index, CAST(h.len AS INT) AS flag_n
+    FROM (SELECT code, date, i, min(len) AS len, arg_min(j, len) AS j FROM br GROUP BY 1, 2, 3) h JOIN fx e ON e.code = h.code AND e.i = h.j + 1""", "htf")
+register("pat_htf", lambda s, d: patterns.high_tight_flag(ind.add_pattern_basics(bars(s, d)), LOOSE), _flags.end("SELECT * FROM htf"))
+_events = o.Chain(_flags.parts, _basic.at).table(f"SELECT * FROM ({_pull} UNION ALL {_false} UNION ALL {_smallup} UNION ALL SELECT * FROM htf) WHERE entry_date IS NOT NULL".replace("{t}", _basic.at), "ev").table(
+    f"SELECT code, date AS entry_date, close AS entry_close, max(close) {o.ahead(30)} AS fut_max_close, min(close) {o.ahead(30)} AS fut_min_close FROM bars", "fw").table(
     "SELECT e.*, entry_close, fut_max_close, fut_min_close, fut_max_close / entry_close - 1 AS up, fut_min_close / entry_close - 1 AS dn FROM ev e LEFT JOIN fw USING (code, entry_date)")
+
+
+def pattern_events(s: SparkSession, d: str) -> DataFrame:
+    """Events of all four patterns, the flag loosened so that the test bars have some."""
+    return patterns.with_forward(patterns.scan(bars(s, d), LOOSE), bars(s, d))
+
+
 _fwd = ["entry_close", "fut_max_close", "fut_min_close", "fwd_max_ret", "fwd_min_ret"]
-register("pattern_events", lambda s, d: rounded(patterns.with_forward(patterns.scan(bars(s, d)), bars(s, d)), _fwd, ("code", "date", "entry_date", "pattern", "bar_index", "entry_index")), _events.add(fwd_max_ret="up", fwd_min_ret="dn").show(_fwd, plain=("code", "date", "entry_date", "pattern", "bar_index", "entry_index")))
+register("pattern_events", lambda s, d: rounded(pattern_events(s, d), _fwd, ("code", "date", "entry_date", "pattern", "bar_index", "entry_index")), _events.add(fwd_max_ret="up", fwd_min_ret="dn").show(_fwd, plain=("code", "date", "entry_date", "pattern", "bar_index", "entry_index")))
 register("event_forward", lambda s, d: rounded(patterns.with_forward(patterns.pullback_to_mean(ind.add_pattern_basics(bars(s, d))), bars(s, d)), _fwd, ("code", "date", "entry_date")), _events.add(fwd_max_ret="up", fwd_min_ret="dn").show(_fwd, "pattern = 'PULLBACK_TO_MA30'", ("code", "date", "entry_date")))
 _ps = {"mean_up": "avg(up)", "median_up": "median(up)", "p75_up": "quantile_cont(up, 0.75)", "p90_up": "quantile_cont(up, 0.9)", "min_up": "min(up)", "max_up": "max(up)", "mean_dn": "avg(dn)", "median_dn": "median(dn)", "p25_dn": "quantile_cont(dn, 0.25)", "p10_dn": "quantile_cont(dn, 0.1)", "min_dn": "min(dn)", "max_dn": "max(dn)", "hit_up_5": "avg((up >= 0.05)::INT)", "hit_up_10": "avg((up >= 0.10)::INT)", "hit_up_20": "avg((up >= 0.20)::INT)"}
-register("pattern_summary", lambda s, d: rounded(patterns.summary(patterns.with_forward(patterns.scan(bars(s, d)), bars(s, d))), list(_ps), ("pattern", "count")), _events.end("SELECT pattern, count(*) AS count, " + ", ".join(f"round({e}, 6) AS {k}" for k, e in _ps.items()) + " FROM {t} WHERE up IS NOT NULL AND dn IS NOT NULL GROUP BY 1"))
+register("pattern_summary", lambda s, d: rounded(patterns.summary(pattern_events(s, d)), list(_ps), ("pattern", "count")), _events.end("SELECT pattern, count(*) AS count, " + ", ".join(f"round({e}, 6) AS {k}" for k, e in _ps.items()) + " FROM {t} WHERE up IS NOT NULL AND dn IS NOT NULL GROUP BY 1"))
 
 # ---- similar windows and as-of -----------------------------------------------------------------------------------------
 

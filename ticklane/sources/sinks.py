@@ -32,24 +32,42 @@ def save_bucket_map(buckets: DataFrame, path: str) -> None:
     buckets.write.mode("overwrite").partitionBy("ym").parquet(path)
 
 
-def upsert_table(spark: SparkSession, path: str, fresh: DataFrame, keys: tuple[str, ...] = ("code", "date")) -> str:
-    """Fresh rows merged into the newest version below path; the version written. Readers take the highest one.
-
-    A version is complete before it is there (its folder is renamed last), so a job that dies leaves the old one valid.
-    """
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = hadoop(path)
-    files = root.getFileSystem(conf)
-    files.mkdirs(root)
-    numbers = [int(n[1:]) for n in (s.getPath().getName() for s in files.listStatus(root)) if n[:1] == "v" and n[1:].isdigit()]
-    merged = union_dedup([spark.read.parquet(f"{path}/v{max(numbers)}"), fresh], keys) if numbers else union_dedup([fresh], keys)
-    number = max(numbers, default=0) + 1
-    merged.write.mode("overwrite").parquet(f"{path}/_tmp{number}")
-    files.rename(hadoop(f"{path}/_tmp{number}"), hadoop(f"{path}/v{number}"))
+def _files(spark: SparkSession, path: str):
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make, make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def version_numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions v1, v2 ... below path, in order."""
+    make, files = _files(spark, path)
+    files.mkdirs(make(path))
+    return sorted(int(n[1:]) for n in (s.getPath().getName() for s in files.listStatus(make(path))) if n[:1] == "v" and n[1:].isdigit())
+
+
+def put_version(spark: SparkSession, df: DataFrame, path: str, number: int) -> str:
+    """Write df as a version. It is complete before it is there: its folder is renamed last, so a job that dies leaves the
+    older ones valid; a version that is there already is put anew."""
+    make, files = _files(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}/_tmp{number}")
+    files.delete(make(f"{path}/v{number}"), True)
+    files.rename(make(f"{path}/_tmp{number}"), make(f"{path}/v{number}"))
     return f"{path}/v{number}"
 
 
+def upsert_table(spark: SparkSession, path: str, fresh: DataFrame, keys: tuple[str, ...] = ("code", "date")) -> str:
+    """Fresh rows merged into the newest version below path; the version written. Readers take the highest one."""
+    numbers = version_numbers(spark, path)
+    merged = union_dedup([spark.read.parquet(f"{path}/v{numbers[-1]}"), fresh], keys) if numbers else union_dedup([fresh], keys)
+    return put_version(spark, merged, path, numbers[-1] + 1 if numbers else 1)
+
+
+def save_walk_forward(metrics: DataFrame, folder: str, by: str = "variant") -> list[str]:
+    """Walk-forward metrics and their means by variant, best first, as walk_forward_metrics and walk_forward_variant_summary."""
+    numbers = [f.name for f in metrics.schema.fields if f.name not in (by, "window_id") and f.dataType.typeName() in ("double", "long", "integer")]
+    means = metrics.groupBy(by).agg(*[F.avg(x).alias(x) for x in numbers]).orderBy(F.col("hit_rate").desc_nulls_last(), F.col("expectancy").desc_nulls_last(), by)
+    return save_tables({"walk_forward_metrics": metrics, "walk_forward_variant_summary": means}, folder)
+
+
 def save_positions(positions: DataFrame, path: str) -> None:
     positions.select("code", "status", "entry_date", "entry_price", "out_counter", "last_signal_date").write.mode("overwrite").parquet(path)
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticklane.operators import labels
 from ticklane.sources.bars import union_dedup
 from ticklane.sources.scratch import scratch_path
+from ticklane.sources.sinks import put_version, version_numbers
 
 
 def high_water(rows: DataFrame) -> DataFrame:
@@ -25,26 +27,46 @@ def upsert(base: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def new_samples(samples: DataFrame, have: DataFrame) -> DataFrame:
-    """Samples after what is there, per code; codes without any are all new in the caller's plan and left out here."""
-    return samples.join(high_water(have), "code").where(F.col("date") > F.col("last_date")).drop("last_date")
+    """Samples after the last one that is there, per code; all samples of codes that are not there yet."""
+    found = samples.join(high_water(have), "code", "left")
+    return found.where(F.col("last_date").isNull() | (F.col("date") > F.col("last_date"))).drop("last_date")
+
+
+def new_windows(bars: DataFrame, have: DataFrame, columns: list[str], length: int = 7, horizon: int = 5, threshold: float = 0.3) -> DataFrame:
+    """Labelled windows of the last ``length`` rows that are new since ``have`` (code, date of each sample).
+
+    Only the rows that new windows reach back to are read: the ``length`` - 1 calendar days before the last sample, as the
+    windows of a known code are made of these rows alone.
+    """
+    last = high_water(have)
+    rows = bars.join(last, "code", "left").where(F.col("last_date").isNull() | (F.col("date") >= F.date_sub("last_date", length - 1)))
+    made = labels.dayn_windows(labels.label_updown(rows, horizon, threshold), columns, length)
+    return made.where(F.col("last_date").isNull() | (F.col("date") > F.col("last_date"))).drop("last_date")
 
 
 class UpsertSink:
-    """foreachBatch target: each micro-batch makes a new version of the table, then the pointer moves.
+    """foreachBatch target: micro-batch n makes version n of the table below ``base``, whole before it is there.
 
-    A version is written whole before it is used, so a batch that is run again gives the same table.
+    A batch starts from the highest version below its own number, so a restart from the stream's checkpoint goes on from the
+    table on disk, and a batch that is run again gives the same version.  Of a key's rows in one batch the one with the
+    greatest ``order`` columns stays, then the one with the greatest other columns.
     """
 
-    def __init__(self, spark: SparkSession, keys: list[str], label: str = "upsert"):
-        self.base, self.keys, self.path = scratch_path(spark, label), keys, None
+    def __init__(self, spark: SparkSession, keys: list[str], base: str, order: list[str] | None = None):
+        self.base, self.keys, self.order = base, keys, order or []
+
+    def version(self, spark: SparkSession, below: int | None = None) -> str | None:
+        """Path of the highest version, of those below a number."""
+        numbers = [n for n in version_numbers(spark, self.base) if below is None or n < below]
+        return f"{self.base}/v{max(numbers)}" if numbers else None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates(self.keys)
-        merged = batch if self.path is None else upsert(spark.read.parquet(self.path), batch, self.keys)
-        path = f"{self.base}/v{number}"
-        merged.write.mode("overwrite").parquet(path)
-        self.path = path
+        rest = [c for c in batch.columns if c not in self.keys]
+        newest = F.max(F.struct(*self.order, *[c for c in rest if c not in self.order])).alias("_row")
+        batch = batch.groupBy(*self.keys).agg(newest).select(*[c if c in self.keys else F.col(f"_row.{c}").alias(c) for c in batch.columns]) if rest else batch.distinct()
+        before = self.version(spark, number)
+        put_version(spark, batch if before is None else upsert(spark.read.parquet(before), batch, self.keys), self.base, number)
 
 
 def stream_upsert(spark: SparkSession, rows: DataFrame, keys: tuple[str, ...] = ("code", "date")) -> DataFrame:
@@ -52,8 +74,8 @@ def stream_upsert(spark: SparkSession, rows: DataFrame, keys: tuple[str, ...] =
     inbox = scratch_path(spark, "inbox")
     rows.where(F.dayofmonth("date") <= 15).write.parquet(inbox)
     rows.write.mode("append").parquet(inbox)
-    sink = UpsertSink(spark, list(keys))
+    sink = UpsertSink(spark, list(keys), scratch_path(spark, "upsert"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(inbox)
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, "offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(sink.path)
+    return spark.read.schema(rows.schema).parquet(sink.version(spark))
