@@ -765,7 +765,7 @@ def test_image_classes_equal_those_of_all_pairs(spark, monkeypatch, block):
         own = rng.choice(50, 6, replace=False)
         geometry = np.column_stack([at[own] + rng.uniform(0, 50, 2), np.ones(6), np.zeros(6)]).astype(np.float32)
         made[k] = pool[own], geometry
-    monkeypatch.setattr(images, "decode_pgm", lambda data: int(data))
+    monkeypatch.setattr(images, "decode_pgm", lambda data: int(bytes(data)))
     monkeypatch.setattr(images, "features", lambda k: made[k])
     monkeypatch.setattr(images, "map_batches", lambda df, function, schema: spark.createDataFrame([r for b in function(iter(df.toArrow().to_batches())) for r in map(tuple, map(dict.values, b.to_pylist()))], schema))
     want = all_pairs(made)
@@ -774,14 +774,20 @@ def test_image_classes_equal_those_of_all_pairs(spark, monkeypatch, block):
 
 
 def test_classes_of_drawn_pictures_equal_those_of_all_pairs(spark):
-    drawn = images.draw(spark.read.parquet(f"{SMALL}/embeddings.parquet").limit(60), "vec_id", "embedding").collect()
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet").orderBy("vec_id").limit(60).collect()
     some = [(s, images.encode_pgm(np.rint(np.ascontiguousarray(e(picture(s % 4)))))) for s, e in enumerate(list(EDITS.values())[:12])]
-    rows = [(100 + r.vec_id, bytes(r.image)) for r in drawn] + some
+    rows = [(100 + r.vec_id, images.drawn(r.embedding)) for r in vectors] + some
     want = all_pairs({k: images.features(images.decode_pgm(data)) for k, data in rows})
     got = images.classes(spark.createDataFrame(rows, "image_id long, image binary"), block=7)
     assert {r.image_id: r.class_id for r in got.collect()} == want
 
 
+def test_images_of_vectors(spark):
+    rows = [(1, [0.1] * 64), (2, [0.1] * 64), (3, None), (4, [1.0]), (5, [None] * 64), (6, [(-1.0) ** k * 0.1 for k in range(64)])]
+    got = images.classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", read=images.drawn)
+    assert {r.vec_id: r.class_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
 def test_images_of_an_empty_table(spark):
     assert images.classes(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 

@@ -23,6 +23,7 @@ class; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -203,16 +204,24 @@ def consensus(da: np.ndarray, ga: np.ndarray, db: np.ndarray, gb: np.ndarray, pa
 SPARED = 2
 
 
-def feature_table(images: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, img (a number for the row), same (equal for equal images), descriptors and geometry of (id, image). Images are not moved."""
+def feature_table(images: DataFrame, scratch: Scratch, read=None) -> DataFrame:
+    """id, img (a number for the row), same (equal for equal images), descriptors and geometry of (id, image). Images are not moved.
+
+    read: makes the bytes of an image of a value of the column, in the task that describes it; without it they are the value.
+    """
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(decode_pgm(data)) for data in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([d.tobytes() for d, _ in found], pa.binary()), pa.array([g.tobytes() for _, g in found], pa.binary())], names=["id", "digest", "descriptors", "geometry"])
-
-    digest = F.when(F.length("image") > 0, F.sha2("image", 256))
-    made = map_batches(images.select("id", "image", digest.alias("digest")), described, "id long, digest string, descriptors binary, geometry binary")
+            digests, descriptors, geometry = [], [], []
+            for value in batch.column(1):
+                data = read(value.as_py()) if read else value.as_py()
+                d, g = features(decode_pgm(data))
+                digests.append(hashlib.sha256(data).hexdigest() if data else None)
+                descriptors.append(d.tobytes())
+                geometry.append(g.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(descriptors, pa.binary()), pa.array(geometry, pa.binary())], names=["id", "digest", "descriptors", "geometry"])
+
+    made = map_batches(images.select("id", "image"), described, "id long, digest string, descriptors binary, geometry binary")
     return scratch.cut(made.withColumn("img", F.monotonically_increasing_id())).withColumn("same", F.coalesce("digest", F.concat(F.lit("none-"), F.col("img").cast("string")))).drop("digest")
 
 
@@ -259,8 +268,8 @@ def _linked(pairs: DataFrame, table: DataFrame) -> DataFrame:
 def _between(named: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     """a, b: images of different classes with enough possible matches, from the entries (entry, img, i, root) they are in."""
     classes_ = named.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = classes_.groupBy("entry").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).where("classes > 1")
-    rows = scratch.cut(join_totals(named, mixed.drop("classes"), ["entry"], "n", named.count()))
+    mixed = classes_.groupBy("entry").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    rows = scratch.cut(named.join(mixed.where("classes > 1").drop("classes"), "entry"))  # an image has hundreds of entries, so none is hot
     # images leave out their most frequent long entries, in one order for all images
     line = W.partitionBy("img").orderBy(F.col("n").desc(), "entry", "i")
     long_ = rows.where(F.col("n") > block).withColumn("_k", F.row_number().over(line)).where(F.col("_k") <= SPARED)
@@ -279,10 +288,13 @@ def _between(named: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     return pairs.where(F.size("m") >= INLIERS - F.col("s")).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def classes(images: DataFrame, key: str = "image_id", column: str = "image", block: int = BLOCK) -> DataFrame:
-    """key, class_id of every row: the least key of the images that are copies of one another, cropped, turned, scaled or edited."""
+def classes(images: DataFrame, key: str = "image_id", column: str = "image", block: int = BLOCK, read=None) -> DataFrame:
+    """key, class_id of every row: the least key of the images that are copies of one another, cropped, turned, scaled or edited.
+
+    read: see feature_table().
+    """
     scratch = Scratch(images.sparkSession, "images")
-    every = feature_table(images.select(F.col(key).cast("long").alias("id"), F.col(column).alias("image")), scratch)
+    every = feature_table(images.select(F.col(key).cast("long").alias("id"), F.col(column).alias("image")), scratch, read)
     each = every.select("id", "img", "same")
     groups = scratch.cut(each.groupBy("same").agg(F.min("id").alias("least"), F.min("img").alias("rep"), F.count(F.lit(1)).alias("n")))
     each = scratch.cut(join_totals(each, groups, ["same"], "n", each.count()).select("id", "img", "rep"))
@@ -301,8 +313,8 @@ def classes(images: DataFrame, key: str = "image_id", column: str = "image", blo
     scratch.drop(entries)
     links = scratch.cut(found.unionByName(_linked(_between(named, block, scratch), table)))
     roots = components(links, scratch)
-    joined = groups.join(roots, groups["rep"] == roots["node"], "left").select("rep", "least", "n", F.coalesce("root", "rep").alias("root"))
-    names = joined.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("reps"))
+    joined = scratch.cut(groups.join(roots, groups["rep"] == roots["node"], "left").select("rep", "least", "n", F.coalesce("root", "rep").alias("root")))
+    names = scratch.cut(joined.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("reps")))
     named = scratch.cut(join_totals(joined.select("rep", "n", "root"), names, ["root"], "reps", groups.count()).select("rep", "n", "class_id"))
     return join_totals(each, named, ["rep"], "n", each.count()).select(F.col("id").alias(key), "class_id")
 
@@ -321,22 +333,16 @@ def textures(count: int, side: int = 64, seed: int = 11) -> np.ndarray:
     return smooth / smooth.std(axis=(1, 2), keepdims=True)
 
 
-def draw(vectors: DataFrame, key: str, column: str, length: int = 64, side: int = 64) -> DataFrame:
-    """key, image: a grey picture for each vector, the sum of ``length`` fixed textures weighted by it; other lengths have no picture.
+@functools.lru_cache(maxsize=4)
+def _basis(length: int, side: int) -> np.ndarray:
+    return textures(length, side).reshape(length, -1)
+
+
+def drawn(vector: list | None, length: int = 64, side: int = 64) -> bytes | None:
+    """A grey picture of a vector: the sum of ``length`` fixed textures weighted by it; vectors of other lengths have no picture.
 
     The test tables hold no pictures; this makes some whose near copies are edited copies: every pixel differs a little.
     """
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis = textures(length, side).reshape(length, -1)
-        for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                if v is None or len(v) != length or any(x is None for x in v):
-                    out.append(None)
-                else:
-                    out.append(encode_pgm((128 + 50 * np.array(v, np.float64) @ basis).reshape(side, side)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[key, "image"])
-
-    return map_batches(vectors.select(key, column), drawn, f"{key} {kind}, image binary")
+    if vector is None or len(vector) != length or any(x is None for x in vector):
+        return None
+    return encode_pgm((128 + 50 * np.array(vector, np.float64) @ _basis(length, side)).reshape(side, side))

@@ -41,7 +41,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures drawn from the embeddings: the tables hold no media, and near vectors are edited copies of a picture."""
-    return images.classes(images.draw(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id")
+    return images.classes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", read=images.drawn)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
