@@ -12,22 +12,22 @@ from pyspark.sql import functions as F
 from ticklane.llm.shared import Scratch, join_totals
 
 
-def _least(edges: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+def _least(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """a, b, m (the least b of a) of every edge, and a, m alone. A hub's edges stay where they are."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    return join_totals(edges, least, ["a"], "n", count), least
+    least = scratch.cut(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+    return join_totals(edges, least, ["a"], "n", least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), least
 
 
-def _large(edges: DataFrame, count: int) -> DataFrame:
+def _large(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Every neighbour above a node goes to the least node of its neighbourhood."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    joined, _ = _least(both, 2 * count)
+    joined, _ = _least(both, scratch)
     return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
-def _small(edges: DataFrame, count: int) -> DataFrame:
+def _small(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Every neighbour below a node, and the node, go to the least of them."""
-    joined, least = _least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), count)
+    joined, least = _least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), scratch)
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -42,8 +42,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
     before = mark(now)
     while before[0]:
-        # a large star gives an edge at most for each one it gets
-        after = scratch.cut(_small(_large(now, before[0]), before[0]).where(F.col("a") != F.col("b")).distinct())
+        wide = scratch.cut(_large(now, scratch))
+        after = scratch.cut(_small(wide, scratch).where(F.col("a") != F.col("b")).distinct())
+        scratch.drop(wide)
         scratch.drop(now)
         now, fresh = after, mark(after)
         if fresh == before:

@@ -82,17 +82,15 @@ def rows_at(docs: DataFrame, place: list[Column], chosen: DataFrame, how: str) -
 def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], size: str, count: int) -> DataFrame:
     """rows joined, inner, with totals: one row a key, whose column ``size`` says how many of the ``count`` rows have the key.
 
-    Hot keys, of which there are fewer than HOT_SHARE, are broadcast and their rows spread, so no key gathers in a task.
+    Both are tables that cut() wrote.  Hot keys, of which there are fewer than HOT_SHARE, are looked for first; if there are any,
+    their totals are broadcast and their rows stay where they are, so no key gathers in a task.
     """
-    more = [c for c in totals.columns if c not in keys]
-    found = F.struct(*more)
-    hot = F.broadcast(totals.where(F.col(size) * HOT_SHARE > count).select(*keys, found.alias("_hot")))
-    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")  # a literal would be taken out of the join's keys
-    cold = totals.where(F.col(size) * HOT_SHARE <= count).select(*keys, zero.alias("_spread"), found.alias("_cold"))
-    marked = rows.join(hot, keys, "left")
-    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(10_000)).cast("int") + 1)
-    out = marked.withColumn("_spread", spread).join(cold, [*keys, "_spread"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
-    return out.where(F.col("_found").isNotNull()).select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in more])
+    hot = totals.where(F.col(size) * HOT_SHARE > count)
+    if count < HOT_SHARE or hot.isEmpty():
+        return rows.join(totals, keys)
+    few = F.broadcast(hot)
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(totals, keys)
+    return rows.join(few, keys).unionByName(rest)
 
 
 def word_count(text: Column) -> Column:
@@ -120,11 +118,13 @@ def text_bytes(text: str | None) -> bytes:
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of BATCH_ROWS rows and about BATCH_BYTES bytes of strings at most; an empty one gives nothing."""
+    """A batch in parts of BATCH_ROWS rows and about BATCH_BYTES bytes of strings and lists at most; an empty one gives nothing."""
     weight = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
             weight += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        elif pa.types.is_list(column.type):
+            weight += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(weight)
     low = 0
     while low < batch.num_rows:

@@ -26,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,12 +105,16 @@ def visits(prints: DataFrame, segments: int, reach: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else none
 
 
+#: Pairs of fingerprints that are compared at once.
+AT_ONCE = 1 << 20
+
+
 def _forest(left: np.ndarray, right: np.ndarray, reach: int) -> np.ndarray:
     """Spanning forest, as pairs, of the links between two blocks (a block with itself: within it)."""
     nodes, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
     a, b = inverse[: len(left)], inverse[len(left) :]
     root, kept = np.arange(len(nodes)), []
-    step = max(1, 4_000_000 // max(1, len(right)))
+    step = max(1, AT_ONCE // max(1, len(right)))
     for low in range(0, len(left), step):
         i, j = np.nonzero(np.bitwise_count(left[low : low + step, None] ^ right[None, :]) <= reach)
         i, j = a[low + i], b[j]
@@ -128,18 +133,26 @@ def _forest(left: np.ndarray, right: np.ndarray, reach: int) -> np.ndarray:
     return np.concatenate(kept or [np.zeros((0, 2), nodes.dtype)])
 
 
-def _single_links(left: list, right: list, reach: int):
-    sizes = np.array([len(a) * len(b) for a, b in zip(left, right, strict=True)])
-    small = sizes <= 64
-    pairs = []
-    if small.any():
-        x = np.array([p for k in np.flatnonzero(small) for p in left[k] for _ in right[k]], np.int64)
-        y = np.array([q for k in np.flatnonzero(small) for _ in left[k] for q in right[k]], np.int64)
-        near = (np.bitwise_count((x ^ y).view(np.uint64)) <= reach) & (x != y)
-        pairs.append(np.stack([x[near], y[near]], axis=1))
-    for k in np.flatnonzero(~small):
-        pairs.append(_forest(np.array(left[k], np.int64).view(np.uint64), np.array(right[k], np.int64).view(np.uint64), reach).view(np.int64))
-    return np.concatenate(pairs or [np.zeros((0, 2), np.int64)])
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column and where each row's begin; the last place is the end."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))
+
+
+def _single_links(left: pa.Array, right: pa.Array, reach: int) -> Iterator[np.ndarray]:
+    """Links of each row's two lists of fingerprints: all of them where the lists are short, else a spanning forest."""
+    (x, x0), (y, y0) = _lists(left), _lists(right)
+    nx, ny = np.diff(x0), np.diff(y0)
+    small = np.flatnonzero(nx * ny <= 64)
+    for low in range(0, len(small), AT_ONCE // 64):
+        rows = small[low : low + AT_ONCE // 64]
+        size = nx[rows] * ny[rows]
+        row = np.repeat(rows, size)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        p, q = x[x0[row] + at // np.maximum(ny[row], 1)], y[y0[row] + at % np.maximum(ny[row], 1)]
+        near = (np.bitwise_count((p ^ q).view(np.uint64)) <= reach) & (p != q)
+        yield np.stack([p[near], q[near]], axis=1)
+    for k in np.flatnonzero(nx * ny > 64):
+        yield _forest(x[x0[k] : x0[k + 1]].view(np.uint64), y[y0[k] : y0[k + 1]].view(np.uint64), reach).view(np.int64)
 
 
 def links(prints: DataFrame, scratch: Scratch, segments: int = SEGMENTS, reach: int = REACH, block: int = BLOCK) -> DataFrame:
@@ -151,7 +164,8 @@ def links(prints: DataFrame, scratch: Scratch, segments: int = SEGMENTS, reach:
     found = visits(prints, segments, reach).join(own.select("seg", "key").distinct(), ["seg", "key"], "left_semi").withColumn("side", F.lit(1))
     rows = scratch.cut(own.withColumn("side", F.lit(0)).unionByName(found))
     counts = rows.groupBy("seg", "key").agg(F.sum(1 - F.col("side")).alias("members"), F.sum("side").alias("guests"), F.count(F.lit(1)).alias("n"))
-    rows = scratch.cut(join_totals(rows, counts.where("n > 1 AND members > 0"), ["seg", "key"], "n", rows.count()).drop("n"))
+    counts = scratch.cut(counts.where("n > 1 AND members > 0"))
+    rows = scratch.cut(join_totals(rows, counts, ["seg", "key"], "n", rows.count()).drop("n"))
     large = (F.col("members") > block) | (F.col("guests") > block)
     of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("fp")))
     light = rows.where(~large).groupBy("seg", "key").agg(of(0).alias("fps"), of(1).alias("fps2")).select("fps", F.concat("fps", "fps2").alias("fps2"))
@@ -168,8 +182,8 @@ def links(prints: DataFrame, scratch: Scratch, segments: int = SEGMENTS, reach:
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = _single_links(batch.column(0).to_pylist(), batch.column(1).to_pylist(), reach)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+            for got in _single_links(batch.column(0), batch.column(1), reach):
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
     out = map_batches(light.unionByName(heavy), linked, "a long, b long")
     return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -193,8 +207,8 @@ def _classes(each: DataFrame, scratch: Scratch, segments: int | None, reach: int
     prints = scratch.cut(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
     rows, distinct = prints.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
     roots = components(links(prints.select("fp"), scratch, segments or segments_for(distinct, block), reach, block), scratch)
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    rooted = scratch.cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")))
+    names = scratch.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints")))
     named = scratch.cut(join_totals(rooted.select("fp", "rows", "root"), names, ["root"], "prints", distinct).drop("prints"))
     return join_totals(each, named, ["fp"], "rows", rows).drop("rows")
 
