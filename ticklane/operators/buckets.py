@@ -9,17 +9,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklane.functions.base import c, div
+from ticklane.functions.totals import running_totals
 
 
 def qcut(df: DataFrame, value: str, k: int, by: list[str] | None = None, tie: list[str] | None = None, name: str = "bin") -> DataFrame:
     """Bin 1..k of each row by the place of its value (ties by ``tie``): borders lie at 1 + (n - 1) j / k of the n places.
 
     Rows without a value are left out.  The borders are compared in whole numbers, so a place that meets one exactly
-    belongs below it.
+    belongs below it.  Without ``by`` places are counted range by range, so no task sees the whole table.
     """
     df = df.where(c(value).isNotNull())
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    df = df.withColumns({"_r": F.row_number().over(part.orderBy(value, *(tie or []))), "_n": F.count(F.lit(1)).over(part)})
+    if by:
+        part = W.partitionBy(*by)
+        df = df.withColumns({"_r": F.row_number().over(part.orderBy(value, *(tie or []))), "_n": F.count(F.lit(1)).over(part)})
+    else:
+        df = running_totals(df.withColumn("_one", F.lit(1).cast("long")), value, {"_r": "_one"}, tie).withColumn("_r", F.col("_r") + 1)
+        df = df.join(F.broadcast(df.agg(F.sum("_one").alias("_n"))), F.lit(True), "inner").drop("_one")  # one row
     above = sum(((F.col("_r") - 1) * k > (F.col("_n") - 1) * j).cast("int") for j in range(1, k))
     return df.withColumn(name, (F.lit(1) + above).cast("long")).drop("_r", "_n")
 

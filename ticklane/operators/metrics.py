@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklane.functions.base import c, div
+from ticklane.functions.totals import running_totals
 from ticklane.operators.buckets import qcut
 
 
@@ -39,13 +40,13 @@ def best_threshold(scan: DataFrame, strategy: str = "f1", target: float = 0.5) -
 def eval_probs(df: DataFrame, y: str = "y", p: str = "prob", threshold: float = 0.5) -> DataFrame:
     """One row: exact ROC-AUC (mean ranks for ties), average precision, and precision, recall, F1 at the threshold.
 
-    Rows are first counted by probability, so the running sums see a row for each distinct probability.
+    Rows are first counted by probability; running sums over the distinct ones are made range by range.
     """
     prob = F.greatest(F.least(F.coalesce(F.nanvl(c(p), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
     by = df.groupBy(prob.alias("p")).agg(F.sum(c(y).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    up = W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-    down = W.orderBy(F.col("p").desc()).rowsBetween(W.unboundedPreceding, 0)
-    by = by.withColumns({"_below": F.coalesce(F.sum("n").over(up), F.lit(0.0)), "_tp": F.sum("pos").over(down), "_pp": F.sum("n").over(down)})
+    whole = by.agg(F.sum("pos").alias("_P"), F.sum("n").alias("_N"))  # one row
+    by = running_totals(by, "p", {"_below": "n", "_before": "pos"}).join(F.broadcast(whole), F.lit(True), "inner")
+    by = by.withColumns({"_tp": F.col("_P") - F.col("_before"), "_pp": F.col("_N") - F.col("_below")})
     at = lambda x: F.sum(F.when(F.col("p") >= threshold, F.col(x)).otherwise(0.0))
     sums = by.agg(
         F.sum("pos").alias("P"), F.sum("n").alias("N"), F.sum(F.col("pos") * (F.col("_below") + (F.col("n") + 1) / 2)).alias("ranks"),
@@ -69,7 +70,7 @@ def class_metrics(df: DataFrame, y: str = "y", probs: str = "probs") -> DataFram
     ordered = F.sort_array(c(probs), asc=False)
     entropy = F.aggregate(c(probs), F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log(x)).otherwise(0.0)) / F.log(F.size(c(probs)).cast("double"))
     rows = df.select(c(y).alias("y"), pred.alias("pred"), F.array_max(c(probs)).alias("conf"), (ordered[0] - ordered[1]).alias("margin"), entropy.alias("entropy"), (F.size(c(probs)) - 1).alias("top"))
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("y")))
+    rows = rows.join(F.broadcast(rows.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))), "y")  # a row a class
     ok = (F.col("y") == F.col("pred")).cast("double")
     both = F.sum(((F.col("y") == F.col("top")) & (F.col("pred") == F.col("top"))).cast("double"))
     sides = F.sum((F.col("y") == F.col("top")).cast("double")) + F.sum((F.col("pred") == F.col("top")).cast("double"))

@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ticklane.functions.base import w, wr
+from ticklane.functions.base import div, w, wr
+from ticklane.operators.metrics import unit_repair
 
 PRICES = ("open", "high", "low", "close", "preclose")
 
 
-def window_vectors(bars: DataFrame, length: int = 7, horizon: int = 5) -> DataFrame:
-    """code, start_date, end_date, vec (prices over the window's first close, turnover, change), future_days."""
+def repaired(bars: DataFrame) -> DataFrame:
+    """bars with turnover and pct_chg as shares: a column in percent (a value over 1.5) is divided by 100; an absent turnover is 0,
+    an absent change comes from close and preclose."""
+    if "turnover" not in bars.columns:
+        bars = bars.withColumn("turnover", F.lit(0.0))
+    if "pct_chg" not in bars.columns:
+        bars = bars.withColumn("pct_chg", F.coalesce(div("close", "preclose") - 1, F.lit(0.0)))
+        return unit_repair(bars, "turnover")
+    return unit_repair(unit_repair(bars, "turnover"), "pct_chg")
+
+
+def window_vectors(bars: DataFrame, length: int = 7, horizon: int = 5, recent_days: int | None = None) -> DataFrame:
+    """code, start_date, end_date, vec (prices over the window's first close, turnover, change), future_days.
+
+    A first close of 0 counts as 1.  recent_days: only windows that end within so many days of the last date of all.
+    """
     cells = F.collect_list(F.struct(*PRICES, "turnover", "pct_chg", "date")).over(wr(length))
-    df = bars.withColumns({"_w": cells, "_left": F.count(F.lit(1)).over(w().rowsBetween(1, horizon))}).where(F.size("_w") == length)
-    first = F.col("_w")[0]["close"]
+    df = repaired(bars).withColumns({"_w": cells, "_left": F.count(F.lit(1)).over(w().rowsBetween(1, horizon))}).where(F.size("_w") == length)
+    if recent_days:
+        last = bars.agg(F.date_sub(F.max("date"), recent_days).alias("_cut"))  # one row
+        df = df.join(F.broadcast(last), F.col("date") >= F.col("_cut")).drop("_cut")
+    first = F.when(F.col("_w")[0]["close"] == 0, 1.0).otherwise(F.col("_w")[0]["close"])
     over_first = lambda p: F.transform("_w", lambda x: x[p] / first)
     segments = [over_first(p) for p in PRICES]
-    vec = F.concat(*segments, F.transform("_w", lambda x: x["turnover"]), F.transform("_w", lambda x: x["pct_chg"] / 100))
+    vec = F.concat(*segments, F.transform("_w", lambda x: x["turnover"]), F.transform("_w", lambda x: x["pct_chg"]))
     return df.select("code", F.col("_w")[0]["date"].alias("start_date"), F.col("date").alias("end_date"), vec.alias("vec"), F.col("_left").alias("future_days"))
 
 
@@ -29,12 +49,26 @@ def asof(rows: DataFrame, targets: DataFrame, by: str = "code", on: str = "date"
     return targets.join(found, [by, at], "left").select(by, at, F.col(f"_last.{on}").alias(on), *[F.col(f"_last.{x}").alias(x) for x in others])
 
 
+#: Targets that are compared with every window at a time.
+TARGETS = 200
+
+
 def similar_windows(vectors: DataFrame, targets: DataFrame, top: int = 10, metric: str = "euclid", least: float | None = None) -> DataFrame:
-    """The windows most like each target, best first. targets: target_code, target_end, target_vec.
+    """The windows most like each target, best first. targets: target_code, target_end, target_vec, a stated set of queries.
 
-    Targets are a handful of windows that a user asks about; each executor compares its windows with all of them, and the
-    best ``top`` of a target are kept before anything is shuffled.
+    Targets are taken in blocks of TARGETS, each of which is broadcast and compared with all windows; the best ``top`` of a
+    target are kept before anything is shuffled.
     """
+    spark, schema = vectors.sparkSession, targets.schema
+    found, block = None, []
+    rows = targets.orderBy("target_code", "target_end").toLocalIterator()
+    while block := list(itertools.islice(rows, TARGETS)):
+        part = _similar(vectors, spark.createDataFrame(block, schema), top, metric, least)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else _similar(vectors, targets, top, metric, least)
+
+
+def _similar(vectors: DataFrame, targets: DataFrame, top: int, metric: str, least: float | None) -> DataFrame:
     pairs = vectors.join(F.broadcast(targets), ~((F.col("code") == F.col("target_code")) & (F.col("end_date") == F.col("target_end"))))
     add = lambda a, x: a + x
     total = lambda values: F.aggregate(values, F.lit(0.0), add)

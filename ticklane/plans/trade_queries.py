@@ -245,18 +245,20 @@ register("pattern_summary", lambda s, d: rounded(patterns.summary(pattern_events
 
 
 def targets(s: SparkSession, d: str) -> DataFrame:
-    return bars(s, d).where("code <= 3").select("code").distinct().withColumn("target_date", F.lit("1996-12-31").cast("date"))
+    """Every code as of one day."""
+    return bars(s, d).select("code").distinct().withColumn("target_date", F.lit("1996-12-31").cast("date"))
 
 
 def similar(s: SparkSession, d: str) -> DataFrame:
+    """The windows most like the last one before a day, of every code whose number is divisible by 50 (and code 1), among all windows."""
     vectors = similarity.window_vectors(bars(s, d))
-    at = similarity.asof(vectors.withColumnRenamed("end_date", "date"), targets(s, d))
+    at = similarity.asof(vectors.withColumnRenamed("end_date", "date"), targets(s, d).where("code % 50 = 0 OR code = 1"))
     return similarity.similar_windows(vectors, at.select(F.col("code").alias("target_code"), F.col("date").alias("target_end"), F.col("vec").alias("target_vec"))).withColumn("similarity", F.round("similarity", 6))
 
 
-_vec = o.Chain().add(win=f"list({{{{'o': open, 'h': high, 'l': low, 'c': close, 'p': preclose, 't': turnover, 'g': pct_chg, 'd': date}}}}) {o.over(7)}".replace("{{", "{").replace("}}", "}"), left_=f"count(*) {o.ahead(5)}")
-_vecs = "SELECT code, win[1].d AS start_date, date AS end_date, " + " || ".join(f"list_transform(win, lambda x: x.{k} / win[1].c)" for k in "ohlcp") + " || list_transform(win, lambda x: x.t) || list_transform(win, lambda x: x.g / 100) AS vec, left_ AS future_days FROM {t} WHERE len(win) = 7"
-_vec = o.Chain([*_vec.parts, f"vecs AS ({_vecs.replace('{t}', _vec.at)})"], "vecs").table("SELECT code AS target_code, max(end_date) AS target_end, max_by(vec, end_date) AS target_vec FROM vecs WHERE code <= 3 AND end_date <= DATE '1996-12-31' GROUP BY 1", "tg").table(
+_vec = o.Chain().add(win=f"list({{{{'o': open, 'h': high, 'l': low, 'c': close, 'p': preclose, 't': turnover, 'g': pct_chg, 'd': date}}}}) {o.over(7)}".replace("{{", "{").replace("}}", "}"), left_=f"count(*) {o.ahead(5)}", unit_t="CASE WHEN max(abs(turnover)) OVER () > 1.5 THEN 100 ELSE 1 END", unit_g="CASE WHEN max(abs(pct_chg)) OVER () > 1.5 THEN 100 ELSE 1 END")
+_vecs = "SELECT code, win[1].d AS start_date, date AS end_date, " + " || ".join(f"list_transform(win, lambda x: x.{k} / win[1].c)" for k in "ohlcp") + " || list_transform(win, lambda x: x.t / unit_t) || list_transform(win, lambda x: x.g / unit_g) AS vec, left_ AS future_days FROM {t} WHERE len(win) = 7"
+_vec = o.Chain([*_vec.parts, f"vecs AS ({_vecs.replace('{t}', _vec.at)})"], "vecs").table("SELECT code AS target_code, max(end_date) AS target_end, max_by(vec, end_date) AS target_vec FROM vecs WHERE (code % 50 = 0 OR code = 1) AND end_date <= DATE '1996-12-31' GROUP BY 1", "tg").table(
     "SELECT target_code, target_end, code, start_date, end_date, round(1 / (1 + list_distance(vec, target_vec)), 9) AS sim, future_days FROM vecs, tg WHERE NOT (code = target_code AND end_date = target_end)")
 register("similar_windows", similar, _vec.end("SELECT target_code, target_end, code, start_date, end_date, round(sim, 6) AS similarity, place, future_days FROM (SELECT *, row_number() OVER (PARTITION BY target_code, target_end ORDER BY sim DESC, code, start_date) AS place FROM {t}) WHERE place <= 10"))
-register("asof_target", lambda s, d: similarity.asof(bars(s, d).select("code", "date", "close"), targets(s, d)), o.Chain().end("SELECT code, DATE '1996-12-31' AS target_date, max(date) AS date, max_by(close, date) AS close FROM {t} WHERE code <= 3 AND date <= DATE '1996-12-31' GROUP BY 1"))
+register("asof_target", lambda s, d: similarity.asof(bars(s, d).select("code", "date", "close"), targets(s, d)), o.Chain().end("SELECT code, DATE '1996-12-31' AS target_date, max(date) AS date, max_by(close, date) AS close FROM {t} WHERE date <= DATE '1996-12-31' GROUP BY 1"))
