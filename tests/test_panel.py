@@ -11,7 +11,7 @@ from ticklane import config as cf
 from ticklane.functions import indicators as ind
 from ticklane.functions.base import sma
 from ticklane.operators import backtest as bt
-from ticklane.operators import buckets, labels, metrics, patterns, portfolio
+from ticklane.operators import buckets, labels, metrics, ml, patterns, portfolio
 from ticklane.operators import signals as sg
 from ticklane.sources import bars as src
 from ticklane.streaming import incremental as inc
@@ -411,3 +411,27 @@ SCAN = [(0.0, 0.0, 0.0, 0.0, 0, 0, 10, 0), (0.5, 0.01839, 0.76188, 0.03591, None
 def test_scan_vector_is_consistent():
     for _, precision, recall, f1, *_ in SCAN[1:]:
         assert math.isclose(2 * precision * recall / (precision + recall), f1, abs_tol=2e-5)
+
+
+def test_trials_in_one_pass_equal_trials_one_by_one(spark):
+    from ticklane.operators import signals as sg
+    from ticklane.sources.bars import bars_from_lineitem
+
+    panel = sg.add_valuation(ind.add_panel(bars_from_lineitem(spark, "/root/testdata/sf0.001"))).cache()
+    state = sg.market_state(panel).cache()
+    configs = ml.sample_configs(3)
+    keys = ["code", "strategy", "entry_date", "exit_date", "exit_reason", "pnl_pct"]
+    got = ml.trial_ledgers(panel, state, configs).select("trial", *keys).collect()
+    want = [(k, *r) for k, c in enumerate(configs) for r in bt.backtest_ledger(sg.assemble(panel, state, c), c).select(*keys).collect()]
+    assert sorted(map(tuple, got)) == sorted(want) and len({r.trial for r in got}) == 3
+
+
+def test_tuning_takes_the_best_trial_of_each_bucket(spark):
+    day = lambda k: DAY0 + dt.timedelta(days=k)
+    trades = spark.createDataFrame([(t, c, day(k), day(k + 2), p) for t, c, k, p in [(0, "a", 5, 0.1), (1, "a", 5, 0.3), (0, "b", 5, 0.2), (1, "b", 5, -0.2), (1, "b", 50, 9.0), (0, "b", 12, 0.5), (1, "a", 12, 0.4), (0, "a", 12, -0.4)]], "trial int, code string, entry_date date, exit_date date, pnl_pct double")
+    cut = spark.createDataFrame([("a", 0), ("b", 1)], "code string, bucket_id int")
+    windows = spark.createDataFrame([(0, day(0), day(0), day(10), day(20)), (1, day(20), day(20), day(30), day(40))], "window_id int, train_start date, val_start date, test_start date, test_end date")
+    tuned = ml.tune(trades, cut, windows, 2)
+    assert {(r.window_id, r.bucket_id): (r.trial, r.trade_count) for r in tuned.collect()} == {(0, 0): (1, 1), (0, 1): (0, 1), (1, 0): (0, 0), (1, 1): (0, 0)}
+    out = {(r.window_id, r.variant): (r.trade_count, r.expectancy) for r in ml.tuned_walk_forward({"x": trades}, tuned, cut, windows).collect()}
+    assert out == {(0, "x"): (2, pytest.approx(0.45)), (1, "x"): (0, None)}

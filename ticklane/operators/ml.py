@@ -10,12 +10,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Multila
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklane import config as cf
 from ticklane.operators import backtest as bt
 from ticklane.operators import labels
+from ticklane.operators import signals as sg
 from ticklane.operators.metrics import assign_bins, class_weights, feature_matrix, trade_metrics
 
 
@@ -98,21 +100,63 @@ def sample_configs(trials: int, seed: int = 7, base: cf.Config = cf.DEFAULT) ->
     return out
 
 
-def tune(panel: DataFrame, state: DataFrame, configs: list[cf.Config], start: str, end: str) -> DataFrame:
-    """trial and metrics of each setting on entries from start to before end, best first.
+#: What a trial sets: (group, name) of each setting.
+TUNED = (
+    ("s1", "atr_mul"), ("s1", "atr_mul_pullback"), ("s1", "rsi_bull_low"), ("s2", "bw_quantile"), ("s2", "atr_stop_mul"), ("s3", "rsi_buy"), ("s3", "atr_stop_mul"), ("stock_state", "adx_trend_th"),
+    ("stock_state", "adx_range_th"))
 
-    Indicators don't depend on what is tuned: panel (indicators and valuation) is made once and read by every trial.
+
+def trial_ledgers(panel: DataFrame, state: DataFrame, configs: list[cf.Config], base: cf.Config = cf.DEFAULT) -> DataFrame:
+    """Ledger trades of every trial, with its number: all trials in one pass.
+
+    Indicators don't depend on what is tuned, so the panel is made once; each of its rows meets every trial's settings, which
+    are columns of a table of a row a trial, and a code is folded once a trial.
+    """
+    names = [f"_{g}_{n}" for g, n in TUNED]
+    table = [(k, *(float(getattr(getattr(c, g), n)) for g, n in TUNED)) for k, c in enumerate(configs)]
+    params = panel.sparkSession.createDataFrame(table, "trial int, " + ", ".join(f"{n} double" for n in names))
+    over: dict = {}
+    for (g, n), column in zip(TUNED, names, strict=True):
+        over.setdefault(g, {})[n] = F.col(column)
+    cfg = base.merged(over)
+    rows = panel.join(F.broadcast(params), F.lit(True), "inner").withColumn("code", F.concat_ws("|", F.col("code").cast("string"), "trial"))
+    trades = bt.backtest_ledger(sg.assemble(rows, state, cfg), cfg)
+    kind = panel.schema["code"].dataType
+    return trades.withColumns({"trial": F.substring_index("code", "|", -1).cast("int"), "code": F.expr("substring(code, 1, length(code) - locate('|', reverse(code)))").cast(kind)})
+
+
+def _selection() -> Column:
+    n = F.count("pnl_pct")
+    return F.when(n == 0, F.lit(-1e9)).otherwise(F.avg((F.col("pnl_pct") > 0).cast("double")) * 100 + F.avg("pnl_pct") * 1000 + F.least(n.cast("double"), F.lit(20.0)) * 0.1)
+
+
+def tune(trades: DataFrame, buckets: DataFrame, windows: DataFrame, trials: int) -> DataFrame:
+    """The best trial of each window and bucket by the trades that enter in the window's validation span.
+
+    trades: trial_ledgers(); buckets: code, bucket_id; windows: walk_windows().  Trials without trades score -1e9; of equal
+    scores the first trial is taken.  Returns window_id, bucket_id, trial, trade_count, hit_rate, expectancy, selection_score.
+    """
+    spark = trades.sparkSession
+    inside = labels.window_slices(trades.withColumn("date", F.col("entry_date")), windows, "val_start", "test_start").join(buckets, "code")
+    grid = windows.select("window_id").crossJoin(F.broadcast(buckets.select("bucket_id").distinct())).crossJoin(F.broadcast(spark.range(trials).select(F.col("id").cast("int").alias("trial"))))  # some hundreds of rows
+    found = grid.join(inside.select("window_id", "bucket_id", "trial", "pnl_pct"), ["window_id", "bucket_id", "trial"], "left").groupBy("window_id", "bucket_id", "trial").agg(
+        F.count("pnl_pct").alias("trade_count"), F.avg((F.col("pnl_pct") > 0).cast("double")).alias("hit_rate"), F.avg("pnl_pct").alias("expectancy"), _selection().alias("selection_score"))
+    line = W.partitionBy("window_id", "bucket_id").orderBy(F.round("selection_score", 9).desc(), "trial")
+    return found.withColumn("_n", F.row_number().over(line)).where("_n = 1").drop("_n")
+
+
+def tuned_walk_forward(ledgers: dict[str, DataFrame], tuned: DataFrame, buckets: DataFrame, windows: DataFrame) -> DataFrame:
+    """Metrics of each valuation variant in each window's test span, where every bucket trades its own tuned trial.
+
+    ledgers: trial_ledgers() of each variant's settings.
     """
-    from ticklane.operators import signals as sg
-
-    rows = []
-    for k, cfg in enumerate(configs):
-        trades = bt.backtest_ledger(sg.assemble(panel, state, cfg), cfg).where((F.col("entry_date") >= start) & (F.col("entry_date") < end))
-        rows.append(trade_metrics(trades, []).withColumn("trial", F.lit(k)))
-    found = reduce(DataFrame.unionByName, rows)
-    bonus = F.least(F.col("trade_count").cast("double"), F.lit(20.0)) * 0.1
-    value = F.when(F.col("trade_count") == 0, -1e9).otherwise(F.col("hit_rate") * 100 + F.col("expectancy") * 1000 + bonus)
-    return found.withColumn("selection_score", value).orderBy(F.col("selection_score").desc(), "trial")
+    parts = []
+    for variant, trades in ledgers.items():
+        inside = labels.window_slices(trades.withColumn("date", F.col("entry_date")), windows, "test_start", "test_end").join(buckets, "code")
+        chosen = inside.join(tuned.select("window_id", "bucket_id", "trial"), ["window_id", "bucket_id", "trial"], "left_semi")
+        metrics = trade_metrics(chosen, ["window_id"])
+        parts.append(windows.select("window_id", "test_start", "test_end", F.lit(variant).alias("variant")).join(metrics, "window_id", "left").fillna({"trade_count": 0}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def walk_forward(trades: DataFrame, windows: DataFrame) -> DataFrame:

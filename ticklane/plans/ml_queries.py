@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticklane import config as cf
 from ticklane.functions import indicators as ind
 from ticklane.operators import backtest as bt
+from ticklane.operators import buckets
 from ticklane.operators import labels as lb
 from ticklane.operators import metrics as mt
 from ticklane.operators import ml
@@ -65,10 +67,38 @@ def quantiles(s: SparkSession, d: str) -> DataFrame:
     return rounded(one("ret_20", 0.7).unionByName(one("mae_20", 0.1)), ["pinball", "coverage", "top_mean"], ("target",))
 
 
+TRIALS = 30
+
+
+def _tuned(s: SparkSession, d: str, variants: dict) -> tuple:
+    """Ledgers of the trials for each distinct way to filter entries, the buckets and the windows."""
+    rows = bars(s, d)
+    panel = tq.kept(s, sg.add_valuation(ind.add_panel(rows)), "panel")
+    state = tq.kept(s, sg.market_state(panel), "state")
+    made: dict = {}
+    for name, over in variants.items():
+        base = cf.DEFAULT.merged({"valuation": over})
+        way = over["enabled"] and over["mode"] == "soft_filter"  # the others only change scores of candidates, not trades
+        if way not in made:
+            made[way] = tq.kept(s, tq.clean(ml.trial_ledgers(panel, state, ml.sample_configs(TRIALS), base)), "trials")
+        variants = variants | {name: made[way]}
+    first, last = rows.agg(F.min("date"), F.max("date")).first()
+    return variants, buckets.monthly_freeze(rows, "size", 3), lb.walk_windows(s, first, last, train=6, val=3, test=3, step=3)
+
+
 def tuning(s: SparkSession, d: str) -> DataFrame:
-    panel = tq.kept(s, sg.add_valuation(ind.add_panel(bars(s, d))), "panel")
-    state = sg.market_state(panel)
-    return rounded(ml.tune(panel, state, ml.sample_configs(3), "1997-01-01", "1998-01-01"), ["hit_rate", "expectancy", "selection_score"], ("trial", "trade_count"))
+    """The best of 30 random settings for each walk-forward window and size bucket."""
+    ledgers, cut, windows = _tuned(s, d, {"baseline": cf.VALUATION_VARIANTS["baseline"]})
+    found = ml.tune(ledgers["baseline"], cut, windows, TRIALS)
+    return rounded(found, ["hit_rate", "expectancy", "selection_score"], ("window_id", "bucket_id", "trial", "trade_count"))
+
+
+def walkforward_tuned(s: SparkSession, d: str) -> DataFrame:
+    """Test metrics of the six valuation variants with tuned settings."""
+    ledgers, cut, windows = _tuned(s, d, cf.VALUATION_VARIANTS)
+    tuned = tq.kept(s, ml.tune(ledgers["baseline"], cut, windows, TRIALS), "tuned")
+    found = ml.tuned_walk_forward(ledgers, tuned, cut, windows)
+    return rounded(found, ["hit_rate", "expectancy", "avg_hold_days"], ("window_id", "variant", "test_start", "test_end", "trade_count"))
 
 
 register("ml_regressor", regressor)
@@ -77,6 +107,7 @@ register("ml_classifier_logistic", classifier("logistic"))
 register("ml_classifier_mlp", classifier("mlp"))
 register("ml_quantile", quantiles)
 register("tuning", tuning)
+register("walkforward_tuned", walkforward_tuned)
 _wf = ["hit_rate", "expectancy", "avg_hold_days"]
 _walk_parts = [p for p in lq._walk.parts if p not in tq._sim.parts]
 _sim = tq._sim.table("SELECT * FROM {t}", "trades")
