@@ -22,6 +22,15 @@ def dayn_windows(df: DataFrame, columns: list[str], n: int = 7) -> DataFrame:
     return df.withColumns(flat).where(F.col("_i") >= n).drop("_i")
 
 
+def dayn_between(df: DataFrame, columns: list[str], n: int = 7, start: str | None = None, end: str | None = None) -> DataFrame:
+    """dayn_windows whose anchors lie from start to end (both included, open where not given). Windows reach back over rows, so the
+    first anchors have their days although those lie before start."""
+    if end:
+        df = df.where(F.col("date") <= F.lit(end).cast("date"))
+    made = dayn_windows(df, columns, n)
+    return made.where(F.col("date") >= F.lit(start).cast("date")) if start else made
+
+
 def align(df: DataFrame, wanted: list[str], keys: tuple[str, ...] = ("code", "date")) -> DataFrame:
     """The columns a model wants, in its order; absent ones are null."""
     return df.select(*keys, *[c(x) if x in df.columns else F.lit(None).cast("double").alias(x) for x in wanted])
@@ -49,11 +58,15 @@ def fwd_maxret_compat(df: DataFrame, horizon: int = 20) -> DataFrame:
     return df.withColumn("fwd_maxret_compat", made / F.col("close") - 1)
 
 
-def ret_mae(df: DataFrame, n: int = 20) -> DataFrame:
-    """Return from the next open to the close n rows on, and the worst low on the way."""
+def ret_mae(df: DataFrame, n: int = 20, compat: bool = False) -> DataFrame:
+    """Return from the next open to the close n rows on, and the worst low on the way.
+
+    compat: the worst low of rows t - n + 2 .. t + 1, which some trainers take for it; kept for comparison with them.
+    """
     start = lead("open")
-    full = F.count("low").over(ahead(n)) == n
-    return df.withColumns({f"ret_{n}": lead("close", n) / start - 1, f"mae_{n}": F.when(full, F.min("low").over(ahead(n))) / start - 1})
+    frame = w().rowsBetween(-(n - 2), 1) if compat else ahead(n)
+    full = (F.count("low").over(frame) == n) & lead("low").isNotNull()
+    return df.withColumns({f"ret_{n}": lead("close", n) / start - 1, f"mae_{n}": F.when(full, F.min("low").over(frame)) / start - 1})
 
 
 def cs_quantile_label(df: DataFrame, horizon: int = 21, low: float = 0.1, high: float = 0.9, least: int = 200) -> DataFrame:

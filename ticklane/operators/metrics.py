@@ -109,6 +109,21 @@ def assign_bins(x, cuts: list[float]):
     return F.when(c(x).isNull(), 0).otherwise(bin_)
 
 
+def calibrated_bins(x, cuts: list[float], mean: float, std: float):
+    """assign_bins of the standardised value among the standardised cuts, for cuts and statistics of a training run; plain bins
+    without a deviation."""
+    if not std:
+        return assign_bins(x, cuts)
+    return assign_bins((c(x) - mean) / std, [(k - mean) / std for k in cuts])
+
+
+def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, missing: the share of each column's cells that are null, NaN or infinite, the worst first; one scan."""
+    gone = lambda x: F.avg((F.col(x).isNull() | F.isnan(F.col(x).cast("double")) | (F.abs(F.col(x).cast("double")) == float("inf"))).cast("double"))
+    rates = df.agg(*[gone(x).alias(x) for x in columns]).unpivot([], columns, "feature", "missing")
+    return rates.orderBy(F.col("missing").desc(), "feature")
+
+
 def topfrac_hit(df: DataFrame, score: str, ret: str, fraction: float = 0.1, threshold: float = 0.0, least: int = 50) -> DataFrame:
     """Mean over days of the hit rate among a day's top fraction by score; days with fewer than ``least`` rows are left out."""
     day = W.partitionBy("date")

@@ -11,6 +11,7 @@ from ticklane.plans import oracle as o
 from ticklane.plans.indicator_queries import bars, rounded
 from ticklane.plans.trade_queries import SQL_PRED, _predictions
 from ticklane.sources import bars as src
+from ticklane.sources.scratch import scratch_path
 from ticklane.streaming import events as ev
 from ticklane.streaming import incremental as inc
 
@@ -175,3 +176,39 @@ register("ev_session", lambda s, d: ev.sessions(ev.scan(s, d)),
          f"SELECT user_id, min(ts) AS session_start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM {_ev})) GROUP BY user_id, sid")
 register("ev_stream_tumbling", lambda s, d: ev.stream_tumbling(s, d), ORACLE["ev_tumbling"])
 register("stream_upsert", lambda s, d: inc.stream_upsert(s, bars(s, d).select("code", "date", "close")), start.end("SELECT code, date, close FROM {t}"))
+
+
+def listed_equities(s: SparkSession, d: str) -> DataFrame:
+    """Reference rows made of the suppliers, scanned for those that are listed."""
+    n = F.col("s_suppkey")
+    rows = s.read.parquet(f"{d}/supplier.parquet").select(
+        F.concat(F.when(n % 2 == 0, "sh.").otherwise("sz"), F.when(n % 10 == 3, ".").otherwise(""), n.cast("string")).alias("code"), F.when(n % 3 == 0, "2").otherwise("1").alias("type"),
+        F.when(n % 5 == 0, "0").otherwise("1").alias("status"), F.when(n % 7 == 0, "").otherwise("2001-02-03").alias("ipoDate"))
+    return src.listed(rows)
+
+
+register("listed_equities", listed_equities, "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, CASE WHEN s_suppkey % 7 <> 0 THEN DATE '2001-02-03' END AS ipo_date FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AND (s_suppkey % 2 = 0) <> (s_suppkey % 10 = 3)")
+
+
+def feature_lines(s: SparkSession, d: str) -> DataFrame:
+    """A feature list written as text and read again, with the place of each name."""
+    path = scratch_path(s, "features")
+    names = ["day1_close", "day2_close", " volume ", "", "rsi14"]
+    s.createDataFrame([("\n".join(names),)], "value string").coalesce(1).write.text(path)
+    return s.createDataFrame(list(enumerate(src.feature_list(s, path))), "place int, feature string")
+
+
+register("feature_list", feature_lines, "SELECT CAST(place AS INT) AS place, feature FROM (VALUES (0, 'day1_close'), (1, 'day2_close'), (2, 'volume'), (3, 'rsi14')) AS t(place, feature)")
+register("missing_rates", lambda s, d: mt.missing_rates(bars(s, d), ["close", "pb_mrq", "ps_ttm"]).withColumn("missing", F.round("missing", 6)),
+         start.end(" UNION ALL ".join(f"SELECT '{x}' AS feature, round(avg(({x} IS NULL)::INT), 6) AS missing FROM {{t}}" for x in ("close", "pb_mrq", "ps_ttm"))))
+register("calibrated_bins", lambda s, d: preds(s, d).select("code", "date", mt.calibrated_bins("pred", CUTS, 0.002, 0.025).alias("bin")),
+         _preds.end("SELECT code, date, CASE WHEN pred IS NULL THEN 0 " + " ".join(f"WHEN (pred - 2e-3) / 25e-3 <= {(x - 0.002) / 0.025!r}::DOUBLE THEN {k + 1}" for k, x in enumerate(CUTS)) + " ELSE 5 END AS bin FROM {t}"))
+register("ret_mae_compat", lambda s, d: rounded(lb.ret_mae(bars(s, d), compat=True), ["ret_20", "mae_20"]),
+         start.add(ret_20=f"{o.lead('close', 20)} / {o.lead('open')} - 1", mae_20=f"CASE WHEN count(low) OVER ({o.LINE} ROWS BETWEEN 18 PRECEDING AND 1 FOLLOWING) = 20 AND {o.lead('low')} IS NOT NULL THEN min(low) OVER ({o.LINE} ROWS BETWEEN 18 PRECEDING AND 1 FOLLOWING) END / {o.lead('open')} - 1").show(["ret_20", "mae_20"]))
+register("dayn_between", lambda s, d: lb.dayn_between(bars(s, d), ["close"], 3, "1995-01-01", "1995-12-31").select("code", "date", "day1_close", "day2_close", "day3_close"),
+         start.add(day1_close=o.lag("close", 2), day2_close=o.lag("close", 1), day3_close="close").end("SELECT code, date, day1_close, day2_close, day3_close FROM {t} WHERE rn >= 3 AND date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'"))
+register("new_windows", lambda s, d: rounded(inc.new_windows(bars(s, d).select("code", "date", "close"), bars(s, d).where("date < '1998-06-01' AND code % 5 <> 0").select("code", "date"), ["close"], 3, 2, 0.01), ["day1_close", "day2_close", "day3_close"], ("code", "date", "label")),
+         start.table("SELECT code, date, close FROM {t} WHERE code % 5 = 0 OR date >= (SELECT max(b.date) - INTERVAL 2 DAY FROM bars b WHERE b.code = {t}.code AND b.date < DATE '1998-06-01')").table(
+             f"SELECT *, greatest({o.lead('close', 1)}, {o.lead('close', 2)}) >= close * 1.01 AS up, {o.lead('close', 2)} AS last_ FROM {{t}}").table("SELECT code, date, close, CAST(up AS INT) AS label FROM {t} WHERE last_ IS NOT NULL").table(
+             f"SELECT *, {o.lag('close', 2)} AS day1_close, {o.lag('close', 1)} AS day2_close, close AS day3_close, row_number() OVER ({o.LINE}) AS k FROM {{t}}").end(
+             "SELECT code, date, label, round(day1_close, 6) AS day1_close, round(day2_close, 6) AS day2_close, round(day3_close, 6) AS day3_close FROM {t} WHERE k >= 3 AND (code % 5 = 0 OR date > (SELECT max(b.date) FROM bars b WHERE b.code = {t}.code AND b.date < DATE '1998-06-01'))"))

@@ -131,6 +131,24 @@ def exchange_symbol(x: Column) -> Column:
     return F.concat(F.when(first.isin("5", "6", "9"), "sh.").when(first.isin("4", "8"), "bj.").otherwise("sz."), code)
 
 
+def listed(df: DataFrame) -> DataFrame:
+    """code, ipo_date of the listed ordinary shares among reference rows (code like sh.600000, type, status, ipoDate): type and
+    status "1", the part behind the dot as a 6-digit code, in order; codes of another form are left out, an empty date is null."""
+    parts = F.split("code", r"\.")
+    rows = df.where((F.col("type") == "1") & (F.col("status") == "1") & (F.size(parts) == 2))
+    found = rows.select(norm_code(F.element_at(parts, 2)).alias("code"), F.col("ipoDate").try_cast("date").alias("ipo_date"))
+    return found.groupBy("code").agg(F.max("ipo_date").alias("ipo_date")).where(F.col("code").isNotNull()).orderBy("code")
+
+
+def feature_list(spark: SparkSession, path: str) -> list[str]:
+    """The feature names of a text file, a line each, in order; blank lines are skipped, a file without names raises."""
+    text = spark.read.text(path, wholetext=True).first()  # one small file, whole, so that lines stay in order
+    names = [x.strip() for x in (text.value.splitlines() if text else []) if x.strip()]
+    if not names:
+        raise ValueError(f"no feature names in {path}")
+    return names
+
+
 def clean_ohlcv(df: DataFrame, narrow: bool = False) -> DataFrame:
     """code, date and prices only; cells that are no numbers are null and incomplete rows go."""
     kind = "float" if narrow else "double"
