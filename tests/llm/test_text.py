@@ -810,3 +810,62 @@ def test_pipeline(spark):
         df = Scratch(spark, "t").cut(stage(spark, df, SMALL))
         assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < df.count() <= before
     assert corpus_pipeline.run(spark, SMALL).count() == df.count()
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_pipeline_stages_take_edge_rows_and_other_columns(spark, at):
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[at]
+    more = docs(spark, [*EDGES, (7, "é漢😀 $%& 12")]).withColumn("_row", F.lit("x")).withColumn("_file", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("Root", F.lit(None).cast("string")).withColumn("y", F.lit(3))
+    kept = stage(spark, more, SMALL)
+    rows = kept.collect()
+    assert kept.columns == more.columns and {r._row for r in rows} == {"x"}
+    if name == "near_duplicates":  # the three without words are one group, repeated rows fall together
+        assert sorted(str(r.doc_id) for r in rows) == ["1", "5", "6", "7", "None"]
+    else:
+        assert len(rows) == len(EDGES) + 1
+    assert stage(spark, more.where("false"), SMALL).count() == 0
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Every stage again on collected texts: scores row by row, all pairs of fingerprints, all windows, and the mix in SQL."""
+    import corpus_pipeline
+    import duckdb
+
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    items = [brute_words(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    left = {r.doc_id: r for r in table.collect()}
+    forest = quality.train(table, labels)
+    left = {i: r for i, r in left.items() if 1 / (1 + np.exp(-slow_margin(forest, quality.statistics(r.text)))) >= quality.THRESHOLD - 1e-9}
+    lexicon = toxicity.train(table.where(F.col("doc_id").isin(list(left))), labels)
+
+    def toxic(text):
+        total, n = brute_weight(text, lexicon), len(toxicity.fold(text).split())
+        margin = lexicon.bias + lexicon.slopes[0] * np.log(1e-4 + total / max(n, 1)) + lexicon.slopes[1] * np.log1p(total)
+        return (1 / (1 + np.exp(-margin)) if total else lexicon.none) >= toxicity.THRESHOLD
+
+    left = {i: r for i, r in left.items() if not toxic(r.text)}
+    ids = sorted(left)
+    group = brute_components([brute_print(left[i].text) for i in ids], simhash.REACH)
+    first = {}
+    for i, g in zip(ids, group, strict=True):
+        first.setdefault(g, i)
+    left = {i: left[i] for i in first.values()}
+    windows = {tuple(w[k : k + 10]) for w in items for k in range(max(1, len(w) - 9) if w else 0)}
+    sizes = {len(w) for w in windows}
+
+    def dirty(text):
+        w = brute_words(text)
+        return any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
+
+    left = {i: r for i, r in left.items() if not dirty(r.text)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r.doc_id, r.text, r.source) for r in left.values()])
+    same_rows = con.execute(queries.OP7_SQL)
+    names = [x[0] for x in same_rows.description]
+    want = sorted((row["doc_id"], row["size"], row["taken"], round(row["target"], 6)) for row in (dict(zip(names, x, strict=True)) for x in same_rows.fetchall()))
+    got = sorted((r.doc_id, r.size, r.taken, round(r.target, 6)) for r in corpus_pipeline.run(spark, SMALL).collect())
+    assert got == want and len(got) > 50
