@@ -227,8 +227,9 @@ def pct_rank_max(x: str, n: int) -> Column:
 def pct_rank_avg(x: str, n: int, least: int | None = None) -> Column:
     """Average-rank percentile of the last value among the window's values, null where it is null or fewer than least are there."""
     values = F.collect_list(c(x)).over(wr(n))
-    below, same = F.size(F.filter(values, lambda v: v < c(x))), F.size(F.filter(values, lambda v: v == c(x)))
-    rank = (below + (same + 1) / F.lit(2.0)) / F.size(values)
+    # a lower value counts 1, an equal one 1/2: whole halves, so the sum is exact, and no array is made
+    below = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.when(v < c(x), 1.0).when(v == c(x), 0.5).otherwise(0.0))
+    rank = (below + 0.5) / F.size(values)
     return F.when((F.count(c(x)).over(wr(n)) >= (least or n)) & c(x).isNotNull(), rank)
 
 
@@ -295,14 +296,35 @@ def vol_slope(n: int = 5) -> Column:
 
 
 def add_panel(df: DataFrame) -> DataFrame:
-    """The 38 indicator columns that signals and factors read."""
-    df = add_recursive(df)
-    df = add_atr(add_rsi(df)).withColumn("atr_pct", div("atr14", "close"))
-    df = add_mdd(add_cci(add_dmi(add_obv(add_bollinger(df)))))
-    df = df.withColumns({f"roc{n}": roc("close", n) for n in (10, 20, 60)} | {"wr14": williams_r()})
-    return df.withColumns({
-        "breakout20_atr": breakout_atr(), "dist_high20": dist_to_high(20), "dist_high60": dist_to_high(60), "rvol20": rvol(), "vol_z20": vol_zscore(),
-        "gap_atr14": gap_atr(), "tr_pct": tr_pct(), "clv": clv()} | wick_ratios())
+    """The 38 indicator columns that signals and factors read: add_recursive and the other add_* functions in three window passes.
+
+    What depends on the bars alone is one pass over a code's rows, what depends on that a second, and adx14 a third; the
+    functions one after the other would make a pass each.
+    """
+    x, zero = F.col, F.lit(0.0)
+    before = w().rowsBetween(-20, -1)
+    df = add_recursive(df).withColumn("_tp", (x("high") + x("low") + x("close")) / 3.0)
+    df = df.withColumns({
+        "_pc": lag("close"), "_ph": lag("high"), "_pl": lag("low"), "boll_mid": sma("close", 20), "_sd": rolling_std("close", 20), "_tpm": sma("_tp", 20), "_top20": rolling_max("close", 20), "_top60": rolling_max("close", 60),
+        "_before": F.when(F.count("high").over(before) == 20, F.max("high").over(before)), "rvol20": rvol(), "vol_z20": vol_zscore(), "wr14": williams_r()} | {f"roc{n}": roc("close", n) for n in (10, 20, 60)})
+    step, rise, fall = F.coalesce(x("close") - x("_pc"), zero), F.coalesce(F.greatest(x("high") - x("_ph"), zero), zero), F.coalesce(F.greatest(x("_pl") - x("low"), zero), zero)
+    df = df.withColumns({
+        "_tr": F.greatest(x("high") - x("low"), F.abs(x("high") - x("_pc")), F.abs(x("_pc") - x("low"))), "_up": F.greatest(step, zero), "_down": F.greatest(-step, zero),
+        "_step": F.coalesce(x("volume") * F.signum(x("close") - x("_pc")), zero), "_plus": F.when(rise > fall, rise).otherwise(0.0), "_minus": F.when(fall > rise, fall).otherwise(0.0),
+        "_off": x("_tp") - x("_tpm"), "_dd": div("close", "_top60") - 1, "boll_up": x("boll_mid") + 2.0 * x("_sd"), "boll_low": x("boll_mid") - 2.0 * x("_sd")})
+    df = df.withColumn("_abs", F.abs("_off"))
+    df = df.withColumns({
+        "atr14": sma("_tr", 14), "_gain": sma("_up", 14), "_loss": sma("_down", 14), "obv": F.sum("_step").over(upto()), "_total": rolling_sum("_tr", 14), "_p": rolling_sum("_plus", 14), "_m": rolling_sum("_minus", 14),
+        "_dev": sma("_abs", 20), "mdd60": rolling_min("_dd", 60)})
+    df = df.withColumns({
+        "rsi14": clip(100 - 100 / (1 + div("_gain", "_loss")), 0.0, 100.0), "plus_di14": div(100 * x("_p"), "_total"), "minus_di14": div(100 * x("_m"), "_total"), "cci20": div("_off", 0.015 * x("_dev")),
+        "boll_bw": div(x("boll_up") - x("boll_low"), "boll_mid"), "atr_pct": div("atr14", "close")})
+    df = df.withColumn("_dx", div(100 * F.abs(x("plus_di14") - x("minus_di14")), x("plus_di14") + x("minus_di14")))
+    df = df.withColumns({
+        "adx14": sma("_dx", 14), "breakout20_atr": (x("close") - x("_before")) / (x("atr14") + EPS), "dist_high20": div("close", "_top20") - 1, "dist_high60": div("close", "_top60") - 1,
+        "gap_atr14": F.abs(x("open") - x("_pc")) / (x("atr14") + EPS), "tr_pct": x("_tr") / (F.abs("_pc") + EPS), "clv": clv()} | wick_ratios())
+    own = "_tp _pc _ph _pl _sd _tpm _top20 _top60 _before _tr _up _down _step _plus _minus _off _dd _abs _gain _loss _total _p _m _dev _dx"
+    return df.drop(*own.split())
 
 
 def add_panel_v2(df: DataFrame, long_windows: bool = False) -> DataFrame:

@@ -144,8 +144,15 @@ _TRADE = ["entry_price", "exit_price", "pnl_pct", "entry_score", "weight", "exit
 _TRADE_KEYS = ("variant", "code", "strategy", "entry_signal_date", "entry_date", "exit_date", "days_held", "exit_reason")
 
 
+#: What simulations, their windows' features and actions read of a factor panel.
+_READ = (
+    "code", "date", "open", "close", "atr_pct", "atr14", "ema20", "ema50", "ema200", "adx14", "dist_high20", "breakout20_atr", "boll_up", "clv", "body_ratio", "roc20", "roc60", "rsi14", "rvol20", "market_state_index",
+    "s1_entry", "s1_stop", "s2_entry", "s2_stop", "s3_long_entry", "s3_stop", "value_score", "candidate_score", "technical_score", "multifactor_score", "quality_score", "signal_score", "composite_reason",
+    *[f"profile_score_{p}" for p in cf.PROFILES])
+
+
 def factors(s: SparkSession, d: str) -> DataFrame:
-    return kept(s, sq.factors(s, d), "factors")
+    return kept(s, sq.factors(s, d).select(*_READ), "factors")
 
 
 def events(s: SparkSession, d: str, variants: dict | None = None) -> DataFrame:
