@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklane.llm import chat, decontam, images, mixing, quality, simhash, tokencount, toxicity, urls, warc
+from ticklane.llm import chat, decontam, divergence, images, manifest, mixing, quality, simhash, tokencount, toxicity, urls, warc
 from ticklane.llm.shared import Scratch, crc_remainder
 
 
@@ -77,6 +77,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss_text"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -140,6 +148,62 @@ SELECT doc_id, size, source_size, target, CAST(
 FROM m
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(*) >= 3),
+c AS (SELECT lang, source, term, sum(n) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+l AS (SELECT lang, sum(total)::HUGEINT AS total FROM g GROUP BY lang),
+gp AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + v.v) AS p
+       FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+lp AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c.n) + 1)) // (l.total + v.v) AS q FROM c JOIN l USING (lang) JOIN v USING (lang) GROUP BY lang, term, l.total, v.v),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+tm AS (SELECT gp.lang, gp.source, 'term' AS part, gp.term AS item, ((p - q) * (p - q)) // q AS value FROM gp JOIN lp USING (lang, term) WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM tm))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 200
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+         list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: list_transform(range(0, CASE WHEN x = '' THEN 0 ELSE 8 END), lambda i: (ascii(x) >> i::INT)::BIGINT)))),
+                     lambda a, b: xor(a >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)) AS crc
+  FROM documents),
+h AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(told) || ':' || told, '-')) AS altered
+  FROM (SELECT *, CASE WHEN xor(crc, 4294967295::BIGINT) % 3 = 0 THEN lowered ELSE text END AS told,
+               coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+               || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM c)),
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM h),
+lv AS (
+  SELECT 0 AS k, lang, place, leaf AS digest, n FROM d
+  UNION ALL SELECT k + 1, lang, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (n + 7) // 8 FROM lv WHERE n > 1 GROUP BY k, lang, place // 8, n),
+s AS (SELECT lang, k AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM lv WHERE n = 1),
+tp AS (
+  SELECT 0 AS k, place, subroot AS digest, n FROM s
+  UNION ALL SELECT k + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (n + 7) // 8 FROM tp WHERE n > 1 GROUP BY k, place // 8, n),
+p AS (
+  SELECT d.r, lv.k AS step, lv.place, lv.digest, lv.place = d.place // (8 ** lv.k)::BIGINT AS own
+  FROM d JOIN lv ON lv.lang IS NOT DISTINCT FROM d.lang AND lv.n > 1 AND lv.place // 8 = d.place // (8 ** (lv.k + 1))::BIGINT
+  UNION ALL
+  SELECT d.r, s.height + tp.k, tp.place, tp.digest, tp.place = s.place // (8 ** tp.k)::BIGINT
+  FROM d JOIN s ON s.lang IS NOT DISTINCT FROM d.lang JOIN tp ON tp.n > 1 AND tp.place // 8 = s.place // (8 ** (tp.k + 1))::BIGINT),
+f AS (
+  SELECT r, 0 AS step, altered AS node FROM d
+  UNION ALL SELECT f.r, f.step + 1, sha256(string_agg(CASE WHEN own THEN node ELSE digest END, '' ORDER BY place)) FROM f JOIN p ON p.r = f.r AND p.step = f.step GROUP BY f.r, f.step),
+o AS (SELECT r, sha256(coalesce(string_agg(CASE WHEN NOT own THEN digest END, '' ORDER BY step, place), '')) AS proof_sha256 FROM p GROUP BY r),
+e AS (SELECT r, max_by(node, step) AS folded_root FROM f GROUP BY r)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN s ON s.lang IS NOT DISTINCT FROM d.lang CROSS JOIN (SELECT digest AS root FROM tp WHERE n = 1) JOIN e USING (r) LEFT JOIN o USING (r)
+"""
+
 
 def queries() -> dict:
     return {
@@ -153,8 +217,10 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_warc": op9_warc,
         "op10_chat": op10_chat,
+        "op12_divergence": op12_divergence,
+        "op13_manifest": op13_manifest,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontamination": OP2_SQL, "op7_mixing": OP7_SQL, "op10_chat": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_mixing": OP7_SQL, "op10_chat": OP10_SQL, "op12_divergence": OP12_SQL, "op13_manifest": OP13_SQL}

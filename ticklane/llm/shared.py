@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklane.sources.scratch import delete_path, scratch_path
@@ -93,6 +94,28 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], size: str,
     return rows.join(few, keys).unionByName(rest)
 
 
+#: Rows of a table of offsets that is broadcast; a larger one is joined.
+FEW_ROWS = 1_000_000
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], scratch: Scratch, place: str, total: str) -> DataFrame:
+    """rows with their place (from 0) in their group in the order of ``order``, and the group's total of rows.
+
+    Rows are dealt to ranges and sorted there, and each range is given the counts of those before it, one row a range and group: no
+    group meets in a task.  ``group`` must not be null, and ``order`` should tell rows apart, or equal ones share a range.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
+    dealt = scratch.cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_seen", F.monotonically_increasing_id()))
+    part = F.shiftright("_seen", 33).alias("_part")
+    parts = dealt.groupBy(part, group).agg(F.min("_seen").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    line = W.partitionBy(group).orderBy("_part")
+    before = F.coalesce(F.sum("_n").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = scratch.cut(parts.select("_part", group, (before - F.col("_first")).alias("_add"), F.sum("_n").over(W.partitionBy(group)).alias(total)))
+    few = F.broadcast(parts) if parts.count() <= FEW_ROWS else parts
+    found = dealt.withColumn("_part", part).join(few, ["_part", group])
+    return found.withColumn(place, F.col("_seen") + F.col("_add")).drop("_part", "_seen", "_add")
+
+
 def word_count(text: Column) -> Column:
     """Number of ASCII-white-space separated words; null has none. JVM only."""
     spaced = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
