@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklane.llm import chat, decontam, divergence, images, manifest, mixing, quality, simhash, tokencount, toxicity, urls, warc
+from ticklane.llm import chat, decontam, divergence, images, langid, manifest, mixing, quality, simhash, tokencount, toxicity, urls, warc
 from ticklane.llm.shared import Scratch, crc_remainder
 
 
@@ -77,6 +77,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss_text"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", (crc_remainder(F.col("doc_id"), langid.HOLD_OUT[0]) == langid.HOLD_OUT[1]).alias("held_out"), "lang_pred", "score")
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -217,6 +223,7 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_warc": op9_warc,
         "op10_chat": op10_chat,
+        "op11_language": op11_language,
         "op12_divergence": op12_divergence,
         "op13_manifest": op13_manifest,
     }
