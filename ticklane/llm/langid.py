@@ -234,14 +234,15 @@ def train(docs: DataFrame, held: tuple[int, int] = HOLD_OUT, per_lang: int = PER
 def single(score: np.ndarray) -> int | None:
     """The language of all words, if no stretch of others can be worth its changes; None if that must be looked at.
 
-    A path leaves the best language for stretches of others; k of them side by side cost k + 1 changes, or k at an end.  If none
-    gains more than one change costs, no path is better.
+    A path with k stretches of others side by side changes at least k - 1 times for them (k times at an end, k + 1 times inside).  One
+    stretch over all words gains nothing, for no language has a higher sum; if no stretch gains more than half of what a change
+    costs, two and more do not pay either.
     """
     best = int(score.sum(axis=0, dtype=np.int64).argmax())
     gain = np.cumsum(score - score[:, best : best + 1], axis=0, dtype=np.int64)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
     low = np.concatenate([np.zeros((1, gain.shape[1]), np.int64), low[:-1]])
-    return best if (gain - low).max() <= SWITCH * UNIT else None
+    return best if (gain - low).max() <= SWITCH * UNIT // 2 else None
 
 
 def viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
