@@ -84,10 +84,10 @@ class Chain:
         said = ", ".join(f"{e} AS {k}" for k, e in columns.items())
         return Chain([*self.parts, f"{name} AS (SELECT *, {said} FROM {self.at})"], name)
 
-    def table(self, sql: str, name: str | None = None) -> Chain:
-        """A further expression; {t} is the one before. Without a name it becomes the current one."""
+    def table(self, sql: str, name: str | None = None, once: bool = False) -> Chain:
+        """A further expression; {t} is the one before. Without a name it becomes the current one. once: made once, whoever reads it."""
         made = name or f"t{len(self.parts)}"
-        return Chain([*self.parts, f"{made} AS ({sql.format(t=self.at)})"], self.at if name else made)
+        return Chain([*self.parts, f"{made} AS {'MATERIALIZED ' if once else ''}({sql.format(t=self.at)})"], self.at if name else made)
 
     def end(self, sql: str) -> str:
         return "WITH RECURSIVE " + ",\n".join(self.parts) + "\n" + sql.format(t=self.at)

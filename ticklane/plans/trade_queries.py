@@ -151,8 +151,13 @@ register("topcap_prefix", lambda s, d: rounded(bt.top_prefix(bt.candidate_pool(b
 register("risk_parity", lambda s, d: rounded(bt.risk_parity(bt.top_prefix(bt.candidate_pool(bt.add_risk(risk_preds(s, d))))), ["weight"]),
          _prefix.add(_i="1.0 / greatest(risk, 1e-6)").add(weight="_i / (sum(_i) OVER (PARTITION BY date) + 1e-12)").show(["weight"]))
 _held = "CAST([] AS STRUCT(code BIGINT, out_ BIGINT, w DOUBLE)[])"
-_budget = o.Chain(_prefix.parts, _risk.at).table("SELECT date, row_number() OVER (ORDER BY date) AS k, map_from_entries(list((code, {{'o': open, 's': pred_mae < -0.08, 'r': risk}}))) AS m FROM {t} GROUP BY date", "dd").table(
-    f"SELECT a.k, a.m, coalesce((SELECT list(p.code ORDER BY place) FROM {_prefix.at} p WHERE p.date = a.date), []) AS top, b.date AS d1, b.m AS m1, c.date AS d2, c.m AS m2 FROM dd a JOIN dd b ON b.k = a.k + 1 JOIN dd c ON c.k = a.k + 2", "ds").table(
+# A day's map holds the codes that can be held then.  Of the days after a code was on top last, one at least of every two counts as out (a
+# day on its stop without a bar after it is followed by one), and two send it off: five days, and the first bar after them if there was none.
+_budget = o.Chain(_prefix.parts, _risk.at).table("SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM {t})", "dk", True).table(
+    f"SELECT x.code, x.open, x.pred_mae, x.risk, k, CASE WHEN p.code IS NOT NULL THEN k END AS was FROM {{t}} x JOIN dk USING (date) LEFT JOIN {_prefix.at} p ON p.code = x.code AND p.date = x.date", "dr").table(
+    "SELECT * FROM (SELECT *, last_value(was IGNORE NULLS) OVER (PARTITION BY code ORDER BY k ROWS UNBOUNDED PRECEDING) AS top_at, lag(k) OVER (PARTITION BY code ORDER BY k) AS bar_at FROM dr) WHERE k <= top_at + 5 OR bar_at < top_at + 5", "dn").table(
+    "SELECT dk.date, dk.k, map_from_entries(coalesce(list((code, {{'o': open, 's': pred_mae < -0.08, 'r': risk}})) FILTER (WHERE code IS NOT NULL), [])) AS m FROM dk LEFT JOIN dn USING (k) GROUP BY 1, 2", "dd", True).table(
+    f"SELECT a.k, a.m, coalesce((SELECT list(p.code ORDER BY place) FROM {_prefix.at} p WHERE p.date = a.date), []) AS top, b.date AS d1, b.m AS m1, c.date AS d2, c.m AS m2 FROM dd a JOIN dd b ON b.k = a.k + 1 JOIN dd c ON c.k = a.k + 2", "ds", True).table(
     f"""SELECT 0::BIGINT AS k, {_held} AS held, 1.0::DOUBLE AS equity, 1.0::DOUBLE AS peak, 0.0::DOUBLE AS worst, 0.0::DOUBLE AS ret, 0::BIGINT AS buys, 0::BIGINT AS sells, NULL::DATE AS d1, NULL::DATE AS d2
     UNION ALL
     SELECT k, h3, e, greatest(peak, e), least(worst, e / (greatest(peak, e) + 1e-12) - 1), ret2, len(bought), len(gone), d1, d2
@@ -215,13 +220,13 @@ _share = "nullif(high - low, 0) / close"
 _flags = o.Chain(_basic.parts, _basic.at).add(rng=_share, body_=f"{o.clip('abs(close - open) / (nullif(high - low, 0) + 1e-12)', 0.0, 10.0)}").add(
     go=f"""i > 0 AND ret1 >= {LOOSE.day0_ret} AND volume >= v20 * {LOOSE.day0_volume} AND {_mean20('rng')} <= {LOOSE.base_range}
     AND CASE WHEN count(volume) {o.over(20)} = 20 THEN stddev_pop(volume) {o.over(20)} / (avg(volume) {o.over(20)} + 1e-12) END <= {LOOSE.base_volume_cv}
-    AND {o.lead('rng')} <= {LOOSE.day1_range} AND {o.lead('body_')} <= {LOOSE.day1_body}""").table("SELECT * FROM {t}", "fx").table(
-    "SELECT a.code, a.date, a.i, a.n, a.volume, greatest(a.high, b.high) AS top, least(a.low, b.low) AS bottom FROM fx a JOIN fx b ON b.code = a.code AND b.i = a.i + 1 WHERE a.go AND greatest(a.high, b.high) > least(a.low, b.low)", "st").table(
-    f"""SELECT s.code, s.date, s.i, s.n, s.top, s.bottom, s.volume, k.k AS len FROM st s JOIN (SELECT unnest(range({LOOSE.shortest}, {LOOSE.longest + 1})) AS k) k ON s.i + 1 + k.k < s.n""", "le").table(
-    f"""SELECT l.code, l.date, l.i, l.n, l.top, l.len FROM le l JOIN fx r ON r.code = l.code AND r.i BETWEEN l.i + 2 AND l.i + 1 + l.len GROUP BY l.code, l.date, l.i, l.n, l.top, l.len, l.bottom, l.volume
-    HAVING max(r.high) <= l.top * (1 + {LOOSE.band}) AND min(r.low) >= l.bottom * (1 - {LOOSE.band}) AND avg(r.volume) <= avg(r.v20) * {LOOSE.quiet} AND avg(r.volume) <= l.volume * {LOOSE.quiet_vs_day0}""", "fl").table(
-    f"""SELECT f.code, f.date, f.i, f.len, min(r.i) AS j FROM fl f JOIN fx r ON r.code = f.code AND r.i BETWEEN f.i + 2 + f.len AND least(f.n - 2, f.i + 1 + f.len + {LOOSE.confirm_days})
-    WHERE r.close >= f.top * (1 + {LOOSE.breakout}) AND r.volume >= r.v20 * {LOOSE.breakout_volume} AND r.nc >= f.top * (1 - {LOOSE.hold}) GROUP BY ALL""", "br").table(
+    AND {o.lead('rng')} <= {LOOSE.day1_range} AND {o.lead('body_')} <= {LOOSE.day1_body}""").table("SELECT * FROM {t}", "fx", True).table(
+    "SELECT a.code, a.date, a.i, a.n, a.volume, greatest(a.high, b.high) AS top, least(a.low, b.low) AS bottom FROM fx a JOIN fx b ON b.code = a.code AND b.i = a.i + 1 WHERE a.go AND greatest(a.high, b.high) > least(a.low, b.low)", "st", True).table(
+    f"""SELECT s.code, s.date, s.i, s.n, s.top, s.bottom, s.volume, k.k AS len FROM st s JOIN (SELECT unnest(range({LOOSE.shortest}, {LOOSE.longest + 1})) AS k) k ON s.i + 1 + k.k < s.n""", "le", True).table(
+    f"""SELECT l.code, l.date, l.i, l.n, l.top, l.len FROM (SELECT *, i + 1 + unnest(range(1, len + 1)) AS at FROM le) l JOIN fx r ON r.code = l.code AND r.i = l.at GROUP BY l.code, l.date, l.i, l.n, l.top, l.len, l.bottom, l.volume
+    HAVING max(r.high) <= l.top * (1 + {LOOSE.band}) AND min(r.low) >= l.bottom * (1 - {LOOSE.band}) AND avg(r.volume) <= avg(r.v20) * {LOOSE.quiet} AND avg(r.volume) <= l.volume * {LOOSE.quiet_vs_day0}""", "fl", True).table(
+    f"""SELECT f.code, f.date, f.i, f.len, min(r.i) AS j FROM (SELECT *, i + 1 + len + unnest(range(1, {LOOSE.confirm_days + 1})) AS at FROM fl) f JOIN fx r ON r.code = f.code AND r.i = f.at
+    WHERE r.i <= f.n - 2 AND r.close >= f.top * (1 + {LOOSE.breakout}) AND r.volume >= r.v20 * {LOOSE.breakout_volume} AND r.nc >= f.top * (1 - {LOOSE.hold}) GROUP BY ALL""", "br").table(
     """SELECT h.code, h.date, e.date AS entry_date, 'HIGH_TIGHT_FLAG' AS pattern, h.i AS bar_index, CAST(h.j + 1 AS INT) AS entry_index, CAST(h.len AS INT) AS flag_n
     FROM (SELECT code, date, i, min(len) AS len, arg_min(j, len) AS j FROM br GROUP BY 1, 2, 3) h JOIN fx e ON e.code = h.code AND e.i = h.j + 1""", "htf")
 register("pat_htf", lambda s, d: patterns.high_tight_flag(ind.add_pattern_basics(bars(s, d)), LOOSE), _flags.end("SELECT * FROM htf"))
