@@ -145,8 +145,7 @@ def word_docs(count, seed=3):
 
 
 @pytest.mark.parametrize("count", [400, 0])
-def test_divergence_equals_plain_counts(spark, monkeypatch, count):
-    monkeypatch.setattr(divergence, "MOST_TERMS", 25)
+def test_divergence_equals_plain_counts(spark, count):
     docs = spark.createDataFrame(word_docs(count), DOCS).repartition(5)
     found = divergence.audit(docs, most_terms=25).collect()
     assert {tuple(r[c] for c in ("lang", "source", "part", "item", "value", "rank")) for r in found} == plain_divergence(word_docs(count), most=25)
@@ -159,25 +158,44 @@ def test_divergence_of_no_rows_and_other_columns(spark):
     assert divergence.audit(docs).count() == 0  # one source: no pair, and no term is more frequent than in its lang
 
 
-def test_chunks_split_anywhere(monkeypatch):
+def test_chunks_split_anywhere(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    rows = sorted({(lang, f"t{rng.integers(40):02}", f"s{rng.integers(6)}") for lang in ("de", "en") for _ in range(300)})
-    table = pa.Table.from_pydict({"lang": [r[0] for r in rows], "source": [r[2] for r in rows], "term": [r[1] for r in rows], "n": [i + 1 for i in range(len(rows))], "docs": [1] * len(rows)})
-    expected = {(lang, t, s): n for (lang, t, s), n in zip(rows, table["n"].to_pylist(), strict=True)}
+    keys = sorted({(f"t{rng.integers(40):02}", f"s{rng.integers(6)}") for _ in range(300)})
+    expected = {k: 3 * (i + 1) for i, k in enumerate(keys)}
+    parts = [{"lang": "en", "bucket": 0, "terms": [t for t, _ in some], "sources": [x for _, x in some], "n": [expected[k] // 3 for k in some], "docs": [1] * len(some)} for some in (keys[::2], keys[1::2]) * 3]
+    rows = divergence.merged(pa.Table.from_pylist(parts, divergence.COUNTS))
+    assert rows["term"].to_pylist() == [t for t, _ in keys] and rows["docs"].to_pylist() == [3] * len(keys)
     for chunk, cells in ((16_384, 1 << 19), (7, 1 << 19), (50, 30)):
         monkeypatch.setattr(divergence, "CHUNK", chunk)
         monkeypatch.setattr(divergence, "CELLS", cells)
         got = {}
-        for lang in ("de", "en"):
-            part = table.filter(pa.compute.equal(table["lang"], lang))
-            for b in divergence.encode(part, 1):
-                r = b.to_pylist()[0]
-                cell = np.array(r["counts"]).reshape(len(r["sources"]), -1)
-                assert r["terms"] == sorted(r["terms"]) and list(cell.sum(axis=1)) == r["totals"] and cell.shape[1] <= chunk
-                got |= {(lang, t, s): int(cell[i, j]) for i, s in enumerate(r["sources"]) for j, t in enumerate(r["terms"]) if cell[i, j]}
+        for b in divergence.encode("en", rows, 1):
+            r = b.to_pylist()[0]
+            cell = np.array(r["counts"]).reshape(len(r["sources"]), -1)
+            assert r["terms"] == sorted(r["terms"]) and list(cell.sum(axis=1)) == r["totals"] and cell.shape[1] <= chunk
+            got |= {(t, s): int(cell[i, j]) for i, s in enumerate(r["sources"]) for j, t in enumerate(r["terms"]) if cell[i, j]}
         assert got == expected
 
 
+def test_tallies_keep_the_most_telling():
+    rng = np.random.default_rng(4)
+    groups = [{"source": s, "n": 1000} for s in ("a", "b")]
+    tally = divergence.Tally(["a", "b"], np.zeros((2, 2), np.int64), [(np.zeros(0, np.int64), []) for _ in range(2)])
+    every = {"a": {}, "b": {}}
+    for k in range(40):
+        counts = rng.integers(0, 4, (2, 10))
+        words = [f"w{k:02}{j}" for j in range(10)]
+        tally.add({"terms": words, "sources": ["a", "b"], "counts": counts.ravel(), "groups": groups, "kept": 400}, 15)
+        p = [divergence.shares(c, 1400) for c in counts]
+        q = divergence.shares(counts.sum(axis=0), 2400)
+        for i, s in enumerate("ab"):
+            every[s] |= {w: int((x - y) ** 2 // y) for w, x, y, c in zip(words, p[i], q, counts[i], strict=True) if c and x > y}
+    got = [r for b in tally.rows("en") for r in b.to_pylist() if r["part"] == "term"]
+    for s in "ab":
+        best = sorted(every[s].items(), key=lambda x: (-x[1], x[0]))[:15]
+        assert set(best) <= {(r["item"], r["value"]) for r in got if r["source"] == s}
+
+
 def test_shares_are_exact_beyond_64_bits():
     counts = np.array([0, 5, 123_456_789_012, 3 * 10**14], np.int64)
     total = 10**15 + 7
