@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklane.functions.base import c, div
+from ticklane.functions.quantiles import exact_quantiles
 from ticklane.functions.totals import running_totals
+from ticklane.sources.scratch import written
 
 
 def qcut(df: DataFrame, value: str, k: int, by: list[str] | None = None, tie: list[str] | None = None, name: str = "bin") -> DataFrame:
@@ -45,12 +45,12 @@ def monthly_freeze(bars: DataFrame, mode: str = "size", k: int = 3, places: int
 
 
 def column_quality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: rates of missing, non-positive and positive values and exact quantiles."""
+    """A row for each column: rates of missing, non-positive and positive values and exact quantiles; one scan, and the passes of the quantiles."""
+    df = written(df.select(*columns), "quality")
+    cuts = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+    found = exact_quantiles(df, {x: list(cuts.values()) for x in columns})
     share = lambda p: F.round(F.avg(F.coalesce(p, F.lit(False)).cast("int")), 6)
-    rows = [
-        df.agg(
-            F.lit(x).alias("metric"), F.count(F.lit(1)).alias("rows"), share(F.col(x).isNull()).alias("missing_rate"), share(F.col(x) <= 0).alias("non_positive_rate"),
-            share(F.col(x) > 0).alias("positive_rate"), *[F.round(F.percentile(x, q), 6).alias(n) for n, q in (("p01", 0.01), ("p50", 0.5), ("p99", 0.99))])
-        for x in columns
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    one = lambda x: F.struct(
+        F.lit(x).alias("metric"), F.count(F.lit(1)).alias("rows"), share(F.col(x).isNull()).alias("missing_rate"), share(F.col(x) <= 0).alias("non_positive_rate"),
+        share(F.col(x) > 0).alias("positive_rate"), *[F.round(F.lit(v).cast("double"), 6).alias(n) for n, v in zip(cuts, found[None, x], strict=True)])
+    return df.agg(F.array(*[one(x) for x in columns]).alias("_rows")).select(F.inline("_rows"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklane.functions.base import c, div
+from ticklane.functions.quantiles import exact_quantiles, few_rows
 from ticklane.functions.totals import running_totals
 from ticklane.operators.buckets import qcut
+from ticklane.sources.scratch import written
 
 
 def threshold_scan(df: DataFrame, y: str = "y", p: str = "prob", steps: int = 100) -> DataFrame:
@@ -78,26 +78,29 @@ def class_metrics(df: DataFrame, y: str = "y", probs: str = "probs") -> DataFram
 
 
 def regression_metrics(df: DataFrame, y: str = "y", p: str = "pred") -> DataFrame:
-    e = c(y) - c(p)
+    df = written(df.select(c(y).alias("y"), c(p).alias("p")), "predictions")
+    e, cuts = c("y") - c("p"), (20, 40, 60, 80)
+    found = exact_quantiles(df, {"p": [q / 100 for q in cuts]})[None, "p"]
     return df.agg(
-        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop(c(y)) * F.count(c(y)))).alias("r2"), F.corr(c(y), c(p)).alias("pearson"),
-        *[F.percentile(c(p), q / 100).alias(f"q{q}") for q in (20, 40, 60, 80)], F.avg(c(p)).alias("pred_mean"), F.stddev_pop(c(p)).alias("pred_std"))
+        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop("y") * F.count("y"))).alias("r2"), F.corr("y", "p").alias("pearson"),
+        *[F.lit(x).cast("double").alias(f"q{q}") for q, x in zip(cuts, found, strict=True)], F.avg("p").alias("pred_mean"), F.stddev_pop("p").alias("pred_std"))
 
 
 def quantile_metrics(df: DataFrame, q: float, y: str = "y", p: str = "pred", top: float = 0.1) -> DataFrame:
     """Pinball loss, share of y under the prediction, mean y of the top share by prediction."""
-    e = c(y) - c(p)
-    cut = df.agg(F.percentile(c(p), 1 - top).alias("_cut"))
-    rows = df.join(F.broadcast(cut), F.lit(True), "inner")
-    return rows.agg(F.avg(F.greatest(q * e, (q - 1) * e)).alias("pinball"), F.avg((c(y) <= c(p)).cast("double")).alias("coverage"), F.avg(F.when(c(p) >= F.col("_cut"), c(y))).alias("top_mean"))
+    df = written(df.select(c(y).alias("y"), c(p).alias("p")), "predictions")
+    e, cut = c("y") - c("p"), exact_quantiles(df, {"p": [1 - top]})[None, "p"][0]
+    return df.agg(F.avg(F.greatest(q * e, (q - 1) * e)).alias("pinball"), F.avg((c("y") <= c("p")).cast("double")).alias("coverage"), F.avg(F.when(c("p") >= F.lit(cut).cast("double"), c("y"))).alias("top_mean"))
 
 
 def quintile_report(df: DataFrame, y: str = "y", p: str = "pred", k: int = 5, tie: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
-    """Statistics of y in bins of the prediction's place."""
-    rows = qcut(df, p, k, tie=tie)
-    v = c(y)
-    return rows.groupBy("bin", *(by or [])).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.avg((v > 0).cast("double")).alias("win_rate"), F.coalesce(F.avg(F.when(v > 0, v)), F.lit(0.0)).alias("avg_win"),
+    """Statistics of y in bins of the prediction's place; by: few further groups."""
+    rows = written(qcut(df, p, k, tie=tie), "bins")
+    v, keys = c(y), ["bin", *(by or [])]
+    named = rows.withColumn("_g", F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in keys]))
+    middle = few_rows(df.sparkSession, exact_quantiles(named.select("_g", v.alias("_y")), {"_y": [0.5]}, "_g"), "_y", ["_median"], "_g", "string")
+    return named.join(F.broadcast(middle), "_g", "left").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.max("_median").alias("median"), F.avg((v > 0).cast("double")).alias("win_rate"), F.coalesce(F.avg(F.when(v > 0, v)), F.lit(0.0)).alias("avg_win"),
         F.coalesce(F.avg(F.when(v <= 0, v)), F.lit(0.0)).alias("avg_loss"))
 
 
@@ -134,9 +137,9 @@ def topfrac_hit(df: DataFrame, score: str, ret: str, fraction: float = 0.1, thre
 
 
 def fit_standard(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: mean and population deviation (null or 0 counts as 1)."""
-    rows = [df.agg(F.lit(x).alias("feature"), F.avg(x).alias("mean"), F.coalesce(F.nullif(F.stddev_pop(x), F.lit(0.0)), F.lit(1.0)).alias("std")) for x in columns]
-    return reduce(DataFrame.unionByName, rows)
+    """A row for each column: mean and population deviation (null or 0 counts as 1); one scan."""
+    one = lambda x: F.struct(F.lit(x).alias("feature"), F.avg(x).alias("mean"), F.coalesce(F.nullif(F.stddev_pop(x), F.lit(0.0)), F.lit(1.0)).alias("std"))
+    return df.agg(F.array(*[one(x) for x in columns]).alias("_rows")).select(F.inline("_rows"))
 
 
 def standardize(df: DataFrame, fitted_on: DataFrame, columns: list[str]) -> DataFrame:
@@ -147,10 +150,9 @@ def standardize(df: DataFrame, fitted_on: DataFrame, columns: list[str]) -> Data
 
 
 def impute_median(df: DataFrame, fitted_on: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls filled by the exact medians of another frame (one row, broadcast)."""
-    stats = fitted_on.agg(*[F.median(x).alias(f"_m_{x}") for x in columns])
-    df = df.join(F.broadcast(stats), F.lit(True), "inner")
-    return df.withColumns({x: F.coalesce(c(x), c(f"_m_{x}")) for x in columns}).drop(*stats.columns)
+    """Nulls filled by the exact medians of another frame."""
+    found = exact_quantiles(fitted_on, {x: [0.5] for x in columns})
+    return df.withColumns({x: F.coalesce(c(x), F.lit(found[None, x][0]).cast("double")) for x in columns})
 
 
 def equity_curve(trades: DataFrame, by: list[str], order: list[str], pnl: str = "pnl_pct") -> DataFrame:

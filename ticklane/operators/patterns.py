@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ticklane.functions import indicators as ind
 from ticklane.functions.base import EPS, ahead, b, full, lag, lead, sma, w, wr
+from ticklane.functions.quantiles import exact_quantiles, few_rows
+from ticklane.sources.scratch import written
 
 
 def _events(df: DataFrame, name: str, hit, entry: int | None = 1) -> DataFrame:
@@ -140,9 +142,14 @@ def with_forward(events: DataFrame, bars: DataFrame, horizon: int = 30) -> DataF
 
 def summary(events: DataFrame) -> DataFrame:
     """A row for each pattern: count, distribution of the best and worst forward close, hit rates."""
-    up, down = F.col("fwd_max_ret"), F.col("fwd_min_ret")
-    hit = lambda x: F.avg((up >= x).cast("double"))
-    return events.where(up.isNotNull() & down.isNotNull()).groupBy("pattern").agg(
-        F.count(F.lit(1)).alias("count"), F.avg(up).alias("mean_up"), F.median(up).alias("median_up"), F.percentile(up, 0.75).alias("p75_up"), F.percentile(up, 0.9).alias("p90_up"), F.min(up).alias("min_up"), F.max(up).alias("max_up"),
-        F.avg(down).alias("mean_dn"), F.median(down).alias("median_dn"), F.percentile(down, 0.25).alias("p25_dn"), F.percentile(down, 0.1).alias("p10_dn"), F.min(down).alias("min_dn"), F.max(down).alias("max_dn"),
+    rows = written(events.select("pattern", F.col("fwd_max_ret").alias("up"), F.col("fwd_min_ret").alias("dn")).where("up IS NOT NULL AND dn IS NOT NULL"), "forward")
+    wanted = {"up": {"median_up": 0.5, "p75_up": 0.75, "p90_up": 0.9}, "dn": {"median_dn": 0.5, "p25_dn": 0.25, "p10_dn": 0.1}}
+    found = exact_quantiles(rows, {x: list(q.values()) for x, q in wanted.items()}, "pattern")
+    cuts = {n: x for x, q in wanted.items() for n in q}
+    hit = lambda x: F.avg((F.col("up") >= x).cast("double"))
+    sums = rows.groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("count"), *[e(x).alias(f"{n}_{x}") for x in ("up", "dn") for n, e in (("mean", F.avg), ("min", F.min), ("max", F.max))],
         hit(0.05).alias("hit_up_5"), hit(0.10).alias("hit_up_10"), hit(0.20).alias("hit_up_20"))
+    for x, q in wanted.items():
+        sums = sums.join(F.broadcast(few_rows(events.sparkSession, found, x, list(q), "pattern", "string")), "pattern")  # a row a pattern
+    return sums.select("pattern", "count", "mean_up", *[n for n in cuts if n.endswith("up")], "min_up", "max_up", "mean_dn", *[n for n in cuts if n.endswith("dn")], "min_dn", "max_dn", "hit_up_5", "hit_up_10", "hit_up_20")

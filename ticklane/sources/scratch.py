@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -39,6 +39,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written to a fresh path and read again: made once, whatever reads it."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder in any store that Spark writes."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
