@@ -116,3 +116,99 @@ def test_quantile_trees_without_rows(spark):
     rows = spark.createDataFrame([], "x0 double, y double")
     forest = qt.fit(rows, ["x0"], {"y": 0.5}, None, qt.Settings(rounds=2), [[]])["y"]
     assert forest.values(np.zeros((3, 1), np.uint8)).tolist() == [0.0] * 3
+
+
+# --- quantile boosting against the plain form
+
+
+def test_boosting_beats_residual_bins_on_later_days(spark):
+    from ticklane.operators import ml
+
+    frame = market(8_000, 9)
+    rows = spark.createDataFrame(frame).replace(float("nan"), None).where("y IS NOT NULL")
+    features, late = ["x0", "x1", "x2", "x3"], rows.where("day >= 8")
+    plain = ml.predict_quantile(ml.train_quantile(rows.where("day < 8"), features, "y", 0.9, maxIter=8, maxDepth=3), late, features, "p").toPandas()
+    forest = qt.fit(rows.where("day < 8"), features, {"y": 0.9}, F.col("day") == 7, qt.Settings(least=30))["y"]
+    boosted = qt.predict(forest, late, "p").toPandas()
+    assert pinball(boosted.y, boosted.p, 0.9) < pinball(plain.y, plain.p, 0.9)
+
+
+# --- artefacts
+
+
+def trades(n=900, seed=2):
+    rng = np.random.default_rng(seed)
+    day = pd.Timestamp("2020-01-01") + pd.to_timedelta(rng.integers(0, 60, n), unit="D")
+    frame = pd.DataFrame({"code": np.arange(n), "date": day.date, "strategy": rng.choice(["S1", "S2"], n), "a": rng.normal(size=n), "b": rng.normal(size=n)})
+    return frame.assign(pnl_pct=0.1 * frame.a - 0.05 * (frame.b > 0) + 0.01 * rng.normal(size=n))
+
+
+def test_artefact_round_trip(spark, tmp_path):
+    from ticklane.operators import ml, training
+    from ticklane.sources.sinks import load_model
+
+    frame = spark.createDataFrame(trades())
+    path = f"file://{tmp_path}/model"
+    reports = training.train_and_report(frame, ["a", "b"], path, maxIter=8)
+    metrics = reports["metrics"].first()
+    assert metrics.pearson > 0.9 and metrics.samples == 900 and reports["quintiles"].count() == 5 and reports["quintiles_by"].count() == 10
+    model, features, report = load_model(spark, path)
+    scored = ml.predict(model, frame, features).toPandas()
+    cuts = np.quantile(scored.prediction, [0.2, 0.4, 0.6, 0.8])
+    assert np.allclose(report["bins"]["cuts"], cuts) and report["bins"]["std"] == pytest.approx(scored.prediction.std(ddof=0))
+    later = trades(200, 7)
+    got = training.score_candidates(spark, path, spark.createDataFrame(later), least=1).toPandas().sort_values("code")
+    assert (got.predicted_bin_abs == 1 + np.searchsorted(cuts, got.prediction, side="left")).all() and (got.predicted_bin == got.predicted_bin_abs).all()
+    for _, day in got.groupby("date"):
+        r = day.prediction.rank(method="first").to_numpy() if day.prediction.is_unique else day.sort_values(["prediction", "code"]).reset_index().sort_values("code").index + 1
+        ranked = day.sort_values(["prediction", "code"])
+        place, n = np.arange(len(day)), len(day)
+        assert len(r) == n and list(ranked.predicted_bin_rel) == [1 + sum(p * 5 > (n - 1) * j for j in range(1, 5)) for p in place]
+    few = training.score_candidates(spark, path, spark.createDataFrame(later[["code", "date"]]), least=1).toPandas()
+    assert few.prediction.isna().all() and (few[["predicted_bin_abs", "predicted_bin_rel"]] == 0).all().all()
+    keys = spark.createDataFrame(later[["code", "date"]].head(5)).unionByName(spark.createDataFrame([(99_999, later.date[0])], "code long, date date"))
+    assert training.score_keys(spark, path, spark.createDataFrame(later), keys).count() == 6
+
+
+def test_bins_of_missing_predictions(spark):
+    from ticklane.operators import training
+
+    rows = spark.createDataFrame([(1, "d", 0.5), (2, "d", None), (3, "d", float("nan")), (4, "d", 0.1)], "code int, date string, prediction double")
+    fitted = training.fit_bins(rows.limit(0))
+    assert fitted["cuts"] == []
+    found = {r.code: (r.predicted_bin_abs, r.predicted_bin_rel) for r in training.apply_bins(rows, training.fit_bins(rows)).collect()}
+    assert found[2] == found[3] == (0, 0) and found[4] == (1, 1) and found[1] == (5, 5)
+
+
+# --- sequences
+
+
+def sequence_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for day in range(24):
+        for code in range(40):
+            seq = rng.normal(size=(21, 2))
+            drive = seq[-5:, 0].mean() * 2
+            ret = 0.05 * drive + 0.02 * rng.normal()
+            rows.append((code, day, [[float(v) for v in r] for r in seq], 2 if ret > 0.04 else 0 if ret < -0.04 else 1, float(ret)))
+    rows[3] = (*rows[3][:2], [[float("nan"), None]] * 21, *rows[3][3:])
+    return spark.createDataFrame(rows, "code int, date int, seq array<array<double>>, label int, ret double").coalesce(2)
+
+
+def test_sequences_stop_by_the_top_of_a_day(spark):
+    from ticklane.operators import sequence_model as sm
+    from ticklane.operators.metrics import topfrac_hit
+
+    rows = sequence_rows(spark)
+    how = sm.Training(hidden=(16,), epochs=8, steps=4, patience=2, least=20)
+    one = sm.train_sequences(rows.where("date < 18"), "seq", "label", "ret", F.col("date") >= 13, how)
+    assert len(one.hits) <= 8 and one.hits[one.best_epoch - 1] == max(one.hits) and (len(one.hits) == 8 or len(one.hits) == one.best_epoch + 2)
+    late = sm.upper(one.model, rows.where("date >= 18"), "seq")
+    assert set(late.columns) == {"code", "date", "seq", "label", "ret", "_probs", "prob"}
+    hit = topfrac_hit(late, "prob", "ret", 0.1, 0.0, 20).first()
+    assert hit.days == 6 and hit.topfrac_hit > 0.75
+    again = sm.train_sequences(rows.where("date < 18"), "seq", "label", "ret", F.col("date") >= 13, how)
+    assert again.best_epoch == one.best_epoch and np.allclose(again.hits, one.hits)
+    without = sm.train_sequences(rows.where("date < 18"), "seq", "label", "ret", F.lit(False), sm.Training(hidden=(4,), epochs=3, steps=1, patience=1))
+    assert without.best_epoch == 1

@@ -15,10 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklane import config as cf
+from ticklane.functions.quantiles import exact_quantiles
 from ticklane.operators import backtest as bt
 from ticklane.operators import labels
 from ticklane.operators import signals as sg
 from ticklane.operators.metrics import assign_bins, class_weights, feature_matrix, trade_metrics
+from ticklane.sources.scratch import written
 
 
 def _assembler(features: list[str]) -> VectorAssembler:
@@ -70,13 +72,14 @@ def score(model: PipelineModel, df: DataFrame, features: list[str], keys: list[s
 def train_quantile(df: DataFrame, features: list[str], target: str, q: float, bins: int = 5, **how) -> tuple[PipelineModel, list[float], list[float]]:
     """A quantile model: boosted trees for the mean and, in bins of the prediction, the q-quantile of what is left.
 
-    An approximation of boosting the pinball loss, which pyspark.ml has not.  Returns the model, bin borders and offsets.
+    A plain form to compare with; quantile_trees boosts the pinball loss itself.  Returns the model, bin borders and offsets.
     """
     model = train_regressor(df, features, target, **how)
     rest = predict(model, df.where(F.col(target).isNotNull()), features).withColumn("_e", F.col(target) - F.col("prediction"))
-    cuts = sorted(set(rest.agg(F.percentile("prediction", [k / bins for k in range(1, bins)])).first()[0] or []))
-    found = {r.bin: r.o for r in rest.groupBy(assign_bins("prediction", cuts).alias("bin")).agg(F.percentile("_e", q).alias("o")).collect()}
-    return model, cuts, [found.get(k, 0.0) for k in range(1, len(cuts) + 2)]
+    rest = written(rest.select("prediction", "_e"), "residuals")
+    cuts = sorted({x for x in exact_quantiles(rest, {"prediction": [k / bins for k in range(1, bins)]})[None, "prediction"] if x is not None})
+    found = exact_quantiles(rest.withColumn("bin", assign_bins("prediction", cuts)), {"_e": [q]}, "bin")
+    return model, cuts, [found.get((k, "_e"), [0.0])[0] for k in range(1, len(cuts) + 2)]
 
 
 def predict_quantile(fitted: tuple[PipelineModel, list[float], list[float]], df: DataFrame, features: list[str], name: str) -> DataFrame:

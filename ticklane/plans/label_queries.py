@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklane.operators import labels as lb
 from ticklane.operators import metrics as mt
+from ticklane.operators import training
 from ticklane.plans import oracle as o
 from ticklane.plans.indicator_queries import bars, rounded
 from ticklane.plans.trade_queries import SQL_PRED, _predictions
@@ -121,6 +124,20 @@ register("quintile_report", lambda s, d: rounded(mt.quintile_report(preds(s, d),
          .end("SELECT bin, count(*) AS n, round(avg(y), 6) AS mean, round(median(y), 6) AS median, round(avg((y > 0)::INT), 6) AS win_rate, round(coalesce(avg(y) FILTER (WHERE y > 0), 0), 6) AS avg_win, round(coalesce(avg(y) FILTER (WHERE y <= 0), 0), 6) AS avg_loss FROM {t} GROUP BY bin"))
 CUTS = [-0.02, -0.005, 0.005, 0.02]
 register("assign_bins", lambda s, d: preds(s, d).select("code", "date", mt.assign_bins("pred", CUTS).alias("bin")), _preds.end("SELECT code, date, CASE WHEN pred IS NULL THEN 0 " + " ".join(f"WHEN pred <= {x} THEN {k + 1}" for k, x in enumerate(CUTS)) + " ELSE 5 END AS bin FROM {t}"))
+
+
+def saved_bins(s: SparkSession, d: str) -> DataFrame:
+    """Bins whose borders were fitted on the rows before 1998, saved as JSON, and applied to the later ones, absolutely and within each day."""
+    rows = preds(s, d)
+    fitted = json.loads(json.dumps(training.fit_bins(rows.where("date < '1998-01-01'"), "pred")))
+    return training.apply_bins(rows.where("date >= '1998-01-01'"), fitted, "pred").select("code", "date", "predicted_bin_abs", "predicted_bin_rel", "predicted_bin")
+
+
+register("saved_bins", saved_bins,
+         _preds.table("SELECT " + ", ".join(f"quantile_cont(pred, {k / 5}) AS c{k}" for k in range(1, 5)) + " FROM {t} WHERE date < DATE '1998-01-01'", "fitted", True).table(
+             "SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred, code) AS r, count(*) OVER (PARTITION BY date) AS n FROM {t} WHERE date >= DATE '1998-01-01'")
+         .add(rel="1 + " + " + ".join(f"((r - 1) * 5 > (n - 1) * {j})::BIGINT" for j in range(1, 5)), ab="(SELECT 1 + " + " + ".join(f"(pred > c{k})::BIGINT" for k in range(1, 5)) + " FROM fitted)")
+         .end("SELECT code, date, ab AS predicted_bin_abs, rel AS predicted_bin_rel, ab AS predicted_bin FROM {t}"))
 register("topfrac_hit", lambda s, d: rounded(mt.topfrac_hit(preds(s, d), "pred", "y", 0.2, 0.0, 5), ["topfrac_hit"], ("days",)),
          _preds.table("SELECT date, avg((y > 0)::INT) AS hit FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY pred DESC, code) AS r FROM {t}) WHERE n >= 5 AND r <= greatest(floor(n * 0.2), 1) GROUP BY date")
          .end("SELECT count(*) AS days, round(avg(hit), 6) AS topfrac_hit FROM {t}"))

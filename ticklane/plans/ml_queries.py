@@ -12,10 +12,13 @@ from ticklane.operators import buckets
 from ticklane.operators import labels as lb
 from ticklane.operators import metrics as mt
 from ticklane.operators import ml
+from ticklane.operators import quantile_trees as qt
+from ticklane.operators import sequence_model as sm
 from ticklane.operators import signals as sg
+from ticklane.operators import training as tr
 from ticklane.plans import label_queries as lq
 from ticklane.plans import trade_queries as tq
-from ticklane.plans.indicator_queries import bars, rounded
+from ticklane.plans.indicator_queries import PANEL, bars, rounded
 from ticklane.sources import remote
 from ticklane.sources.scratch import scratch_path
 from ticklane.streaming import events as ev
@@ -24,6 +27,9 @@ from ticklane.streaming import positions as ps
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 FEATURES = ["rsi14", "boll_bw", "roc10", "clv", "body_ratio", "rvol20", "turnover"]
+#: All indicators of the panel, and turnover and change.
+WIDE = [*PANEL, "turnover", "pct_chg"]
+SPLIT = "1998-01-01"
 
 
 def register(name: str, make, sql: str | None = None) -> None:
@@ -39,32 +45,65 @@ def feature_rows(s: SparkSession, d: str) -> DataFrame:
     return tq.kept(s, df.where("rsi14 IS NOT NULL AND boll_bw IS NOT NULL"), "features")
 
 
+def wide_rows(s: SparkSession, d: str) -> DataFrame:
+    """The whole panel with the labels of the models."""
+    df = lb.ret_mae(ind.add_panel(bars(s, d)))
+    return tq.kept(s, df.withColumn("y", F.when(F.col("ret_20").isNotNull(), (F.col("ret_20") > 0.02).cast("int"))), "wide")
+
+
 def regressor(s: SparkSession, d: str) -> DataFrame:
-    df = feature_rows(s, d)
-    model = ml.train_regressor(df.where("date < '1998-01-01'"), FEATURES, "ret_20", maxIter=8, maxDepth=3)
-    out = ml.predict(model, df.where("date >= '1998-01-01' AND ret_20 IS NOT NULL"), FEATURES, "pred").withColumn("y", F.col("ret_20"))
+    df = wide_rows(s, d)
+    model = ml.train_regressor(df.where(f"date < '{SPLIT}'"), WIDE, "ret_20")
+    out = ml.predict(model, df.where(f"date >= '{SPLIT}' AND ret_20 IS NOT NULL"), WIDE, "pred").withColumn("y", F.col("ret_20"))
     return rounded(mt.regression_metrics(out), ["mae", "rmse", "r2", "pearson"], ())
 
 
 def classifier(kind: str):
     def run(s: SparkSession, d: str) -> DataFrame:
-        df = feature_rows(s, d)
-        how = {"maxIter": 8, "maxDepth": 3} if kind == "gbt" else {"maxIter": 20}
-        model = ml.train_classifier(df.where("date < '1998-01-01'"), FEATURES, "y", kind, **how)
-        out = ml.score(model, df.where("date >= '1998-01-01' AND y IS NOT NULL"), FEATURES, ["code", "date", "y"])
-        return rounded(mt.eval_probs(out), ["roc_auc", "average_precision", "precision", "recall", "f1"], ())
+        df = wide_rows(s, d)
+        model = ml.train_classifier(df.where(f"date < '{SPLIT}'"), WIDE, "y", kind)
+        out = ml.score(model, df.where(f"date >= '{SPLIT}' AND y IS NOT NULL"), WIDE, ["code", "date", "y"])
+        return rounded(mt.eval_probs(tq.kept(s, out, "probs")), ["roc_auc", "average_precision", "precision", "recall", "f1"], ())
 
     return run
 
 
+def sequence_classifier(s: SparkSession, d: str) -> DataFrame:
+    """A perceptron over the last 21 rows' features, learnt before 1997 and stopped by 1997's top tenth, on what comes later."""
+    df = lb.cs_quantile_label(feature_rows(s, d).drop("y"), 21, least=5)
+    df = lb.sequences(df, FEATURES, 21).select("code", "date", "seq", "label", "fwd")
+    how = sm.Training(least=5)
+    rows = tq.kept(s, df, "windows")
+    fitted = sm.train_sequences(rows.where(f"date < '{SPLIT}'"), "seq", "label", "fwd", F.col("date") >= "1997-01-01", how)
+    late = tq.kept(s, sm.upper(fitted.model, rows.where(f"date >= '{SPLIT}' AND label IS NOT NULL"), "seq"), "ranked")
+    hit = mt.topfrac_hit(late, "prob", "fwd", how.fraction, how.threshold, how.least)
+    sums = mt.class_metrics(late.select(F.col("label").alias("y"), F.col("_probs").alias("probs")))
+    best = hit.join(F.broadcast(sums), F.lit(True), "inner").withColumns({"epochs": F.lit(len(fitted.hits)), "best_epoch": F.lit(fitted.best_epoch), "valid_hit": F.lit(max(fitted.hits))})  # one row each
+    return rounded(best, ["topfrac_hit", "valid_hit", "accuracy", "balanced_accuracy", "f1_up", "confidence", "margin", "entropy"], ("days", "epochs", "best_epoch"), 4)
+
+
 def quantiles(s: SparkSession, d: str) -> DataFrame:
-    df = feature_rows(s, d)
-    train, late = df.where("date < '1998-01-01'"), df.where("date >= '1998-01-01' AND ret_20 IS NOT NULL AND mae_20 IS NOT NULL")
-    out = late
-    for target, q in (("ret_20", 0.7), ("mae_20", 0.1)):
-        out = ml.predict_quantile(ml.train_quantile(train, FEATURES, target, q, maxIter=5, maxDepth=3), out, FEATURES, f"q_{target}")
-    one = lambda y, q: mt.quantile_metrics(out, q, y, f"q_{y}").withColumn("target", F.lit(y))
-    return rounded(one("ret_20", 0.7).unionByName(one("mae_20", 0.1)), ["pinball", "coverage", "top_mean"], ("target",))
+    """Boosted 0.7-quantile of the return and 0.1-quantile of the drawdown: rounds chosen on the last 126 days before the split, judged after it."""
+    df = wide_rows(s, d)
+    train = lb.time_split(df.where(f"date < '{SPLIT}' AND ret_20 IS NOT NULL AND mae_20 IS NOT NULL"), 126)
+    wanted = {"ret_20": 0.7, "mae_20": 0.1}
+    forests = qt.fit(train, WIDE, wanted, F.col("is_valid"))
+    out = df.where(f"date >= '{SPLIT}' AND ret_20 IS NOT NULL AND mae_20 IS NOT NULL")
+    for y in wanted:
+        out = qt.predict(forests[y], out, f"q_{y}")
+    out = tq.kept(s, out.select(*wanted, *[f"q_{y}" for y in wanted]), "quantiles")
+    one = lambda y, q: mt.quantile_metrics(out, q, y, f"q_{y}").withColumns({"target": F.lit(y), "rounds": F.lit(len(forests[y].trees))})
+    return rounded(one("ret_20", 0.7).unionByName(one("mae_20", 0.1)), ["pinball", "coverage", "top_mean"], ("target", "rounds"))
+
+
+def train_report(s: SparkSession, d: str) -> DataFrame:
+    """The artefact of a return model: trained on the ledger's trades with the panel of their signal day, loaded and applied to all rows of the last year."""
+    rows = tq.kept(s, ind.add_panel(bars(s, d)), "panel")
+    path = scratch_path(s, "artefact")
+    tr.train_and_report(tr.training_frame(tq.ledger(s, d), rows), WIDE, path)
+    last = rows.where(F.col("date") >= F.add_months(F.lit(rows.agg(F.max("date")).first()[0]), -12))
+    found = tr.score_candidates(s, path, last)
+    return found.groupBy("predicted_bin_rel", "predicted_bin_abs").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 6).alias("mean_prediction"))
 
 
 TRIALS = 30
@@ -104,8 +143,9 @@ def walkforward_tuned(s: SparkSession, d: str) -> DataFrame:
 register("ml_regressor", regressor)
 register("ml_classifier_gbt", classifier("gbt"))
 register("ml_classifier_logistic", classifier("logistic"))
-register("ml_classifier_mlp", classifier("mlp"))
+register("ml_classifier_mlp", sequence_classifier)
 register("ml_quantile", quantiles)
+register("train_report", train_report)
 register("tuning", tuning)
 register("walkforward_tuned", walkforward_tuned)
 _wf = ["hit_rate", "expectancy", "avg_hold_days"]
