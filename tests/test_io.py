@@ -82,14 +82,105 @@ def test_walk_forward_tables(spark, tmp_path):
     assert [(r.variant, round(r.hit_rate, 6)) for r in spark.read.parquet(two).orderBy(F.col("hit_rate").desc()).collect()] == [("b", 0.9), ("a", 0.6)]
 
 
+PREDS = "code string, date date, open double, pred_mae double, on_top boolean"
+
+
+def put(spark, folder, rows):
+    spark.createDataFrame(rows, PREDS).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def orders_of(spark, tmp_path, name, files, held=None):
+    """Orders of the files, each taken by a run of its own from the same checkpoint; then of all of them in one run."""
+    schema = spark.createDataFrame([], PREDS).schema
+    found = []
+    for way, parts in (("apart", [[f] for f in files]), ("whole", [files])):
+        base = tmp_path / f"{name}-{way}"
+        for part in parts:
+            for rows in part:
+                put(spark, base / "in", rows)
+            out = positions.run_to_end(spark, str(base / "in"), schema, str(base / "orders"), str(base / "checkpoint"), held)
+        found.append(sorted(((r.code, r.date, r.side, r.reason, r.price) for r in out.collect()), key=str))
+    assert found[0] == found[1]
+    return found[0]
+
+
 def test_position_orders_follow_the_rules(spark, tmp_path):
     days = [DAY + dt.timedelta(days=k) for k in range(7)]
     tops = [True, True, False, False, True, True, False]
-    mae = [-0.01, -0.01, -0.01, -0.01, -0.01, -0.09, -0.01]
-    rows = spark.createDataFrame([("a", d, 10.0, m, t) for d, m, t in zip(days, mae, tops, strict=True)], "code string, date date, open double, pred_mae double, on_top boolean")
-    rows.write.parquet(str(tmp_path / "in"))
-    out = events.drained(positions.position_orders(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), "append")
-    assert [(r.date, r.side, r.reason) for r in out.orderBy("date").collect()] == [(days[0], "BUY", "enter_topcap"), (days[3], "SELL", "out_of_topcap"), (days[4], "BUY", "enter_topcap"), (days[5], "SELL", "risk_hard_stop")]
+    mae = [-0.01, -0.01, -0.01, -0.01, -0.01, -0.01, -0.09]
+    rows = [("a", d, 10.0 + k, m, t) for k, (d, m, t) in enumerate(zip(days, mae, tops, strict=True))]
+    got = orders_of(spark, tmp_path, "rules", [rows[:3], rows[3:5], rows[5:]])
+    assert [x[1:] for x in got] == [(days[1], "BUY", "enter_topcap", 11.0), (days[3], "SELL", "out_of_topcap", 13.0), (days[5], "BUY", "enter_topcap", 15.0), (days[6], "SELL", "risk_hard_stop", 16.0)]
+
+
+def test_pending_entries_lapse(spark, tmp_path):
+    at = lambda k: DAY + dt.timedelta(days=k)
+    top = lambda code, k, on=True: (code, at(k), 10.0, -0.01, on)
+    held = spark.createDataFrame([("p", "PENDING_ENTRY", at(0), 0), ("o", "OPEN", at(0), 1), ("q", "PENDING_ENTRY", at(0), 0)], "code string, status string, since date, out_counter int")
+    files = [[top("b", 0), top("c", 0), top("z", 1, False), top("o", 1, False), top("q", 3, False)], [top("z", 9, False), top("c", 12)], [top("z", 20, False), top("c", 13), top("z", 21)]]
+    got = orders_of(spark, tmp_path, "lapse", files, held)
+    # b never comes again, c comes too late and is signalled anew, p is only in the table, z still waits at the end
+    assert got == sorted([
+        ("b", at(7), "CANCEL", "entry_lapsed", None), ("c", at(7), "CANCEL", "entry_lapsed", None), ("c", at(13), "BUY", "enter_topcap", 10.0), ("p", at(7), "CANCEL", "entry_lapsed", None),
+        ("o", at(1), "SELL", "out_of_topcap", 10.0), ("q", at(3), "BUY", "enter_topcap", 10.0)], key=str)
+
+
+def files_of(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("data/**/*.parquet")}
+
+
+def test_upserts_write_the_months_they_touch(spark, tmp_path):
+    kind = "code string, date date, close double"
+    path, rows = str(tmp_path / "t"), [(f"c{k}", dt.date(2023, m, 5), float(m)) for m in range(1, 13) for k in range(50)]
+    assert sinks.upsert_months(spark, path, spark.createDataFrame(rows, kind)) == [202300 + m for m in range(1, 13)]
+    before = files_of(tmp_path / "t")
+    fresh = spark.createDataFrame([("c1", dt.date(2023, 3, 5), -1.0), ("new", dt.date(2023, 3, 9), -2.0), ("new", dt.date(2024, 1, 1), -3.0), ("none", None, 0.0)], kind)
+    for _ in range(2):  # a run that is made again changes no row
+        assert sinks.upsert_months(spark, path, fresh) == [None, 202303, 202401]
+        after = files_of(tmp_path / "t")
+        assert {f for f in before if before[f] == after.get(f)} == {f for f in before if "ym=202303" not in f}
+        got = {(r.code, r.date): r.close for r in sinks.read_months(spark, path).collect()}
+        assert len(got) == 603 and got["c1", dt.date(2023, 3, 5)] == -1.0 and got["c2", dt.date(2023, 3, 5)] == 3.0 and got["none", None] == 0.0
+    assert sinks.upsert_months(spark, path, fresh.limit(0)) == []
+    with pytest.raises(ValueError, match="must be one of the keys"):
+        sinks.upsert_months(spark, path, fresh, ("code",))
+
+
+def test_upserts_survive_a_run_that_dies(spark, tmp_path, monkeypatch):
+    kind = "code string, date date, close double"
+    path = str(tmp_path / "t")
+    sinks.upsert_months(spark, path, spark.createDataFrame([("a", DAY, 1.0), ("b", DAY, 2.0)], kind))
+    fresh = spark.createDataFrame([("a", DAY, 9.0)], kind)
+    replace, calls = sinks._overwrite_months, []
+
+    def dies(*args):
+        calls.append(1)
+        if len(calls) > 1:  # the journal is written
+            raise RuntimeError("lost")
+        return replace(*args)
+
+    monkeypatch.setattr(sinks, "_overwrite_months", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        sinks.upsert_months(spark, path, fresh)
+    monkeypatch.setattr(sinks, "_overwrite_months", replace)
+    for f in (tmp_path / "t" / "data").rglob("*.parquet"):
+        f.unlink()  # as if it died between deleting the old month and putting the new one
+    assert {(r.code, r.close) for r in sinks.read_months(spark, path).collect()} == {("a", 9.0), ("b", 2.0)}
+    spark.createDataFrame([("a", DAY, 5.0, 202401)], kind + ", ym int").write.partitionBy("ym").parquet(f"{path}/_journal")
+    (tmp_path / "t" / "_journal" / "_SUCCESS").unlink()  # a journal that is not whole counts for nothing
+    assert {(r.code, r.close) for r in sinks.read_months(spark, path).collect()} == {("a", 9.0), ("b", 2.0)}
+
+
+def test_month_sink_goes_on_after_a_restart(spark, tmp_path):
+    kind = "code string, date date, close double, seen int"
+    row = lambda k, close, seen: (f"c{k}", DAY, close, seen)
+    make = lambda: incremental.UpsertSink(spark, ["code", "date"], str(tmp_path / "t"), ["seen"], "date")
+    make()(spark.createDataFrame([row(k, 1.0, 0) for k in range(5)], kind), 0)
+    fresh = spark.createDataFrame([row(4, 3.0, 1), row(4, 2.0, 2), *(row(k, 1.0, 0) for k in range(5, 10))], kind)
+    for _ in range(2):
+        make()(fresh, 1)
+        got = {r.code: r.close for r in sinks.read_months(spark, str(tmp_path / "t")).collect()}
+        assert len(got) == 10 and got["c4"] == 2.0
 
 
 def test_model_round_trip(spark, tmp_path):

@@ -14,6 +14,7 @@ from ticklane.plans import oracle as o
 from ticklane.plans.indicator_queries import bars, rounded
 from ticklane.plans.trade_queries import SQL_PRED, _predictions
 from ticklane.sources import bars as src
+from ticklane.sources import sinks
 from ticklane.sources.scratch import scratch_path
 from ticklane.streaming import events as ev
 from ticklane.streaming import incremental as inc
@@ -178,7 +179,10 @@ register("incremental_plan", lambda s, d: inc.fetch_plan(bars(s, d).where("code
 
 def upsert_latest(s: SparkSession, d: str) -> DataFrame:
     df = bars(s, d).select("code", "date", "close")
-    return inc.upsert(df.where("code % 2 = 0"), df.where("code % 3 = 0").withColumn("close", -F.col("close")), ["code", "date"])
+    path = scratch_path(s, "bars")
+    for rows in (df.where("code % 2 = 0"), df.where("code % 3 = 0").withColumn("close", -F.col("close"))):
+        sinks.upsert_months(s, path, rows)
+    return sinks.read_months(s, path).select("code", "date", "close")
 
 
 register("upsert_latest", upsert_latest, start.end("SELECT code, date, CASE WHEN code % 3 = 0 THEN -close ELSE close END AS close FROM {t} WHERE code % 2 = 0 OR code % 3 = 0"))

@@ -17,6 +17,7 @@ from ticklane.operators import sequence_model as sm
 from ticklane.operators import signals as sg
 from ticklane.operators import training as tr
 from ticklane.plans import label_queries as lq
+from ticklane.plans import oracle as o
 from ticklane.plans import trade_queries as tq
 from ticklane.plans.indicator_queries import PANEL, bars, rounded
 from ticklane.sources import remote
@@ -158,13 +159,33 @@ register("remote_bars", lambda s, d: remote.remote_bars(s, [f"{k:06d}" for k in
 
 
 def stream_positions(s: SparkSession, d: str) -> DataFrame:
-    """Orders of the stateful stream over the daily predictions, arriving as files of years in order."""
+    """Orders of the keyed stream over the daily predictions, a file a year; every seventh code is held, or waits for its entry, before."""
     preds = tq.risk_preds(s, d)
-    rows = ps.with_top(preds, bt.top_prefix(bt.candidate_pool(bt.add_risk(preds)))).select("code", "date", "open", "pred_mae", "on_top")
-    path = scratch_path(s, "preds")
-    rows.write.parquet(path)
-    stream = s.readStream.schema(rows.schema).parquet(path)
-    return ev.drained(ps.position_orders(stream), "append")
-
-
-register("stream_positions", stream_positions)
+    rows = tq.kept(s, ps.with_top(preds, bt.top_prefix(bt.candidate_pool(bt.add_risk(preds)))).select("code", "date", "open", "pred_mae", "on_top"), "ranked")
+    first = rows.agg(F.min("date")).first()[0]
+    held = rows.select("code").distinct().where("code % 7 = 0").select(
+        "code", F.when(F.col("code") % 2 == 0, "OPEN").otherwise("PENDING_ENTRY").alias("status"), F.date_sub(F.lit(first), 1).alias("since"), F.when(F.col("code") % 2 == 0, 1).otherwise(0).alias("out_counter"))
+    inbox = scratch_path(s, "inbox")
+    for (year,) in sorted(rows.select(F.year("date")).distinct().collect()):
+        rows.where(F.year("date") == year).coalesce(1).write.mode("append").parquet(inbox)
+    return ps.run_to_end(s, inbox, rows.schema, scratch_path(s, "orders"), scratch_path(s, "offsets"), held)
+
+
+_state = o.Chain(tq._prefix.parts, tq._risk.at).table(
+    f"""SELECT x.code, x.date, x.open, x.pred_mae >= -0.08 AS safe, x.pred_mae < -0.08 AS broken, p.code IS NOT NULL AS top, row_number() OVER (PARTITION BY x.code ORDER BY x.date) AS rn
+    FROM {{t}} x LEFT JOIN {tq._prefix.at} p ON p.code = x.code AND p.date = x.date""", "pd", True).table(
+    """SELECT code, 0::BIGINT AS rn, CASE WHEN code % 7 = 0 THEN CASE WHEN code % 2 = 0 THEN 'OPEN' ELSE 'PENDING' END END AS st, (SELECT min(date) - 1 FROM pd) AS since, CASE WHEN code % 7 = 0 AND code % 2 = 0 THEN 1 ELSE 0 END AS out_,
+           NULL::VARCHAR AS side, NULL::VARCHAR AS reason, NULL::DOUBLE AS price, NULL::DATE AS date, NULL::DATE AS lapsed FROM (SELECT DISTINCT code FROM pd)
+    UNION ALL
+    SELECT code, rn, CASE WHEN fill THEN 'OPEN' WHEN st2 = 'OPEN' THEN CASE WHEN why IS NULL THEN 'OPEN' END WHEN top AND safe THEN 'PENDING' END,
+           CASE WHEN fill OR (st2 IS NULL AND top AND safe) THEN date WHEN st2 = 'OPEN' AND why IS NULL THEN since END,
+           CASE WHEN fill THEN CASE WHEN top THEN 0 ELSE 1 END WHEN st2 = 'OPEN' AND why IS NULL THEN out2 ELSE 0 END,
+           CASE WHEN fill THEN 'BUY' WHEN why IS NOT NULL THEN 'SELL' END, CASE WHEN fill THEN 'enter_topcap' ELSE why END, open, date, CASE WHEN late THEN since + 7 END
+    FROM (SELECT *, CASE WHEN st2 = 'OPEN' AND NOT fill THEN CASE WHEN broken THEN 'risk_hard_stop' WHEN out2 >= 2 THEN 'out_of_topcap' END END AS why
+          FROM (SELECT *, CASE WHEN late OR fill THEN NULL ELSE st END AS st2, CASE WHEN top THEN 0 ELSE out_ + 1 END AS out2
+                FROM (SELECT x.code, x.rn, x.date, x.open, x.safe, x.broken, x.top, l.st, l.since, l.out_, coalesce(l.st = 'PENDING' AND x.date - l.since <= 7, false) AS fill, coalesce(l.st = 'PENDING' AND x.date - l.since > 7, false) AS late
+                      FROM ps l JOIN pd x ON x.code = l.code AND x.rn = l.rn + 1)))""", "ps")
+register("stream_positions", stream_positions, _state.end("""SELECT code, date, side, reason, price FROM ps WHERE side IS NOT NULL
+    UNION ALL SELECT code, lapsed, 'CANCEL', 'entry_lapsed', NULL FROM ps WHERE lapsed IS NOT NULL
+    UNION ALL SELECT code, since + 7, 'CANCEL', 'entry_lapsed', NULL FROM (SELECT code, max_by(st, rn) AS st, max_by(since, rn) AS since FROM (SELECT code, rn, coalesce(st, '') AS st, coalesce(since, DATE '1900-01-01') AS since FROM ps) GROUP BY code)
+    WHERE st = 'PENDING' AND since + 7 < (SELECT max(date) FROM pd)"""))

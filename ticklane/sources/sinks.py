@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklane.sources.bars import union_dedup
+from ticklane.sources.scratch import written
 
 
 def save_tables(tables: dict[str, DataFrame | None], folder: str, kind: str = "parquet") -> list[str]:
@@ -61,6 +62,51 @@ def upsert_table(spark: SparkSession, path: str, fresh: DataFrame, keys: tuple[s
     return put_version(spark, merged, path, numbers[-1] + 1 if numbers else 1)
 
 
+MONTH = "ym"
+
+
+def _overwrite_months(spark: SparkSession, path: str) -> None:
+    """Put what the journal holds in place of its months; the journal goes last, so a run that dies in between is done again."""
+    make, files = _files(spark, path)
+    journal = f"{path}/_journal"
+    if files.exists(make(f"{journal}/_SUCCESS")):
+        rows = spark.read.parquet(journal)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(f"{path}/data")
+    files.delete(make(journal), True)
+
+
+def upsert_months(spark: SparkSession, path: str, fresh: DataFrame, keys: tuple[str, ...] = ("code", "date"), month: str = "date") -> list[int | None]:
+    """Fresh rows merged into a table by month; only the months that fresh rows have are read and written again.  Returns them.
+
+    ``month``, a date among the keys, tells a row's month (yyyymm; null is one, too).  The merged months are written to a journal, and from
+    there, whole, over the old ones, so whenever a run dies the next one, or read_months(), finds the table as before or as after it.
+    A run that is made again changes nothing.  One writer at a time.
+    """
+    if month not in keys:
+        raise ValueError(f"{month} must be one of the keys: a row would leave its old version in another month")
+    _overwrite_months(spark, path)
+    make, files = _files(spark, path)
+    fresh = written(fresh.withColumn(MONTH, F.year(month) * 100 + F.month(month)), "fresh")
+    months = [r[0] for r in fresh.select(MONTH).distinct().collect()]  # of a calendar's size
+    if not months:
+        return months
+    frames = [fresh]
+    if files.exists(make(f"{path}/data")):
+        old = spark.read.option("mergeSchema", True).parquet(f"{path}/data")
+        known = [m for m in months if m is not None]
+        frames.insert(0, old.where(F.col(MONTH).isin(known) | (F.col(MONTH).isNull() if None in months else F.lit(False))))
+    merged = union_dedup(frames, keys)
+    merged.repartition(MONTH, *keys).write.mode("overwrite").partitionBy(MONTH).parquet(f"{path}/_journal")
+    _overwrite_months(spark, path)
+    return sorted(months, key=lambda m: m or 0)
+
+
+def read_months(spark: SparkSession, path: str) -> DataFrame:
+    """The table that upsert_months() keeps, without its month column."""
+    _overwrite_months(spark, path)
+    return spark.read.option("mergeSchema", True).parquet(f"{path}/data").drop(MONTH)
+
+
 def save_walk_forward(metrics: DataFrame, folder: str, by: str = "variant") -> list[str]:
     """Walk-forward metrics and their means by variant, best first, as walk_forward_metrics and walk_forward_variant_summary."""
     numbers = [f.name for f in metrics.schema.fields if f.name not in (by, "window_id") and f.dataType.typeName() in ("double", "long", "integer")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ticklane.operators import labels
 from ticklane.sources.bars import union_dedup
 from ticklane.sources.scratch import scratch_path
-from ticklane.sources.sinks import put_version, version_numbers
+from ticklane.sources.sinks import put_version, read_months, upsert_months, version_numbers
 
 
 def high_water(rows: DataFrame) -> DataFrame:
@@ -45,15 +45,16 @@ def new_windows(bars: DataFrame, have: DataFrame, columns: list[str], length: in
 
 
 class UpsertSink:
-    """foreachBatch target: micro-batch n makes version n of the table below ``base``, whole before it is there.
+    """foreachBatch target for the table below ``base``; of a key's rows in one batch the one with the greatest ``order`` columns stays,
+    then the one with the greatest other columns.
 
-    A batch starts from the highest version below its own number, so a restart from the stream's checkpoint goes on from the
-    table on disk, and a batch that is run again gives the same version.  Of a key's rows in one batch the one with the
-    greatest ``order`` columns stays, then the one with the greatest other columns.
+    With ``month``, a date among the keys, a batch reads and writes the months it touches and nothing else (upsert_months): a batch that is
+    run again changes nothing.  Without, micro-batch n makes version n, whole before it is there, from the highest version below its own
+    number.  Either way a restart from the stream's checkpoint goes on from the table on disk.
     """
 
-    def __init__(self, spark: SparkSession, keys: list[str], base: str, order: list[str] | None = None):
-        self.base, self.keys, self.order = base, keys, order or []
+    def __init__(self, spark: SparkSession, keys: list[str], base: str, order: list[str] | None = None, month: str | None = None):
+        self.base, self.keys, self.order, self.month = base, keys, order or [], month
 
     def version(self, spark: SparkSession, below: int | None = None) -> str | None:
         """Path of the highest version, of those below a number."""
@@ -65,17 +66,20 @@ class UpsertSink:
         rest = [c for c in batch.columns if c not in self.keys]
         newest = F.max(F.struct(*self.order, *[c for c in rest if c not in self.order])).alias("_row")
         batch = batch.groupBy(*self.keys).agg(newest).select(*[c if c in self.keys else F.col(f"_row.{c}").alias(c) for c in batch.columns]) if rest else batch.distinct()
+        if self.month:
+            upsert_months(spark, self.base, batch, tuple(self.keys), self.month)
+            return
         before = self.version(spark, number)
         put_version(spark, batch if before is None else upsert(spark.read.parquet(before), batch, self.keys), self.base, number)
 
 
 def stream_upsert(spark: SparkSession, rows: DataFrame, keys: tuple[str, ...] = ("code", "date")) -> DataFrame:
-    """rows, arriving twice as files in reverse order, upserted as a stream into one table."""
+    """rows, arriving twice as files in reverse order, upserted as a stream into one table by month."""
     inbox = scratch_path(spark, "inbox")
     rows.where(F.dayofmonth("date") <= 15).write.parquet(inbox)
     rows.write.mode("append").parquet(inbox)
-    sink = UpsertSink(spark, list(keys), scratch_path(spark, "upsert"))
+    sink = UpsertSink(spark, list(keys), scratch_path(spark, "upsert"), month="date")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(inbox)
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, "offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(sink.version(spark))
+    return read_months(spark, sink.base).select(*rows.columns)
