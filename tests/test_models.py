@@ -212,3 +212,42 @@ def test_sequences_stop_by_the_top_of_a_day(spark):
     assert again.best_epoch == one.best_epoch and np.allclose(again.hits, one.hits)
     without = sm.train_sequences(rows.where("date < 18"), "seq", "label", "ret", F.lit(False), sm.Training(hidden=(4,), epochs=3, steps=1, patience=1))
     assert without.best_epoch == 1
+
+
+# --- similar windows
+
+
+def window_rows(n, seed, width=14):
+    import datetime as dt
+
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, 3)) @ rng.normal(size=(3, width)) + 0.05 * rng.normal(size=(n, width))
+    base[5] = base[9] = base[2]  # ties
+    rows = [(int(k % 7), dt.date(2020, 1, 1) + dt.timedelta(days=k), dt.date(2020, 1, 7) + dt.timedelta(days=k), [float(v) for v in base[k]], int(k % 6)) for k in range(n)]
+    return rows
+
+
+def test_window_search_equals_brute_force(spark):
+    from ticklane.operators import similarity
+
+    kind = "code int, start_date date, end_date date, vec array<double>, future_days long"
+    rows = window_rows(4_000, 1)
+    bad = [(1, rows[0][1], rows[0][2], None, 0), (1, rows[0][1], rows[0][2], [None] * 14, 0)]
+    asked = [rows[k] for k in (2, 77, 3_999)] + [(50, rows[0][1], rows[0][2], [9.0] * 14, 0)]
+    targets = spark.createDataFrame([(r[0], r[2], r[3]) for r in asked] + [(60, rows[0][2], None)], "target_code int, target_end date, target_vec array<double>")
+    index = similarity.build_index(spark.createDataFrame(rows + bad, kind).repartition(3))
+    assert len(index.cells) > 50
+    for top, least in ((10, None), (5, 0.6), (4_100, None)):
+        found, counts = similarity.search(index, targets, top, least)
+        got = {}
+        for r in found.orderBy("target_code", "target_end", "place").collect():
+            got.setdefault((r.target_code, r.target_end), []).append((r.code, r.start_date, r.similarity, r.future_days))
+        for code, _, end, vec, _ in asked:
+            like = [(-round(1 / (1 + float(np.sqrt(((np.array(v) - np.array(vec)) ** 2).sum()))), 9), c, s, left) for c, s, e, v, left in rows if (c, e) != (code, end)]
+            best = [(c, s, -x, left) for x, c, s, left in sorted(x for x in like if least is None or -x[0] >= least)[:top]]
+            assert [x[:2] for x in got.get((code, end), [])] == [x[:2] for x in best] and np.allclose([x[2] for x in got.get((code, end), [])], [x[2] for x in best], atol=2e-9)
+        assert counts["pairs"] == 16_000 and (top > 100 or counts["distances"] * 5 < counts["pairs"])
+    empty = similarity.build_index(spark.createDataFrame([], kind))
+    assert similarity.search(empty, targets)[0].count() == 0
+    one = similarity.build_index(spark.createDataFrame(rows[:1], kind))
+    assert similarity.search(one, targets)[0].count() == 4

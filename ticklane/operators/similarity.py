@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ticklane.functions.base import div, w, wr
+from ticklane.functions.base import div, lag, w
 from ticklane.operators.metrics import unit_repair
+from ticklane.sources.scratch import scratch_path, written
 
 PRICES = ("open", "high", "low", "close", "preclose")
 
@@ -30,16 +39,15 @@ def window_vectors(bars: DataFrame, length: int = 7, horizon: int = 5, recent_da
 
     A first close of 0 counts as 1.  recent_days: only windows that end within so many days of the last date of all.
     """
-    cells = F.collect_list(F.struct(*PRICES, "turnover", "pct_chg", "date")).over(wr(length))
-    df = repaired(bars).withColumns({"_w": cells, "_left": F.count(F.lit(1)).over(w().rowsBetween(1, horizon))}).where(F.size("_w") == length)
+    back = lambda x, k: lag(x, length - 1 - k) if k < length - 1 else F.col(x)  # noqa: E731 - the window's k-th row
+    rows = {f"_{x}{k}": back(x, k) for x in (*PRICES, "turnover", "pct_chg") for k in range(length)}
+    df = repaired(bars).withColumns({**rows, "_start": back("date", 0), "_left": F.count(F.lit(1)).over(w().rowsBetween(1, horizon)), "_k": F.row_number().over(w())}).where(F.col("_k") >= length)
     if recent_days:
         last = bars.agg(F.date_sub(F.max("date"), recent_days).alias("_cut"))  # one row
         df = df.join(F.broadcast(last), F.col("date") >= F.col("_cut")).drop("_cut")
-    first = F.when(F.col("_w")[0]["close"] == 0, 1.0).otherwise(F.col("_w")[0]["close"])
-    over_first = lambda p: F.transform("_w", lambda x: x[p] / first)
-    segments = [over_first(p) for p in PRICES]
-    vec = F.concat(*segments, F.transform("_w", lambda x: x["turnover"]), F.transform("_w", lambda x: x["pct_chg"]))
-    return df.select("code", F.col("_w")[0]["date"].alias("start_date"), F.col("date").alias("end_date"), vec.alias("vec"), F.col("_left").alias("future_days"))
+    first = F.when(F.col("_close0") == 0, 1.0).otherwise(F.col("_close0"))
+    cells = [F.col(f"_{x}{k}") / first for x in PRICES for k in range(length)] + [F.col(f"_{x}{k}") for x in ("turnover", "pct_chg") for k in range(length)]
+    return df.select("code", F.col("_start").alias("start_date"), F.col("date").alias("end_date"), F.array(*cells).alias("vec"), F.col("_left").alias("future_days"))
 
 
 def asof(rows: DataFrame, targets: DataFrame, by: str = "code", on: str = "date", at: str = "target_date") -> DataFrame:
@@ -49,16 +57,207 @@ def asof(rows: DataFrame, targets: DataFrame, by: str = "code", on: str = "date"
     return targets.join(found, [by, at], "left").select(by, at, F.col(f"_last.{on}").alias(on), *[F.col(f"_last.{x}").alias(x) for x in others])
 
 
-#: Targets that are compared with every window at a time.
-TARGETS = 200
+#: Targets that are searched for at a time, cells of the index each way, windows that are skipped or looked at together.
+TARGETS, CELLS, BLOCK = 200, 16, 256
+#: Windows that directions and cuts are fitted on, and directions that a sketch keeps.
+SAMPLE, DIRECTIONS = 20_000, 12
+FOUND = "target int, code {code}, start_date date, end_date date, similarity double, future_days long, distances long"
+
+
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Orthonormal directions (columns) in which a sample of vectors varies most."""
+    off = vectors - vectors.mean(axis=0)
+    values, found = np.linalg.eigh(off.T @ off)
+    return np.ascontiguousarray(found[:, np.argsort(-values, kind="stable")[:DIRECTIONS]])
+
+
+def sketch(vectors: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """The coordinates along the directions and the length of what is left.  Distances of sketches never exceed those of the vectors,
+    whatever the directions: what is left of two vectors differs by the difference of its lengths at least."""
+    inside = vectors @ along
+    rest = vectors - inside @ along.T
+    return np.column_stack([inside, np.sqrt((rest * rest).sum(axis=1))])
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """A list column as a matrix; a row with a missing value, or of another length than the first, is NaN."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    if not len(sizes):
+        return np.zeros((0, 0))
+    if column.null_count == 0 and (sizes == sizes[0]).all():
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(sizes), -1)
+    rows = column.to_pylist()
+    width = next((len(r) for r in rows if r), 0)
+    return np.array([[np.nan if v is None else v for v in r] if r is not None and len(r) == width else [np.nan] * width for r in rows], float)
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Doubles that were packed as bytes, a row each."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows)).reshape(len(rows), -1) if rows else np.zeros((0, 1))
+
+
+@dataclass
+class WindowIndex:
+    """Windows by cell: a table in folders of cells, the directions of its sketches, and each cell's box of sketches (a row a cell, on
+    the driver: CELLS^2 at most)."""
+
+    table: DataFrame
+    along: np.ndarray
+    cells: list[int]
+    low: np.ndarray
+    high: np.ndarray
+
+
+def build_index(vectors: DataFrame, stored: bool = False) -> WindowIndex:
+    """Index of windows (code, start_date, end_date, vec, future_days).  Windows with a missing value are left out.
+
+    Directions and cuts are fitted on about SAMPLE windows (they decide how much is passed over, never what is found).  Every window is
+    dealt to a cell of the two directions that vary most; cells with many windows are split over files.  It serves any number of searches.
+    stored: vectors is a table that may be read twice.
+    """
+    spark = vectors.sparkSession
+    names = ["code", "start_date", "end_date", "vec", "future_days"]
+    rows = vectors.select(*names) if stored else written(vectors.select(*names), "windows")
+    count = rows.count()
+    chosen = F.pmod(F.xxhash64("code", "end_date"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE / max(count, 1))))
+    some = _rows(rows.where(chosen).select("vec").toArrow()["vec"].combine_chunks())
+    some = some[np.isfinite(some).all(axis=1)] if some.size else some
+    if not len(some):  # few windows or none: one cell, any directions
+        first = rows.where("vec IS NOT NULL").select(F.size("vec").alias("n")).first()
+        some = np.zeros((1, first.n if first else 1))
+    along = directions(some)
+    cuts = [np.unique(np.quantile(x, np.arange(1, CELLS) / CELLS)) for x in sketch(some, along).T[:2]]
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = _rows(b.column(3))
+            ok = np.isfinite(v).all(axis=1) if v.shape[1:] == along.shape[:1] else np.zeros(len(v), bool)
+            if ok.any():
+                s = sketch(v[ok], along)
+                cell = sum(np.searchsorted(cut, s[:, k]) * CELLS**k for k, cut in enumerate(cuts))
+                kept = b.filter(pa.array(ok))
+                packed = [pa.array([x.tobytes() for x in m], pa.binary()) for m in (v[ok], s)]
+                yield pa.RecordBatch.from_arrays([*(kept.column(n) for n in kept_names), *packed, pa.array(cell, pa.int32()), pa.array(s[:, -1])], names=[*kept_names, "vec", "sketch", "cell", "_order"])
+
+    kept_names = [n for n in names if n != "vec"]
+    schema = T.StructType([*(rows.schema[n] for n in kept_names), *(T.StructField(n, T.BinaryType()) for n in ("vec", "sketch")), T.StructField("cell", T.IntegerType()), T.StructField("_order", T.DoubleType())])
+    path = scratch_path(spark, "index")
+    rows.mapInArrow(sketched, schema).hint("rebalance", "cell").sortWithinPartitions("cell", "_order").drop("_order").write.partitionBy("cell").parquet(path)
+    table = spark.read.schema(T.StructType([f for f in schema.fields if f.name != "_order"])).parquet(path)
+
+    def boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s, cells = _unpacked(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+            for c in np.unique(cells):
+                mine = s[cells == c]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(s.shape[1], c), pa.int32()), pa.array(np.arange(s.shape[1]), pa.int32()), pa.array(mine.min(axis=0)), pa.array(mine.max(axis=0))], names=["cell", "k", "low", "high"])
+
+    sides = table.select("cell", "sketch").mapInArrow(boxed, "cell int, k int, low double, high double").groupBy("cell", "k").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("cell", "k").toPandas()
+    width = along.shape[1] + 1
+    return WindowIndex(table, along, sides["cell"].tolist()[::width], *(sides[n].to_numpy().reshape(-1, width) for n in ("low", "high")))
+
+
+def beyond(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Least distance of each point (rows of at) to each box (rows of low and high): boxes x points."""
+    gap = np.maximum(np.maximum(low[:, None, :] - at[None], at[None] - high[:, None, :]), 0.0)
+    return np.sqrt((gap * gap).sum(axis=2))
+
+
+def _reach(similarity: np.ndarray) -> np.ndarray:
+    """The greatest distance whose similarity may still round to as much; a little more, for float noise."""
+    return np.where(similarity > 1e-8, (1.0 / np.maximum(similarity - 1e-8, 1e-12) - 1.0) * (1 + 1e-9) + 1e-9, np.inf)
+
+
+def _search(index: WindowIndex, cells: set[int], targets: list, reach: np.ndarray, top: int) -> DataFrame:
+    """FOUND: the best windows of each target in each task's share of the cells, and in one row a task how many distances it took."""
+    rows = index.table.where(F.col("cell").isin(sorted(cells))) if len(cells) < len(index.cells) else index.table
+    wanted = np.array([r.target_vec for r in targets], float)
+    codes, ends, sketches = [r.target_code for r in targets], [r.target_end for r in targets], sketch(wanted, index.along)
+    kind = index.table.schema["code"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound, took = reach.copy(), 0
+        best: list[list[tuple]] = [[] for _ in targets]
+        for batch in batches:
+            vectors, parts = _unpacked(batch.column(3)), _unpacked(batch.column(5))
+            for at in range(0, len(vectors), BLOCK):
+                part = parts[at : at + BLOCK]
+                near = np.flatnonzero(beyond(part.min(axis=0, keepdims=True), part.max(axis=0, keepdims=True), sketches)[0] <= bound)
+                for t in near:
+                    gap = part - sketches[t]
+                    some = np.flatnonzero(np.sqrt((gap * gap).sum(axis=1)) <= bound[t])
+                    if not len(some):
+                        continue
+                    took += len(some)
+                    gap = vectors[at + some] - wanted[t]
+                    distance = np.sqrt((gap * gap).sum(axis=1))
+                    for i in some[distance <= bound[t]]:
+                        code, start, end, left = (batch.column(k)[int(at + i)].as_py() for k in (0, 1, 2, 4))
+                        if code != codes[t] or end != ends[t]:
+                            like = round(1.0 / (1.0 + float(distance[np.searchsorted(some, i)])), 9)
+                            best[t].append((-like, code, start, end, left))
+                    if len(best[t]) >= top:
+                        best[t] = sorted(best[t], key=lambda x: (x[0], x[1] is None, x[1], x[2]))[:top]
+                        bound[t] = min(bound[t], float(_reach(np.array([-best[t][-1][0]]))[0]))
+        found = [(t, *x[1:4], -x[0], x[4], 0) for t, some in enumerate(best) for x in some] + [(None, None, None, None, None, None, took)]
+        columns = list(zip(*found, strict=True))
+        types = [pa.int32(), batch_type[0], pa.date32(), pa.date32(), pa.float64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["target", "code", "start_date", "end_date", "similarity", "future_days", "distances"])
+
+    batch_type = [to_arrow_type(index.table.schema["code"].dataType)]
+    return rows.select("code", "start_date", "end_date", "vec", "future_days", "sketch").mapInArrow(run, FOUND.format(code=kind))
+
+
+def search(index: WindowIndex, targets: DataFrame, top: int = 10, least: float | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """The windows most like each target by distance, best first, and how many distances were computed of how many pairs.
+
+    Exact: a cell, a block or a window is passed over only if its bound says that it cannot be among the best.  First each target looks at
+    its nearest cell, whose k-th best bounds the rest; then every task goes on with its own k-th best.  targets: target_code, target_end,
+    target_vec, a stated set of queries, taken in blocks of TARGETS.
+    """
+    spark = index.table.sparkSession
+    found, counts, total = [], {"distances": 0, "pairs": 0}, index.table.count()
+    many = targets.orderBy("target_code", "target_end").toLocalIterator()
+    while block := list(itertools.islice(many, TARGETS)):
+        block = [r for r in block if r.target_vec is not None and np.isfinite(np.array(r.target_vec, float)).all()]
+        if not block or not index.cells:
+            continue
+        counts["pairs"] += len(block) * total
+        reach = np.full(len(block), np.inf if least is None else float(_reach(np.array([least]))[0]))
+        far = beyond(index.low, index.high, sketch(np.array([r.target_vec for r in block], float), index.along))
+        near = {index.cells[k] for k in far.argmin(axis=0)}
+        seen = written(_search(index, near, block, reach, top), "nearest")
+        line = W.partitionBy("target").orderBy(F.col("similarity").desc(), "code", "start_date")
+        last = seen.where("target IS NOT NULL").withColumn("place", F.row_number().over(line)).where(F.col("place") == top).select("target", "similarity").collect()  # a row a target
+        for r in last:
+            reach[r.target] = min(reach[r.target], float(_reach(np.array([r.similarity]))[0]))
+        cells = {index.cells[k] for k in np.flatnonzero((far <= reach[None]).any(axis=1))}
+        part = written(_search(index, cells, block, reach, top), "similar")
+        counts["distances"] += sum(x.agg(F.sum("distances")).first()[0] or 0 for x in (seen, part))
+        names = spark.createDataFrame([(t, r.target_code, r.target_end) for t, r in enumerate(block)], f"target int, target_code {targets.schema['target_code'].dataType.simpleString()}, target_end date")
+        found.append(part.where("target IS NOT NULL").join(F.broadcast(names), "target"))
+    out = _ranked(reduce(DataFrame.unionByName, found), top, least) if found else None
+    empty = "target_code {0}, target_end date, code {1}, start_date date, end_date date, similarity double, place int, future_days long"
+    return (out if out is not None else spark.createDataFrame([], empty.format(targets.schema["target_code"].dataType.simpleString(), index.table.schema["code"].dataType.simpleString()))), counts
+
+
+def _ranked(pairs: DataFrame, top: int, least: float | None) -> DataFrame:
+    if least is not None:
+        pairs = pairs.where(F.col("similarity") >= least)
+    line = W.partitionBy("target_code", "target_end").orderBy(F.col("similarity").desc(), "code", "start_date")
+    pairs = pairs.withColumn("place", F.row_number().over(line)).where(F.col("place") <= top)
+    return pairs.select("target_code", "target_end", "code", "start_date", "end_date", "similarity", "place", "future_days")
 
 
 def similar_windows(vectors: DataFrame, targets: DataFrame, top: int = 10, metric: str = "euclid", least: float | None = None) -> DataFrame:
     """The windows most like each target, best first. targets: target_code, target_end, target_vec, a stated set of queries.
 
-    Targets are taken in blocks of TARGETS, each of which is broadcast and compared with all windows; the best ``top`` of a
-    target are kept before anything is shuffled.
+    By distance through an index (search()); by product or cosine every window meets every target, in blocks of TARGETS that are
+    broadcast, and the best ``top`` of a target are kept before anything is shuffled.
     """
+    if metric == "euclid":
+        return search(build_index(vectors), targets, top, least)[0]
     spark, schema = vectors.sparkSession, targets.schema
     found, block = None, []
     rows = targets.orderBy("target_code", "target_end").toLocalIterator()
@@ -70,20 +269,8 @@ def similar_windows(vectors: DataFrame, targets: DataFrame, top: int = 10, metri
 
 def _similar(vectors: DataFrame, targets: DataFrame, top: int, metric: str, least: float | None) -> DataFrame:
     pairs = vectors.join(F.broadcast(targets), ~((F.col("code") == F.col("target_code")) & (F.col("end_date") == F.col("target_end"))))
-    add = lambda a, x: a + x
-    total = lambda values: F.aggregate(values, F.lit(0.0), add)
-    if metric == "euclid":
-        like = 1 / (1 + F.sqrt(total(F.zip_with("vec", "target_vec", lambda a, b: (a - b) * (a - b)))))
-    else:
-        norm = F.sqrt(total(F.transform("vec", lambda a: a * a)))
-        like = total(F.zip_with("vec", "target_vec", lambda a, b: a * b)) / norm
-        if metric == "cosine":
-            like = like / F.sqrt(total(F.transform("target_vec", lambda a: a * a)))
-    pairs = pairs.withColumn("similarity", F.round(like, 9))
-    if least is not None:
-        pairs = pairs.where(F.col("similarity") >= least)
-    line = W.partitionBy("target_code", "target_end").orderBy(F.col("similarity").desc(), "code", "start_date")
-    pairs = pairs.withColumn("place", F.row_number().over(line)).where(F.col("place") <= top)
-    return pairs.select("target_code", "target_end", "code", "start_date", "end_date", "similarity", "place", "future_days")
-
-
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    like = total(F.zip_with("vec", "target_vec", lambda a, b: a * b)) / F.sqrt(total(F.transform("vec", lambda a: a * a)))
+    if metric == "cosine":
+        like = like / F.sqrt(total(F.transform("target_vec", lambda a: a * a)))
+    return _ranked(pairs.withColumn("similarity", F.round(like, 9)), top, least)

@@ -256,9 +256,10 @@ def targets(s: SparkSession, d: str) -> DataFrame:
 
 def similar(s: SparkSession, d: str) -> DataFrame:
     """The windows most like the last one before a day, of every code whose number is divisible by 50 (and code 1), among all windows."""
-    vectors = similarity.window_vectors(bars(s, d))
+    vectors = kept(s, similarity.window_vectors(bars(s, d)), "windows")
     at = similarity.asof(vectors.withColumnRenamed("end_date", "date"), targets(s, d).where("code % 50 = 0 OR code = 1"))
-    return similarity.similar_windows(vectors, at.select(F.col("code").alias("target_code"), F.col("date").alias("target_end"), F.col("vec").alias("target_vec"))).withColumn("similarity", F.round("similarity", 6))
+    found, _ = similarity.search(similarity.build_index(vectors, stored=True), at.select(F.col("code").alias("target_code"), F.col("date").alias("target_end"), F.col("vec").alias("target_vec")))
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 _vec = o.Chain().add(win=f"list({{{{'o': open, 'h': high, 'l': low, 'c': close, 'p': preclose, 't': turnover, 'g': pct_chg, 'd': date}}}}) {o.over(7)}".replace("{{", "{").replace("}}", "}"), left_=f"count(*) {o.ahead(5)}", unit_t="CASE WHEN max(abs(turnover)) OVER () > 1.5 THEN 100 ELSE 1 END", unit_g="CASE WHEN max(abs(pct_chg)) OVER () > 1.5 THEN 100 ELSE 1 END")
