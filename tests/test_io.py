@@ -204,3 +204,40 @@ def test_random_settings_are_seeded():
 
 def test_registered_names_do_not_clash():
     assert not set(ml_queries.QUERIES) & set(trade_queries.QUERIES) and not set(label_queries.QUERIES) & set(trade_queries.QUERIES)
+
+
+def test_a_run_is_saved_whole_or_not_at_all(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    one = spark.createDataFrame([("a", 1.0)], "code string, x double")
+    assert sinks.load_run(spark, folder) == {}
+    assert sinks.save_run(spark, {"trades": one, "orders": one}, folder).endswith("/v1")
+    dies = one.withColumn("x", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.save_run(spark, {"trades": one.withColumn("x", F.lit(2.0)), "orders": dies, "equity": one}, folder)
+    assert sinks.version_numbers(spark, folder) == [1] and sinks.load_run(spark, folder)["trades"].first().x == 1.0
+    assert sinks.save_run(spark, {"trades": one.withColumn("x", F.lit(3.0))}, folder).endswith("/v2")
+    found = sinks.load_run(spark, folder)
+    assert set(found) == {"trades"} and found["trades"].first().x == 3.0
+
+
+def test_padded_days_do_not_change_results(spark, tmp_path):
+    from ticklane.functions import lookback
+    from ticklane.functions.base import lead, sma
+
+    at = lambda k: DAY + dt.timedelta(days=k)
+    rows = [(c, at(k), float(k * 7 % 11 + i)) for i, c in enumerate("abcd") for k in range(120) if not (c == "b" and 30 <= k < 58) and not (c == "c" and k < 62) and not (c == "d" and k > 40)]
+    path = str(tmp_path / "bars")
+    spark.createDataFrame(rows, "code string, date date, close double").repartitionByRange(12, "date").sortWithinPartitions("date").write.parquet(path)
+    table = spark.read.parquet(path)
+    make = lambda df: df.withColumns({"m": sma("close", 5), "next": lead("close", 3)})
+    first, last = at(60), at(70)
+    found = lookback.within(table, first, last, make, 4, 3)
+    whole = make(table).where(F.col("date").between(F.lit(first), F.lit(last)))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str) and whole.count() == 31
+    part = lookback.padded(table, first, last, 4, 3)
+    ends = part.agg(F.min("date"), F.max("date")).first()
+    assert tuple(ends) == (at(28), at(73))  # b has its fourth row before the span at day 28
+    assert "PushedFilters: [IsNotNull(date), " in part._jdf.queryExecution().executedPlan().toString()
+    assert lookback.padded(table, first, last, None).agg(F.min("date")).first()[0] == at(0)
+    assert lookback.padded(table, at(200), at(210), 4, 3).count() == 0
+    assert lookback.reach("rsi", "ret_mae") == (14, 20) and lookback.reach("rsi", "indicator_panel") == (None, 0)

@@ -338,7 +338,8 @@ def latest_candidates(factors: DataFrame, p: cf.Portfolio) -> DataFrame:
 
 
 def daily_run(factors: DataFrame, lookback_months: int = 3, recent_days: int = 10, cost_bp: float = 2.0, cut=lambda df: df) -> dict[str, DataFrame]:
-    """The daily report: regime of the last months, the profile it calls for, its portfolio, the day's actions and their history.
+    """The daily report, 11 tables: regime of the last months, the profile it calls for, its portfolio (panel, trades, orders, monitor,
+    equity, candidates, positions, summary), the day's actions and their history.  sinks.save_run() writes them all or none.
 
     The regime is one row that the driver reads to choose settings.  cut: writes and rereads a frame that several tables use.
     """
@@ -350,9 +351,12 @@ def daily_run(factors: DataFrame, lookback_months: int = 3, recent_days: int = 1
     events = cut(simulate(factors, {p.strategy_profile: p}, cost_bp))
     held = of_kind(events, "position", POSITION).drop("variant", "window_id")
     closes = factors.where(F.col("date") == F.lit(last).cast("date")).select("code", "close")
-    actions = net_actions(held, latest_candidates(factors, p), closes, p.top_n)
+    candidates = cut(latest_candidates(factors, p))
+    actions = net_actions(held, candidates, closes, p.top_n)
     history = action_history(orders(events), trades(events), actions, last, recent_days=recent_days)
-    return {"regime": regime, "actions": actions, "history": history, "trades": trades(events), "orders": orders(events), "summary": summary(trades(events)), "positions": held}
+    return {
+        "regime": regime, "actions": actions, "history": history, "panel": factors, "trades": trades(events), "monitor": of_kind(events, "monitor", MONITOR), "equity": of_kind(events, "equity", EQUITY),
+        "orders": orders(events), "candidates": candidates, "positions": held, "summary": summary(trades(events))}
 
 
 # ---- regimes and variants --------------------------------------------------------------------------------------------

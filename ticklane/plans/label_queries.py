@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticklane.functions import indicators as ind
+from ticklane.functions import lookback
 from ticklane.operators import labels as lb
 from ticklane.operators import metrics as mt
 from ticklane.operators import training
@@ -233,3 +236,23 @@ register("new_windows", lambda s, d: rounded(inc.new_windows(bars(s, d).select("
              f"SELECT *, greatest({o.lead('close', 1)}, {o.lead('close', 2)}) >= close * 1.01 AS up, {o.lead('close', 2)} AS last_ FROM {{t}}").table("SELECT code, date, close, CAST(up AS INT) AS label FROM {t} WHERE last_ IS NOT NULL").table(
              f"SELECT *, {o.lag('close', 2)} AS day1_close, {o.lag('close', 1)} AS day2_close, close AS day3_close, row_number() OVER ({o.LINE}) AS k FROM {{t}}").end(
              "SELECT code, date, label, round(day1_close, 6) AS day1_close, round(day2_close, 6) AS day2_close, round(day3_close, 6) AS day3_close FROM {t} WHERE k >= 3 AND (code % 5 = 0 OR date > (SELECT max(b.date) FROM bars b WHERE b.code = {t}.code AND b.date < DATE '1998-06-01'))"))
+
+
+def recent_features(s: SparkSession, d: str) -> DataFrame:
+    """Features and labels of two months, from a table by day of which only the days that they look at are read."""
+    path = scratch_path(s, "by_day")
+    bars(s, d).repartitionByRange("date").sortWithinPartitions("date").write.parquet(path)
+
+    def made(rows: DataFrame) -> DataFrame:
+        df = ind.add_bollinger(ind.add_rsi(rows)).withColumns({"roc10": ind.roc("close", 10), "rvol20": ind.rvol()})
+        return lb.ret_mae(df)
+
+    span = dt.date(1997, 3, 1), dt.date(1997, 4, 30)
+    back, ahead = lookback.reach("rsi", "bollinger", "roc10", "rvol", "ret_mae")
+    return rounded(lookback.within(s.read.parquet(path), *span, made, back, ahead), _RECENT)
+
+
+_RECENT = ["rsi14", "boll_bw", "roc10", "rvol20", "ret_20", "mae_20"]
+register("recent_features", recent_features, o.add_boll(o.add_rsi(start)).add(
+    roc10=o.roc("close", 10), rvol20=o.div("volume", o.sma("volume", 20)), ret_20=f"{o.lead('close', 20)} / {o.lead('open')} - 1",
+    mae_20=f"CASE WHEN count(low) {o.ahead(20)} = 20 THEN min(low) {o.ahead(20)} END / {o.lead('open')} - 1").show(_RECENT, "date BETWEEN DATE '1997-03-01' AND DATE '1997-04-30'"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from ticklane.plans import oracle as o
 from ticklane.plans import signal_queries as sq
 from ticklane.plans.indicator_queries import rounded
 from ticklane.plans.trade_queries import _sim, clean, kept, ledger
+from ticklane.sources import sinks
+from ticklane.sources.scratch import scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -329,3 +333,21 @@ register("action_history", lambda s, d: rounded(clean(daily(s, d)["history"]), [
          _day.end("""SELECT o.execute_date AS action_date, o.side AS action, o.code, o.strategy, o.reason, round(o.weight, 6) AS target_weight, CASE WHEN o.side = 'SELL' THEN round(t.pnl_pct, 6) END AS pnl_pct
          FROM od o LEFT JOIN tr t ON o.side = 'SELL' AND t.variant = o.variant AND t.code = o.code AND t.exit_date = o.execute_date WHERE o.variant = (SELECT profile FROM prof) AND o.execute_date BETWEEN (SELECT d - INTERVAL 60 DAY FROM ld) AND (SELECT d FROM ld)
          UNION ALL SELECT (SELECT d FROM ld), action, code, strategy, reason, round(target_weight, 6), round(pnl_pct, 6) FROM na WHERE action = 'HOLD'"""))
+
+
+def daily_tables(s: SparkSession, d: str) -> DataFrame:
+    """Rows and dates of each of the 11 tables of the daily run, as they are read back from the version that was written."""
+    folder = scratch_path(s, "runs")
+    sinks.save_run(s, daily(s, d), folder)
+    day = {"regime": "as_of_date", "history": "action_date", "panel": "date", "trades": "exit_date", "monitor": "signal_date", "equity": "exit_date", "orders": "execute_date", "positions": "entry_date"}
+    of = lambda n, df: df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), *[f(F.col(day[n]) if n in day else F.lit(None)).cast("date").alias(a) for a, f in (("first", F.min), ("last", F.max))])
+    return reduce(DataFrame.unionByName, [of(n, df) for n, df in sinks.load_run(s, folder).items()])
+
+
+_of = lambda n, rows, day="NULL": f"SELECT '{n}' AS name, count(*) AS n, CAST(min({day}) AS DATE) AS first, CAST(max({day}) AS DATE) AS last FROM ({rows})"
+_mine = "WHERE variant = (SELECT profile FROM prof)"
+register("daily_tables", daily_tables, _day.end(" UNION ALL ".join([
+    _of("regime", "SELECT d FROM ld", "d"), _of("actions", "SELECT * FROM na"), _of("panel", "SELECT date FROM fa", "date"), _of("trades", f"SELECT exit_date FROM tr {_mine}", "exit_date"), _of("orders", f"SELECT execute_date FROM od {_mine}", "execute_date"),
+    _of("candidates", "SELECT * FROM cd"), _of("positions", "SELECT ed FROM hd", "ed"), _of("summary", "SELECT unnest(range(5)) FROM range(1)"),
+    _of("history", f"""SELECT execute_date AS day FROM od {_mine} AND execute_date BETWEEN (SELECT d - INTERVAL 60 DAY FROM ld) AND (SELECT d FROM ld) UNION ALL SELECT (SELECT d FROM ld) FROM na WHERE action = 'HOLD'""", "day"),
+    _of("monitor", f"SELECT date FROM sim {_mine} AND k > 0", "date"), _of("equity", f"SELECT after FROM sim {_mine} AND k > 0", "after")])))

@@ -55,6 +55,29 @@ def put_version(spark: SparkSession, df: DataFrame, path: str, number: int) -> s
     return f"{path}/v{number}"
 
 
+def save_run(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> str:
+    """All tables of a run as the next version below folder; its path.  They are written beside it first and come to be there together, by
+    one renaming: a run that dies leaves the version before, and the next one takes its place."""
+    make, files = _files(spark, folder)
+    number = max(version_numbers(spark, folder), default=0) + 1
+    part = f"{folder}/_tmp{number}"
+    files.delete(make(part), True)
+    for name, df in tables.items():
+        df.write.parquet(f"{part}/{name}")
+    files.rename(make(part), make(f"{folder}/v{number}"))
+    return f"{folder}/v{number}"
+
+
+def load_run(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the newest version; none without one."""
+    numbers = version_numbers(spark, folder)
+    if not numbers:
+        return {}
+    make, files = _files(spark, folder)
+    path = f"{folder}/v{numbers[-1]}"
+    return {n: spark.read.parquet(f"{path}/{n}") for n in sorted(s.getPath().getName() for s in files.listStatus(make(path)))}
+
+
 def upsert_table(spark: SparkSession, path: str, fresh: DataFrame, keys: tuple[str, ...] = ("code", "date")) -> str:
     """Fresh rows merged into the newest version below path; the version written. Readers take the highest one."""
     numbers = version_numbers(spark, path)
