@@ -292,3 +292,12 @@ def test_sainte_lague_equals_highest_quotients(spark):
 
 def test_probe_digest():
     assert hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest().startswith("bce4c119")
+
+
+def test_mix_takes_ids_of_any_type(spark):
+    texts = ["a b c", "d " * 40, None, "", "e f"]
+    rows = [(f"id{k}", texts[k % 5], f"s{k % 3}") for k in range(60)] + [(None, "x y", "s0"), ("id1", "x y", None)]
+    made = mixing.mix(spark.createDataFrame(rows, "doc_id string, text string, source string"))
+    assert made.schema["doc_id"].dataType.simpleString() == "string" and made.count() == 62
+    whole = mixing.mix(spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "doc_id int, text string, source string"))
+    assert whole.count() == 62 and whole.agg(F.sum("taken")).first()[0] > 0

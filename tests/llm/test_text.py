@@ -1,5 +1,8 @@
 """Classifiers, decontamination, near-duplicates, token counts, WARC, images: brute force, round trips, held-out accuracy, edge rows."""
 
+import zlib
+import time
+import gzip
 import collections
 import hashlib
 import re
@@ -869,3 +872,49 @@ def test_pipeline_equals_brute_force(spark):
     want = sorted((row["doc_id"], row["size"], row["taken"], round(row["target"], 6)) for row in (dict(zip(names, x, strict=True)) for x in same_rows.fetchall()))
     got = sorted((r.doc_id, r.size, r.taken, round(r.target, 6)) for r in corpus_pipeline.run(spark, SMALL).collect())
     assert got == want and len(got) > 50
+
+
+def http(body: bytes, *fields: str, kind: str = "text/html") -> list[dict]:
+    head = "\r\n".join(["HTTP/1.1 200 OK", f"Content-Type: {kind}", *fields])
+    return warc.derivatives({"key": 1, "record_type": "response", "record_id": "<urn:x>", "headers": [], "block": head.encode() + b"\r\n\r\n" + body})
+
+
+def text_of(records: list[dict]) -> str | None:
+    return next((r["block"].decode() for r in records if r["record_type"] == "conversion"), None)
+
+
+def test_warc_bodies_that_are_packed_or_no_text():
+    page = "<p>héllo</p><p>wörld</p>".encode()
+    chunks = b"".join(f"{len(page[k : k + 5]):x};x=1\r\n".encode() + page[k : k + 5] + b"\r\n" for k in range(0, len(page), 5)) + b"0\r\n\r\n"
+    packed, raw = gzip.compress(page), zlib.compress(page)[2:-4]
+    for body, fields in ((page, ()), (chunks, ("Transfer-Encoding: chunked",)), (packed, ("content-encoding: gzip",)), (zlib.compress(page), ("Content-Encoding: deflate",)), (raw, ("Content-Encoding: deflate",)), (page, ("Content-Encoding: gzip", "X: y"))):
+        assert text_of(http(body, *fields)) == "héllo\nwörld"
+    both = b"".join(f"{len(packed[k : k + 7]):X}\r\n".encode() + packed[k : k + 7] + b"\r\n" for k in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    assert text_of(http(both, "Transfer-Encoding: chunked", "Content-Encoding: gzip")) == "héllo\nwörld"
+    assert text_of(http(packed[:-9], "Content-Encoding: gzip")) is not None and text_of(http(b"ff\r\n<p>cut", "Transfer-Encoding: chunked")) == "cut"
+    assert text_of(http(page, "Transfer-Encoding: chunked")) == "héllo\nwörld" and text_of(http(b"", "Transfer-Encoding: chunked")) == ""
+    assert text_of(http(packed, "Content-Encoding: br")) is None
+    for kind in ("application/pdf", "image/png"):
+        only = http(b"%PDF-1.4 binary", kind=kind)
+        assert [r["record_type"] for r in only] == ["metadata"] and f"content-type: {kind}\r\n" in only[0]["block"].decode()
+    assert text_of(http(b"a  <b> \n c", kind="text/plain")) == "a  <b> \n c"
+
+
+@pytest.mark.parametrize("charset", ["idna", "undefined", "punycode", "no-such", "hex", "utf-16", "latin-1", "unicode_escape"])
+def test_warc_charsets_never_raise(charset):
+    assert len(http("<p>hé</p>".encode("latin-1") + b"\xff\\N{x", kind=f"text/html; charset={charset}")) == 2
+
+
+def test_warc_plain_files_are_read_in_linear_time():
+    one = plain_record("resource", b"q" * 5_000)
+    data = one * 16_000
+    took = time.process_time()
+    assert sum(1 for _ in warc.parse(warc.unpacked(data))) == 16_000
+    assert time.process_time() - took < 6
+    bare = b"WARC/1.0\r\nWARC-Type: x\r\n\r\n" + b"r" * 3_000_000
+    assert [len(r["block"]) for r in warc.parse(warc.unpacked(bare + b"\r\n\r\n" + bare))] == [3_000_000, 3_000_000]
+
+
+def test_warc_of_a_table_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://x", "<p>a</p>", "k", "r", 3)], "page_id int, url string, html string, key string, block string, headers int")
+    assert warc.derive(warc.responses(pages)).count() == 2

@@ -113,7 +113,7 @@ def mix(
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = scratch.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    sized = scratch.cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
     return mix_sized(sized, scratch, weights, cap, seed, block, shard_rows)
 
 

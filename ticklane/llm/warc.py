@@ -7,7 +7,10 @@ own digests, and ids are name-based UUIDs, so reruns give the same files.
 
 Defined cases: a null or empty html is a response with an empty payload, whose conversion is empty; a null url leaves
 WARC-Target-URI out; unclosed tags, comments and scripts end with the text; equal rows give equal records (and ids); an
-empty table gives no records; other columns are not read; records that are no responses derive nothing.
+empty table gives no records; other columns are not read; records that are no responses derive nothing.  A chunked body is put together
+and a gzip or deflate one unpacked, as far as they are whole; one in another encoding, and one whose type is no text, gets a metadata
+record alone; HTML (also without a type) is stripped of its tags, other text stays as it is; an unknown or unusable charset counts as
+UTF-8, and bytes that do not fit a charset are replaced.
 
 ``read_warc`` takes plain and gzip files, a member a record or all in one.  Blocks are bytes and stay as they are.  Header lines
 are UTF-8, or Latin-1 where they are not; names match whatever their case.  A record that the file's end cuts off is returned
@@ -85,17 +88,68 @@ def _linked(source: dict, kind: str, content_type: str, block: bytes) -> dict:
     return {"key": source["key"], "record_type": kind, "record_id": own, "headers": [{"name": n, "value": v} for n, v in headers], "block": block}
 
 
+def field_of(fields: list[str], name: str) -> str:
+    """The value of an HTTP header (the last one of that name), in lower case; empty without it."""
+    return next((v.strip().lower() for f in reversed(fields) for n, _, v in [f.partition(":")] if n.strip().lower() == name), "")
+
+
+def unchunked(body: bytes) -> bytes:
+    """A chunked body put together; where it breaks off, or is not chunked, with what is there."""
+    parts, at = [], 0
+    while 0 <= (end := body.find(b"\n", at)):
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,12}", size):
+            break
+        n = int(size, 16)
+        if not n:
+            return b"".join(parts)
+        parts.append(body[end + 1 : end + 1 + n])
+        at = end + 1 + n
+        at += 2 if body[at : at + 2] == b"\r\n" else 1 if body[at : at + 1] == b"\n" else 0
+    return b"".join(parts) if parts else body
+
+
+def inflated(body: bytes, encoding: str) -> bytes | None:
+    """A gzip or deflate body unpacked, as far as it is whole; as it is if it is not packed; None for an encoding that is not known here."""
+    for name in reversed([x.strip() for x in encoding.split(",")]):
+        if name in ("", "identity"):
+            continue
+        if name not in ("gzip", "x-gzip", "deflate"):
+            return None
+        for bits in (47, -15):
+            member, out = zlib.decompressobj(bits), []
+            try:
+                for low in range(0, len(body), 1 << 16):
+                    out.append(member.decompress(body[low : low + (1 << 16)]))
+            except zlib.error:
+                pass
+            if any(out):
+                body = b"".join(out)
+                break
+    return body
+
+
+def decoded(payload: bytes, charset: str) -> str:
+    try:
+        return payload.decode(charset, "replace")
+    except (LookupError, UnicodeError):
+        return payload.decode("utf-8", "replace")
+
+
 def derivatives(source: dict) -> list[dict]:
-    """The metadata and the conversion record of a response record."""
+    """The metadata record of a response record and, if its body is text, the conversion record."""
     head, _, payload = source["block"].partition(b"\r\n\r\n")
     fields = head.decode("latin-1").split("\r\n")
     charset = next((m[1] for f in fields if (m := re.search(r"(?i)^content-type:.*charset=\"?([\w-]+)", f))), "utf-8")
-    try:
-        page = payload.decode(charset, "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
-    bare = _DROP.sub("", page)
-    text = plain_text(page)
+    kind = field_of(fields, "content-type").split(";")[0].strip()
+    body = inflated(unchunked(payload) if "chunked" in field_of(fields, "transfer-encoding") else payload, field_of(fields, "content-encoding"))
+    markup = kind in ("", "text/html", "application/xhtml+xml")
+    if body is None or not (markup or kind.startswith("text/")):
+        said = f"http-status: {fields[0].split(' ')[1] if ' ' in fields[0] else ''}\r\ncontent-type: {kind}\r\npayload-length: {len(payload)}\r\n"
+        return [_linked(source, "metadata", "application/warc-fields", said.encode("utf-8", "surrogatepass"))]
+    page = decoded(body, charset)
+    bare = _DROP.sub("", page) if markup else ""
+    text = plain_text(page) if markup else page
     title = _TITLE.search(bare)
     language = _LANG.search(bare)
     links = [entities.unescape(next(x for x in m.groups() if x is not None)) for m in _LINK.finditer(bare)]
@@ -149,7 +203,8 @@ def write_warc(records: DataFrame, path: str) -> None:
 def unpacked(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
     """Pieces of the bytes of a file, whose gzip members, if it has any, are unpacked; what cannot be unpacked ends it."""
     if data[:2] != b"\x1f\x8b":
-        yield data
+        for low in range(0, len(data), step):
+            yield data[low : low + step]
         return
     rest, at = memoryview(data), 0
     while at < len(rest):
@@ -177,54 +232,52 @@ def _said(line: bytes) -> dict:
 
 
 def parse(pieces: Iterator[bytes]) -> Iterator[dict]:
-    """Records of the bytes of a WARC file, which come in pieces; one record and a piece are held at a time."""
-    held, more = b"", iter(pieces)
-
-    def grow() -> bool:
-        nonlocal held
-        for piece in more:
-            if piece:
-                held += piece
-                return True
-        return False
+    """Records of the bytes of a WARC file, which come in pieces; one record and a piece are held at a time, and no byte is moved twice
+    but for those of the piece in which a record begins."""
+    held, at, more = b"", 0, iter(pieces)
+
+    def grow(least: int = 1) -> bool:
+        """At least so many bytes more, if there are any; what lies before ``at`` goes."""
+        nonlocal held, at
+        parts, length = [held[at:]], 0
+        while length < least and (piece := next(more, None)) is not None:
+            parts.append(piece)
+            length += len(piece)
+        held, at = b"".join(parts), 0
+        return length > 0
 
     def found(what: bytes, low: int = 0) -> int:
-        at = held.find(what, low)
-        while at < 0:
-            low = max(low, len(held) - len(what) + 1)
-            if not grow():
+        """Where it is, from ``at`` on; -1 if it never comes."""
+        while (k := held.find(what, at + low)) < 0:
+            low = max(low, len(held) - at - len(what) + 1)
+            if not grow(max(1, len(held) - at)):  # twice as much each time
                 return -1
-            at = held.find(what, low)
-        return at
+        return k - at
 
     while (start := found(b"WARC/")) >= 0:
         end = found(b"\r\n\r\n", start)
         cut = end < 0
-        lines = held[start : len(held) if cut else end].split(b"\r\n")[1:]
+        lines = held[at + start : len(held) if cut else at + end].split(b"\r\n")[1:]
         headers = [_said(x) for x in lines if b":" in x]
         had = {h["name"].lower(): h["value"] for h in headers}
-        begin = len(held) if cut else end + 4
+        begin = len(held) - at if cut else end + 4
         size = had.get("content-length", "")
         if cut:
             stop = begin
-        elif size.isdigit():
+        elif re.fullmatch(r"[0-9]+", size):
             stop = begin + int(size)
-            parts = [held]
-            length = len(held)
-            while length < stop and (piece := next(more, None)) is not None:
-                parts.append(piece)
-                length += len(piece)
-            held = b"".join(parts)
-            cut = len(held) < stop
+            if len(held) - at < stop:
+                grow(stop - (len(held) - at))
+            cut = len(held) - at < stop
         else:
             mark = found(b"\r\n\r\nWARC/", begin)
-            stop = len(held) if mark < 0 else mark
-        block = held[begin:stop]
+            stop = len(held) - at if mark < 0 else mark
+        block = held[at + begin : at + stop]
         if cut:
             headers.append({"name": "WARC-Truncated", "value": "unspecified"})
         own = had.get("warc-record-id") or record_id("unnamed", had.get("warc-type", ""), digest(block))
         yield {"key": own, "record_type": had.get("warc-type", "unknown"), "record_id": own, "headers": headers, "block": block}
-        held = held[stop:]
+        at = min(at + stop, len(held))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
