@@ -338,7 +338,7 @@ def test_overlaps_of_empty_tables(spark):
     assert decontam.overlaps(docs(spark, []), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
 
 
-def test_proximity_equals_brute_force():
+def test_matches_equal_brute_force():
     rng = np.random.default_rng(4)
     seq = rng.integers(0, 6, 400)
     phrases = decontam.Phrases([(0, 1, [b"t0", b"t1", b"t2", b"t3"]), (1, 2, [b"t5", b"t5", b"t4"])], 10)
@@ -350,13 +350,50 @@ def test_proximity_equals_brute_force():
         got = set(zip(*map(np.ndarray.tolist, segment.matches(phrases, slop)), strict=True))
         for p, want in enumerate(phrases.seq):
             want = want[want >= 0]
-            first = int(np.argmin([(seq == next(k for k, v in number.items() if v == t)).sum() for t in want]))
             places = {t: {i for x, i in at if x == t} for t in set(want.tolist())}
-            starts = {i - first for i in places[int(want[first])]}
-            near = {s for s in starts if all(any(abs(s + k - i) <= slop for i in places[int(t)]) for k, t in enumerate(want) if k != first)}
+            near = {s for s in places[int(want[0])] if all(any(abs(s + k - i) <= slop for i in places[int(t)]) for k, t in enumerate(want))}
             assert {s for q, s in got if q == p} == near
 
 
+def near_hits(said, want, slop):
+    """Words of a text inside proximity matches of a phrase."""
+    out = set()
+    for s, word in enumerate(said):
+        if word == want[0] and all(any(0 <= i < len(said) and said[i] == w for i in range(s + k - slop, s + k + slop + 1)) for k, w in enumerate(want)):
+            out.update(range(s, min(s + len(want), len(said))))
+    return out
+
+
+def spans_of(spark, texts, items, slop, **how):
+    found = decontam.overlaps(docs(spark, list(enumerate(texts))).repartition(how.pop("parts", 1)), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), slop=slop, **how)
+    return {r.doc_id: (r.spans, r.item_ids) for r in found.collect()}
+
+
+def test_proximity_stays_in_a_document(spark):
+    got = spans_of(spark, ["x y alpha beta", "gamma delta z", "alpha beta x delta gamma"], ["alpha beta gamma delta"], 4)
+    assert got[0] == got[1] == ([], []) and got[2] == ([0, 4], ["0"])
+    texts = ["alpha q beta gamma", "gamma gamma gamma alpha", "q gamma beta"]
+    for some in (texts, texts[:1]):
+        assert spans_of(spark, some, ["alpha beta gamma"], 1)[0] == ([0, 3], ["0"])
+
+
+@pytest.mark.parametrize("slop", range(5))
+def test_proximity_equals_brute_force(spark, slop):
+    rng = np.random.default_rng(slop)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 7, rng.integers(0, 60))) for _ in range(25)] + [" ".join(f"w{k}" for k in rng.integers(0, 9, 700)), ""]
+    items = ["w1 w2 w3", "w0 w5 w0 w6", "w4 w8 w7 w1 w2", "w3 w3", "w8"]
+    first = None
+    for parts, segment_words in ((1, 100_000), (4, 30), (7, 64)):
+        got = spans_of(spark, texts, items, slop, parts=parts, segment_words=segment_words)
+        first = first or got
+        assert got == first
+    for k, text in enumerate(texts):
+        hits = [near_hits(text.split(), item.split(), slop) for item in items]
+        spans = got[k][0]
+        assert {i for a, b in zip(spans[::2], spans[1::2], strict=True) for i in range(a, b)} == set().union(*hits)
+        assert got[k][1] == [str(i) for i, h in enumerate(hits) if h]
+
+
 def test_keep_uncontaminated(spark):
     df = docs(spark, [(1, "x a b c y"), (2, "a b"), (3, None), (4, "b c")])
     items = spark.createDataFrame([(1, "a b c"), (2, None)], "item_id long, text string")

@@ -10,8 +10,8 @@ document can make a task large.
 ``search`` takes the phrases of the test items in blocks of a bounded size; a long item is split into pieces that overlap.  In
 a segment, the postings of each phrase's rarest term, adjusted by its offset, are candidate starts; they are intersected with
 the offset-adjusted postings of the other terms, rarest first, for all phrases at once.  ``slop`` above 0 returns proximity
-matches as well: places where every term of the phrase lies within slop words of its place.  Only documents with a match leave
-a search.
+matches as well: they begin at an occurrence of the phrase's first word, and every other word occurs within slop words of its place, in
+the same document; which words are rare only decides how they are found.  Only documents with a match leave a search.
 
 Words are maximal runs outside ASCII punctuation and white space after A-Z is lower-cased.  Defined cases: a null or empty
 text has no words; an item without words has no phrases; an item shorter than a window is one phrase; items are told apart by
@@ -59,6 +59,7 @@ class WordFilter:
         self.mask = bits - 1
         self.bytes = np.zeros(bits // 8, np.uint8)
         self.longest = 1  # words of the longest phrase
+        self.slop = 0  # how far from its place a word may lie
 
     def _places(self, value):
         return value & self.mask, value >> 32 & self.mask
@@ -121,6 +122,15 @@ class Segment:
         high = np.searchsorted(self.keys, term * self.span + np.clip(position + slop, 0, self.span - 1), side="right")
         return (high > low) & (position + slop >= 0)
 
+    def begun(self, phrases: Phrases, phrase: np.ndarray, start: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """The (phrase, position) of first words within slop of the starts, each once."""
+        pairs = []
+        for k in range(-slop, slop + 1):
+            there = self.has(phrases.seq[phrase, 0], start + k)
+            pairs.append(np.stack([phrase[there], start[there] + k], axis=1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return found[:, 0], found[:, 1]
+
     def matches(self, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, start position) of every occurrence."""
         if not len(phrases.seq) or not len(self.keys):
@@ -138,7 +148,9 @@ class Segment:
             phrase = np.repeat(part, n)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             start = self.positions[np.repeat(self.first[term], n) + step] - np.repeat(rare, n)
-            for k in range(1, phrases.longest):
+            if slop:
+                phrase, start = self.begun(phrases, phrase, start, slop)
+            for k in range(0 if slop else 1, phrases.longest):
                 if not len(phrase):
                     break
                 offset = order[phrase, k]
@@ -164,7 +176,7 @@ def build_index(docs: DataFrame, wanted: WordFilter, scratch: Scratch, segment_w
     """Index segments of all documents (doc_id, text), written to the shared folder.
 
     Stored are the postings of wanted words; documents, their sizes and where they begin on the segment's axis stand beside
-    them.  A document longer than a segment goes on in the next, which repeats the last words.
+    them.  A document longer than a segment goes on in the next, which repeats the last words (as many as a match can reach over).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -173,7 +185,9 @@ def build_index(docs: DataFrame, wanted: WordFilter, scratch: Scratch, segment_w
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        sought, longest = shared.value, shared.value.longest
+        sought = shared.value
+        # words between documents, and words that parts of a document share: what a match can reach over
+        gap, lap = sought.longest + sought.slop, sought.longest - 1 + 2 * sought.slop
         known: dict[bytes, int] = {}  # a word's term; 0 if it is not wanted
         row, base = 0, 0
         entries: list[dict] = []
@@ -206,18 +220,18 @@ def build_index(docs: DataFrame, wanted: WordFilter, scratch: Scratch, segment_w
                 row += 1
                 first = 0
                 while True:
-                    room = max(segment_words - base, 2 * longest)
+                    room = max(segment_words - base, 2 * (lap + 1))
                     last = min(len(seq), first + room)
                     at = np.flatnonzero(seq[first:last])
                     entries.append({"row": f"{part}-{row}", "doc_id": ids[k], "first": first, "words": len(seq), "base": base, "lap": last - first})
                     terms.append(seq[first:last][at])
                     positions.append(at + base)
-                    base += last - first + longest
+                    base += last - first + gap
                     if base >= segment_words:
                         yield flush()
                     if last == len(seq):
                         break
-                    first = last - longest + 1
+                    first = last - lap
         if entries:
             yield flush()
 
@@ -294,6 +308,7 @@ def _indexed(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int, s
     """The index of docs and the hits (row, spans, items) of all items, a row for each part and block."""
     items = scratch.cut(items.select("item_id", "text"))  # read twice, in one order
     wanted = WordFilter()
+    wanted.slop = slop
     for block in item_blocks(items, window, block_words):
         for _, _, said in block:
             wanted.longest = max(wanted.longest, min(window, len(said)))
