@@ -301,3 +301,15 @@ def test_mix_takes_ids_of_any_type(spark):
     assert made.schema["doc_id"].dataType.simpleString() == "string" and made.count() == 62
     whole = mixing.mix(spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "doc_id int, text string, source string"))
     assert whole.count() == 62 and whole.agg(F.sum("taken")).first()[0] > 0
+
+
+def test_conversations_of_unknown_layouts_are_told(spark):
+    texts = {
+        0: '{"messages": []}', 1: '{"messages": [{"role": "user", "content": "q"}]}', 2: '{"prompt": "q", "response": "a"}', 3: '[{"role": "user", "content": "q"}]', 4: '{"instruction": "q", "output": "a"}',
+        5: '{"conversations": [{"from": "human", "value": "q"}]}', 6: '{"prompt": "q", "completion": "a"}', 7: '{"question": "q", "answer": "a"}', 8: "{", 9: None}
+    frame = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "conv_id long, json string, layout string")
+    rows = spark.createDataFrame([], CONV)
+    taken = {r.conv_id for r in chat.canonical_rows(rows, frame.select("conv_id", "json")).collect()}
+    left = chat.rejected(frame)
+    assert left.columns == frame.columns and {(r.conv_id, r.json, r.layout) for r in left.collect()} == {(k, texts[k], "x") for k in texts if k not in taken}
+    assert taken == {1, 2, 4, 5, 6} and chat.rejected(frame.limit(0)).count() == 0

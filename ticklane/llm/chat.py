@@ -245,3 +245,9 @@ def canonical_rows(rows: DataFrame, texts: DataFrame) -> DataFrame:
     turns = json_turns(texts, "json").select("conv_id", F.posexplode("turns").alias("turn", "_t"))
     kind = rows.schema["turn"].dataType
     return turn_rows(rows).unionByName(turns.select("conv_id", F.col("turn").cast(kind).alias("turn"), "_t.role", "_t.text"))
+
+
+def rejected(texts: DataFrame, column: str = "json") -> DataFrame:
+    """The rows of texts that canonical_rows() leaves out, all columns as they are: no JSON, a layout that is not known, or null."""
+    kept = texts.columns
+    return json_turns(texts.withColumn("__kept", F.struct(*[F.col(f"`{c}`") for c in kept])), column).where(F.col("turns").isNull()).select(*[F.col("__kept").getField(c).alias(c) for c in kept])
