@@ -274,3 +274,21 @@ def _similar(vectors: DataFrame, targets: DataFrame, top: int, metric: str, leas
     if metric == "cosine":
         like = like / F.sqrt(total(F.transform("target_vec", lambda a: a * a)))
     return _ranked(pairs.withColumn("similarity", F.round(like, 9)), top, least)
+
+
+def window_rows(bars: DataFrame, windows: DataFrame, length: int = 7, horizon: int = 5) -> DataFrame:
+    """What a chart of windows (code, end_date) shows: their rows and up to ``horizon`` rows after them.
+
+    code, end_date, offset (0 at the window's last row, above it the future), date, the prices over the window's first close (0 counts as 1),
+    future_days.  Windows are equal rows once; one whose end is no row of its code, or that lacks rows before, has none.  Rows are
+    found by their place in the code, an equi join.
+    """
+    numbered = bars.select("code", "date", *PRICES, F.row_number().over(w()).alias("_k"))
+    ends = windows.select("code", "end_date").distinct().join(numbered.select("code", F.col("date").alias("end_date"), F.col("_k").alias("_end")), ["code", "end_date"]).where(F.col("_end") >= length)
+    spread = ends.withColumn("offset", F.explode(F.sequence(F.lit(1 - length), F.lit(horizon)))).withColumn("_k", F.col("_end") + F.col("offset"))
+    rows = spread.join(numbered, ["code", "_k"])
+    mine = W.partitionBy("code", "end_date")
+    first = F.max(F.when(F.col("offset") == 1 - length, F.col("close"))).over(mine)
+    base = F.when(first == 0, 1.0).otherwise(first)
+    shown = {f"rel_{p}": F.col(p) / base for p in PRICES} | {"future_days": F.sum((F.col("offset") > 0).cast("int")).over(mine)}
+    return rows.withColumns(shown).select("code", "end_date", "offset", "date", *[f"rel_{p}" for p in PRICES], "future_days")

@@ -267,4 +267,9 @@ _vecs = "SELECT code, win[1].d AS start_date, date AS end_date, " + " || ".join(
 _vec = o.Chain([*_vec.parts, f"vecs AS ({_vecs.replace('{t}', _vec.at)})"], "vecs").table("SELECT code AS target_code, max(end_date) AS target_end, max_by(vec, end_date) AS target_vec FROM vecs WHERE (code % 50 = 0 OR code = 1) AND end_date <= DATE '1996-12-31' GROUP BY 1", "tg").table(
     "SELECT target_code, target_end, code, start_date, end_date, round(1 / (1 + list_distance(vec, target_vec)), 9) AS sim, future_days FROM vecs, tg WHERE NOT (code = target_code AND end_date = target_end)")
 register("similar_windows", similar, _vec.end("SELECT target_code, target_end, code, start_date, end_date, round(sim, 6) AS similarity, place, future_days FROM (SELECT *, row_number() OVER (PARTITION BY target_code, target_end ORDER BY sim DESC, code, start_date) AS place FROM {t}) WHERE place <= 10"))
+_REL = [f"rel_{p}" for p in similarity.PRICES]
+register("similar_rows", lambda s, d: rounded(similarity.window_rows(bars(s, d), similar(s, d)), _REL, ("code", "end_date", "offset", "date", "future_days")),
+         _vec.table("SELECT DISTINCT code, end_date FROM (SELECT *, row_number() OVER (PARTITION BY target_code, target_end ORDER BY sim DESC, code, start_date) AS place FROM {t}) WHERE place <= 10", "top").table(
+             "SELECT t.code, t.end_date, e.rn AS er, nullif(f.close, 0) AS base FROM top t JOIN bars e ON e.code = t.code AND e.date = t.end_date JOIN bars f ON f.code = t.code AND f.rn = e.rn - 6", "tw", True).end(
+             "SELECT w.code, w.end_date, CAST(b.rn - er AS INT) AS \"offset\", b.date, sum((b.rn > er)::INT) OVER (PARTITION BY w.code, w.end_date) AS future_days, " + ", ".join(f"round(b.{p} / coalesce(base, 1), 6) AS rel_{p}" for p in similarity.PRICES) + " FROM (SELECT *, er + unnest(range(-6, 6)) AS at FROM tw) w JOIN bars b ON b.code = w.code AND b.rn = w.at"))
 register("asof_target", lambda s, d: similarity.asof(bars(s, d).select("code", "date", "close"), targets(s, d)), o.Chain().end("SELECT code, DATE '1996-12-31' AS target_date, max(date) AS date, max_by(close, date) AS close FROM {t} WHERE date <= DATE '1996-12-31' GROUP BY 1"))
