@@ -86,6 +86,14 @@ def test_manifest_equals_plain_trees(spark, rows):
     assert got_audit(manifest.audit(spark.createDataFrame(rows, DOCS))) == plain_audit(rows)
 
 
+def test_manifest_with_a_joined_table_of_offsets(spark, monkeypatch):
+    from ticklane.llm import shared
+
+    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    rows = edge_docs()[120:150]
+    assert got_audit(manifest.audit(spark.createDataFrame(rows, DOCS))) == plain_audit(rows)
+
+
 def test_manifest_of_clashing_columns_and_text_ids(spark):
     rows = [(str(i), "AbC", "en", "s", i, "p", "k", 1, 2, 3) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long, place string, key string, _seen long, _part int, nodes long")
