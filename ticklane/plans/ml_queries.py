@@ -155,7 +155,20 @@ _sim = tq._sim.table("SELECT * FROM {t}", "trades")
 _chain = type(_sim)([*_sim.parts, *_walk_parts], "trades")
 register("walkforward_metrics", lambda s, d: rounded(ml.walk_forward(tq.ledger(s, d), lq.walk(s, d)), _wf, ("window_id", "test_start", "test_end", "trade_count")),
          _chain.end("SELECT window_id, test_start, test_end, count(code) AS trade_count, round(avg((pnl_pct > 0)::INT), 6) AS hit_rate, round(avg(pnl_pct), 6) AS expectancy, round(avg(date_diff('day', entry_date, exit_date)), 6) AS avg_hold_days FROM walk LEFT JOIN trades ON entry_date >= test_start AND entry_date < test_end GROUP BY 1, 2, 3"))
-register("remote_bars", lambda s, d: remote.remote_bars(s, [f"{k:06d}" for k in range(1, 9)], "2024-01-01", "2024-06-28"))
+
+
+def fetched(s: SparkSession, d: str) -> DataFrame:
+    """The bars with what a service has of each code since its last one, up to two weeks after the newest: rows, new rows and days of each code."""
+    have = bars(s, d).select(F.col("code").cast("string").alias("code"), "date", "close")
+    end = have.agg(F.date_add(F.max("date"), 14)).first()[0].isoformat()
+    fresh = tq.kept(s, remote.missing_bars(have, end), "fetched")
+    every = have.withColumn("new", F.lit(0)).unionByName(fresh.select("code", "date", "close", F.lit(1).alias("new")))
+    return every.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("fetched"), F.min(F.when(F.col("new") == 1, F.col("date"))).alias("first_new"), F.max("date").alias("last"))
+
+
+register("remote_bars", fetched, o.Chain().table("SELECT CAST(code AS VARCHAR) AS code, count(*) AS n, max(date) AS last FROM {t} GROUP BY 1", "own", True).table(
+    "SELECT code, CAST(day AS DATE) AS day FROM (SELECT code, unnest(generate_series(last + INTERVAL 1 DAY, (SELECT max(last) FROM own) + INTERVAL 14 DAY, INTERVAL 1 DAY)) AS day FROM own) WHERE isodow(day) < 6", "fresh").end(
+    "SELECT o.code, o.n + count(day) AS n, count(day) AS fetched, min(day) AS first_new, coalesce(max(day), o.last) AS last FROM own o LEFT JOIN fresh f USING (code) GROUP BY o.code, o.n, o.last"))
 
 
 def stream_positions(s: SparkSession, d: str) -> DataFrame:
