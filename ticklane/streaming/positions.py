@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import date, timedelta
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +23,10 @@ LAPSE_DAYS = 7
 _ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+# The worker that sets a stateful query up does not see files that were added to the session: the processor travels as a whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _millis(day: date) -> int:
     return (day - date(1970, 1, 1)).days * 86_400_000
 
