@@ -254,5 +254,5 @@ def recent_features(s: SparkSession, d: str) -> DataFrame:
 
 _RECENT = ["rsi14", "boll_bw", "roc10", "rvol20", "ret_20", "mae_20"]
 register("recent_features", recent_features, o.add_boll(o.add_rsi(start)).add(
-    roc10=o.roc("close", 10), rvol20=o.div("volume", o.sma("volume", 20)), ret_20=f"{o.lead('close', 20)} / {o.lead('open')} - 1",
+    roc10=o.roc("close", 10), rvol20=o.RVOL, ret_20=f"{o.lead('close', 20)} / {o.lead('open')} - 1",
     mae_20=f"CASE WHEN count(low) {o.ahead(20)} = 20 THEN min(low) {o.ahead(20)} END / {o.lead('open')} - 1").show(_RECENT, "date BETWEEN DATE '1997-03-01' AND DATE '1997-04-30'"))
