@@ -29,7 +29,11 @@ def session(master: str = "local[8]", partitions: int = 8, **more: str) -> Spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers, once an application, unless they find it by path or working directory."""
+    """Send the package to the Python workers, once an application, unless they find it by path or working directory.
+
+    Plans of many columns make methods that the JVM never compiles (over 8,000 bytes): there Spark is told to make smaller ones.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     app = spark.sparkContext.applicationId
     paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     if app in _shipped or any(p and Path(p).resolve() == ROOT for p in paths):
