@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from conftest import SMALL
 from ticklane import config as cf
+from ticklane.operators import backtest as bt
 from ticklane.operators import portfolio as pf
 from ticklane.operators import signals as sg
 from ticklane.plans import portfolio_queries as pq
@@ -43,3 +44,16 @@ def test_tops_by_steps_equal_a_ranking(spark):
     ranked = df.sort_values(["date", "profile_score_blended", "candidate_score", "technical_score", "code"], ascending=[True, False, False, False, True], na_position="last").groupby("date").head(3)
     assert sorted((r.date, r.code) for r in top.collect()) == sorted(zip(ranked["date"], ranked["code"], strict=True))
     assert {r.date: r.day_candidates for r in days.collect()} == df.groupby("date").size().to_dict()
+
+
+def test_risk_sim_folds_rows_near_the_top_only(spark, monkeypatch):
+    """Every code is on top once, as in large tables: what is folded are the few days around it, and the result is that of all rows."""
+    n, codes = 60, 60
+    rows = [(DAY0 + dt.timedelta(days=k), c, 10.0 + (c * 7 + k * 3) % 11, 0.05 if c in (k, (k + 1) % codes) else -0.01, -0.09 if (c + k) % 13 == 0 else -0.03, "v") for k in range(n) for c in range(codes) if (c * 5 + k * 2) % 6]
+    preds = spark.createDataFrame(rows, "date date, code long, open double, pred_ret double, pred_mae double, variant string")
+    few = bt.risk_budget_sim(preds).orderBy("date_open").collect()
+    folded = []
+    whole = bt._holdable
+    monkeypatch.setattr(bt, "_holdable", lambda rows, by: folded.append(whole(rows, by).count()) or rows.drop("_k"))
+    every = bt.risk_budget_sim(preds).orderBy("date_open").collect()
+    assert few == every and folded[0] < len(rows) / 5 and any(r.n_positions for r in few)
