@@ -11,6 +11,7 @@ from ticklane.operators import backtest as bt
 from ticklane.operators import portfolio as pf
 from ticklane.operators import signals as sg
 from ticklane.plans import portfolio_queries as pq
+from ticklane.plans import trade_queries as tq
 from ticklane.sources.bars import bars_from_lineitem
 
 DAY0 = dt.date(2024, 1, 1)
@@ -28,6 +29,11 @@ def test_panel_rows_travel_once_to_their_days(spark):
     assert exchanges(sg.signal_panel(bars).select("code", "date", "s2_entry", "s2_stop"), "date") <= 1
 
 
+def test_ledger_rows_stay_with_their_codes(spark):
+    """The trades' fold reads signals that went to no day: one exchange by date, of the market's state."""
+    assert exchanges(tq.ledger(spark, SMALL).select("code", "pnl_pct"), "date") <= 1
+
+
 def test_tops_by_steps_equal_a_ranking(spark):
     """Ties, nulls and days with fewer rows than places; every day's top rows and the number of its candidates."""
     rng = random.Random(3)
