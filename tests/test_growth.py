@@ -31,6 +31,11 @@ def test_panel_rows_travel_once_to_their_days(spark):
     assert exchanges(sg.signal_panel(bars).select("code", "date", "s2_entry", "s2_stop"), "date") <= 1
 
 
+def test_line_items_travel_once_to_their_codes(spark):
+    text = bars_from_lineitem(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange ") == exchanges(bars_from_lineitem(spark, SMALL), "code") == 1
+
+
 def test_ledger_rows_stay_with_their_codes(spark):
     """The trades' fold reads signals that went to no day: one exchange by date, of the market's state."""
     assert exchanges(tq.ledger(spark, SMALL).select("code", "pnl_pct"), "date") <= 1
