@@ -8,7 +8,9 @@ import pandas as pd
 import pytest
 from conftest import SMALL
 from ticklane import config as cf
+from ticklane.functions import indicators as ind
 from ticklane.operators import backtest as bt
+from ticklane.operators import ml
 from ticklane.operators import portfolio as pf
 from ticklane.operators import signals as sg
 from ticklane.plans import ml_queries as mq
@@ -85,3 +87,15 @@ def test_train_report_keeps_the_rows_it_uses(spark, monkeypatch):
     with pytest.raises(Enough):
         mq.train_report(spark, SMALL)
     assert 0 < kept["panel"].count() < bars_from_lineitem(spark, SMALL).count() / 3
+
+
+def test_trials_share_a_codes_windows_and_bars(spark, monkeypatch):
+    """What travels a trial are the days on which it enters or raises a stop, and no window is made after rows met the trials."""
+    seen = {}
+    monkeypatch.setattr(bt, "trial_trades", lambda bars, busy, cfg: seen.update(bars=bars, busy=busy) or busy)
+    bars = bars_from_lineitem(spark, SMALL)
+    panel = sg.add_windows(sg.add_valuation(ind.add_panel(bars)))
+    ml.trial_ledgers(panel, sg.market_state(panel), ml.sample_configs(6))
+    assert 0 < seen["busy"].count() < 6 * seen["bars"].count() / 3
+    plan = seen["busy"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan[: plan.index("Join Inner")]
