@@ -13,6 +13,7 @@ from ticklane.operators import backtest as bt
 from ticklane.operators import ml
 from ticklane.operators import portfolio as pf
 from ticklane.operators import signals as sg
+from ticklane.operators import similarity
 from ticklane.plans import ml_queries as mq
 from ticklane.plans import portfolio_queries as pq
 from ticklane.plans import trade_queries as tq
@@ -99,3 +100,9 @@ def test_trials_share_a_codes_windows_and_bars(spark, monkeypatch):
     assert 0 < seen["busy"].count() < 6 * seen["bars"].count() / 3
     plan = seen["busy"]._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan[: plan.index("Join Inner")]
+
+
+def test_an_index_of_windows_has_no_copy_of_their_vectors(spark):
+    rows = [(k % 3, DAY0 + dt.timedelta(days=k), DAY0 + dt.timedelta(days=k + 6), [float(k), float(k * k % 7)] * 10, 5) for k in range(60)]
+    index = similarity.build_index(spark.createDataFrame(rows, "code long, start_date date, end_date date, vec array<double>, future_days long"))
+    assert sorted(index.table.columns) == ["cell", "code", "end_date", "sketch", "start_date"] and index.table.count() == 60
