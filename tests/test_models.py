@@ -251,3 +251,30 @@ def test_window_search_equals_brute_force(spark):
     assert similarity.search(empty, targets)[0].count() == 0
     one = similarity.build_index(spark.createDataFrame(rows[:1], kind))
     assert similarity.search(one, targets)[0].count() == 4
+
+
+def test_packed_sequences_are_those_of_windows(spark):
+    """Codes with too few rows, incomplete rows and cells that are no numbers; each row's cells lie in the scratch files once."""
+    from ticklane.operators import labels as lb
+
+    day0 = pd.Timestamp("2024-01-01").date()
+    rows = [(c, day0 + pd.Timedelta(days=k), float(c * 100 + k), None if (c + k) % 7 == 0 else float("nan") if k == 4 else k / 2.0, k % 3, k * 1.5) for c in range(4) for k in range(3 + 4 * c)]
+    frame = spark.createDataFrame(rows, "code long, date date, a double, b double, label int, fwd double")
+    packed = lb.pack_sequences(frame, ["a", "b"], ["label", "fwd"], 5)
+    found = lb.unpack_sequences(packed, 2, ["label", "fwd"], 5).orderBy("code", "date").collect()
+    line = {}
+    for c, day, a, b, label, fwd in rows:
+        if b is not None and b == b:
+            line.setdefault(c, []).append((day, [a, b], label, fwd))
+    wanted = [(c, x[i][0], x[i][2], x[i][3], sum((r[1] for r in x[i - 4 : i + 1]), [])) for c, x in sorted(line.items()) for i in range(4, len(x))]
+    assert [tuple(r) for r in found] == wanted and wanted
+    assert packed.selectExpr("sum(size(_cells)) AS n").first().n == sum(2 * len(x) for x in line.values() if len(x) >= 5)
+
+
+def test_training_on_sequences_writes_none(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from ticklane.operators import sequence_model as sm
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *_, **__: pytest.fail("sequences were written"))
+    rows = sequence_rows(spark)
+    assert sm.train_sequences(rows.where("date < 18"), "seq", "label", "ret", F.col("date") >= 13, sm.Training(hidden=(4,), epochs=1, steps=1, least=20)).best_epoch == 1
