@@ -253,6 +253,56 @@ def test_window_search_equals_brute_force(spark):
     assert similarity.search(one, targets)[0].count() == 4
 
 
+def test_search_of_packed_bars_equals_brute_force(spark):
+    """Ties, windows with missing cells, short codes, a first close of 0, codes longer than a piece; charts of what is found, too."""
+    import datetime as dt
+
+    from ticklane.operators import similarity
+
+    rng, day0 = np.random.default_rng(5), dt.date(2024, 1, 1)
+    rows = []
+    for c in range(9):
+        close = 100 + np.cumsum(rng.integers(-2, 3, 30 * c + 4))
+        for k, x in enumerate(close.astype(float).tolist()):
+            p = 0.0 if (c, k) == (2, 9) else x if c != 8 else 100.0
+            rows.append((c, day0 + dt.timedelta(days=k), p, p + 1, p - 1, None if (c, k) == (3, 20) else p, p - 0.5, 0.01 * (k % 3), 0.02 * (k % 2)))
+    rows += [(20, *r[1:]) for r in rows if r[0] == 4]  # a copy: ties
+    bars = spark.createDataFrame(rows, "code long, date date, open double, high double, low double, close double, preclose double, turnover double, pct_chg double").repartition(5)
+    vectors, packed = similarity.window_vectors(bars), similarity.pack_bars(bars)
+    made = [r for r in vectors.collect() if r.vec is not None and None not in r.vec]
+    again = {(r.code, r.end_date): (r.start_date, r.vec, r.future_days) for r in similarity.packed_vectors(packed).collect() if None not in r.vec}
+    assert again == {(r.code, r.end_date): (r.start_date, r.vec, r.future_days) for r in made}
+    asked = [r for r in made if r.code in (1, 4, 8) and r.end_date.day == 20]
+    targets = spark.createDataFrame([(r.code, r.end_date, r.vec) for r in asked] + [(60, day0, None)], "target_code long, target_end date, target_vec array<double>")
+    for top, least in ((10, None), (5, 0.6), (5_000, None)):
+        found = similarity.search_packed(packed, targets, top, least)
+        got = {}
+        for r in found.orderBy("target_code", "target_end", "place").collect():
+            got.setdefault((r.target_code, r.target_end), []).append((r.code, r.start_date, r.end_date, r.similarity, r.future_days))
+        for t in asked:
+            like = [(-similarity._rounded(float(np.sqrt(sum((a - b) * (a - b) for a, b in zip(r.vec, t.vec, strict=True))))), r.code, r.start_date, r.end_date, r.future_days) for r in made if (r.code, r.end_date) != (t.code, t.end_date)]
+            best = [(c, s, e, -x, f) for x, c, s, e, f in sorted(x for x in like if least is None or -x[0] >= least)[:top]]
+            assert got.get((t.code, t.end_date), []) == best
+        shown = similarity.packed_rows(packed, found)
+        plain = similarity.window_rows(bars, found)
+        assert sorted(map(repr, shown.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    assert similarity.search_packed(packed.where("code < 0"), targets).count() == 0
+
+
+def test_similar_windows_are_written_nowhere(spark, monkeypatch):
+    """What the queries of similar windows write are bars, a row a code, and what they found: no row a window."""
+    from conftest import SMALL
+    from ticklane.plans import trade_queries as tq
+
+    kept = []
+    for module in (tq, tq.similarity):
+        monkeypatch.setattr(module, "written", lambda df, *a, real=module.written: kept.append(real(df, *a)) or kept[-1])
+    monkeypatch.setattr(tq.similarity, "scratch_path", lambda *_: pytest.fail("an index was written"))
+    rows = tq.similar_rows(spark, SMALL).count()
+    bars = tq.bars(spark, SMALL)
+    assert rows and all(x.count() < bars.count() / 3 for x in kept) and sum(x.selectExpr("sum(size(date))").first()[0] for x in kept if "open" in x.columns) == bars.count()
+
+
 def test_packed_sequences_are_those_of_windows(spark):
     """Codes with too few rows, incomplete rows and cells that are no numbers; each row's cells lie in the scratch files once."""
     from ticklane.operators import labels as lb
