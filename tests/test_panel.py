@@ -426,6 +426,30 @@ def test_trials_in_one_pass_equal_trials_one_by_one(spark):
     assert sorted(map(tuple, got)) == sorted(want) and len({r.trial for r in got}) == 3
 
 
+def test_trials_of_two_ways_equal_ledgers_one_by_one(spark):
+    """Filtered and not in one pass: every column of the trades; and a trial's days reach their code as few cells."""
+    from ticklane import config as cf
+    from ticklane.operators import signals as sg
+    from ticklane.sources.bars import bars_from_lineitem
+
+    panel = sg.add_valuation(ind.add_panel(bars_from_lineitem(spark, "/root/testdata/sf0.001").where("code < 4"))).cache()
+    state = sg.market_state(panel).cache()
+    configs = ml.sample_configs(2)
+    ways = tuple(cf.DEFAULT.merged({"valuation": {"enabled": on, "mode": "soft_filter", "expensive_cut": 0.6}}) for on in (False, True))
+    got = ml.trial_ledgers(panel, state, configs, cf.DEFAULT, ways)
+    names = [x for x in got.columns if x not in ("way", "trial")]
+    want = []
+    for k, way in enumerate(ways):
+        for t, c in enumerate(configs):
+            signals = sg.assemble(panel, state, c)
+            want += [(k, t, *r) for r in bt.backtest_ledger(signals, c.merged({"valuation": {"enabled": way.valuation.enabled, "mode": "soft_filter", "expensive_cut": 0.6}})).select(*names).collect()]
+    plain = lambda rows: sorted(repr([None if x != x else x for x in r]) for r in rows)
+    assert plain(got.select("way", "trial", *names).collect()) == plain(want) and {r[0] for r in want} == {0, 1} and plain(r for r in want if r[0]) != plain((1, *r[1:]) for r in want if not r[0])
+    # without valuation, trades have none, and nothing else differs
+    few = ml.trial_ledgers(panel.drop("value_score"), state, configs, cf.DEFAULT, ways)
+    assert few.where("value_score IS NOT NULL").count() == 0 and few.count() == len(want)
+
+
 def test_tuning_takes_the_best_trial_of_each_bucket(spark):
     day = lambda k: DAY0 + dt.timedelta(days=k)
     trades = spark.createDataFrame([(t, c, day(k), day(k + 2), p) for t, c, k, p in [(0, "a", 5, 0.1), (1, "a", 5, 0.3), (0, "b", 5, 0.2), (1, "b", 5, -0.2), (1, "b", 50, 9.0), (0, "b", 12, 0.5), (1, "a", 12, 0.4), (0, "a", 12, -0.4)]], "trial int, code string, entry_date date, exit_date date, pnl_pct double")
