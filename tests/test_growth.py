@@ -103,6 +103,15 @@ def test_trials_share_a_codes_windows_and_bars(spark, monkeypatch):
     assert "Window" not in plan[: plan.index("Join Inner")]
 
 
+def test_tuning_writes_no_panel(spark, monkeypatch):
+    """What is kept are the market's state and trades; bars and trials' days go to their codes in one exchange, and to no day."""
+    kept, real = {}, tq.kept
+    monkeypatch.setattr(tq, "kept", lambda s, df, label: kept.setdefault(label, (df, real(s, df, label)))[1])
+    mq._tuned(spark, SMALL, {"baseline": cf.VALUATION_VARIANTS["baseline"]})
+    assert set(kept) == {"state", "trials"}
+    assert exchanges(kept["trials"][0], "date") == 0 and exchanges(kept["trials"][0], "code") == 2  # line items, bars with trials
+
+
 def test_an_index_of_windows_has_no_copy_of_their_vectors(spark):
     rows = [(k % 3, DAY0 + dt.timedelta(days=k), DAY0 + dt.timedelta(days=k + 6), [float(k), float(k * k % 7)] * 10, 5) for k in range(60)]
     index = similarity.build_index(spark.createDataFrame(rows, "code long, start_date date, end_date date, vec array<double>, future_days long"))

@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from ticklane import config as cf
 from ticklane.functions import indicators as ind
@@ -448,6 +449,10 @@ def test_trials_of_two_ways_equal_ledgers_one_by_one(spark):
     # without valuation, trades have none, and nothing else differs
     few = ml.trial_ledgers(panel.drop("value_score"), state, configs, cf.DEFAULT, ways)
     assert few.where("value_score IS NOT NULL").count() == 0 and few.count() == len(want)
+    # of a panel that is read once
+    once = ml.ledgers_in_one_pass(sg.add_windows(panel).withColumn("_rn", F.row_number().over(W.partitionBy("code").orderBy("date"))), state, configs, ways)
+    some = ["way", "trial", *[x for x in names if x not in bt.VALUES]]
+    assert plain(once.select(*some).collect()) == plain(got.select(*some).collect())
 
 
 def test_tuning_takes_the_best_trial_of_each_bucket(spark):
